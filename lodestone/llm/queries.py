@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding
-from .common import table
+from . import licenses, mixing, pieces, quality, secrets, sharding, toxicity
+from .common import held_out, table
 
 
 def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +62,68 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+def op2_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.add_scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), to="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.add_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")), to="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+def _template_rx(markup: str) -> str:
+    """A template as a regular expression over words that each end in a space."""
+    out = []
+    for token in re.findall(r"<<[^>]*>>|[^\s<]+", markup):
+        if token.startswith("<<any"):
+            out.append(r"(?:[^ ]+ ){0,%s}" % token[6:-2])
+        else:
+            out.append({"<<optional>>": "(?:", "<</optional>>": ")?"}.get(token, token + " "))
+    return " " + "".join(out)
+
+
+def _licenses_sql() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT k, i - 1 AS pos, '{label}' AS label FROM each WHERE w[i:i + {len(p.split()) - 1}] = [{', '.join(repr(x) for x in p.split())}]" for p, label in licenses.PHRASES.items()
+    )
+    accepted = " UNION ALL ".join(f"SELECT k, '{label}' AS label FROM d WHERE regexp_matches(joined, '{_template_rx(t)}')" for label, t in licenses.TEMPLATES)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM t),
+each AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+places AS ({places}),
+base AS (SELECT k, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY k),
+accepted AS (SELECT DISTINCT * FROM ({accepted})),
+lab AS (SELECT k, label, max(sure) AS sure FROM (SELECT k, label, 1 AS sure FROM accepted UNION ALL SELECT k, label, 0 FROM places) GROUP BY k, label),
+every AS (SELECT k, string_agg(label, ',' ORDER BY label) AS labels, avg(CASE WHEN sure = 1 THEN 1.0 ELSE 0.5 END) AS score FROM lab GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(base.labels, '') AS base_labels,
+  coalesce(every.labels, '') AS labels, coalesce(CAST(score AS DOUBLE), 0.0) AS score
+FROM d LEFT JOIN base USING (k) LEFT JOIN every USING (k)
+"""
+
+
+def op7_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.read_vocabulary()
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = pieces.decode(encoded, vocabulary)
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_sharding": op1_histogram_sharding,
+    "op2_nb_ngram_toxicity": op2_nb_ngram_toxicity,
+    "op4_rule_ensemble_quality": op4_rule_ensemble_quality,
     "op5_pareto_mixing": op5_pareto_mixing,
+    "op6_template_licenses": op6_template_licenses,
+    "op7_maxplus_pieces": op7_maxplus_pieces,
     "op9_trigram_secrets": op9_trigram_secrets,
 }
-ORACLES: dict[str, str] = {"op9_trigram_secrets": _secrets_sql()}
+ORACLES: dict[str, str] = {"op6_template_licenses": _licenses_sql(), "op9_trigram_secrets": _secrets_sql()}
