@@ -31,7 +31,7 @@ from .common import materialise, small_batches
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and words whose pieces a Python worker remembers.
-CHUNK, REMEMBERED = 8192, 300_000
+CHUNK, REMEMBERED = 32_768, 300_000
 #: Unknown characters cost this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 LOW = float("-inf")
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", t
     """docs with `to`: array<int>, the ids of the whole text.
 
     A null text gives null, an empty one an empty array.  Repeated rows are encoded alike.  Texts of one chunk are
-    encoded where they are; longer ones are split, and their chunks spread over the cluster.
+    encoded where they are; longer ones, each distinct text once, are split, and their chunks spread over the cluster.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -299,19 +299,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", t
 
     is_long = F.coalesce(F.length(text_col) >= chunk, F.lit(False))
     near = docs.where(~is_long).withColumn(to, short(F.col(text_col)))
-    far = docs.where(is_long).withColumn("piece_row_", F.monotonically_increasing_id())
-    far = materialise(far)
-    parts = far.select("piece_row_", F.inline(cut(F.col(text_col)))).repartition("piece_row_", "k")
-    parts = materialise(parts.withColumn("matrix", matrix(F.col("part"), F.col("n"))))
+    far = docs.where(is_long).withColumn("piece_text_", F.sha2(F.col(text_col).cast("binary"), 256))
+    texts = far.select("piece_text_", F.col(text_col).alias("t")).dropDuplicates(["piece_text_"])
+    parts = texts.select("piece_text_", F.inline(cut(F.col("t")))).repartition("piece_text_", "k")
+    matrices = materialise(parts.select("piece_text_", "k", matrix(F.col("part"), F.col("n")).alias("matrix")))
     ordered = F.array_sort(F.collect_list(F.struct("k", "matrix")))
-    scores = parts.groupBy("piece_row_").agg(ordered.alias("m")).select("piece_row_", F.posexplode(starts(F.col("m.matrix"))).alias("k", "start"))
-    traced = parts.drop("matrix").join(scores, ["piece_row_", "k"]).select("piece_row_", "k", F.inline(ways(F.col("part"), F.col("n"), F.col("start"))))
+    scores = matrices.groupBy("piece_text_").agg(ordered.alias("m")).select("piece_text_", F.posexplode(starts(F.col("m.matrix"))).alias("k", "start"))
+    traced = parts.join(scores, ["piece_text_", "k"]).select("piece_text_", "k", F.inline(ways(F.col("part"), F.col("n"), F.col("start"))))
     traced = materialise(traced)
-    lists = traced.groupBy("piece_row_").agg(F.collect_list(F.struct("k", "b", "a")).alias("w"))
-    taken = lists.select("piece_row_", F.posexplode(fitting(F.col("w.k"), F.col("w.b"), F.col("w.a"))).alias("k", "b"))
-    whole = traced.join(taken, ["piece_row_", "k", "b"]).groupBy("piece_row_").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c"))
-    whole = whole.select("piece_row_", F.flatten(F.col("c.ids")).alias(to))
-    return near.unionByName(far.join(whole, "piece_row_").drop("piece_row_"))
+    lists = traced.groupBy("piece_text_").agg(F.collect_list(F.struct("k", "b", "a")).alias("w"))
+    taken = lists.select("piece_text_", F.posexplode(fitting(F.col("w.k"), F.col("w.b"), F.col("w.a"))).alias("k", "b"))
+    whole = traced.join(taken, ["piece_text_", "k", "b"]).groupBy("piece_text_").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c"))
+    whole = whole.select("piece_text_", F.flatten(F.col("c.ids")).alias(to))
+    return near.unionByName(far.join(whole, "piece_text_").drop("piece_text_"))
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, *, ids_col: str = "piece_ids", to: str = "decoded") -> DataFrame:
