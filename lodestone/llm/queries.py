@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, pieces, quality, secrets, sharding, toxicity
+from . import licenses, mixing, multi_index, permutation_index, pieces, quality, secrets, sharding, toxicity
 from .common import held_out, table
 
 
@@ -68,6 +68,10 @@ def op2_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op4_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.add_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")), to="score")
@@ -117,13 +121,20 @@ def op7_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op10_multi_index_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_sharding": op1_histogram_sharding,
     "op2_nb_ngram_toxicity": op2_nb_ngram_toxicity,
+    "op3_permutation_search": op3_permutation_search,
     "op4_rule_ensemble_quality": op4_rule_ensemble_quality,
     "op5_pareto_mixing": op5_pareto_mixing,
     "op6_template_licenses": op6_template_licenses,
     "op7_maxplus_pieces": op7_maxplus_pieces,
     "op9_trigram_secrets": op9_trigram_secrets,
+    "op10_multi_index_duplicates": op10_multi_index_duplicates,
 }
 ORACLES: dict[str, str] = {"op6_template_licenses": _licenses_sql(), "op9_trigram_secrets": _secrets_sql()}
