@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, multi_index, permutation_index, pieces, quality, secrets, sharding, toxicity
+from . import licenses, mixing, multi_index, near_dedup, permutation_index, pieces, quality, secrets, sharding, toxicity
 from .common import held_out, table
 
 
@@ -25,6 +25,11 @@ def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
+def op8_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE))
@@ -134,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pareto_mixing": op5_pareto_mixing,
     "op6_template_licenses": op6_template_licenses,
     "op7_maxplus_pieces": op7_maxplus_pieces,
+    "op8_bagminhash_dedup": op8_bagminhash_dedup,
     "op9_trigram_secrets": op9_trigram_secrets,
     "op10_multi_index_duplicates": op10_multi_index_duplicates,
 }
