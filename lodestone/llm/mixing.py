@@ -29,6 +29,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit("tie"), text, doc_id)
+
+
 def source_key(source: Column) -> Column:
     """A join key in which null is a value of its own."""
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
@@ -70,7 +74,7 @@ def mix_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
     weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """How often the mix takes each document: (id, size, source_size, target, copies) and carry_<column>s.
+    """How often the mix takes each document: (id, tie, size, source_size, target, copies) and carry_<column>s.
 
     Null texts and texts without words have size 0, and null is a source like any other.  Reruns agree, since ranks
     come from hashes of the id and text; ties in rank are broken by text and size, and identical rows are
@@ -81,7 +85,7 @@ def mix_documents(
     rows = materialise(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"),
-            words(text).alias("size"), unit.alias("u"), F.xxhash64(F.lit("tie"), text, F.col(id_col)).alias("tie"), F.monotonically_increasing_id().alias("row"),
+            words(text).alias("size"), unit.alias("u"), identity(F.col(id_col), text).alias("tie"), F.monotonically_increasing_id().alias("row"),
             *[F.col(c).alias(f"carry_{c}") for c in carry],
         )
     )
@@ -124,5 +128,30 @@ def mix_documents(
     fill = materialise(fill)
     out = placed.join(F.broadcast(fill) if fill.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else fill, "key", "left")
     out = out.withColumn("extra", F.when(F.col("row") == F.col("best"), 1).otherwise(F.col("extra")))
-    kept = ["id", "size", "source_size", "target", *[c for c in rows.columns if c.startswith("carry_")]]
+    kept = ["id", "tie", "size", "source_size", "target", *[c for c in rows.columns if c.startswith("carry_")]]
     return out.select(*kept, (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
+
+
+#: Rows of a mix that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, with its own columns.
+
+    Rows are matched to the mix by id and a hash of id and text, nulls included.  Only where rows repeat both are they
+    numbered as well, so that each stands for one row of the mix.
+    """
+    plan = mix_documents(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).select("tie", F.col("id").alias("mix_id_"), "copies")
+    plan = materialise(plan)
+    keyed = docs.withColumn("mix_tie_", identity(F.col(id_col), F.col(text_col)))
+    if plan.groupBy("tie", "mix_id_").count().where("count > 1").isEmpty():
+        plan, keyed = plan.withColumn("n", F.lit(1)), keyed.withColumn("mix_n_", F.lit(1))
+    else:
+        plan = plan.withColumn("n", F.row_number().over(Window.partitionBy("tie", "mix_id_").orderBy("copies")))
+        keyed = keyed.withColumn("mix_n_", F.row_number().over(Window.partitionBy("mix_tie_", id_col).orderBy("mix_tie_")))
+    plan = plan.where("copies > 0")
+    plan = F.broadcast(plan) if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else plan
+    on = (F.col("mix_tie_") == F.col("tie")) & F.col(id_col).eqNullSafe(F.col("mix_id_")) & (F.col("mix_n_") == F.col("n"))
+    out = keyed.join(plan, on).withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*docs.columns)
