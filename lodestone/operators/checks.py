@@ -84,9 +84,9 @@ def check_titles(notes: DataFrame) -> DataFrame:
 
 def check_dump(notes: DataFrame) -> DataFrame:
     """Notes called dump.md whose text goes beyond frontmatter and headings; the first such line is reported."""
-    d = M.with_blocks(notes.where(F.lower(base_name(F.col("path"))) == "dump.md")).select("path", "front", F.posexplode("lines").alias("i", "text"))
-    body = d.where(F.col("i") >= F.col("front")).where((F.trim("text") != "") & ~F.col("text").rlike(M.HEADING))
-    first = body.groupBy("path").agg(F.min(F.col("i") + 1).alias("line"))
+    d = M.body_lines(notes.where(F.lower(base_name(F.col("path"))) == "dump.md"))
+    body = d.where((F.trim("text") != "") & ~F.col("text").rlike(M.HEADING))
+    first = body.groupBy("path").agg(F.min("line").alias("line"))
     return finding(first, "dump", "warning", F.lit("Dump note holds content"), F.col("line"))
 
 

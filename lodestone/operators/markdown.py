@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import expanded_tags
+from ..functions.text import expanded_tags, let
 
 #: Fixed patterns of the notes' syntax.
 FENCE = r"^\s{0,3}(`{3,}|~{3,})\s*([^`]*)$"
@@ -24,16 +24,18 @@ FIELD = r"[\[(]([^\[\]()\n:]+)::((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*)[\])]"
 BARE_FIELD = r"^([^\[\]\n]+?)::[ \t]*(.*)$"
 
 
-def with_blocks(notes: DataFrame) -> DataFrame:
-    """notes with lines, front (the number of frontmatter lines) and fences: array<struct<first, last, mark, info>> of 0-based lines.
+def _front(lines: Column) -> Column:
+    """The number of frontmatter lines, marks included."""
+    close = F.array_position(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rtrim(x).isin("---", "...")), True)
+    return F.when((F.get(lines, F.lit(0)) == "---") & (close > 0), close + 1).otherwise(F.lit(0)).cast("int")
+
+
+def _fences(lines: Column, front: Column) -> Column:
+    """array<struct<first, last, mark, info>> of 0-based lines.
 
     A fence closes at a line of the same mark, at least as long, without info; an open one runs to the end.
     """
-    lines = F.split(F.coalesce("contents", F.lit("")), "\r?\n")
-    d = notes.withColumn("lines", lines)
-    close = F.array_position(F.transform(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: F.rtrim(x).isin("---", "...")), True)
-    d = d.withColumn("front", F.when((F.get("lines", F.lit(0)) == "---") & (close > 0), close + 1).otherwise(F.lit(0)).cast("int"))
-    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.trim(F.regexp_extract(x, FENCE, 2)).alias("info"))), lambda m: (m["mark"] != "") & (m["i"] >= F.col("front")))
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.trim(F.regexp_extract(x, FENCE, 2)).alias("info"))), lambda m: (m["mark"] != "") & (m["i"] >= front))
 
     def step(acc, m):
         opened = F.struct(m["i"].alias("first"), m["mark"].alias("mark"), m["info"].alias("info"))
@@ -49,25 +51,37 @@ def with_blocks(notes: DataFrame) -> DataFrame:
 
     def finish(acc):
         cur = acc["open"]
-        last = F.array(F.struct(cur["first"].alias("first"), (F.size("lines") - 1).alias("last"), cur["mark"].alias("mark"), cur["info"].alias("info")))
+        last = F.array(F.struct(cur["first"].alias("first"), (F.size(lines) - 1).alias("last"), cur["mark"].alias("mark"), cur["info"].alias("info")))
         return F.when(cur.isNull(), acc["done"]).otherwise(F.concat(acc["done"], last))
 
-    return d.withColumn("fences", F.aggregate(marks, start, step, finish))
+    return F.aggregate(marks, start, step, finish)
+
+
+def _of_lines(body) -> Column:
+    """body(lines, front) of a row's contents, each made once."""
+    return let(F.split(F.coalesce("contents", F.lit("")), "\r?\n"), lambda lines: let(_front(lines), lambda front: body(lines, front)))
 
 
 def prose_lines(notes: DataFrame) -> DataFrame:
     """(path, line, text, next) of the lines outside frontmatter and fences; line counts from 1, code spans are blanked."""
-    d = with_blocks(notes)
-    each = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.get("lines", i + 1).alias("next")))
-    open_lines = F.filter(each, lambda s: (s["line"] > F.col("front")) & ~F.exists("fences", lambda f: (s["line"] - 1).between(f["first"], f["last"])))
-    d = d.select("path", F.inline(open_lines))
+
+    def outside(lines, front):
+        each = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.get(lines, i + 1).alias("next")))
+        return let(_fences(lines, front), lambda fences: F.filter(each, lambda s: (s["line"] > front) & ~F.exists(fences, lambda f: (s["line"] - 1).between(f["first"], f["last"]))))
+
+    d = notes.select("path", F.inline(_of_lines(outside)))
     return d.withColumn("text", F.regexp_replace("text", r"(`+)[^`]+?\1", ""))
 
 
+def body_lines(notes: DataFrame) -> DataFrame:
+    """(path, line, text) of the lines after the frontmatter, those inside code too."""
+    return notes.select("path", F.inline(_of_lines(lambda lines, front: F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda s: s["line"] > front))))
+
+
 def frontmatter(notes: DataFrame) -> DataFrame:
     """(path, key, value) of the top-level scalars and inline lists of each note's frontmatter; values as written, quotes removed."""
-    d = with_blocks(notes).where("front > 0")
-    rows = d.select("path", F.posexplode(F.slice("lines", F.lit(2), F.col("front") - 2)).alias("ord", "text"))
+    inner = _of_lines(lambda lines, front: F.slice(lines, F.lit(2), F.greatest(front - 2, F.lit(0))))
+    rows = notes.select("path", F.posexplode(inner).alias("ord", "text"))
     rx = r"^([^\s:#][^:]*):(?:\s+(.*?))?\s*$"
     value = F.regexp_replace(F.regexp_extract("text", rx, 2), r"^(['\"])(.*)\1$", "$2")
     return rows.where(F.col("text").rlike(rx)).select("path", "ord", F.regexp_extract("text", rx, 1).alias("key"), F.nullif(value, F.lit("")).alias("value"))
@@ -151,9 +165,8 @@ def inline_fields(notes: DataFrame) -> DataFrame:
 
 def bare_fields(notes: DataFrame) -> DataFrame:
     """(path, line, key, value) of 'key:: value' lines after the frontmatter, those inside code too; keys with brackets don't count."""
-    d = with_blocks(notes).select("path", "front", F.posexplode("lines").alias("i", "text")).where("i >= front")
     key, value = (F.trim(F.regexp_extract("text", BARE_FIELD, n)) for n in (1, 2))
-    return d.where(F.col("text").rlike(BARE_FIELD)).select("path", (F.col("i") + 1).alias("line"), key.alias("key"), value.alias("value")).where("key <> ''")
+    return body_lines(notes).where(F.col("text").rlike(BARE_FIELD)).select("path", "line", key.alias("key"), value.alias("value")).where("key <> ''")
 
 
 def list_items(notes: DataFrame) -> DataFrame:
@@ -165,12 +178,15 @@ def list_items(notes: DataFrame) -> DataFrame:
 
 def fenced_blocks(notes: DataFrame) -> DataFrame:
     """(path, line, language, meta, value) of fenced code."""
-    d = with_blocks(notes).select("path", "lines", F.inline("fences"))
-    closed = F.get("lines", F.col("last")).rlike(r"^\s{0,3}(`{3,}|~{3,})\s*$") & (F.col("last") > F.col("first"))
-    count = F.col("last") - F.col("first") - F.when(closed, 1).otherwise(0)
-    value = F.array_join(F.slice("lines", F.col("first") + 2, count), "\n")
+
+    def block(lines, f):
+        closed = F.get(lines, f["last"]).rlike(r"^\s{0,3}(`{3,}|~{3,})\s*$") & (f["last"] > f["first"])
+        count = f["last"] - f["first"] - F.when(closed, 1).otherwise(0)
+        return F.struct((f["first"] + 1).alias("line"), f["info"].alias("info"), F.array_join(F.slice(lines, f["first"] + 2, count), "\n").alias("value"))
+
+    d = notes.select("path", F.inline(_of_lines(lambda lines, front: F.transform(_fences(lines, front), lambda f: block(lines, f)))))
     word = F.substring_index("info", " ", 1)
-    return d.select("path", (F.col("first") + 1).alias("line"), F.nullif(word, F.lit("")).alias("language"), F.nullif(F.trim(F.expr("substring(info, length(substring_index(info, ' ', 1)) + 1)")), F.lit("")).alias("meta"), value.alias("value"))
+    return d.select("path", "line", F.nullif(word, F.lit("")).alias("language"), F.nullif(F.trim(F.expr("substring(info, length(substring_index(info, ' ', 1)) + 1)")), F.lit("")).alias("meta"), "value")
 
 
 def block_anchors(notes: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def cell(column: Column, dtype: T.DataType) -> Column:
 
 def markdown_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(line) of each row as a Markdown table row; columns named in keep stay beside it."""
-    safe = [F.regexp_replace(F.regexp_replace(cell(df[f"`{f.name}`"], f.dataType), r"\|", r"\\\\|"), r"\r?\n", "<br>") for f in df.schema.fields]
+    safe = [F.regexp_replace(F.regexp_replace(cell(df[f"`{f.name}`"], f.dataType), r"\|", r"\\|"), r"\r?\n", "<br>") for f in df.schema.fields]
     return df.select(*keep, F.concat(F.lit("| "), F.concat_ws(" | ", *safe), F.lit(" |")).alias("line"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import iso_date
+from ..functions.text import iso_date, let
 from .markdown import ANCHOR, FIELD, TAG, list_items
 
 #: Fields that a task gives a meaning to, and those that no check calls unknown.
@@ -26,15 +26,18 @@ def tasks(notes: DataFrame) -> DataFrame:
     project).  Dates are promoted only if they are valid; of repeated fields the last counts.
     """
     d = list_items(notes).where(F.col("checked").isNotNull())
-    raw = F.regexp_extract_all("text", F.lit(FIELD), F.lit(0))
     outside = F.regexp_replace("text", FIELD, " ")
     d = d.withColumn("tags", F.regexp_extract_all(F.regexp_replace(outside, r"!?\[\[[^\[\]\n]+\]\]", " "), F.lit(TAG), F.lit(0)))
     d = d.where(F.array_contains("tags", "#task"))
-    pairs = F.transform(raw, lambda f: F.struct(F.trim(F.regexp_extract(f, FIELD, 1)).alias("k"), F.trim(F.regexp_extract(f, FIELD, 2)).alias("v")))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: p["k"] != "")
-    d = d.withColumn("pairs", last).withColumn(
-        "fields", F.map_from_entries(F.transform(F.filter("pairs", lambda p: ~F.exists("pairs", lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"]))), lambda p: F.struct(p["k"], p["v"])))
-    )
+
+    def pair(f, i):
+        return F.struct(F.trim(F.regexp_extract(f, FIELD, 1)).alias("k"), F.trim(F.regexp_extract(f, FIELD, 2)).alias("v"), i.alias("i"))
+
+    def last_of_each(pairs):
+        kept = F.filter(pairs, lambda p: (p["k"] != "") & ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
+        return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
+
+    d = d.withColumn("fields", let(F.transform(F.regexp_extract_all("text", F.lit(FIELD), F.lit(0)), pair), last_of_each))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", FIELD, ""), ANCHOR, ""), TAG, "")
     known = F.array(*map(F.lit, KNOWN_FIELDS))
     return d.select(
@@ -57,25 +60,32 @@ def repeat_status(repeat: Column) -> Column:
 
 def occurrences(repeat: Column, reference: Column, until: Column) -> Column:
     """Dates strictly after reference up to until, on which a supported repeat falls; months and years skip days that they lack."""
-    text = F.trim(repeat)
-    n = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, REPEAT, 1), F.lit("")), F.lit("999")).cast("int"), F.lit(1))
-    unit, days = F.lower(F.regexp_extract(text, REPEAT, 2)), F.lower(F.regexp_extract(text, REPEAT, 3))
-    later = until > reference
-    every_day = F.when(later, F.sequence(F.date_add(reference, 1), until))
-    ago = lambda d: F.datediff(d, reference)
-    week_of = lambda d: F.date_trunc("week", d).cast("date")
-    weeks = lambda d: F.floor(F.datediff(week_of(d), week_of(reference)) / 7)
-    named = lambda d: F.contains(days, F.lower(F.date_format(d, "EEEE")))
-    months = F.when(unit == "year", n * 12).otherwise(n)
-    span = F.floor(F.months_between(until, reference) / months).cast("int") + 1
-    by_month = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(span, F.lit(1))), lambda k: F.add_months(reference, k * months)), lambda d: (d <= until) & (F.dayofmonth(d) == F.dayofmonth(reference)))
-    found = (
-        F.when(unit.isin("month", "year"), F.when(days == "", by_month))
-        .when(unit == "weekday", F.filter(every_day, lambda d: F.weekday(d) < 5))
-        .when(days != "", F.filter(every_day, lambda d: named(d) & (F.when(unit == "week", weeks(d) % n).otherwise(ago(d) % n) == 0)))
-        .otherwise(F.filter(every_day, lambda d: ago(d) % (n * F.when(unit == "week", 7).otherwise(1)) == 0))
-    )
-    return F.when(later & (repeat_status(repeat) == "supported"), F.coalesce(found, F.array().cast("array<date>"))).otherwise(F.array().cast("array<date>"))
+    text, none = F.trim(repeat), F.array().cast("array<date>")
+    number = F.coalesce(F.regexp_extract(text, REPEAT, 1).try_cast("int"), F.lit(1))
+    rule = F.struct(number.alias("n"), F.lower(F.regexp_extract(text, REPEAT, 2)).alias("unit"), F.lower(F.regexp_extract(text, REPEAT, 3)).alias("days"))
+
+    def stepped(step):
+        """Every step-th day."""
+        times = F.floor(F.datediff(until, reference) / step).cast("int")
+        return F.when(times > 0, F.transform(F.sequence(F.lit(1), times), lambda k: F.date_add(reference, k * step))).otherwise(none)
+
+    def dates(r):
+        n, unit, days = r["n"], r["unit"], r["days"]
+        ago = lambda d: F.datediff(d, reference)
+        week_of = lambda d: F.date_trunc("week", d).cast("date")
+        weeks = lambda d: F.floor(F.datediff(week_of(d), week_of(reference)) / 7)
+        named = lambda d: F.contains(days, F.lower(F.date_format(d, "EEEE")))
+        months = F.when(unit == "year", n * 12).otherwise(n)
+        span = F.floor(F.months_between(until, reference) / months).cast("int") + 1
+        by_month = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(span, F.lit(1))), lambda k: F.add_months(reference, k * months)), lambda d: (d <= until) & (F.dayofmonth(d) == F.dayofmonth(reference)))
+        return (
+            F.when(unit.isin("month", "year"), F.when(days == "", by_month))
+            .when(unit == "weekday", F.filter(stepped(F.lit(1)), lambda d: F.weekday(d) < 5))
+            .when(days != "", F.filter(stepped(F.lit(1)), lambda d: named(d) & (F.when(unit == "week", weeks(d) % n).otherwise(ago(d) % n) == 0)))
+            .otherwise(stepped(n * F.when(unit == "week", 7).otherwise(1)))
+        )
+
+    return F.when((until > reference) & (repeat_status(repeat) == "supported"), F.coalesce(let(rule, dates), none)).otherwise(none)
 
 
 def _recurring(tasks_df: DataFrame) -> DataFrame:

@@ -224,12 +224,12 @@ def inline_field_roundtrip(spark, sf_dir):
     return M.inline_fields(_part_notes(spark, sf_dir)).select("path", "key", "value")
 
 
-@registered("SELECT 'parts/' || p_partkey || '.md' AS path, 9 AS line, 'kind' AS key, p_type AS value FROM part")
+@registered("SELECT 'parts/' || p_partkey || '.md' AS path, 10 AS line, 'kind' AS key, p_type AS value FROM part")
 def bare_field_roundtrip(spark, sf_dir):
     return M.bare_fields(_part_notes(spark, sf_dir)).select("path", "line", "key", "value")
 
 
-_HEADINGS = "(SELECT 'parts/' || p_partkey || '.md' AS path, unnest([5, 8, 17, 18]) AS line, unnest([1, 2, 3, 2]) AS depth, unnest([p_name, 'Notes', 'Deep', 'Second']) AS text, unnest([NULL, 5, 8, 5]) AS parent FROM part)"
+_HEADINGS = "(SELECT 'parts/' || p_partkey || '.md' AS path, unnest([6, 9, 18, 19]) AS line, unnest([1, 2, 3, 2]) AS depth, unnest([p_name, 'Notes', 'Deep', 'Second']) AS text, unnest([NULL, 6, 9, 6]) AS parent FROM part)"
 
 
 @registered(f"SELECT path, line, depth, text FROM {_HEADINGS}")
@@ -242,13 +242,13 @@ def toc_parent(spark, sf_dir):
     return M.table_of_contents(_part_notes(spark, sf_dir))
 
 
-@registered("""SELECT 'parts/' || p_partkey || '.md' AS path, unnest(['supplier-' || (p_partkey % 10), p_brand, 'Ann']) AS target, unnest(['Terms', NULL, NULL]) AS header, unnest(['the supplier', NULL, NULL]) AS alias,
- unnest(['the supplier', p_brand, 'Ann']) AS value, unnest([7, 7, 12]) AS line FROM part""")
+@registered("""SELECT 'parts/' || p_partkey || '.md' AS path, unnest(['supplier-' || (p_partkey % 10), split_part(p_brand, '#', 1), 'Ann']) AS target, unnest(['Terms', split_part(p_brand, '#', 2), NULL]) AS header, unnest(['the supplier', NULL, NULL]) AS alias,
+ unnest(['the supplier', split_part(p_brand, '#', 1), 'Ann']) AS value, unnest([8, 8, 13]) AS line FROM part""")
 def links_extract(spark, sf_dir):
     return M.links(_part_notes(spark, sf_dir)).select("path", "target", "header", "alias", "value", "line")
 
 
-@registered("SELECT 'parts/' || p_partkey || '.md' AS path, 7 AS line, '#brand/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g')) AS value FROM part")
+@registered("SELECT 'parts/' || p_partkey || '.md' AS path, 8 AS line, '#brand/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g')) AS value FROM part")
 def tags_extract(spark, sf_dir):
     return M.tags(_part_notes(spark, sf_dir)).select("path", "line", "value")
 
@@ -259,12 +259,12 @@ def note_tags(spark, sf_dir):
     return M.note_tags(_part_notes(spark, sf_dir)).select("path", F.array_join("etags", " ").alias("etags"), F.array_join("tags", " ").alias("tags"))
 
 
-@registered("SELECT 'parts/' || p_partkey || '.md' AS path, unnest([10, 11, 12]) AS line, unnest([NULL, true, false]) AS checked, unnest(['first point', 'done point', 'open point (who:: [[Ann]])']) AS text FROM part")
+@registered("SELECT 'parts/' || p_partkey || '.md' AS path, unnest([11, 12, 13]) AS line, unnest([NULL, true, false]) AS checked, unnest(['first point', 'done point', 'open point (who:: [[Ann]])']) AS text FROM part")
 def list_items_extract(spark, sf_dir):
     return M.list_items(_part_notes(spark, sf_dir)).select("path", "line", "checked", "text")
 
 
-@registered("SELECT 'parts/' || p_partkey || '.md' AS path, 13 AS line, 'sql' AS language, 'numbered' AS meta, '# not a heading [[no link]] #notag' || chr(10) || 'select ' || p_size AS value FROM part")
+@registered("SELECT 'parts/' || p_partkey || '.md' AS path, 14 AS line, 'sql' AS language, 'numbered' AS meta, '# not a heading [[no link]] #notag' || chr(10) || 'select ' || p_size AS value FROM part")
 def fenced_blocks_extract(spark, sf_dir):
     return M.fenced_blocks(_part_notes(spark, sf_dir))
 
@@ -274,7 +274,7 @@ def block_anchors_extract(spark, sf_dir):
     return M.block_anchors(_part_notes(spark, sf_dir)).select("path", "id")
 
 
-@registered("SELECT 'parts/' || p_partkey || '.md' AS path, unnest(['supplier-' || (p_partkey % 10), CASE WHEN p_brand = 'Brand#11' THEN 'Ann' ELSE p_brand END, 'Bea']) AS target FROM part")
+@registered("SELECT 'parts/' || p_partkey || '.md' AS path, unnest(['supplier-' || (p_partkey % 10), split_part(p_brand, '#', 1), 'Bea']) AS target FROM part")
 def rename_links(spark, sf_dir):
     return M.links(M.renamed_links(_part_notes(spark, sf_dir), "Ann", "Bea")).select("path", "target")
 
@@ -452,6 +452,7 @@ def _flawed_tasks(spark, sf_dir):
 SELECT k, 'error' AS severity, 'Invalid due date: 2026-02-29' AS message FROM o WHERE k % 3 = 0
 UNION ALL SELECT k, 'error', 'Done task without a completed date' FROM o WHERE done AND k % 5 <> 0
 UNION ALL SELECT k, 'error', 'Open task with a completed date' FROM o WHERE NOT done AND k % 5 = 0
+UNION ALL SELECT k, 'warning', 'Open task without a date' FROM o WHERE NOT done AND k % 3 = 0 AND k % 7 <> 0
 UNION ALL SELECT k, 'warning', 'Scheduled after due' FROM o WHERE NOT done AND k % 7 = 0 AND k % 3 <> 0
 UNION ALL SELECT k, 'warning', 'area is no link: Sales' FROM o WHERE k % 4 = 1
 UNION ALL SELECT k, 'warning', 'Unknown priority: urgent' FROM o WHERE k % 6 = 0
