@@ -10,8 +10,9 @@ in a register with probability equal to their similarity.  A shingle stops once
 registers' first times, so most give one or two points.
 
 Search: bands of registers make buckets.  Every member of a bucket is compared with the bucket's smallest id.
-Texts that these links leave in different components but in one bucket are then compared in small blocks by
-their registers; what comes close is compared exactly.  All links are verified on the full multisets.
+Texts that these links leave in different components but in one bucket are then compared in blocks by their
+registers, and what comes close on the full multisets; a block gives only the links that join components.  All
+links are verified on the full multisets.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ ROWS, BANDS = 7, 36
 REGISTERS = ROWS * BANDS
 #: Pairs are compared exactly if their registers agree up to four standard errors below the threshold.
 CLOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / REGISTERS)
-#: Ids that are broadcast at most; members of a block; rows of a Python call; shingles handled at a time.
-BROADCAST_IDS, BLOCK, SLOT, PIECE = 500_000, 128, 4096, 1 << 20
+#: Ids that are broadcast at most; texts and shingles of a block; rows of a Python call; shingles handled at a time.
+BROADCAST_IDS, BLOCK, BLOCK_SHINGLES, SLOT, PIECE = 500_000, 512, 1 << 22, 4096, 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -186,20 +187,44 @@ def verified(pairs: DataFrame, members: DataFrame, threshold: float = THRESHOLD)
     return both.where(common >= threshold * (F.size("ma") + F.size("mb") - common) - 1e-9).select("a", "b")
 
 
-def compare_blocks(slot: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in a block whose registers agree closely."""
-    found: set[tuple[int, int]] = set()
-    for (_, i, j), part in slot.groupby(["bucket", "i", "j"], sort=False):
+def compare_blocks(slot: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Links between different components in a block, as few as join them: registers agree closely, multisets overlap enough.
+
+    A pair that shares several bands is compared in the first of them only, and not at all once other links join it.
+    """
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    found: list[tuple[int, int]] = []
+    for (band, _, i, j), part in slot.groupby(["band", "bucket", "i", "j"], sort=False):
         one, two = (part, part) if i == j else (part[part.own == i], part[part.own == j])
         if not len(one) or not len(two):
             continue
-        x, y = (np.frombuffer(b"".join(p.low), np.uint8).reshape(len(p), REGISTERS) for p in (one, two))
-        ids, comps = (one.id.to_numpy(), two.id.to_numpy()), (one.comp.to_numpy(), two.comp.to_numpy())
-        for r in range(len(x)):
-            same = (x[r] == y).sum(1)
-            for c in np.flatnonzero((same >= CLOSE * REGISTERS) & (comps[1] != comps[0][r])):
-                found.add((min(ids[0][r], ids[1][c]), max(ids[0][r], ids[1][c])))
-    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        x, y = (np.frombuffer(b"".join(p.low), np.uint8).reshape(len(p), BANDS, ROWS) for p in (one, two))
+        ids, comps, members = two.id.tolist(), two.comp.tolist(), two.members.tolist()
+        for r, (a, comp, own) in enumerate(zip(one.id.tolist(), one.comp.tolist(), one.members)):
+            equal = x[r] == y
+            near = np.flatnonzero(equal.sum((1, 2)) >= CLOSE * REGISTERS)
+            near = near[near > r] if i == j else near
+            near = near[equal[near].all(2).argmax(1) == band].tolist()
+            near = [c for c in near if root(comps[c]) != root(comp)]
+            if not near:
+                continue
+            own, sizes = np.sort(own), np.array([len(members[c]) for c in near])
+            every = np.concatenate([members[c] for c in near])
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            common = np.add.reduceat((own[at] == every).astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+            for c in np.flatnonzero(common >= threshold * (len(own) + sizes - common) - 1e-9).tolist():
+                u, v = root(comp), root(comps[near[c]])
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    found.append((min(a, ids[near[c]]), max(a, ids[near[c]])))
+    return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -215,9 +240,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = materialise(sketches.where("bands is not null").join(classes, "digest").where("id = rep").select("id", "bands", "low").dropDuplicates(["id"]))
 
-    banded = reps.select("id", F.explode("bands").alias("bucket"))
-    buckets = materialise(banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1"))
-    crowd = materialise(banded.join(buckets, "bucket"))
+    place = ["band", "bucket"]
+    banded = reps.select("id", F.posexplode("bands").alias(*place))
+    buckets = materialise(banded.groupBy(place).agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1").select(*place, "pivot"))
+    crowd = materialise(banded.join(buckets, place))
     ids = _small_or_shuffled(crowd.select("id").distinct())
     members = materialise(_members(plain.join(ids, "id", "left_semi").dropDuplicates(["id"])))
 
@@ -235,15 +261,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = crowd.join(component, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     others = F.when(F.col("id") != F.col("pivot"), F.col("comp"))
-    split = named.groupBy("bucket").agg(F.min(others).alias("lo"), F.max(others).alias("hi")).where("lo <> hi").select("bucket")
-    left = materialise(named.join(split, "bucket", "left_semi"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = left.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    slots = max(1, math.ceil(left.count() / SLOT))
-    left = left.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).join(low, "id")
-    left = left.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots))).select("slot", "bucket", "i", "j", "own", "id", "comp", "low")
-    rest = left.groupBy("slot").applyInPandas(compare_blocks, "a long, b long").distinct()
-    links = links.unionByName(verified(rest, members, threshold))
+    split = named.groupBy(place).agg(F.min(others).alias("lo"), F.max(others).alias("hi")).where("lo <> hi").select(place)
+    left = materialise(named.join(split, place, "left_semi").select(*place, "id", "comp"))
+    weight = left.join(members.select("id", F.size("members").alias("w")), "id").groupBy(place).agg(F.count("*").alias("m"), F.sum("w").alias("w"))
+    weight = materialise(weight.withColumn("nb", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int")))
+    load = weight.agg(F.sum(F.col("m") * F.col("nb")).alias("m"), F.sum(F.col("w") * F.col("nb")).alias("w")).first()
+    slots = max(1, math.ceil(max((load.m or 0) / SLOT, (load.w or 0) / BLOCK_SHINGLES)))
+    left = left.join(weight.select(*place, "nb"), place).join(low, "id").join(members, "id")
+    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = left.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    left = left.withColumn("slot", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(slots))).select("slot", *place, "i", "j", "own", "id", "comp", "low", "members")
+    links = links.unionByName(left.groupBy("slot").applyInPandas(lambda s: compare_blocks(s, threshold), "a long, b long"))
     # Rows that repeat an id in different classes hold these together.
     component = connected_components(links.unionByName(sketches.join(classes, "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b")))
 
