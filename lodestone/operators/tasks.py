@@ -62,15 +62,15 @@ def occurrences(repeat: Column, reference: Column, until: Column) -> Column:
     """Dates strictly after reference up to until, on which a supported repeat falls; months and years skip days that they lack."""
     text, none = F.trim(repeat), F.array().cast("array<date>")
     number = F.coalesce(F.regexp_extract(text, REPEAT, 1).try_cast("int"), F.lit(1))
-    rule = F.struct(number.alias("n"), F.lower(F.regexp_extract(text, REPEAT, 2)).alias("unit"), F.lower(F.regexp_extract(text, REPEAT, 3)).alias("days"))
+    rule = F.struct(number.alias("n"), F.lower(F.regexp_extract(text, REPEAT, 2)).alias("unit"), F.lower(F.regexp_extract(text, REPEAT, 3)).alias("days"), reference.alias("reference"), until.alias("until"))
 
-    def stepped(step):
+    def stepped(reference, until, step):
         """Every step-th day."""
         times = F.floor(F.datediff(until, reference) / step).cast("int")
         return F.when(times > 0, F.transform(F.sequence(F.lit(1), times), lambda k: F.date_add(reference, k * step))).otherwise(none)
 
     def dates(r):
-        n, unit, days = r["n"], r["unit"], r["days"]
+        n, unit, days, reference, until = r["n"], r["unit"], r["days"], r["reference"], r["until"]
         ago = lambda d: F.datediff(d, reference)
         week_of = lambda d: F.date_trunc("week", d).cast("date")
         weeks = lambda d: F.floor(F.datediff(week_of(d), week_of(reference)) / 7)
@@ -80,9 +80,9 @@ def occurrences(repeat: Column, reference: Column, until: Column) -> Column:
         by_month = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(span, F.lit(1))), lambda k: F.add_months(reference, k * months)), lambda d: (d <= until) & (F.dayofmonth(d) == F.dayofmonth(reference)))
         return (
             F.when(unit.isin("month", "year"), F.when(days == "", by_month))
-            .when(unit == "weekday", F.filter(stepped(F.lit(1)), lambda d: F.weekday(d) < 5))
-            .when(days != "", F.filter(stepped(F.lit(1)), lambda d: named(d) & (F.when(unit == "week", weeks(d) % n).otherwise(ago(d) % n) == 0)))
-            .otherwise(stepped(n * F.when(unit == "week", 7).otherwise(1)))
+            .when(unit == "weekday", F.filter(stepped(reference, until, F.lit(1)), lambda d: F.weekday(d) < 5))
+            .when(days != "", F.filter(stepped(reference, until, F.lit(1)), lambda d: named(d) & (F.when(unit == "week", weeks(d) % n).otherwise(ago(d) % n) == 0)))
+            .otherwise(stepped(reference, until, n * F.when(unit == "week", 7).otherwise(1)))
         )
 
     return F.when((until > reference) & (repeat_status(repeat) == "supported"), F.coalesce(let(rule, dates), none)).otherwise(none)
@@ -116,7 +116,7 @@ def expand_in_window(tasks_df: DataFrame, start: str, end: str) -> DataFrame:
     """
     d = _recurring(tasks_df)
     lo, hi = (F.date_add(F.lit(x).cast("date"), -F.col("offset_")) for x in (start, end))
-    days = F.filter(occurrences(F.col("repeat"), F.col("reference_"), hi), lambda x: x >= lo)
+    days = let(lo, lambda first: F.filter(occurrences(F.col("repeat"), F.col("reference_"), hi), lambda x: x >= first))
     later = d.where("recurs_").select("*", F.posexplode(days).alias("occ_", "day_"))
     later = _generated(later, F.col("day_")).withColumn("occurrence", F.col("occ_") + 1)
     return d.withColumn("occurrence", F.lit(0)).select(*tasks_df.columns, "occurrence").unionByName(later.select(*tasks_df.columns, "occurrence"))
@@ -125,8 +125,11 @@ def expand_in_window(tasks_df: DataFrame, start: str, end: str) -> DataFrame:
 def latest_on_or_before(tasks_df: DataFrame, cutoff: str) -> DataFrame:
     """Each recurring row replaced by its latest occurrence up to the cutoff, if it has one after its reference; others as they are."""
     d = _recurring(tasks_df)
-    limit = F.date_add(F.lit(cutoff).cast("date"), -F.least(F.col("offset_"), F.lit(0)))
-    day = F.when(F.col("recurs_"), F.array_max(F.filter(occurrences(F.col("repeat"), F.col("reference_"), limit), lambda x: F.when(F.col("scheduled").isNotNull(), F.date_add(x, F.col("offset_"))).otherwise(x) <= F.lit(cutoff).cast("date"))))
-    d = d.withColumn("day_", day)
-    moved = _generated(d.where("day_ is not null"), F.col("day_")).select(*tasks_df.columns)
-    return d.where("day_ is null").select(*tasks_df.columns).unionByName(moved)
+    limit = F.date_add(F.lit(cutoff).cast("date"), -F.col("offset_"))
+    d = d.withColumn("day_", F.when(F.col("recurs_"), F.array_max(occurrences(F.col("repeat"), F.col("reference_"), limit))))
+    stays, text = F.col("day_").isNull(), lambda c: F.date_format(c, "yyyy-MM-dd")
+    moved = d.withColumns({
+        "due_": F.when(stays | F.col("due").isNull(), F.col("due")).otherwise(text("day_")), "completed": F.when(stays, F.col("completed")),
+        "scheduled_": F.when(stays | F.col("scheduled").isNull(), F.col("scheduled")).otherwise(text(F.date_add("day_", F.col("offset_")))),
+    })
+    return moved.drop("due", "scheduled").withColumnsRenamed({"due_": "due", "scheduled_": "scheduled"}).select(*tasks_df.columns)

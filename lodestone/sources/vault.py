@@ -58,20 +58,27 @@ def ignored(path: Column, text: str) -> Column:
     return verdict
 
 
+def ignore_text(spark: SparkSession, root: str) -> str:
+    """The text of the ignore file at root, empty where there is none; Spark's own readers skip hidden names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.kbignore")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return ""
+    stream = store.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_notes(spark: SparkSession, root: str, scope: str | None = None) -> DataFrame:
     """(path, contents) of the notes under root, by Spark's recursive file reader; an ignore file .kbignore at the root applies.
 
-    Names that begin with '_' or '.' are hidden from Spark's listing unless a glob names them, so two globs are read.
+    Files and folders whose names begin with '_' or '.' are hidden from Spark's listing and aren't read.
     """
     root = root.rstrip("/")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
     files = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("contents"))
     inside = F.regexp_replace(F.url_decode(F.col("file")), rf"^.*?{re.escape(root)}/", "")
     notes = files.select(inside.alias("path"), "contents").where(in_scope(F.col("path"), scope))
-    try:
-        rules = "\n".join(r.value for r in spark.read.text(f"{root}/.kbignore").limit(10_000).collect())
-    except Exception as e:  # a missing ignore file means no rules
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return notes
-    return notes.where(~ignored(F.col("path"), rules))
+    return notes.where(~ignored(F.col("path"), ignore_text(spark, root)))
