@@ -16,7 +16,7 @@ general recursion.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -31,7 +31,9 @@ from .common import materialise, small_batches
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and words whose pieces a Python worker remembers.
-CHUNK, REMEMBERED = 32_768, 300_000
+CHUNK, REMEMBERED = 32_768, 200_000
+#: Characters of the longest word that is remembered; words, and characters of texts, that are handled at a time.
+SHORT, WORDS_AT_ONCE, CHARS_AT_ONCE = 24, 1 << 12, 1 << 21
 #: Unknown characters cost this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 LOW = float("-inf")
@@ -45,8 +47,8 @@ class Vocabulary:
     byte_ids: dict[int, int]
     names: list[str]
     unknown_id: int
-    remembered: dict[str, tuple[float, tuple[int, ...]]] = field(default_factory=dict, repr=False)
-    older: dict[str, tuple[float, tuple[int, ...]]] = field(default_factory=dict, repr=False)
+    remembered: dict[str, tuple[float, bytes]] = field(default_factory=dict, repr=False)
+    older: dict[str, tuple[float, bytes]] = field(default_factory=dict, repr=False)
 
     @cached_property
     def longest(self) -> int:
@@ -58,6 +60,17 @@ class Vocabulary:
         begins = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
         return begins | self.pieces
 
+    @cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys (node << 21 | character) and their nodes; by node, the piece's id (-1: none) and score.  Node 0, the root, has the unknown score."""
+        number = {"": 0}
+        for p in sorted(self.prefixes, key=len):
+            number[p] = len(number)
+        keys = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in number if p], np.int64)
+        found = [self.prefixes.get(p) or (-1, self.unknown_score) for p in number]
+        order = np.argsort(keys)
+        return keys[order], order + 1, np.array([i for i, _ in found], np.int64), np.array([x for _, x in found], np.float64)
+
     @cached_property
     def unknown_score(self) -> float:
         return min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
@@ -130,20 +143,84 @@ def backtrace(text: str, end: int, back: dict[int, int], v: Vocabulary) -> tuple
     return end, [i for p in reversed(parts) for i in p]
 
 
-def word_pieces(word: str, v: Vocabulary) -> tuple[float, tuple[int, ...]]:
-    """Score and ids of a text that stands between places where all segmentations meet."""
-    got = v.remembered.get(word)
-    if got is not None:
-        return got
-    got = v.older.get(word)
-    if got is None:
-        best, back = forward(word, len(word), {0: 0.0}, v)
-        got = (best.get(len(word), 0.0), tuple(backtrace(word, len(word), back, v)[1]))
-    if len(word) <= 24:
-        if len(v.remembered) >= REMEMBERED:  # words that come up again move to the new generation
-            v.older, v.remembered = v.remembered, {}
-        v.remembered[word] = got
-    return got
+def known_words(words: Collection[str], v: Vocabulary) -> Callable[[str], tuple[float, bytes]]:
+    """A function from each of the words, which stand between places where all segmentations meet, to its score and ids (int32)."""
+    if len(v.remembered) >= REMEMBERED:  # words that come up again move to the new generation
+        v.older, v.remembered = v.remembered, {}
+    new, long = [], {}
+    for w in set(words).difference(v.remembered):
+        if (got := v.older.get(w)) is not None:
+            v.remembered[w] = got
+        elif len(w) <= SHORT:
+            new.append(w)
+        else:
+            best, back = forward(w, len(w), {0: 0.0}, v)
+            long[w] = best.get(len(w), 0.0), np.array(backtrace(w, len(w), back, v)[1], np.int32).tobytes()
+    for at in range(0, len(new), WORDS_AT_ONCE):
+        part = new[at : at + WORDS_AT_ONCE]
+        v.remembered.update(zip(part, short_words(part, v)))
+    known = v.remembered
+    return (lambda w: long.get(w) or known[w]) if long else known.__getitem__
+
+
+def joined_ids(words: list[str], lookup: Callable[[str], tuple[float, bytes]]) -> np.ndarray:
+    return np.frombuffer(b"".join([lookup(w)[1] for w in words]), np.int32)
+
+
+def short_words(words: list[str], v: Vocabulary) -> list[tuple[float, bytes]]:
+    """Score and ids of each word: the pieces at all places first, then best scores place by place, for all words together."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    size = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(size)
+    word = np.repeat(np.arange(len(words)), size)
+    offset, limit = np.arange(len(points)) - (end - size)[word], end[word]
+    keys, nodes, ids, scores = v.trie
+    at, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+    unknown, edges = np.ones(len(points), bool), []
+    for n in range(1, v.longest + 1 if len(keys) else 1):
+        inside = at + n <= limit[at]
+        at, node = at[inside], node[inside]
+        key = node << 21 | points[at + n - 1]
+        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[k] == key
+        at, node = at[hit], nodes[k[hit]]
+        whole = ids[node] >= 0
+        edges.append((at[whole], np.full(whole.sum(), n), node[whole]))
+        if n == 1:
+            unknown[at[whole]] = False
+    alone = np.flatnonzero(unknown)
+    edges.append((alone, np.ones(len(alone), np.int64), np.zeros(len(alone), np.int64)))
+    start, length, piece = (np.concatenate(x) for x in zip(*edges))
+    step = offset[start] * (v.longest + 1) + length
+    order = np.argsort(step, kind="stable")
+    start, length, piece, step = start[order], length[order], piece[order], step[order]
+    place = start + word[start]  # each word has one place more than characters
+    goal = place + length
+    best, back = np.full(len(points) + len(words), LOW), np.full(len(points) + len(words), -1)
+    best[end - size + np.arange(len(words))] = 0.0
+    bounds = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step)).tolist() if len(step) else []
+    for a, b in zip(bounds, bounds[1:]):
+        score = best[place[a:b]] + scores[piece[a:b]]
+        won = np.flatnonzero(score > best[goal[a:b]])
+        best[goal[a:b][won]], back[goal[a:b][won]] = score[won], won + a
+    taken, ends = np.full(len(points), -1), end + np.arange(len(words))
+    here = back[ends]
+    while len(here := here[here >= 0]):
+        taken[start[here]] = piece[here]
+        here = back[place[here]]
+    used = np.flatnonzero(taken >= 0)
+    last = np.cumsum(np.bincount(word[used], minlength=len(words))).tolist()
+    strange = {int(w) for w in word[used[taken[used] == 0]]}
+    every, out, first = ids[taken[used]].astype(np.int32), [], 0
+    raw, at_char = every.tobytes(), offset[used]
+    for w, (score, to) in enumerate(zip(best[ends].tolist(), last)):
+        mine = raw[4 * first : 4 * to]
+        if w in strange:
+            parts = zip(every[first:to].tolist(), at_char[first:to].tolist())
+            mine = np.array([x for i, c in parts for x in ((i,) if i >= 0 else v.unknown(words[w][c]))], np.int32).tobytes()
+        out.append((score, mine))
+        first = to
+    return out
 
 
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -165,18 +242,33 @@ def meeting_places(text: str, n: int, v: Vocabulary) -> tuple[int, int] | None:
 
 def encode_text(text: str, v: Vocabulary) -> list[int]:
     """Ids of a whole text, in one piece."""
-    full = normalise(text)
-    if not v.spaces_start_words:
-        return backtrace(full, len(full), forward(full, len(full), {0: 0.0}, v)[1], v)[1]
-    out: list[int] = []
-    for w in _WORDS.findall(full):
-        hit = v.remembered.get(w)
-        out.extend(hit[1] if hit is not None else word_pieces(w, v)[1])
-    return out
+    return next(encode_texts([text], v)).tolist()
+
+
+def encode_texts(texts: list[str | None], v: Vocabulary) -> Iterator[np.ndarray | None]:
+    """Ids of whole texts, whose words are looked up together; None for None."""
+    first = 0
+    while first < len(texts):
+        to, chars = first, 0
+        while to < len(texts) and (to == first or chars + len(texts[to] or "") <= CHARS_AT_ONCE):
+            chars += len(texts[to] or "")
+            to += 1
+        full = [normalise(t or "") for t in texts[first:to]]
+        if v.spaces_start_words:
+            words = [_WORDS.findall(t) for t in full]
+            lookup = known_words(set().union(*words), v)
+            ids = [joined_ids(w, lookup) for w in words]
+        else:
+            ids = [np.array(backtrace(t, len(t), forward(t, len(t), {0: 0.0}, v)[1], v)[1], np.int32) for t in full]
+        yield from (None if t is None else i for t, i in zip(texts[first:to], ids))
+        first = to
 
 
 def decode_ids(ids, v: Vocabulary) -> str:
     """The text of ids: bytes join to characters (invalid ones become U+FFFD), spaces come back, the added first one goes."""
+    if v.byte_of.keys().isdisjoint(ids):
+        text = "".join(map(v.names.__getitem__, ids)).replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
     parts, raw = [], bytearray()
     for i in ids:
         byte = v.byte_of.get(i)
@@ -207,7 +299,9 @@ def transfer_matrix(text: str, n: int, v: Vocabulary) -> list[list[float]]:
             rows.append([best.get(n + b, LOW) for b in range(size)])
         return rows
     first, last = meets
-    middle = sum(word_pieces(w, v)[0] for w in _WORDS.findall(text[first:last]))
+    words = _WORDS.findall(text[first:last])
+    lookup = known_words(words, v)
+    middle = sum(lookup(w)[0] for w in words)
     tail, _ = forward(text[last:], n - last, {0: 0.0}, v)
     out = [tail.get(n - last + b, LOW) for b in range(size)]
     for a in range(size):
@@ -226,7 +320,8 @@ def chunk_ways(text: str, n: int, start: list[float], v: Vocabulary) -> list[tup
     first, last = meets
     _, back = forward(text[:first], first, {a: s for a, s in entry.items() if a <= first}, v)
     a, head = backtrace(text, first, back, v)
-    middle = [i for w in _WORDS.findall(text[first:last]) for i in word_pieces(w, v)[1]]
+    words = _WORDS.findall(text[first:last])
+    middle = joined_ids(words, known_words(words, v)).tolist()
     best, back = forward(text[last:], n - last, {0: 0.0}, v)
     return [(b, a, head + middle + backtrace(text[last:], n - last + b, back, v)[1]) for b in range(v.longest) if n - last + b in best]
 
@@ -255,7 +350,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", t
     @F.pandas_udf("array<int>")
     def short(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([None if t is None else np.array(encode_text(t, shared.value), np.int32) for t in texts])
+            yield pd.Series(list(encode_texts([None if t is None else t for t in texts], shared.value)), dtype=object)
 
     @F.pandas_udf("array<struct<k:int,n:int,part:string>>")
     def cut(texts: pd.Series) -> pd.Series:
