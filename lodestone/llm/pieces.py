@@ -1,8 +1,13 @@
-"""SentencePiece encoding and decoding with a max-plus parallel scan.
+"""SentencePiece encoding and decoding: BPE models by merge rank, unigram models with a max-plus parallel scan.
 
-The pieces and scores of a vocabulary file are read as a unigram model: a text's encoding is the segmentation
-into pieces of largest total score (ties: the longer last piece, then the longer one before it, and so on).
-A text of several chunks is encoded in three steps.  Each chunk alone gives a transfer matrix: entry (a, b) is the
+In a BPE model a score is the negative rank of a merge, and a text's encoding is what is left when the adjacent
+symbols that form the piece of best rank (ties: the leftmost) are merged until no two form a piece.  No merge crosses
+a place whose two characters are neighbours in no piece, so what stands between such places is encoded on its own, and
+a long text is cut there into parts that spread over the cluster.  Within such a stretch a merge can depend on
+characters at any distance, so no matrix of bounded size carries it over a chunk's boundary: a stretch stays whole.
+
+In a unigram model a text's encoding is the segmentation into pieces of largest total score (ties: the longer last
+piece, then the longer one before it, and so on).  A text of several chunks is encoded in three steps.  Each chunk alone gives a transfer matrix: entry (a, b) is the
 best score over the chunk if the piece before it reaches a characters into it and its own last piece reaches b
 characters past it.  The matrices of a document combine in the max-plus algebra, which is associative, to the
 scores at each chunk's start.  With those, each chunk is traced back on its own for every way out of it, and the
@@ -15,6 +20,7 @@ general recursion.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
@@ -47,6 +53,8 @@ class Vocabulary:
     byte_ids: dict[int, int]
     names: list[str]
     unknown_id: int
+    #: Whether scores are ranks of merges (BPE).
+    by_rank: bool = False
     remembered: dict[str, tuple[float, bytes]] = field(default_factory=dict, repr=False)
     older: dict[str, tuple[float, bytes]] = field(default_factory=dict, repr=False)
 
@@ -71,6 +79,40 @@ class Vocabulary:
         order = np.argsort(keys)
         return keys[order], order + 1, np.array([i for i, _ in found], np.int64), np.array([x for _, x in found], np.float64)
 
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys (left symbol << 32 | right symbol), the pieces that they form, and scores by piece id.  Symbols are pieces' ids."""
+        ids = {p: i for p, (i, _) in self.pieces.items()} | self.loose
+        keys, to = [], []
+        for p, (i, _) in self.pieces.items():
+            for n in range(1, len(p)):
+                left, right = ids.get(p[:n]), ids.get(p[n:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    to.append(i)
+        scores = np.full(len(self.names), LOW)
+        for i, score in self.pieces.values():
+            scores[i] = score
+        order = np.argsort(keys)
+        return np.array(keys, np.int64)[order], np.array(to, np.int64)[order], scores
+
+    @cached_property
+    def loose(self) -> dict[str, int]:
+        """Numbers from len(names) on for characters that occur in pieces and are none."""
+        chars = sorted({c for p in self.pieces for c in p}.difference(self.pieces))
+        return {c: len(self.names) + n for n, c in enumerate(chars)}
+
+    @cached_property
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted code points of the characters of pieces, and their symbols."""
+        found = sorted([(ord(p), i) for p, (i, _) in self.pieces.items() if len(p) == 1] + [(ord(c), i) for c, i in self.loose.items()])
+        return np.array([c for c, _ in found], np.int64), np.array([i for _, i in found], np.int64)
+
+    @cached_property
+    def neighbours(self) -> np.ndarray:
+        """Sorted pairs (first << 21 | second) of characters that are neighbours in some piece."""
+        return np.array(sorted({ord(a) << 21 | ord(b) for p in self.pieces for a, b in zip(p, p[1:])}), np.int64)
+
     @cached_property
     def unknown_score(self) -> float:
         return min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
@@ -85,7 +127,7 @@ class Vocabulary:
         return {i: b for b, i in self.byte_ids.items()}
 
     def __getstate__(self) -> dict:
-        return {"pieces": self.pieces, "byte_ids": self.byte_ids, "names": self.names, "unknown_id": self.unknown_id, "remembered": {}, "older": {}}
+        return {"pieces": self.pieces, "byte_ids": self.byte_ids, "names": self.names, "unknown_id": self.unknown_id, "by_rank": self.by_rank, "remembered": {}, "older": {}}
 
     def unknown(self, char: str) -> tuple[int, ...]:
         if not self.byte_ids:
@@ -94,18 +136,30 @@ class Vocabulary:
 
 
 def read_vocabulary(path: str = MODEL, most: int = 2_000_000) -> Vocabulary:
-    """Reads a model file on the driver; more than `most` pieces are refused, since the vocabulary is broadcast."""
-    import sentencepiece
+    """Reads a model file on the driver; more than `most` pieces are refused, since the vocabulary is broadcast.
+
+    So are models whose ids would not come out as SentencePiece's: other kinds than unigram and BPE, other normalising than
+    spaces to SPACE with one added in front, pieces that the user defined or that are not used, BPE without pieces for bytes.
+    """
+    from sentencepiece import sentencepiece_model_pb2
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = model.get_piece_size()
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    n, kind, to = len(model.pieces), sentencepiece_model_pb2.ModelProto.SentencePiece, model.normalizer_spec
     if n > most:
         raise ValueError(f"{n} pieces; at most {most} are broadcast")
-    names = [model.id_to_piece(i) for i in range(n)]
-    usual = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    return Vocabulary(
-        {names[i]: (i, model.get_score(i)) for i in usual}, {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}, names, model.unk_id()
-    )
+    by_rank = model.trainer_spec.model_type == model.trainer_spec.BPE
+    byte_ids = {int(x.piece[3:5], 16): i for i, x in enumerate(model.pieces) if x.type == kind.BYTE}
+    if not (by_rank or model.trainer_spec.model_type == model.trainer_spec.UNIGRAM):
+        raise ValueError("neither a unigram nor a BPE model")
+    if to.precompiled_charsmap or to.remove_extra_whitespaces or not (to.add_dummy_prefix and to.escape_whitespaces) or model.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("the model normalises texts in another way")
+    if any(x.type in (kind.USER_DEFINED, kind.UNUSED) for x in model.pieces) or (by_rank and len(byte_ids) < 256):
+        raise ValueError("the model has pieces that the user defined or that are not used, or is BPE without all bytes")
+    usual = {x.piece: (i, x.score) for i, x in enumerate(model.pieces) if x.type == kind.NORMAL}
+    unknown = next(i for i, x in enumerate(model.pieces) if x.type == kind.UNKNOWN)
+    return Vocabulary(usual, byte_ids, [x.piece for x in model.pieces], unknown, by_rank)
 
 
 def normalise(text: str) -> str:
@@ -148,18 +202,25 @@ def known_words(words: Collection[str], v: Vocabulary) -> Callable[[str], tuple[
     if len(v.remembered) >= REMEMBERED:  # words that come up again move to the new generation
         v.older, v.remembered = v.remembered, {}
     new, long = [], {}
-    for w in set(words).difference(v.remembered):
+    needed = set(words)
+    split = {w: stretches(w, v) for w in needed if len(w) > SHORT} if v.by_rank else {}
+    needed = needed.difference(split).union(*split.values())
+    for w in needed.difference(v.remembered):
         if (got := v.older.get(w)) is not None:
             v.remembered[w] = got
         elif len(w) <= SHORT:
             new.append(w)
+        elif v.by_rank:
+            long[w] = 0.0, merged_stretch(w, v)
         else:
             best, back = forward(w, len(w), {0: 0.0}, v)
             long[w] = best.get(len(w), 0.0), np.array(backtrace(w, len(w), back, v)[1], np.int32).tobytes()
     for at in range(0, len(new), WORDS_AT_ONCE):
         part = new[at : at + WORDS_AT_ONCE]
-        v.remembered.update(zip(part, short_words(part, v)))
+        v.remembered.update(zip(part, (merged_words if v.by_rank else short_words)(part, v)))
     known = v.remembered
+    for w, parts in split.items():
+        long[w] = 0.0, b"".join([(long.get(x) or known[x])[1] for x in parts])
     return (lambda w: long.get(w) or known[w]) if long else known.__getitem__
 
 
@@ -223,6 +284,99 @@ def short_words(words: list[str], v: Vocabulary) -> list[tuple[float, bytes]]:
     return out
 
 
+def cuts(text: str, v: Vocabulary) -> np.ndarray:
+    """The places of a text that no merge crosses."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    pairs = points[:-1] << 21 | points[1:]
+    known = v.neighbours
+    if not len(known):
+        return np.arange(1, len(points))
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] != pairs) + 1
+
+
+def stretches(text: str, v: Vocabulary) -> list[str]:
+    at = [0, *cuts(text, v).tolist(), len(text)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
+
+
+def merged_stretch(text: str, v: Vocabulary) -> bytes:
+    """Ids (int32) of one stretch of any length: a heap of merges, best rank first, then leftmost."""
+    size, find = len(text), v.pieces.get
+    end, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    heap = [(-hit[1], i, i + 2) for i in range(size - 1) if (hit := find(text[i : i + 2]))]
+    heapq.heapify(heap)
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        middle = end[i]
+        if middle <= i or middle >= size or end[middle] != to:
+            continue  # one side has been merged otherwise
+        end[i], end[middle] = to, -1
+        if to < size:
+            before[to] = i
+            if hit := find(text[i : end[to]]):
+                heapq.heappush(heap, (-hit[1], i, end[to]))
+        if i and (hit := find(text[before[i] : to])):
+            heapq.heappush(heap, (-hit[1], before[i], to))
+    out, i = [], 0
+    while i < size:
+        hit = find(text[i : end[i]])
+        out += (hit[0],) if hit else v.unknown(text[i : end[i]])
+        i = end[i]
+    return np.array(out, np.int32).tobytes()
+
+
+def merged_words(words: list[str], v: Vocabulary) -> list[tuple[float, bytes]]:
+    """(0, ids) of each word: in each round every word merges its pair of best rank, for all words together."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    size = np.array([len(w) for w in words], np.int64)
+    word, at = np.repeat(np.arange(len(words)), size), np.arange(len(points))
+    chars, numbers = v.characters
+    keys, formed, scores = v.merges
+    k = np.minimum(np.searchsorted(chars, points), len(chars) - 1)
+    symbol = np.where(chars[k] == points, numbers[k], -1) if len(chars) else np.full(len(points), -1)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def pairs(i: np.ndarray) -> np.ndarray:
+        """The pieces that the symbols at i form with the next ones, -1 for none."""
+        j = np.minimum(i + 1, len(symbol) - 1)
+        key = np.where((i < j) & (word[i] == word[j]) & (symbol[i] >= 0) & (symbol[j] >= 0), symbol[i] << 32 | symbol[j], -1)
+        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[k] == key, formed[k], -1)
+
+    piece = pairs(np.arange(len(symbol))) if len(keys) else np.full(len(symbol), -1)
+    while len(symbol):
+        rank = np.where(piece >= 0, scores[piece], LOW)
+        begin = np.append(True, word[1:] != word[:-1])
+        part = np.cumsum(begin) - 1
+        best = np.maximum.reduceat(rank, np.flatnonzero(begin))[part]
+        over = best == LOW
+        done.append((at[over], symbol[over]))
+        won = np.flatnonzero(~over & (rank == best))
+        won = won[np.append(True, part[won][1:] != part[won][:-1])] if len(won) else won  # the leftmost of each word
+        symbol[won] = piece[won]
+        changed, stays = np.zeros(len(symbol), bool), ~over
+        changed[won], stays[won + 1] = True, False
+        changed[np.maximum(won - 1, 0)] = True
+        symbol, word, at, piece, changed = symbol[stays], word[stays], at[stays], piece[stays], np.flatnonzero(changed[stays])
+        if len(changed):
+            piece[changed] = pairs(changed)
+    at, symbol = (np.concatenate(x) for x in zip(*done)) if done else (at, symbol)
+    order = np.argsort(at)
+    at, symbol = at[order], symbol[order]
+    home = np.repeat(np.arange(len(words)), size)[at]
+    last = np.cumsum(np.bincount(home, minlength=len(words))).tolist()
+    strange = set(home[(symbol < 0) | (symbol >= len(v.names))].tolist())
+    raw, out, first, text = symbol.astype(np.int32).tobytes(), [], 0, "".join(words)
+    for w, to in enumerate(last):
+        mine = raw[4 * first : 4 * to]
+        if w in strange:
+            parts = zip(symbol[first:to].tolist(), at[first:to].tolist())
+            mine = np.array([x for i, c in parts for x in ((i,) if 0 <= i < len(v.names) else v.unknown(text[c]))], np.int32).tobytes()
+        out.append((0.0, mine))
+        first = to
+    return out
+
+
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MEETING = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
@@ -254,8 +408,8 @@ def encode_texts(texts: list[str | None], v: Vocabulary) -> Iterator[np.ndarray
             chars += len(texts[to] or "")
             to += 1
         full = [normalise(t or "") for t in texts[first:to]]
-        if v.spaces_start_words:
-            words = [_WORDS.findall(t) for t in full]
+        if v.by_rank or v.spaces_start_words:
+            words = [_WORDS.findall(t) if v.spaces_start_words else [t] for t in full]
             lookup = known_words(set().union(*words), v)
             ids = [joined_ids(w, lookup) for w in words]
         else:
@@ -336,6 +490,36 @@ def _chunks(text: str, chunk: int, reach: int) -> list[tuple[int, int, str]]:
     return [(k, min(chunk, len(text) - at), text[at : at + chunk + reach]) for k, at in enumerate(range(0, len(text), chunk))]
 
 
+def _parts(text: str, chunk: int, v: Vocabulary) -> list[tuple[int, str]]:
+    """(number, part) of a normalised text, cut at the first places from each chunk's end on that no merge crosses."""
+    places = np.append(cuts(text, v), len(text))
+    ends = np.unique(places[np.searchsorted(places, np.arange(chunk, len(text) + chunk, chunk).clip(max=len(text)))]).tolist()
+    return [(k, text[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends))]
+
+
+def _merged_parts(texts: DataFrame, shared, chunk: int, to: str) -> DataFrame:
+    """(piece_text_, `to`) of distinct long texts t by merge rank, in parts that spread over the cluster."""
+
+    @F.pandas_udf("array<struct<k:int,part:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"k": k, "part": p} for k, p in _parts(normalise(t), chunk, shared.value)] for t in texts])
+
+    @F.pandas_udf("array<int>")
+    def merged(parts: pd.Series) -> pd.Series:
+        v = shared.value
+
+        def ids(part: str) -> np.ndarray:
+            words = _WORDS.findall(part) if v.spaces_start_words else [part]
+            return joined_ids(words, known_words(words, v))
+
+        return pd.Series([ids(p) for p in parts], dtype=object)
+
+    parts = texts.select("piece_text_", F.inline(cut(F.col("t")))).repartition("piece_text_", "k")
+    parts = materialise(parts.select("piece_text_", "k", merged(F.col("part")).alias("ids")))
+    whole = parts.groupBy("piece_text_").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c"))
+    return whole.select("piece_text_", F.flatten(F.col("c.ids")).alias(to))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", to: str = "piece_ids", chunk: int = CHUNK) -> DataFrame:
     """docs with `to`: array<int>, the ids of the whole text.
 
@@ -396,6 +580,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", t
     near = docs.where(~is_long).withColumn(to, short(F.col(text_col)))
     far = docs.where(is_long).withColumn("piece_text_", F.sha2(F.col(text_col).cast("binary"), 256))
     texts = far.select("piece_text_", F.col(text_col).alias("t")).dropDuplicates(["piece_text_"])
+    if vocabulary.by_rank:
+        return near.unionByName(far.join(_merged_parts(texts, shared, chunk, to), "piece_text_").drop("piece_text_"))
     parts = texts.select("piece_text_", F.inline(cut(F.col("t")))).repartition("piece_text_", "k")
     matrices = materialise(parts.select("piece_text_", "k", matrix(F.col("part"), F.col("n")).alias("matrix")))
     ordered = F.array_sort(F.collect_list(F.struct("k", "matrix")))

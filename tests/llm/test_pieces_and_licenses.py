@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -43,6 +44,30 @@ def test_the_best_segmentation_is_found():
         assert sum(v.pieces[v.names[i]][1] for i in ids) == pytest.approx(score(pieces.normalise(text)))
 
 
+def test_ids_are_those_of_sentencepiece(spark, vocabulary):
+    import sentencepiece
+    from lodestone.llm.common import table
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(5)
+    odd = ["".join(rng.choices("  abcdetheringo\u2581\n\x00é文字梦日本хо\U0001f600ﬁ=-_/#01", k=rng.randrange(1, 90))) for _ in range(300)]
+    odd += [c * n for c in "a =-_梦0" for n in (2, 33, 3000)] + ["and pour", "https://www.example.com/a_long/path?query=internationalization" * 20]
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("text").unionByName(spark.createDataFrame([(t,) for t in odd], "text string"))
+    for chunk in (64, pieces.CHUNK):
+        for r in pieces.encode(docs, vocabulary, chunk=chunk).collect():
+            assert r.piece_ids == (None if r.text is None else model.encode(r.text)), (chunk, r.text)
+
+
+@pytest.mark.parametrize("chunk", [8, 64])
+def test_chunks_of_a_unigram_vocabulary(spark, chunk):
+    names = ["▁", "a", "b", "ab", "▁a", "bab", "d▁w"]
+    scores = [-1.03, -2.11, -2.27, -3.59, -1.71, -2.83, -4.19]  # no two ways tie
+    v = pieces.Vocabulary({p: (n, scores[n]) for n, p in enumerate(names)}, {}, [*names, "<unk>"], len(names))
+    docs = spark.createDataFrame([(t,) for t in TEXTS + ["ab" * 50, "abab bab a" * 20]], "text string")
+    for r in pieces.encode(docs, v, chunk=chunk).collect():
+        assert r.piece_ids == (None if r.text is None else pieces.encode_text(r.text, v)), r.text
+
+
 NOTICES = [
     "", "Licensed under the Apache License, Version 2.0 (the License)", "licensed under the apache license 3", "This code is released under the terms of the MIT License.", "under the MIT license! UNDER the mit, license",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software) to deal in the Software without restriction",
