@@ -190,7 +190,8 @@ def verified(pairs: DataFrame, members: DataFrame, threshold: float = THRESHOLD)
 def compare_blocks(slot: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """Links between different components in a block, as few as join them: registers agree closely, multisets overlap enough.
 
-    A pair that shares several bands is compared in the first of them only, and not at all once other links join it.
+    A pair that shares several bands (equal hashes, where the rows carry them) is compared in the first of them only, and
+    not at all once other links join it.
     """
     parent: dict[int, int] = {}
 
@@ -206,13 +207,14 @@ def compare_blocks(slot: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataF
         if not len(one) or not len(two):
             continue
         x, y = (np.frombuffer(b"".join(p.low), np.uint8).reshape(len(p), BANDS, ROWS) for p in (one, two))
+        bands = [np.stack(p.bands.to_numpy()) for p in (one, two)] if "bands" in part else None
         ids, comps, members = two.id.tolist(), two.comp.tolist(), two.members.tolist()
         for r, (a, comp, own) in enumerate(zip(one.id.tolist(), one.comp.tolist(), one.members)):
-            equal = x[r] == y
-            near = np.flatnonzero(equal.sum((1, 2)) >= CLOSE * REGISTERS)
+            near = np.flatnonzero((x[r] == y).sum((1, 2)) >= CLOSE * REGISTERS)
             near = near[near > r] if i == j else near
-            near = near[equal[near].all(2).argmax(1) == band].tolist()
-            near = [c for c in near if root(comps[c]) != root(comp)]
+            if bands is not None:
+                near = near[(bands[0][r] == bands[1][near]).argmax(1) == band]
+            near = [c for c in near.tolist() if root(comps[c]) != root(comp)]
             if not near:
                 continue
             own, sizes = np.sort(own), np.array([len(members[c]) for c in near])
@@ -267,10 +269,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     weight = materialise(weight.withColumn("nb", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int")))
     load = weight.agg(F.sum(F.col("m") * F.col("nb")).alias("m"), F.sum(F.col("w") * F.col("nb")).alias("w")).first()
     slots = max(1, math.ceil(max((load.m or 0) / SLOT, (load.w or 0) / BLOCK_SHINGLES)))
-    left = left.join(weight.select(*place, "nb"), place).join(low, "id").join(members, "id")
+    left = left.join(weight.select(*place, "nb"), place).join(reps, "id").join(members, "id")
     left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     left = left.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    left = left.withColumn("slot", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(slots))).select("slot", *place, "i", "j", "own", "id", "comp", "low", "members")
+    left = left.withColumn("slot", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(slots))).select("slot", *place, "i", "j", "own", "id", "comp", "low", "bands", "members")
     links = links.unionByName(left.groupBy("slot").applyInPandas(lambda s: compare_blocks(s, threshold), "a long, b long"))
     # Rows that repeat an id in different classes hold these together.
     component = connected_components(links.unionByName(sketches.join(classes, "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b")))

@@ -81,6 +81,15 @@ def test_blocks_give_only_links_that_join(spark):
     assert shared.any()
 
 
+def test_low_bytes_that_agree_by_chance_make_no_shared_band():
+    import pandas as pd
+
+    members, low = N.multiset_members(N.words_of("one two three four five six seven")).view(np.int64), bytes(N.REGISTERS)
+    bands = [np.r_[first, 7, np.arange(2, N.BANDS) + 100 * first] for first in (1, 2)]
+    rows = pd.DataFrame({"band": 1, "bucket": 7, "i": 0, "j": 0, "own": 0, "id": [1, 2], "comp": [1, 2], "low": [low, low], "bands": bands, "members": [members, members]})
+    assert N.compare_blocks(rows).to_numpy().tolist() == [[1, 2]]
+
+
 @pytest.mark.parametrize("rows", [[], [(None, "a b"), (1, None), (2, ""), (2, ""), (3, None), (4, "same words in here now ok"), (4, "same words in here now ok"), (5, "Same, words in here now OK!")]])
 def test_odd_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS bucket", "3 AS members")
