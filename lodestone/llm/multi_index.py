@@ -2,7 +2,8 @@
 
 Two codebooks, one for each half of the normalised vectors, span a grid of cells, and every vector is listed in
 its cell.  A vector visits the cells in order of the sum of its halves' squared distances to the cells' codewords,
-the multi-sequence order, as many as a calibration needs for the recall that is asked for.  In each cell the
+the multi-sequence order, as many as a calibration needs for the recall that is asked for; codewords are fewer where
+that costs less than visits.  In each cell the
 visitors are compared with its members by their cosine, so no link below the threshold is ever made.
 
 Equal vectors are one class throughout.  A cell's visitors and members meet in small blocks, so a crowded cell
@@ -25,8 +26,10 @@ from .vectors import bounded_sample, stack, usable_vectors
 
 #: The bound on the sample that codebooks and calibration are fitted on; vectors that a cell should hold; codewords of a half at most.
 SAMPLE, PER_CELL, MOST_CODEWORDS = 4096, 8, 256
-#: Share of pairs at cosines from the threshold up to 1 that must be found, and visited cells at most.
-RECALL, MOST_VISITS = 0.98, 24
+#: Share of pairs at cosines from the threshold up to 1 that must be found; visited cells that are tried first, and how often they double.
+RECALL, MOST_VISITS, DOUBLINGS = 0.98, 24, 4
+#: Vectors that calibration turns away; comparisons that cost as much as bringing a vector to one more cell.
+PAIRS, COPY = 512, 300
 #: Vectors of a block in a cell, and rows that one Python call handles.
 BLOCK, SLOT = 128, 2048
 
@@ -77,10 +80,13 @@ class MultiIndex:
                     heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
             yield np.array(out, np.int32)
 
-    def visits_for(self, sample: np.ndarray, threshold: float, recall: float, most: int) -> int:
-        """Visits after which the share `recall` of pairs meets: sample vectors with partners turned away by cosines spread over [threshold, 1)."""
+    def visits_for(self, sample: np.ndarray, threshold: float, recall: float, most: int) -> int | None:
+        """Visits after which the share `recall` of pairs meets: sample vectors with partners turned away by cosines spread over [threshold, 1).
+
+        The share is met with two standard errors to spare.  None where `most` visits fall short.
+        """
         rng = np.random.default_rng(7)
-        x = sample[:512]
+        x = sample[:PAIRS]
         c = np.linspace(threshold, 1, len(x), endpoint=False)[:, None]
         z = rng.normal(size=x.shape)
         z = normalised(z - (z * x).sum(1, keepdims=True) * x + 1e-12)
@@ -88,8 +94,34 @@ class MultiIndex:
         needed = []
         for va, vb in zip(self.traverse(x, most), self.traverse(y, most)):
             hits = [int(np.flatnonzero(v == home)[0]) + 1 for v, home in ((va, vb[0]), (vb, va[0])) if (v == home).any()]
-            needed.append(min(hits, default=most))
-        return int(np.quantile(needed, recall, method="higher"))
+            needed.append(min(hits, default=most + 1))
+        share = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(needed)))
+        visits = int(np.quantile(needed, share, method="higher"))
+        return visits if visits <= most else None
+
+
+def fitted_index(sample: np.ndarray, total: int, threshold: float, recall: float) -> tuple[MultiIndex, int]:
+    """An index for `total` vectors, and visits with which it finds the share `recall` of calibration's pairs.
+
+    Where MOST_VISITS fall short, more visits and fewer codewords are tried, and what costs least of all that reaches
+    the recall is taken.  One codeword, which compares all pairs, always does.  Where the table is larger than the
+    sample, calibration's vectors are not those that codebooks learn from.
+    """
+    learnt = sample[PAIRS:] if len(sample) >= SAMPLE else sample
+    k = min(MOST_CODEWORDS, max(1, round(math.sqrt(total / PER_CELL))))
+    found = []
+    while True:
+        index = MultiIndex(learnt, k)
+        for n in range(DOUBLINGS + 1):
+            visits = index.visits_for(sample, threshold, recall, MOST_VISITS << n)
+            if visits is not None:
+                found.append((visits * (COPY + total / index.k**2), len(found), index, visits))
+                break
+            if MOST_VISITS << n >= index.k**2:
+                break
+        if k == 1 or (visits is not None and visits <= MOST_VISITS):
+            return min(found)[2:]
+        k //= 2
 
 
 def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,8 +184,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     if total == 0:
         return plain.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     sample = normalised(bounded_sample(classes, SAMPLE, "codebooks"))
-    index = MultiIndex(sample, min(MOST_CODEWORDS, max(1, round(math.sqrt(total / PER_CELL)))))
-    visits = index.visits_for(sample, threshold, recall, MOST_VISITS)
+    index, visits = fitted_index(sample, total, threshold, recall)
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("array<int>")

@@ -64,6 +64,25 @@ def test_links_and_components(spark):
     assert all(r.kept == (r.id == r.component_id) for r in got.values())
 
 
+def turned(rng, x, cosines):
+    """A partner of each row of x at each cosine."""
+    z = rng.normal(size=x.shape)
+    z = multi_index.normalised(z - (z * x).sum(1, keepdims=True) * x)
+    c = np.asarray(cosines)[:, None]
+    return c * x + np.sqrt(1 - c**2) * z
+
+
+def test_visits_that_fall_short_are_not_taken_for_enough():
+    rng = np.random.default_rng(11)
+    sample = multi_index.normalised(rng.normal(size=(multi_index.SAMPLE, 64)))
+    assert multi_index.MultiIndex(sample, 64).visits_for(sample, 0.9, 0.98, 2) is None
+    index, visits = multi_index.fitted_index(sample, 600_000, 0.9, 0.98)
+    x = multi_index.normalised(rng.normal(size=(1000, 64)))
+    y = turned(rng, x, np.linspace(0.9, 1, 1000, endpoint=False))
+    met = [(a == b[0]).any() or (b == a[0]).any() for a, b in zip(index.traverse(x, visits), index.traverse(y, visits))]
+    assert np.mean(met) >= 0.98, (index.k, visits, np.mean(met))
+
+
 def test_duplicates_of_odd_rows(spark):
     d = spark.createDataFrame(ODD, "vec_id long, embedding array<double>").selectExpr("*", "1 AS v", "2 AS links", "3 AS id")
     got = sorted(((r.id or -1, r.n_links, r.component_id, r.kept) for r in multi_index.near_duplicates(d.drop("id")).collect()), key=str)
