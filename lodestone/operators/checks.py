@@ -1,4 +1,8 @@
-"""Integrity checks of notes: findings (category, severity, path, line, message, related_paths) by joins and aggregations."""
+"""Integrity checks of notes: findings (category, severity, path, line, message, n_related, related_key) by joins and aggregations.
+
+A finding counts the other notes that it concerns, exactly, and names their group by a key; their paths are rows
+(key, path) of a second DataFrame.  So no row grows with a group.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +13,27 @@ from ..functions.text import base_name, folder_of, is_archived, is_wikilink, nor
 from . import markdown as M
 from .tasks import ALLOWED_FIELDS, DATE_FIELDS, repeat_status
 
-FINDING = ("category", "severity", "path", "line", "message", "related_paths")
+FINDING = ("category", "severity", "path", "line", "message", "n_related", "related_key")
 
 
-def finding(d: DataFrame, category: str, severity: str, message: Column, line: Column | None = None, related: Column | None = None) -> DataFrame:
+def finding(d: DataFrame, category: str, severity: str, message: Column, line: Column | None = None, n: Column | None = None, key: Column | None = None) -> DataFrame:
     return d.select(
         F.lit(category).alias("category"), F.lit(severity).alias("severity"), "path", (F.lit(None) if line is None else line).cast("int").alias("line"), message.alias("message"),
-        (F.array().cast("array<string>") if related is None else related).alias("related_paths"),
+        (F.lit(0) if n is None else n).cast("long").alias("n_related"), (F.lit(None) if key is None else key).cast("string").alias("related_key"),
     )
 
 
+def with_related_paths(findings: DataFrame, related: DataFrame) -> DataFrame:
+    """findings with related_paths, the sorted paths of each one's group in related (key, path) but its own.
+
+    A group's findings times its paths: for few findings or small groups.  For large groups, join related by its key instead.
+    """
+    d = findings.withColumn("row_", F.monotonically_increasing_id())
+    near = related.select(F.col("key").alias("related_key"), F.col("path").alias("other_"))
+    d = d.join(near, "related_key", "left").withColumn("other_", F.when(F.col("other_") != F.col("path"), F.col("other_")))
+    return d.groupBy("row_", *FINDING).agg(F.sort_array(F.collect_set("other_")).alias("related_paths")).drop("row_")
+
+
 def first_headings(notes: DataFrame) -> DataFrame:
     """(path, line, text) of each note's first heading of depth 1."""
     top = M.headings(notes).where("depth = 1").groupBy("path").agg(F.min(F.struct("line", "text")).alias("h"))
@@ -34,41 +49,64 @@ def note_keys(notes: DataFrame, headings: DataFrame | None = None) -> DataFrame:
 
 
 def resolved_links(notes: DataFrame) -> DataFrame:
-    """Links with the sorted paths that they name.  Where a target with an inner '/' names nothing, it is tried against the note's folder."""
-    keys = note_keys(notes)
+    """Links with the number of paths that they name, `named`, and the key of these in note_keys.
+
+    Where a target with an inner '/' names nothing, it is tried against the note's folder; such a key is led by a NUL and
+    stands for paths only (see link_paths).
+    """
     d = M.links(notes).where("target <> ''").dropDuplicates(["path", "line", "ord"])
     d = d.withColumn("key", normal_key(F.col("target")))
     relative = F.contains(F.col("target"), F.lit("/")) & ~F.col("target").startswith("/")
-    d = d.withColumn("relative_key", F.when(relative, normal_key(resolved_path(folder_of(F.col("path")), F.col("target")))))
-    direct = d.select("key").distinct().join(keys, "key").groupBy("key").agg(F.sort_array(F.collect_set("path")).alias("direct"))
-    near = d.select("relative_key").distinct().join(keys.where("by_path").withColumnRenamed("key", "relative_key"), "relative_key").groupBy("relative_key").agg(F.sort_array(F.collect_set("path")).alias("near"))
-    out = d.join(direct, "key", "left").join(near, "relative_key", "left")
-    return out.withColumn("paths", F.coalesce("direct", "near", F.array().cast("array<string>"))).drop("direct", "near", "key", "relative_key")
+    d = d.withColumn("relative_key", F.when(relative, F.concat(F.lit("\0"), normal_key(resolved_path(folder_of(F.col("path")), F.col("target"))))))
+    counts = link_paths(notes).groupBy("key").agg(F.count("*").alias("n"))
+    out = d.join(counts.withColumnRenamed("n", "direct"), "key", "left").join(counts.select(F.col("key").alias("relative_key"), F.col("n").alias("near")), "relative_key", "left")
+    out = out.withColumn("key", F.when(F.col("direct").isNotNull(), F.col("key")).when(F.col("near").isNotNull(), F.col("relative_key")))
+    return out.withColumn("named", F.coalesce("direct", "near", F.lit(0))).drop("direct", "near", "relative_key")
+
+
+def link_paths(notes: DataFrame) -> DataFrame:
+    """(key, path) of the notes that a link's key names."""
+    keys = note_keys(notes)
+    return keys.select("key", "path").unionByName(keys.where("by_path").select(F.concat(F.lit("\0"), "key").alias("key"), "path"))
 
 
 def check_links(notes: DataFrame) -> DataFrame:
+    """Links that name no note, or several; link_paths has the paths of the latter."""
     d = resolved_links(notes)
-    broken = finding(d.where(F.size("paths") == 0), "links", "error", F.concat(F.lit("Broken link: "), "original"), F.col("line"))
-    many = d.where(F.size("paths") > 1)
-    return broken.unionByName(finding(many, "links", "warning", F.concat(F.lit("Ambiguous link: "), "original"), F.col("line"), F.array_except("paths", F.array("path"))))
+    broken = finding(d.where("named = 0"), "links", "error", F.concat(F.lit("Broken link: "), "original"), F.col("line"))
+    own = link_paths(notes).withColumn("own", F.lit(1))
+    many = d.where("named > 1").join(own, ["key", "path"], "left")
+    others = F.col("named") - F.coalesce("own", F.lit(0))
+    return broken.unionByName(finding(many, "links", "warning", F.concat(F.lit("Ambiguous link: "), "original"), F.col("line"), others, F.col("key")))
+
+
+def _top_headings(notes: DataFrame) -> DataFrame:
+    return M.headings(notes).where("depth = 1").withColumn("key", normal_key(F.col("text"))).withColumn("old", is_archived(F.col("path")))
+
+
+def heading_paths(notes: DataFrame) -> DataFrame:
+    """(key, path) of the notes outside the archive by their top headings."""
+    return _top_headings(notes).where("not old").select("key", "path").distinct()
 
 
 def check_duplicate_headings(notes: DataFrame) -> DataFrame:
-    """Top headings that several notes outside the archive share.
+    """Top headings that several notes outside the archive share, with the number of other notes; heading_paths has their paths."""
+    shared = heading_paths(notes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    d = _top_headings(notes).where("not old").join(shared, "key")
+    return finding(d, "headings", "warning", F.concat(F.lit("Duplicate heading: "), "text"), F.col("line"), F.col("n") - 1, F.col("key"))
 
-    The other paths are listed up to a number that keeps a row small; the count is exact.
-    """
-    d = M.headings(notes).where(F.col("depth") == 1).where(~is_archived(F.col("path"))).withColumn("key", normal_key(F.col("text")))
-    shared = d.groupBy("key").agg(F.count_distinct("path").alias("n"), F.sort_array(F.collect_set("path")).alias("all")).where("n > 1")
-    return finding(d.join(shared, "key"), "headings", "warning", F.concat(F.lit("Duplicate heading: "), "text"), F.col("line"), F.array_except("all", F.array("path")))
+
+def archive_heading_paths(notes: DataFrame) -> DataFrame:
+    """(key, path) of notes by their top headings; keys of notes in the archive begin with old:, of others with new:."""
+    d = _top_headings(notes)
+    return d.select(F.concat(F.when(F.col("old"), "old:").otherwise("new:"), "key").alias("key"), "path").distinct()
 
 
 def check_archive_headings(notes: DataFrame) -> DataFrame:
-    """Top headings that a note in use and one in the archive share, reported on both."""
-    d = M.headings(notes).where("depth = 1").withColumn("key", normal_key(F.col("text"))).withColumn("old", is_archived(F.col("path")))
-    sides = d.groupBy("key").agg(F.sort_array(F.collect_set(F.when(F.col("old"), F.col("path")))).alias("olds"), F.sort_array(F.collect_set(F.when(~F.col("old"), F.col("path")))).alias("news"))
-    both = d.join(sides.where((F.size("olds") > 0) & (F.size("news") > 0)), "key")
-    return finding(both, "archive-headings", "error", F.concat(F.lit("Heading also in archive: "), "text"), F.col("line"), F.when(F.col("old"), F.col("news")).otherwise(F.col("olds")))
+    """Top headings that a note in use and one in the archive share, reported on both; archive_heading_paths has the other side's paths."""
+    counts = archive_heading_paths(notes).groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "other")
+    d = _top_headings(notes).withColumn("other", F.concat(F.when(F.col("old"), "new:").otherwise("old:"), "key")).join(counts, "other")
+    return finding(d, "archive-headings", "error", F.concat(F.lit("Heading also in archive: "), "text"), F.col("line"), F.col("n"), F.col("other"))
 
 
 def check_titles(notes: DataFrame) -> DataFrame:
@@ -116,7 +154,7 @@ def check_tasks(tasks: DataFrame) -> DataFrame:
     found = F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), m.alias("message"))) for s, c, m in rules])
     unknown = F.transform(F.array_sort(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, ALLOWED_FIELDS)))), lambda k: F.struct(F.lit("warning").alias("severity"), F.concat(F.lit("Unknown field: "), k).alias("message")))
     d = tasks.select("path", "line", F.explode(F.filter(F.concat(found, unknown), lambda x: x.isNotNull())).alias("x"))
-    return d.select(F.lit("tasks").alias("category"), "x.severity", "path", F.col("line").cast("int").alias("line"), "x.message", F.array().cast("array<string>").alias("related_paths"))
+    return d.select(F.lit("tasks").alias("category"), "x.severity", "path", F.col("line").cast("int").alias("line"), "x.message", F.lit(0).cast("long").alias("n_related"), F.lit(None).cast("string").alias("related_key"))
 
 
 def check_repeat_seeds(tasks: DataFrame) -> DataFrame:

@@ -409,20 +409,23 @@ SELECT 'error' AS severity, 'a/parts/' || p || '.md' AS path, 2 AS line, 'Broken
 UNION ALL SELECT 'error', 'a/parts/' || p || '.md', 3, 'Broken link: [[../sup-' || r || ']]', '' FROM l WHERE r NOT IN (SELECT s FROM s)
 UNION ALL SELECT 'warning', 'a/parts/' || p || '.md', 2, 'Ambiguous link: [[sup-' || t || ']]', 'a/sup-' || t || '.md,b/sup-' || t || '.md' FROM l WHERE t IN (SELECT s FROM s) AND t % 10 = 0""")
 def check_links(spark, sf_dir):
-    return checks.check_links(_linked_notes(spark, sf_dir)).select("severity", "path", "line", "message", F.array_join("related_paths", ",").alias("related"))
+    notes = _linked_notes(spark, sf_dir)
+    return checks.with_related_paths(checks.check_links(notes), checks.link_paths(notes)).select("severity", "path", "line", "message", F.array_join("related_paths", ",").alias("related"))
 
 
 @registered(f"""WITH h AS (SELECT s, s % 16 AS g FROM {_SUPS} WHERE s % 4 = 0), g AS (SELECT g, list('a/sup-' || s || '.md' ORDER BY 'a/sup-' || s || '.md') AS paths FROM h GROUP BY g HAVING count(*) > 1)
 SELECT 'a/sup-' || s || '.md' AS path, 'Duplicate heading: Shared ' || g AS message, array_to_string(list_filter(paths, lambda x: x <> 'a/sup-' || s || '.md'), ',') AS related FROM h JOIN g USING (g)""")
 def check_duplicate_h1(spark, sf_dir):
-    return checks.check_duplicate_headings(_linked_notes(spark, sf_dir)).select("path", "message", F.array_join("related_paths", ",").alias("related"))
+    notes = _linked_notes(spark, sf_dir)
+    return checks.with_related_paths(checks.check_duplicate_headings(notes), checks.heading_paths(notes)).select("path", "message", F.array_join("related_paths", ",").alias("related"))
 
 
 @registered(f"""WITH a AS (SELECT s % 16 AS g, 'a/sup-' || s || '.md' AS path FROM {_SUPS} WHERE s % 4 = 0), o AS (SELECT s % 16 AS g, 'Archive/old-' || s || '.md' AS path FROM {_SUPS} WHERE s % 8 = 4),
 ag AS (SELECT g, string_agg(path, ',' ORDER BY path) AS r FROM a GROUP BY g), og AS (SELECT g, string_agg(path, ',' ORDER BY path) AS r FROM o GROUP BY g)
 SELECT path, 'Heading also in archive: Shared ' || g AS message, r AS related FROM a JOIN og USING (g) UNION ALL SELECT path, 'Heading also in archive: Shared ' || g, r FROM o JOIN ag USING (g)""")
 def check_archive_collision(spark, sf_dir):
-    return checks.check_archive_headings(_linked_notes(spark, sf_dir)).select("path", "message", F.array_join("related_paths", ",").alias("related"))
+    notes = _linked_notes(spark, sf_dir)
+    return checks.with_related_paths(checks.check_archive_headings(notes), checks.archive_heading_paths(notes)).select("path", "message", F.array_join("related_paths", ",").alias("related"))
 
 
 @registered(f"""SELECT 'a/sup-' || s || '.md' AS path, 'Heading differs from file name: ' || CASE WHEN s % 4 = 0 THEN 'Shared ' || (s % 16) ELSE 'Sup ' || s END AS message FROM {_SUPS}

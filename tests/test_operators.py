@@ -112,3 +112,18 @@ def test_reading_a_folder(spark, tmp_path):
 def test_markdown_table(spark):
     d = spark.createDataFrame([("a|b\nc", ["x", None])], "t string, l array<string>")
     assert render.markdown_table(d) == "| t | l |\n| --- | --- |\n| a\\|b<br>c | x,  |"
+
+
+def test_findings_do_not_grow_with_their_group(spark):
+    from lodestone.operators import checks
+
+    notes = spark.createDataFrame([(f"{'Archive' if n % 3 == 0 else 'a'}/{n}/same.md", "# Same\n# Same\n[[same]] [[../no]]") for n in range(30)], "path string, contents string")
+    for found, paths, n in (
+        (checks.check_duplicate_headings(notes), checks.heading_paths(notes), {19}),
+        (checks.check_archive_headings(notes), checks.archive_heading_paths(notes), {10, 20}),
+        (checks.check_links(notes), checks.link_paths(notes), {0, 29}),
+    ):
+        assert tuple(found.columns) == checks.FINDING and "array" not in str(found.dtypes)
+        rows = checks.with_related_paths(found, paths).collect()
+        assert {r.n_related for r in rows} == n and len(rows) == found.count()
+        assert all(len(r.related_paths) == r.n_related and r.path not in r.related_paths for r in rows)
