@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch.  Texts can be long, so batches are kept well below Spark's 10,000 rows.
-ARROW_ROWS = 1024
+ARROW_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +26,35 @@ def small_batches(spark: SparkSession) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
 
-    The folder is spark.checkpoint.dir; a temporary one is set only where the session names none (tests).
+    The folder is spark.checkpoint.dir.  A temporary one is set only where the session names none and all tasks run in
+    one process; on a cluster a folder must be named.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+#: Ids, or rows as small, that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_shuffled(rows: DataFrame) -> DataFrame:
+    """Rows of a few short columns with a broadcast hint if they are few enough; else joins shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def inline_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A DataFrame of driver-made rows whose number has a fixed bound; made by the JVM from one JSON literal."""
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))

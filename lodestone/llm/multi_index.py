@@ -21,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
-from .vectors import bounded_sample, stack, usable_vectors
+from .common import connected_components, materialise, small_or_shuffled
+from .vectors import bounded_sample, by_length, stack, usable_vectors
 
-#: The bound on the sample that codebooks and calibration are fitted on; vectors that a cell should hold; codewords of a half at most.
-SAMPLE, PER_CELL, MOST_CODEWORDS = 4096, 8, 256
+#: Least and largest bound on the sample that codebooks and calibration are fitted on, and its rows for each codeword of a half.
+SAMPLE, MOST_SAMPLE, PER_WORD = 4096, 65_536, 16
+#: Vectors that a cell should hold.
+PER_CELL = 8
 #: Share of pairs at cosines from the threshold up to 1 that must be found; visited cells that are tried first, and how often they double.
 RECALL, MOST_VISITS, DOUBLINGS = 0.98, 24, 4
 #: Vectors that calibration turns away; comparisons that cost as much as bringing a vector to one more cell.
@@ -100,6 +102,11 @@ class MultiIndex:
         return visits if visits <= most else None
 
 
+def codewords_for(total: int) -> int:
+    """Codewords of a half: the grid grows with the table as far as the largest sample can teach them (beyond 100 million vectors cells grow)."""
+    return max(1, min(MOST_SAMPLE // PER_WORD, round(math.sqrt(total / PER_CELL))))
+
+
 def fitted_index(sample: np.ndarray, total: int, threshold: float, recall: float) -> tuple[MultiIndex, int]:
     """An index for `total` vectors, and visits with which it finds the share `recall` of calibration's pairs.
 
@@ -108,7 +115,7 @@ def fitted_index(sample: np.ndarray, total: int, threshold: float, recall: float
     sample, calibration's vectors are not those that codebooks learn from.
     """
     learnt = sample[PAIRS:] if len(sample) >= SAMPLE else sample
-    k = min(MOST_CODEWORDS, max(1, round(math.sqrt(total / PER_CELL))))
+    k = min(codewords_for(total), max(1, len(learnt)))
     found = []
     while True:
         index = MultiIndex(learnt, k)
@@ -170,20 +177,10 @@ def compare_blocks(slot: pd.DataFrame, threshold: float) -> pd.DataFrame:
     }).astype({"a": "int64", "b": "Int64", "links": "int64"})
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
-    """One row per vector: (id, n_links, component_id, kept), by links of cosine >= threshold.
-
-    Vectors that are null, empty, all zero, or hold null or non-finite components have no links and are components of
-    their own.  Rows that repeat a vector link with each other.  Vectors with a null id have no links and are kept.
-    """
-    spark = df.sparkSession
-    rows = usable_vectors(df, id_col=id_col, vector_col=vector_col).where("id is not null")
-    classes = materialise(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    total = classes.count()
-    plain = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    if total == 0:
-        return plain.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = normalised(bounded_sample(classes, SAMPLE, "codebooks"))
+def _met(classes: DataFrame, total: int, threshold: float, recall: float) -> DataFrame:
+    """(a, b, links) of classes of vectors of one length: sums of links by class (b null), and pairs that join components."""
+    spark = classes.sparkSession
+    sample = normalised(bounded_sample(classes, min(MOST_SAMPLE, max(SAMPLE, PER_WORD * codewords_for(total))), "codebooks"))
     index, visits = fitted_index(sample, total, threshold, recall)
     shared = spark.sparkContext.broadcast(index)
 
@@ -191,35 +188,50 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     def cells(vectors: pd.Series) -> pd.Series:
         return pd.Series(list(shared.value.traverse(normalised(stack(vectors)), visits)))
 
-    # Classes of one id can't be: an id that repeats with different vectors gets a number of its own from here on.
-    listed = materialise(classes.withColumn("visits", cells(F.col("v"))).withColumn("vec_id", F.col("id")).withColumn("id", F.monotonically_increasing_id()))
-    listed = listed.withColumn("home", F.element_at("visits", 1))
+    listed = materialise(classes.select("id", "n", "v", cells(F.col("v")).alias("visits"))).withColumn("home", F.element_at("visits", 1))
     members = listed.select("id", "n", "v", "home", "visits", F.col("home").alias("cell"), F.lit(True).alias("member"))
     visitors = listed.select("id", "n", "v", "home", "visits", F.explode("visits").alias("cell"), F.lit(False).alias("member"))
 
-    # Cells are at most MOST_CODEWORDS squared, so their counts can be broadcast.
+    # Cells are at most the codewords squared; their counts are broadcast where that is few.
     counts = members.groupBy("cell").agg(F.count("*").alias("m")).join(visitors.groupBy("cell").agg(F.count("*").alias("q")), "cell")
-    counts = F.broadcast(materialise(counts.select("cell", F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"))))
-    met = members.unionByName(visitors).join(counts, "cell")
+    counts = materialise(counts.select("cell", F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mb")))
+    met = members.unionByName(visitors).join(small_or_shuffled(counts), "cell")
     own = F.pmod(F.xxhash64("id", "member"), F.when(F.col("member"), F.col("mb")).otherwise(F.col("qb"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("qb")).otherwise(F.col("mb")) - 1))
     met = met.withColumn("own", own).withColumn("other", other)
     met = met.withColumn("i", F.when(F.col("member"), F.col("other")).otherwise(F.col("own"))).withColumn("j", F.when(F.col("member"), F.col("own")).otherwise(F.col("other")))
     slots = max(1, math.ceil(total * (visits + 1) / SLOT))
     met = met.withColumn("slot", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(slots))).select("slot", "cell", "i", "j", "member", "id", "n", "v", "home", "visits")
-    found = materialise(met.groupBy("slot").applyInPandas(lambda s: compare_blocks(s, threshold), "a long, b long, links long"))
+    return materialise(met.groupBy("slot").applyInPandas(lambda s: compare_blocks(s, threshold), "a long, b long, links long"))
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
+    """One row per vector: (id, n_links, component_id, kept), by links of cosine >= threshold between vectors of one length.
+
+    Vectors that are null, empty, all zero, or hold null or non-finite components have no links and are components of
+    their own.  Rows that repeat a vector link with each other; rows that repeat an id with different vectors are different vectors.
+    Rows with a null id link like others; their component is the smallest id in it, and they are kept only where it holds no id.
+    """
+    rows = usable_vectors(df, id_col=id_col, vector_col=vector_col)
+    classes = rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
+    parts = [_met(part, total, threshold, recall) for total, part in by_length(classes)]
+    plain = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    if not parts:
+        return plain.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
 
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    names = listed.select("id", "vec_id")
-    pairs = found.where("b is not null").select("a", "b").join(names.select(F.col("id").alias("a"), F.col("vec_id").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("vec_id").alias("y")), "b")
-    component = connected_components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    per_class = (
-        listed.select("id", "vec_id", "v", "n").join(links, "id", "left").join(component.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "vec_id").alias("component"))
-    )
+    component = connected_components(found.where("b is not null").select("a", "b"))
+    named = classes.select("id", "least", "n").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialise(named.join(links, "id", "left"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
+    per_class = classes.select("id", "v").join(named, "id").select("v", "links", "component_id")
     out = plain.join(per_class, "v", "left")
-    has_id = F.col("id").isNotNull()
+    component = F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
-        "id", F.when(has_id, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(has_id, F.coalesce("component", "id")).alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+        "id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept")
     )

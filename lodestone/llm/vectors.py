@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Vectors of different lengths are handled one length after another; more lengths than this are refused as a table of something else.
+MOST_LENGTHS = 64
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, not empty, no null or non-finite component, not all zero."""
@@ -17,14 +22,18 @@ def usable(vector: Column) -> Column:
 
 
 def usable_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(row, id, v) of the vectors that take part, with a number of the row that stays: the rows are materialised once.
-
-    Vectors of another length than the most frequent one (ties: the shorter) don't take part either.
-    """
+    """(row, id, v) of the vectors that take part, with a number of the row that stays: the rows are materialised once."""
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == lengths[0].n) if lengths else rows
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def by_length(rows: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """(number, rows) of each length of v in turn, the shortest first.  Vectors of different lengths have nothing to compare."""
+    lengths = sorted((r.n, r["count"]) for r in rows.groupBy(F.size("v").alias("n")).count().limit(MOST_LENGTHS + 1).collect())
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    for n, count in lengths:
+        yield count, rows if len(lengths) == 1 else rows.where(F.size("v") == n)
 
 
 def bounded_sample(rows: DataFrame, most: int, seed: str) -> np.ndarray:

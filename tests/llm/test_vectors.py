@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pytest
 from lodestone.llm import multi_index, permutation_index
 from lodestone.llm.common import table
 
 SF = "/root/testdata/sf0.01"
 NAN, INF = float("nan"), float("inf")
-ODD = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [NAN, 1.0]), (6, [INF, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [2.0, 0.01]), (9, [0.0, 1.0]), (None, [1.0, 0.0])]
+ODD = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [NAN, 1.0]), (6, [INF, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [2.0, 0.01]), (9, [0.0, 1.0]), (None, [1.0, 0.0]), (10, [1.0, 2.0, 3.0]), (10, [1.0, 2.0, 3.1])]
 
 
-def vectors(spark):
-    rows = table(spark, SF, "embeddings").where("embedding is not null").collect()
+def vectors(docs):
+    rows = docs.where("embedding is not null").collect()
     fine = [(r.vec_id, r.embedding) for r in rows if all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
-    return np.array([i for i, _ in fine]), np.array([v for _, v in fine], np.float64)
-
-
-def test_search_finds_nine_tenths(spark):
-    ids, x = vectors(spark)
+    return np.array(sorted(i for i, _ in fine)), np.array([v for _, v in sorted(fine)], np.float64)
+
+
+def clustered(rng, n):
+    """Vectors of differing lengths around 40 directions, half of them in three large clusters, and others everywhere."""
+    centre = multi_index.normalised(rng.normal(size=(40, 32)))
+    home = np.where(rng.random(n) < 0.5, rng.integers(0, 3, n), rng.integers(0, 40, n))
+    x = np.where((rng.random(n) < 0.8)[:, None], centre[home], 0) + 0.15 * rng.normal(size=(n, 32))
+    return x * rng.lognormal(0, 0.3, size=(n, 1))
+
+
+@pytest.mark.parametrize("source", ["sf0.01", "sf0.1", "clustered"])
+def test_search_finds_nine_tenths(spark, source):
+    if source == "clustered":
+        x = clustered(np.random.default_rng(3), 12_000)
+        ids = np.arange(len(x))
+        docs = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}))
+    else:
+        docs = table(spark, f"/root/testdata/{source}", "embeddings")
+        ids, x = vectors(docs)
     found: dict[int, list] = {}
-    for r in permutation_index.search(table(spark, SF, "embeddings"), lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in permutation_index.search(docs, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
     hits = total = 0
     for n in np.flatnonzero(ids % 20 == 0):
@@ -28,7 +45,7 @@ def test_search_finds_nine_tenths(spark):
         others = np.flatnonzero(np.arange(len(ids)) != n)
         best = others[np.lexsort((ids[others], -score[others]))[:20]]
         got = found[ids[n]]
-        assert len(got) == 20 and all(abs(s - score[np.flatnonzero(ids == i)[0]]) < 1e-9 for i, s in got)
+        assert len(got) == 20 and all(abs(s - score[np.searchsorted(ids, i)]) < 1e-9 for i, s in got)
         hits, total = hits + len({i for i, _ in got} & set(ids[best].tolist())), total + 20
     assert hits >= 0.9 * total
 
@@ -36,8 +53,9 @@ def test_search_finds_nine_tenths(spark):
 def test_search_of_odd_rows(spark):
     d = spark.createDataFrame(ODD, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS v", "3 AS row")
     got = permutation_index.search(d, lambda i: i > 0).collect()
-    assert {r.query_id for r in got} == {7, 8, 9}
-    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 9), key=lambda r: r["rank"])] == [8, 7, 7]
+    assert {r.query_id for r in got} == {7, 8, 9, 10}
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 9), key=lambda r: r["rank"])] == [8, 7, 7, None]
+    assert [r.vec_id for r in got if r.query_id == 10] == [10, 10], "vectors of another length"
     assert permutation_index.search(d.limit(0), lambda i: i > 0).count() == 0
 
 
@@ -54,7 +72,7 @@ def brute_components(ids, x):
 
 
 def test_links_and_components(spark):
-    ids, x = vectors(spark)
+    ids, x = vectors(table(spark, SF, "embeddings"))
     links, label = brute_components(ids, x)
     got = {r.id: r for r in multi_index.near_duplicates(table(spark, SF, "embeddings")).collect()}
     found = sum(got[i].n_links for i in ids.tolist())
@@ -72,6 +90,26 @@ def turned(rng, x, cosines):
     return c * x + np.sqrt(1 - c**2) * z
 
 
+def test_planted_links_and_large_groups(spark):
+    """Pairs at cosines from 0.9 to 1, a group of 400 equal vectors and one of 400 near ones, among 20,000."""
+    rng = np.random.default_rng(17)
+    base = multi_index.normalised(rng.normal(size=(18_000, 64)))
+    pairs = turned(rng, base[:1200], np.linspace(0.9001, 0.999, 1200))
+    near = multi_index.normalised(base[5000] + 0.02 * rng.normal(size=(400, 64)))
+    x = np.concatenate([base, pairs, np.repeat(base[6000:6001], 400, 0), near])
+    ids = rng.permutation(len(x))
+    docs = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}))
+    got = {r.id: r for r in multi_index.near_duplicates(docs).collect()}
+    by = np.argsort(ids)
+    links, label = brute_components(np.arange(len(x)), x[by])
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= links).all(), "no link below the threshold"
+    assert n.sum() >= 0.95 * links.sum()
+    low = ids[18_000:18_120]  # cosines of 0.900 to 0.91
+    assert n[low].sum() >= 0.9 * links[low].sum()
+    assert np.mean([got[i].component_id == c for i, c in enumerate(label.tolist())]) >= 0.99
+
+
 def test_visits_that_fall_short_are_not_taken_for_enough():
     rng = np.random.default_rng(11)
     sample = multi_index.normalised(rng.normal(size=(multi_index.SAMPLE, 64)))
@@ -86,6 +124,6 @@ def test_visits_that_fall_short_are_not_taken_for_enough():
 def test_duplicates_of_odd_rows(spark):
     d = spark.createDataFrame(ODD, "vec_id long, embedding array<double>").selectExpr("*", "1 AS v", "2 AS links", "3 AS id")
     got = sorted(((r.id or -1, r.n_links, r.component_id, r.kept) for r in multi_index.near_duplicates(d.drop("id")).collect()), key=str)
-    want = [(-1, 0, None, True), *[(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9)], (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False)]
+    want = [(-1, 3, 7, False), *[(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9)], (7, 3, 7, True), (7, 3, 7, True), (8, 3, 7, False), (10, 1, 10, True), (10, 1, 10, True)]
     assert got == sorted(want, key=str)
     assert multi_index.near_duplicates(d.drop("id").limit(0)).count() == 0
