@@ -60,6 +60,18 @@ def inline_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with a gapless long `rank` from 0 in the given order, by range-sorted partitions; df is materialised."""
+    place = materialise(df.orderBy(*order).withColumn("place_", F.monotonically_increasing_id()))
+    part, at, offsets = F.shiftright("place_", 33), 0, []
+    for r in sorted(place.groupBy(part.cast("int").alias("part")).count().collect()):
+        offsets.append({"part_": r.part, "before_": at})
+        at += r["count"]
+    small = F.broadcast(inline_table(df.sparkSession, offsets, "part_ int, before_ long"))
+    joined = place.withColumn("part_", part.cast("int")).join(small, "part_")
+    return joined.withColumn("rank", F.col("before_") + F.col("place_").bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "place_", "before_")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row even where body uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

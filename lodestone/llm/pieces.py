@@ -1,26 +1,27 @@
-"""SentencePiece encoding and decoding: BPE models by merge rank, unigram models with a max-plus parallel scan.
-
-In a BPE model a score is the negative rank of a merge, and a text's encoding is what is left when the adjacent
-symbols that form the piece of best rank (ties: the leftmost) are merged until no two form a piece.  No merge crosses
-a place whose two characters are neighbours in no piece, so what stands between such places is encoded on its own, and
-a long text is cut there into parts that spread over the cluster.  Within such a stretch a merge can depend on
-characters at any distance, so no matrix of bounded size carries it over a chunk's boundary: a stretch stays whole.
-
-In a unigram model a text's encoding is the segmentation into pieces of largest total score (ties: the longer last
-piece, then the longer one before it, and so on).  A text of several chunks is encoded in three steps.  Each chunk alone gives a transfer matrix: entry (a, b) is the
-best score over the chunk if the piece before it reaches a characters into it and its own last piece reaches b
-characters past it.  The matrices of a document combine in the max-plus algebra, which is associative, to the
-scores at each chunk's start.  With those, each chunk is traced back on its own for every way out of it, and the
-ways that fit together from the document's end give its pieces.
-
-Where a run of spaces begins, no piece of the vocabulary spans, so all segmentations meet; between such
-places the best pieces of a word are looked up.  Vocabularies with pieces that hold inner spaces are handled by the
-general recursion.
+"""SentencePiece encoding and decoding by a max-plus parallel scan.
+
+A text's encoding is a path through its lattice: places are nodes, pieces are steps, and the best sum of steps' weights wins.
+In a unigram model a step weighs the piece's score (of paths of equal score the one that is found first).  In a BPE model an encoding is
+what is left when adjacent symbols that form the piece of best rank (ties: the leftmost) are merged until no two form a piece.  That is
+a path as well: pieces follow one another in an encoding exactly if merging the two of them alone leaves them as they are, for the first
+merge across a border between neighbours would happen there too.  So a step weighs 0 if its piece may follow the last one and
+minus infinity if not, one path of weight 0 is left, and the state at a place is the last piece.
+
+A giant text is split into chunks of fixed length.  The states at a border are the pieces that end at it or reach across (for unigram models only
+how far they reach).  Each chunk alone gives a transfer matrix: entry (a, b) is the best weight from state a at its
+start to state b at its end.  Matrices combine in the max-plus algebra, which is associative: sixteen neighbours at a time give
+the matrix of a longer stretch, until one covers the text.  On the way back down every stretch is told its first and last state and finds those at its inner borders,
+and with its own two states each chunk is traced back independently.  A text of one chunk has no borders and goes through
+the last step alone.
+
+Where a run of spaces begins, no piece spans (in most vocabularies), so all paths meet there; between such places pieces of a word are looked up
+in a table, and only the ends of a chunk, or a chunk without such places, go through the lattice.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
@@ -28,18 +29,19 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import fresh, materialise, small_batches
 
-#: A fixed value of the format: the character that stands for a space.
-SPACE = "▁"
+SPACE = "\u2581"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a chunk, and words whose pieces a Python worker remembers.
-CHUNK, REMEMBERED = 32_768, 200_000
+#: Characters of a chunk, matrices that are combined at a time, and chunks that are cut from a longer slice of a text.
+CHUNK, FAN, SLICE = 32_768, 16, 64
+#: Words, and pairs of pieces, that a Python worker remembers (twice as many words at most).
+REMEMBERED, REMEMBERED_PAIRS = 40_000, 50_000
 #: Characters of the longest word that is remembered; words, and characters of texts, that are handled at a time.
-SHORT, WORDS_AT_ONCE, CHARS_AT_ONCE = 24, 1 << 12, 1 << 21
+SHORT, WORDS_AT_ONCE, CHARS_AT_ONCE = 24, 1 << 12, 1 << 19
 #: Unknown characters cost this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 LOW = float("-inf")
@@ -55,8 +57,9 @@ class Vocabulary:
     unknown_id: int
     #: Whether scores are ranks of merges (BPE).
     by_rank: bool = False
-    remembered: dict[str, tuple[float, bytes]] = field(default_factory=dict, repr=False)
-    older: dict[str, tuple[float, bytes]] = field(default_factory=dict, repr=False)
+    remembered: dict[str, bytes] = field(default_factory=dict, repr=False)
+    older: dict[str, bytes] = field(default_factory=dict, repr=False)
+    pairs: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
 
     @cached_property
     def longest(self) -> int:
@@ -68,17 +71,6 @@ class Vocabulary:
         begins = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
         return begins | self.pieces
 
-    @cached_property
-    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys (node << 21 | character) and their nodes; by node, the piece's id (-1: none) and score.  Node 0, the root, has the unknown score."""
-        number = {"": 0}
-        for p in sorted(self.prefixes, key=len):
-            number[p] = len(number)
-        keys = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in number if p], np.int64)
-        found = [self.prefixes.get(p) or (-1, self.unknown_score) for p in number]
-        order = np.argsort(keys)
-        return keys[order], order + 1, np.array([i for i, _ in found], np.int64), np.array([x for _, x in found], np.float64)
-
     @cached_property
     def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys (left symbol << 32 | right symbol), the pieces that they form, and scores by piece id.  Symbols are pieces' ids."""
@@ -123,11 +115,11 @@ class Vocabulary:
         return not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
 
     @cached_property
-    def byte_of(self) -> dict[int, int]:
-        return {i: b for b, i in self.byte_ids.items()}
+    def touching(self) -> frozenset[str]:
+        return frozenset(x for p in self.pieces for x in map(str.__add__, p, p[1:]))
 
     def __getstate__(self) -> dict:
-        return {"pieces": self.pieces, "byte_ids": self.byte_ids, "names": self.names, "unknown_id": self.unknown_id, "by_rank": self.by_rank, "remembered": {}, "older": {}}
+        return {"pieces": self.pieces, "byte_ids": self.byte_ids, "names": self.names, "unknown_id": self.unknown_id, "by_rank": self.by_rank, "remembered": {}, "older": {}, "pairs": {}}
 
     def unknown(self, char: str) -> tuple[int, ...]:
         if not self.byte_ids:
@@ -166,39 +158,69 @@ def normalise(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def forward(text: str, n: int, start: dict[int, float], v: Vocabulary) -> tuple[dict[int, float], dict[int, int]]:
-    """Best scores and last pieces' starts at places of text, for pieces that start before n, from the given scores."""
-    best, back = dict(start), {}
-    find, size = v.prefixes.get, len(text)
-    for i in range(n):
-        here = best.get(i)
-        if here is None:
-            continue
-        for j in range(i + 1, size + 1):
-            hit = find(text[i:j], 0)
-            if hit:
-                score = here + hit[1]
-                if score > best.get(j, LOW):
-                    best[j], back[j] = score, i
-            elif hit == 0:
-                break
-        if text[i] not in v.pieces and here + v.unknown_score > best.get(i + 1, LOW):
-            best[i + 1], back[i + 1] = here + v.unknown_score, i
-    return best, back
-
-
-def backtrace(text: str, end: int, back: dict[int, int], v: Vocabulary) -> tuple[int, list[int]]:
-    """(start, ids) of the best way to end; start is the place without a piece before it."""
+def steps(text: str, i: int, v: Vocabulary) -> list[tuple[int, float]]:
+    """(length, weight) of the pieces that start at i; a character that is no piece is one as well."""
+    out, find = [], v.prefixes.get
+    for j in range(i + 1, min(i + v.longest, len(text)) + 1):
+        hit = find(text[i:j], 0)
+        if hit:
+            out.append((j - i, 0.0 if v.by_rank else hit[1]))
+        elif hit == 0:
+            break
+    if not out or out[0][0] > 1:
+        out.insert(0, (1, 0.0 if v.by_rank else v.unknown_score))
+    return out
+
+
+def fits(before: str, piece: str, v: Vocabulary) -> bool:
+    """Whether a piece may follow another one (nothing: whether it may stand at all)."""
+    if not v.by_rank or (before and len(piece) == 1 and before[-1] + piece not in v.touching):
+        return True
+    known = v.pairs.get((before, piece))
+    if known is None:
+        if len(v.pairs) >= REMEMBERED_PAIRS:
+            v.pairs.clear()
+        ends = [len(before), len(before) + len(piece)] if before else [len(piece)]
+        known = v.pairs[before, piece] = merged_ends(before + piece, v) == ends
+    return known
+
+
+def spread(text: str, states: dict, stop: int, v: Vocabulary, back: dict | None = None) -> dict:
+    """Best weights of the states (place, length of the last piece) at or past stop that pieces starting before it reach.
+
+    Weights are numbers or, for many starts at once, arrays.  Lengths are 0 where they don't matter.  back notes the state before, and the piece's length.
+    """
+    at: dict[int, dict] = {}
+    for (p, last), x in states.items():
+        at.setdefault(p, {})[last] = x
+    for p in range(min(at, default=stop), stop):
+        here = at.pop(p, None)
+        for n, weight in steps(text, p, v) if here else ():
+            piece, key = text[p : p + n], n if v.by_rank else 0
+            for last, x in here.items():
+                if fits(text[p - last : p], piece, v):
+                    there, new = at.setdefault(p + n, {}), x + weight
+                    old = there.get(key)
+                    if back is None:
+                        there[key] = new if old is None else np.maximum(old, new)
+                    elif old is None or new > old:
+                        there[key], back[p + n, key] = new, (p, last, n)
+    return {(p, last): x for p, lasts in at.items() for last, x in lasts.items()}
+
+
+def path_ids(text: str, state: tuple[int, int], back: dict, v: Vocabulary) -> list[int]:
+    """Ids of the pieces that lead to a state."""
     parts = []
-    while end in back:
-        hit = v.pieces.get(text[back[end] : end])
-        parts.append((hit[0],) if hit else v.unknown(text[back[end] : end]))
-        end = back[end]
-    return end, [i for p in reversed(parts) for i in p]
+    while state in back:
+        p, last, n = back[state]
+        hit = v.pieces.get(text[p : p + n])
+        parts.append((hit[0],) if hit else v.unknown(text[p : p + n]))
+        state = p, last
+    return [i for part in reversed(parts) for i in part]
 
 
-def known_words(words: Collection[str], v: Vocabulary) -> Callable[[str], tuple[float, bytes]]:
-    """A function from each of the words, which stand between places where all segmentations meet, to its score and ids (int32)."""
+def known_words(words: Collection[str], v: Vocabulary) -> Callable[[str], bytes]:
+    """A function from each of the words, which stand between places where all paths meet, to its ids (int32)."""
     if len(v.remembered) >= REMEMBERED:  # words that come up again move to the new generation
         v.older, v.remembered = v.remembered, {}
     new, long = [], {}
@@ -208,80 +230,26 @@ def known_words(words: Collection[str], v: Vocabulary) -> Callable[[str], tuple[
     for w in needed.difference(v.remembered):
         if (got := v.older.get(w)) is not None:
             v.remembered[w] = got
+        elif not v.by_rank:
+            long[w] = scored_word(w, v)[1]
         elif len(w) <= SHORT:
             new.append(w)
-        elif v.by_rank:
-            long[w] = 0.0, merged_stretch(w, v)
         else:
-            best, back = forward(w, len(w), {0: 0.0}, v)
-            long[w] = best.get(len(w), 0.0), np.array(backtrace(w, len(w), back, v)[1], np.int32).tobytes()
+            long[w] = merged_stretch(w, v)
     for at in range(0, len(new), WORDS_AT_ONCE):
         part = new[at : at + WORDS_AT_ONCE]
-        v.remembered.update(zip(part, (merged_words if v.by_rank else short_words)(part, v)))
+        v.remembered.update(zip(part, merged_words(part, v)))
     known = v.remembered
     for w, parts in split.items():
-        long[w] = 0.0, b"".join([(long.get(x) or known[x])[1] for x in parts])
-    return (lambda w: long.get(w) or known[w]) if long else known.__getitem__
-
+        long[w] = b"".join([long[x] if x in long else known[x] for x in parts])
+    return (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
 
-def joined_ids(words: list[str], lookup: Callable[[str], tuple[float, bytes]]) -> np.ndarray:
-    return np.frombuffer(b"".join([lookup(w)[1] for w in words]), np.int32)
 
-
-def short_words(words: list[str], v: Vocabulary) -> list[tuple[float, bytes]]:
-    """Score and ids of each word: the pieces at all places first, then best scores place by place, for all words together."""
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    size = np.array([len(w) for w in words], np.int64)
-    end = np.cumsum(size)
-    word = np.repeat(np.arange(len(words)), size)
-    offset, limit = np.arange(len(points)) - (end - size)[word], end[word]
-    keys, nodes, ids, scores = v.trie
-    at, node = np.arange(len(points)), np.zeros(len(points), np.int64)
-    unknown, edges = np.ones(len(points), bool), []
-    for n in range(1, v.longest + 1 if len(keys) else 1):
-        inside = at + n <= limit[at]
-        at, node = at[inside], node[inside]
-        key = node << 21 | points[at + n - 1]
-        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[k] == key
-        at, node = at[hit], nodes[k[hit]]
-        whole = ids[node] >= 0
-        edges.append((at[whole], np.full(whole.sum(), n), node[whole]))
-        if n == 1:
-            unknown[at[whole]] = False
-    alone = np.flatnonzero(unknown)
-    edges.append((alone, np.ones(len(alone), np.int64), np.zeros(len(alone), np.int64)))
-    start, length, piece = (np.concatenate(x) for x in zip(*edges))
-    step = offset[start] * (v.longest + 1) + length
-    order = np.argsort(step, kind="stable")
-    start, length, piece, step = start[order], length[order], piece[order], step[order]
-    place = start + word[start]  # each word has one place more than characters
-    goal = place + length
-    best, back = np.full(len(points) + len(words), LOW), np.full(len(points) + len(words), -1)
-    best[end - size + np.arange(len(words))] = 0.0
-    bounds = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step)).tolist() if len(step) else []
-    for a, b in zip(bounds, bounds[1:]):
-        score = best[place[a:b]] + scores[piece[a:b]]
-        won = np.flatnonzero(score > best[goal[a:b]])
-        best[goal[a:b][won]], back[goal[a:b][won]] = score[won], won + a
-    taken, ends = np.full(len(points), -1), end + np.arange(len(words))
-    here = back[ends]
-    while len(here := here[here >= 0]):
-        taken[start[here]] = piece[here]
-        here = back[place[here]]
-    used = np.flatnonzero(taken >= 0)
-    last = np.cumsum(np.bincount(word[used], minlength=len(words))).tolist()
-    strange = {int(w) for w in word[used[taken[used] == 0]]}
-    every, out, first = ids[taken[used]].astype(np.int32), [], 0
-    raw, at_char = every.tobytes(), offset[used]
-    for w, (score, to) in enumerate(zip(best[ends].tolist(), last)):
-        mine = raw[4 * first : 4 * to]
-        if w in strange:
-            parts = zip(every[first:to].tolist(), at_char[first:to].tolist())
-            mine = np.array([x for i, c in parts for x in ((i,) if i >= 0 else v.unknown(words[w][c]))], np.int32).tobytes()
-        out.append((score, mine))
-        first = to
-    return out
+def scored_word(word: str, v: Vocabulary) -> tuple[float, bytes]:
+    """Weight and ids of a word of a unigram model."""
+    back: dict = {}
+    ends = spread(word, {(0, 0): 0.0}, len(word), v, back)
+    return ends.get((len(word), 0), 0.0), np.array(path_ids(word, (len(word), 0), back, v), np.int32).tobytes()
 
 
 def cuts(text: str, v: Vocabulary) -> np.ndarray:
@@ -299,8 +267,8 @@ def stretches(text: str, v: Vocabulary) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:])]
 
 
-def merged_stretch(text: str, v: Vocabulary) -> bytes:
-    """Ids (int32) of one stretch of any length: a heap of merges, best rank first, then leftmost."""
+def merged_ends(text: str, v: Vocabulary) -> list[int]:
+    """Where the pieces of a stretch of any length end: a heap of merges, best rank first, then leftmost."""
     size, find = len(text), v.pieces.get
     end, before = list(range(1, size + 1)), list(range(-1, size - 1))
     heap = [(-hit[1], i, i + 2) for i in range(size - 1) if (hit := find(text[i : i + 2]))]
@@ -319,14 +287,23 @@ def merged_stretch(text: str, v: Vocabulary) -> bytes:
             heapq.heappush(heap, (-hit[1], before[i], to))
     out, i = [], 0
     while i < size:
-        hit = find(text[i : end[i]])
-        out += (hit[0],) if hit else v.unknown(text[i : end[i]])
         i = end[i]
+        out.append(i)
+    return out
+
+
+def merged_stretch(text: str, v: Vocabulary) -> bytes:
+    """Ids (int32) of one stretch."""
+    out, i = [], 0
+    for end in merged_ends(text, v):
+        hit = v.pieces.get(text[i:end])
+        out += (hit[0],) if hit else v.unknown(text[i:end])
+        i = end
     return np.array(out, np.int32).tobytes()
 
 
-def merged_words(words: list[str], v: Vocabulary) -> list[tuple[float, bytes]]:
-    """(0, ids) of each word: in each round every word merges its pair of best rank, for all words together."""
+def merged_words(words: list[str], v: Vocabulary) -> list[bytes]:
+    """Ids (int32) of each word: in each round every word merges its pair of best rank, for all words together."""
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     size = np.array([len(w) for w in words], np.int64)
     word, at = np.repeat(np.arange(len(words)), size), np.arange(len(points))
@@ -372,7 +349,7 @@ def merged_words(words: list[str], v: Vocabulary) -> list[tuple[float, bytes]]:
         if w in strange:
             parts = zip(symbol[first:to].tolist(), at[first:to].tolist())
             mine = np.array([x for i, c in parts for x in ((i,) if 0 <= i < len(v.names) else v.unknown(text[c]))], np.int32).tobytes()
-        out.append((0.0, mine))
+        out.append(mine)
         first = to
     return out
 
@@ -381,26 +358,104 @@ _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MEETING = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
-def meeting_places(text: str, n: int, v: Vocabulary) -> tuple[int, int] | None:
-    """The first and last place before n where all segmentations meet."""
-    if not v.spaces_start_words:
-        return None
-    first = _MEETING.search(text, 0, n)
-    if first is None:
-        return None
-    last = n - 1
-    while not (text[last] == SPACE and text[last - 1] != SPACE):
-        last -= 1
-    return first.start(), last
-
-
-def encode_text(text: str, v: Vocabulary) -> list[int]:
-    """Ids of a whole text, in one piece."""
-    return next(encode_texts([text], v)).tolist()
+@dataclass(frozen=True)
+class Chunk:
+    """text[left : left + n] with what pieces can reach on both sides; k of m chunks of a text."""
+
+    text: str
+    left: int
+    n: int
+    k: int = 0
+    m: int = 1
+
+    def middle(self, v: Vocabulary) -> tuple[int, int] | None:
+        """The first and last place of the chunk where all paths meet, a text's own ends included; None without any."""
+        a, z = self.left, self.left + self.n
+        first, last = a if self.k == 0 else None, z if self.k == self.m - 1 else None
+        if v.spaces_start_words and first is None and (found := _MEETING.search(self.text, a, z)):
+            first = found.start()
+        if first is None:
+            return None
+        if last is None:
+            last = first
+            if v.spaces_start_words:
+                last = z - 1
+                while last > first and not (self.text[last] == SPACE and self.text[last - 1] != SPACE):
+                    last -= 1
+        return first, last
+
+    def words(self, span: tuple[int, int], v: Vocabulary) -> list[str]:
+        return _WORDS.findall(self.text[span[0] : span[1]]) if v.spaces_start_words else [self.text[span[0] : span[1]]] * (span[1] > span[0])
+
+    def entries(self, v: Vocabulary) -> dict[int, tuple[int, int]]:
+        """Numbers of the states at the chunk's start, and their place and length of the last piece in text."""
+        if self.k == 0:
+            return {0: (self.left, 0)}
+        out, size = {}, v.longest + 1
+        for b in range(min(v.longest, len(self.text) - self.left + 1)):
+            if not v.by_rank:
+                out[b * size] = (self.left + b, 0)
+                continue
+            to = self.left + b
+            for last in range(b + 1, min(v.longest, to) + 1):
+                piece = self.text[to - last : to]
+                if (last == 1 or piece in v.pieces) and fits("", piece, v):
+                    out[b * size + last] = (to, last)
+        return out
+
+    def number(self, state: tuple[int, int], v: Vocabulary) -> int:
+        return (state[0] - self.left - self.n) * (v.longest + 1) + state[1]
+
+
+def transfer_matrix(chunk: Chunk, v: Vocabulary) -> tuple[list[int], list[int], np.ndarray]:
+    """Numbers of the states at the chunk's start and end, and the best weights between them."""
+    entries = chunk.entries(v)
+    ins, end, span = list(entries), chunk.left + chunk.n, chunk.middle(v)
+    start = {state: np.where(np.arange(len(ins)) == i, 0.0, LOW) for i, state in enumerate(entries.values())}
+    if span is None:
+        ends = spread(chunk.text, start, end, v)
+        outs = {chunk.number(state, v): x for state, x in ends.items()}
+        return ins, list(outs), np.stack(list(outs.values()), 1) if outs else np.empty((len(ins), 0))
+    first, last = span
+    head = spread(chunk.text, start, first, v)
+    met = [x for (p, _), x in head.items() if p == first]
+    head = np.max(met, 0) if met else np.full(len(ins), LOW)
+    if not v.by_rank:
+        head = head + sum(scored_word(w, v)[0] for w in chunk.words(span, v))
+    tail = spread(chunk.text, {(last, 0): 0.0}, end, v, {}) if last < end else {(end, 0): 0.0}
+    outs = {chunk.number(state, v): x for state, x in tail.items()}
+    return ins, list(outs), head[:, None] + np.array(list(outs.values()))
+
+
+def chunk_ids(chunks: list[Chunk], ways: list[tuple[int, int]], v: Vocabulary) -> Iterator[np.ndarray]:
+    """Ids (int32) of the pieces that start in each chunk, given the states at its start and end; all words are looked up together."""
+    spans = [c.middle(v) for c in chunks]
+    words = [c.words(s, v) if s else [] for c, s in zip(chunks, spans)]
+    lookup = known_words(set().union(*words), v)
+    for chunk, span, inner, (into, out) in zip(chunks, spans, words, ways):
+        if chunk.m == 1:
+            yield np.frombuffer(b"".join(map(lookup, inner)), np.int32)
+            continue
+        size, end = v.longest + 1, chunk.left + chunk.n
+        start = chunk.left + into // size, into % size
+        goal = end + out // size, out % size
+        if span is None:
+            back: dict = {}
+            spread(chunk.text, {start: 0.0}, end, v, back)
+            yield np.array(path_ids(chunk.text, goal, back, v), np.int32)
+            continue
+        first, last = span
+        back, rest = {}, {}
+        met = [(x, state) for state, x in spread(chunk.text, {start: 0.0}, first, v, back).items() if state[0] == first]
+        head = path_ids(chunk.text, max(met, key=lambda x: x[0])[1], back, v)
+        if last < end:
+            spread(chunk.text, {(last, 0): 0.0}, end, v, rest)
+        tail = path_ids(chunk.text, goal, rest, v)
+        yield np.concatenate([np.array(head, np.int32), np.frombuffer(b"".join(map(lookup, inner)), np.int32), np.array(tail, np.int32)])
 
 
 def encode_texts(texts: list[str | None], v: Vocabulary) -> Iterator[np.ndarray | None]:
-    """Ids of whole texts, whose words are looked up together; None for None."""
+    """Ids of whole texts of one chunk each; None for None."""
     first = 0
     while first < len(texts):
         to, chars = first, 0
@@ -408,201 +463,158 @@ def encode_texts(texts: list[str | None], v: Vocabulary) -> Iterator[np.ndarray
             chars += len(texts[to] or "")
             to += 1
         full = [normalise(t or "") for t in texts[first:to]]
-        if v.by_rank or v.spaces_start_words:
-            words = [_WORDS.findall(t) if v.spaces_start_words else [t] for t in full]
-            lookup = known_words(set().union(*words), v)
-            ids = [joined_ids(w, lookup) for w in words]
-        else:
-            ids = [np.array(backtrace(t, len(t), forward(t, len(t), {0: 0.0}, v)[1], v)[1], np.int32) for t in full]
+        ids = chunk_ids([Chunk(t, 0, len(t)) for t in full], [(0, 0)] * len(full), v)
         yield from (None if t is None else i for t, i in zip(texts[first:to], ids))
         first = to
 
 
-def decode_ids(ids, v: Vocabulary) -> str:
-    """The text of ids: bytes join to characters (invalid ones become U+FFFD), spaces come back, the added first one goes."""
-    if v.byte_of.keys().isdisjoint(ids):
-        text = "".join(map(v.names.__getitem__, ids)).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
-    parts, raw = [], bytearray()
-    for i in ids:
-        byte = v.byte_of.get(i)
-        if byte is not None:
-            raw.append(byte)
-            continue
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        parts.append(v.names[i])
-    if raw:
-        parts.append(raw.decode("utf-8", "replace"))
-    text = "".join(parts).replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
-
-
-def transfer_matrix(text: str, n: int, v: Vocabulary) -> list[list[float]]:
-    """Entry (a, b): the best score from place a of the chunk to place n + b, over pieces that start before n."""
-    size = v.longest
-    rows = []
-    meets = meeting_places(text, n, v)
-    if meets is None:
-        for a in range(size):
-            if a >= n:
-                rows.append([0.0 if a == n + b else LOW for b in range(size)])
-                continue
-            best, _ = forward(text, n, {a: 0.0}, v)
-            rows.append([best.get(n + b, LOW) for b in range(size)])
-        return rows
-    first, last = meets
-    words = _WORDS.findall(text[first:last])
-    lookup = known_words(words, v)
-    middle = sum(lookup(w)[0] for w in words)
-    tail, _ = forward(text[last:], n - last, {0: 0.0}, v)
-    out = [tail.get(n - last + b, LOW) for b in range(size)]
-    for a in range(size):
-        head = forward(text[:first], first, {a: 0.0}, v)[0].get(first, LOW) if a <= first else LOW
-        rows.append([head + middle + x for x in out])
-    return rows
-
-
-def chunk_ways(text: str, n: int, start: list[float], v: Vocabulary) -> list[tuple[int, int, list[int]]]:
-    """(b, a, ids): for each reachable way out b, the way in a and the pieces that start in the chunk."""
-    entry = {a: s for a, s in enumerate(start) if s > LOW}
-    meets = meeting_places(text, n, v)
-    if meets is None:
-        best, back = forward(text, n, entry, v)
-        return [(b, *backtrace(text, n + b, back, v)) for b in range(v.longest) if n + b in best]
-    first, last = meets
-    _, back = forward(text[:first], first, {a: s for a, s in entry.items() if a <= first}, v)
-    a, head = backtrace(text, first, back, v)
-    words = _WORDS.findall(text[first:last])
-    middle = joined_ids(words, known_words(words, v)).tolist()
-    best, back = forward(text[last:], n - last, {0: 0.0}, v)
-    return [(b, a, head + middle + backtrace(text[last:], n - last + b, back, v)[1]) for b in range(v.longest) if n - last + b in best]
-
-
-def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The max-plus product of two transfer matrices (or of a row and a matrix)."""
-    return (left[..., :, None] + right).max(-2)
-
-
-def _chunks(text: str, chunk: int, reach: int) -> list[tuple[int, int, str]]:
-    """(number, length, text with what pieces can reach beyond it) of a normalised text's chunks."""
-    return [(k, min(chunk, len(text) - at), text[at : at + chunk + reach]) for k, at in enumerate(range(0, len(text), chunk))]
-
-
-def _parts(text: str, chunk: int, v: Vocabulary) -> list[tuple[int, str]]:
-    """(number, part) of a normalised text, cut at the first places from each chunk's end on that no merge crosses."""
-    places = np.append(cuts(text, v), len(text))
-    ends = np.unique(places[np.searchsorted(places, np.arange(chunk, len(text) + chunk, chunk).clip(max=len(text)))]).tolist()
-    return [(k, text[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends))]
-
-
-def _merged_parts(texts: DataFrame, shared, chunk: int, to: str) -> DataFrame:
-    """(piece_text_, `to`) of distinct long texts t by merge rank, in parts that spread over the cluster."""
-
-    @F.pandas_udf("array<struct<k:int,part:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"k": k, "part": p} for k, p in _parts(normalise(t), chunk, shared.value)] for t in texts])
+def encode_text(text: str, v: Vocabulary) -> list[int]:
+    """Ids of a whole text, in one chunk."""
+    return next(encode_texts([text], v)).tolist()
 
-    @F.pandas_udf("array<int>")
-    def merged(parts: pd.Series) -> pd.Series:
-        v = shared.value
 
-        def ids(part: str) -> np.ndarray:
-            words = _WORDS.findall(part) if v.spaces_start_words else [part]
-            return joined_ids(words, known_words(words, v))
+Matrix = tuple[list[int], list[int], np.ndarray]
 
-        return pd.Series([ids(p) for p in parts], dtype=object)
 
-    parts = texts.select("piece_text_", F.inline(cut(F.col("t")))).repartition("piece_text_", "k")
-    parts = materialise(parts.select("piece_text_", "k", merged(F.col("part")).alias("ids")))
-    whole = parts.groupBy("piece_text_").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c"))
-    return whole.select("piece_text_", F.flatten(F.col("c.ids")).alias(to))
+def _joined(left: Matrix, right: Matrix) -> np.ndarray:
+    """Weights of left (start, state between) and right (state between, end) for all three."""
+    place = {state: i for i, state in enumerate(right[0])}
+    both = [(i, place[state]) for i, state in enumerate(left[1]) if state in place]
+    a, b = [i for i, _ in both], [j for _, j in both]
+    return left[2][:, a, None] + right[2][None, b]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", to: str = "piece_ids", chunk: int = CHUNK) -> DataFrame:
-    """docs with `to`: array<int>, the ids of the whole text.
+def product(matrices: list[Matrix]) -> Matrix:
+    """The max-plus product of neighbours' matrices."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = out[0], m[1], _joined(out, m).max(1, initial=LOW)
+    return out
 
-    A null text gives null, an empty one an empty array.  Repeated rows are encoded alike.  Texts of one chunk are
-    encoded where they are; longer ones, each distinct text once, are split, and their chunks spread over the cluster.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    reach = vocabulary.longest - 1
 
-    @F.pandas_udf("array<int>")
-    def short(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(encode_texts([None if t is None else t for t in texts], shared.value)), dtype=object)
+def route(matrices: list[Matrix], into: int, out: int | None) -> list[tuple[int, int]]:
+    """(state at its start, state at its end) of each of the neighbours on the best way from state `into` to `out` (None: to the best)."""
+    best, origin = {into: 0.0}, []
+    for ins, outs, weights in matrices:
+        known = [(i, best[s]) for i, s in enumerate(ins) if s in best]
+        rows = np.array([w for _, w in known])[:, None] + weights[[i for i, _ in known]]
+        top = rows.argmax(0)
+        origin.append({s: ins[known[t][0]] for s, t, x in zip(outs, top, rows.max(0)) if x > LOW})
+        best = {s: x for s, x in zip(outs, rows.max(0)) if x > LOW}
+    state, ways = max(best, key=best.__getitem__) if out is None else out, []
+    for step in reversed(origin):
+        ways.append((step[state], state))
+        state = step[state]
+    return ways[::-1]
+
+
+MATRIX = "ins:array<int>,outs:array<int>,weights:array<double>"
+
+
+def _matrix(x) -> Matrix:
+    ins, outs = list(x["ins"]), list(x["outs"])
+    return ins, outs, np.reshape(np.asarray(x["weights"], np.float64), (len(ins), len(outs)))
+
 
-    @F.pandas_udf("array<struct<k:int,n:int,part:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"k": k, "n": n, "part": p} for k, n, p in _chunks(normalise(t), chunk, reach)] for t in texts])
+def _plain(m: Matrix) -> dict:
+    """A matrix without the states that no path uses."""
+    some, other = np.flatnonzero((m[2] > LOW).any(1)), np.flatnonzero((m[2] > LOW).any(0))
+    return {"ins": [m[0][i] for i in some], "outs": [m[1][i] for i in other], "weights": m[2][np.ix_(some, other)].ravel()}
 
-    @F.pandas_udf("array<double>")
-    def matrix(parts: pd.Series, lengths: pd.Series) -> pd.Series:
-        return pd.Series([np.ravel(transfer_matrix(p, n, shared.value)) for p, n in zip(parts, lengths)])
 
-    @F.pandas_udf("array<array<double>>")
-    def starts(matrices: pd.Series) -> pd.Series:
-        """The scores at the start of each chunk of a document: running max-plus products."""
+def _cut(rows: DataFrame, text: str, chunk: int, reach: int) -> DataFrame:
+    """rows(row, `text`) as chunks (row, k, m, left, n, part): first slices of many chunks, then these, so a long text is copied twice only."""
 
-        def scan(ms) -> list:
-            row = np.full(reach + 1, LOW)
-            row[0] = 0.0
-            out = []
-            for m in ms:
-                out.append(row)
-                row = combine(row, np.reshape(m, (reach + 1, reach + 1)))
-            return out
+    def spans(length: Column, size: int) -> Column:
+        return F.sequence(F.lit(0), F.call_function("div", length - 1, F.lit(size)).cast("int"))
 
-        return pd.Series([scan(ms) for ms in matrices])
+    wide = SLICE * chunk
+    whole = rows.where(F.length(text) > 0).select("row", F.concat(F.lit(SPACE), F.replace(F.col(text), F.lit(" "), F.lit(SPACE))).alias("whole"))
+    whole = whole.select("row", "whole", F.length("whole").alias("size")).select("row", "whole", "size", F.explode(spans(F.col("size"), wide)).alias("s"))
+    before = F.least(F.lit(reach), F.col("s") * wide)
+    slices = whole.select(
+        "row", "size", "s", before.alias("before"), F.least(F.lit(wide), F.col("size") - F.col("s") * wide).alias("wide"),
+        F.substring("whole", F.col("s") * wide - before + 1, before + wide + reach).alias("slice"),
+    )
+    parts = slices.select("*", F.explode(spans(F.col("wide"), chunk)).alias("j")).withColumn("k", F.col("s") * SLICE + F.col("j"))
+    left = F.least(F.lit(reach), F.col("k") * chunk)
+    return parts.select(
+        "row", "k", F.ceil(F.col("size") / chunk).cast("int").alias("m"), left.alias("left"), F.least(F.lit(chunk), F.col("wide") - F.col("j") * chunk).alias("n"),
+        F.substring("slice", F.col("before") + F.col("j") * chunk - left + 1, left + chunk + reach).alias("part"),
+    )
 
-    @F.pandas_udf("array<struct<b:int,a:int,ids:array<int>>>")
-    def ways(parts: pd.Series, lengths: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([[{"b": b, "a": a, "ids": ids} for b, a, ids in chunk_ways(p, n, list(s), shared.value)] for p, n, s in zip(parts, lengths, start)])
+
+def _scanned(rows: DataFrame, shared, chunk: int, reach: int) -> DataFrame:
+    """(row, ids) of rows(row, text)."""
+
+    @F.pandas_udf(f"struct<{MATRIX}>")
+    def matrix(part: pd.Series, left: pd.Series, n: pd.Series, k: pd.Series, m: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_plain(transfer_matrix(Chunk(*c), shared.value)) for c in zip(part, left, n, k, m)], columns=["ins", "outs", "weights"])
+
+    @F.pandas_udf(f"struct<{MATRIX}>")
+    def combined(groups: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_plain(product([_matrix(x) for x in g])) for g in groups], columns=["ins", "outs", "weights"])
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def routed(groups: pd.Series, into: pd.Series, out: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in route([_matrix(x) for x in g], a, None if b < 0 else b)] for g, a, b in zip(groups, into, out)])
 
     @F.pandas_udf("array<int>")
-    def fitting(chunks: pd.Series, outs: pd.Series, ins: pd.Series) -> pd.Series:
-        """For each chunk the way out that is taken, from the document's end back."""
+    def traced(part: pd.Series, left: pd.Series, n: pd.Series, k: pd.Series, m: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(list(chunk_ids([Chunk(*c) for c in zip(part, left, n, k, m)], list(zip(a, b)), shared.value)), dtype=object)
+
+    parts = materialise(_cut(rows, "text", chunk, reach).repartition("row", "k"))
+    most = parts.agg(F.max("m")).first()[0] or 1
+    level, groups = parts.select("row", "k", matrix("part", "left", "n", "k", "m").alias("x")), []
+    for _ in range(max(1, math.ceil(math.log(most, FAN) - 1e-9))):
+        node = F.call_function("div", F.col("k"), F.lit(FAN)).cast("int")
+        some = level.groupBy("row", node.alias("k")).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"))
+        groups.append(materialise(some.select("row", "k", F.col("xs.x").alias("xs"))))
+        level = groups[-1].select("row", "k", combined("xs").alias("x"))
+    ways = groups[-1].select("row", "k", F.lit(0).alias("a"), F.lit(-1).alias("b"))
+    for some in reversed(groups):
+        inner = some.join(ways, ["row", "k"]).select("row", F.col("k").alias("up"), F.posexplode(routed("xs", "a", "b")).alias("j", "way"))
+        ways = inner.select("row", (F.col("up") * FAN + F.col("j")).alias("k"), "way.a", "way.b")
+    ids = parts.join(ways, ["row", "k"]).select("row", "k", traced("part", "left", "n", "k", "m", "a", "b").alias("ids"))
+    return ids.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c")).select("row", F.flatten(F.col("c.ids")).alias("ids"))
+
 
-        def chain(ks, bs, as_) -> np.ndarray:
-            way = {(k, b): a for k, b, a in zip(ks, bs, as_)}
-            taken, b = np.zeros(max(ks) + 1, np.int32), 0
-            for k in range(max(ks), -1, -1):
-                taken[k], b = b, way[k, b]
-            return taken
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", to: str = "piece_ids", chunk: int = CHUNK) -> DataFrame:
+    """docs with `to`: array<int>, the ids of the whole text; a column of that name is replaced.
+
+    A null text gives null, an empty one an empty array.  Repeated rows are encoded alike.  Texts of one chunk are
+    encoded where they are; longer ones are split, and their chunks spread over the cluster.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(vocabulary)
 
-        return pd.Series([chain(*x) for x in zip(chunks, outs, ins)])
+    @F.pandas_udf("array<int>")
+    def short(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(encode_texts([None if t is None else t for t in texts], shared.value)), dtype=object)
 
     is_long = F.coalesce(F.length(text_col) >= chunk, F.lit(False))
     near = docs.where(~is_long).withColumn(to, short(F.col(text_col)))
-    far = docs.where(is_long).withColumn("piece_text_", F.sha2(F.col(text_col).cast("binary"), 256))
-    texts = far.select("piece_text_", F.col(text_col).alias("t")).dropDuplicates(["piece_text_"])
-    if vocabulary.by_rank:
-        return near.unionByName(far.join(_merged_parts(texts, shared, chunk, to), "piece_text_").drop("piece_text_"))
-    parts = texts.select("piece_text_", F.inline(cut(F.col("t")))).repartition("piece_text_", "k")
-    matrices = materialise(parts.select("piece_text_", "k", matrix(F.col("part"), F.col("n")).alias("matrix")))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "matrix")))
-    scores = matrices.groupBy("piece_text_").agg(ordered.alias("m")).select("piece_text_", F.posexplode(starts(F.col("m.matrix"))).alias("k", "start"))
-    traced = parts.join(scores, ["piece_text_", "k"]).select("piece_text_", "k", F.inline(ways(F.col("part"), F.col("n"), F.col("start"))))
-    traced = materialise(traced)
-    lists = traced.groupBy("piece_text_").agg(F.collect_list(F.struct("k", "b", "a")).alias("w"))
-    taken = lists.select("piece_text_", F.posexplode(fitting(F.col("w.k"), F.col("w.b"), F.col("w.a"))).alias("k", "b"))
-    whole = traced.join(taken, ["piece_text_", "k", "b"]).groupBy("piece_text_").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c"))
-    whole = whole.select("piece_text_", F.flatten(F.col("c.ids")).alias(to))
-    return near.unionByName(far.join(whole, "piece_text_").drop("piece_text_"))
+    row = fresh(docs, "piece_row")
+    far = materialise(docs.where(is_long).withColumn(row, F.monotonically_increasing_id()))
+    found = _scanned(far.select(F.col(row).alias("row"), F.col(text_col).alias("text")), shared, chunk, vocabulary.longest)
+    kept = [c for c in docs.columns if c != to]
+    joined = far.join(found.select(F.col("row").alias(row), F.col("ids").alias(fresh(far, "piece_ids_found"))), row)
+    joined = joined.select(*kept, F.col(joined.columns[-1]).alias(to))
+    return near.select(*kept, to).unionByName(joined)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, *, ids_col: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """docs with the text of each row's ids; null ids give null, no ids an empty text."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    """docs with the text of each row's ids, as built-in expressions; null ids give null, no ids an empty text.
 
-    @F.pandas_udf("string")
-    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([None if x is None else decode_ids(x.tolist(), shared.value) for x in ids])
-
-    return docs.withColumn(to, text_of(F.col(ids_col)))
+    Bytes join to characters (invalid ones become U+FFFD), spaces come back, the added first one goes.  A null among the ids counts as
+    nothing, and an id that the vocabulary lacks raises an error.
+    """
+    raw = [name.replace(SPACE, " ").encode("utf-8", "surrogatepass") for name in vocabulary.names]
+    for byte, i in vocabulary.byte_ids.items():
+        raw[i] = bytes([byte])
+    table = F.split(F.lit(",".join(r.hex() for r in raw)), ",")
+    ids = F.filter(ids_col, lambda i: i.isNotNull())
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")).cast("string"))
+    return docs.withColumn(to, text).withColumn(to, F.when(F.startswith(to, F.lit(" ")), F.substring(to, F.lit(2), F.length(to))).otherwise(F.col(to)))

@@ -68,6 +68,37 @@ def test_chunks_of_a_unigram_vocabulary(spark, chunk):
         assert r.piece_ids == (None if r.text is None else pieces.encode_text(r.text, v)), r.text
 
 
+def chunked(text: str, size: int, v) -> list[pieces.Chunk]:
+    whole, reach = pieces.normalise(text), v.longest
+    m = -(-len(whole) // size)
+    return [pieces.Chunk(whole[max(0, k * size - reach) : (k + 1) * size + reach], min(reach, k * size), min(size, len(whole) - k * size), k, m) for k in range(m)]
+
+
+def test_matrices_combine_in_any_grouping(vocabulary):
+    rng = random.Random(8)
+    for text in ("internationalisation" * 9, "".join(rng.choices("etaoin shrdlu\n", k=300)), "=" * 170, "梦日a" * 40):
+        chunks = chunked(text, 16, vocabulary)
+        matrices = [pieces.transfer_matrix(c, vocabulary) for c in chunks]
+        cut = rng.randrange(1, len(matrices))
+        ends = [pieces.product(x) for x in (matrices, [pieces.product(matrices[:cut]), pieces.product(matrices[cut:])])]
+        assert ends[0][:2] == ends[1][:2] and (ends[0][2] == ends[1][2]).all()
+        assert (ends[0][2] > pieces.LOW).sum() == 1, "one path is left"
+        ways = pieces.route(matrices, 0, None)
+        assert all(a[1] == b[0] for a, b in zip(ways, ways[1:]))
+        assert [i for ids in pieces.chunk_ids(chunks, ways, vocabulary) for i in ids.tolist()] == pieces.encode_text(text, vocabulary)
+
+
+def test_empty_tables_clashing_columns_and_odd_ids(spark, vocabulary):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pieces.decode(pieces.encode(none, vocabulary), vocabulary).columns == ["doc_id", "text", "piece_ids", "decoded"]
+    assert pieces.encode(none, vocabulary).count() == 0
+    odd = spark.createDataFrame([("a b " * 60, 1, 2, [3]), (None, 3, 4, None)], "text string, piece_row int, row int, piece_ids array<int>")
+    got = pieces.encode(odd, vocabulary, chunk=32).orderBy("piece_row").collect()
+    assert [(r.piece_row, r.row, r.piece_ids) for r in got] == [(1, 2, pieces.encode_text("a b " * 60, vocabulary)), (3, 4, None)]
+    ids = spark.createDataFrame([([None, 3 + 0xE2, vocabulary.pieces["\u2581"][0], 3 + 0x41],), ([],), (None,)], "piece_ids array<int>")
+    assert [r.decoded for r in pieces.decode(ids, vocabulary).collect()] == ["\ufffd A", "", None]
+
+
 NOTICES = [
     "", "Licensed under the Apache License, Version 2.0 (the License)", "licensed under the apache license 3", "This code is released under the terms of the MIT License.", "under the MIT license! UNDER the mit, license",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software) to deal in the Software without restriction",
