@@ -1,11 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target in words.  A source's documents are all expected t / s times in the mix (t its
-target, s its size): the whole part of that is allocated as certain copies, and the rest is the inclusion
-probability p of one more copy.  Every document draws u from a hash of its id and is ranked by its random odds
-over its inclusion odds, (u / (1 - u)) / (p / (1 - p)); the source's lowest ranks are taken while their words
-fit what the certain copies leave open, and one document of fitting size closes the gap.  The cut is found with a histogram of the ranks per source,
-so only the rows of one histogram bin per source are ever ordered.
+Each source gets a target in words.  A document's expected number of copies grows with a power of its size, as far as `most` copies, at a rate
+per source with which the expected words meet the target.  Its whole part is allocated as certain copies, and the rest is the inclusion
+probability p of one more.  Every document draws u from a hash of its id and text and is ranked by its random odds over its inclusion
+odds, (u / (1 - u)) / (p / (1 - p)).  Within a source, documents of like size form a stratum, and the n of lowest rank are taken in each, where n
+is fixed: the sums of p over strata, rounded so that no running sum is off by one or more.  As sizes in a stratum are alike, fixed
+counts keep the words near the target.  Documents of more than a quarter of the target are certain or out, since one more or less would miss it.
+At last a few documents go in or out where that brings a source nearer to its target.
+
+The n-th rank is found with a histogram of the ranks in each stratum, so only the rows of one histogram bin are ever ordered, and rows that are equal
+in everything count as one there.
 """
 
 from __future__ import annotations
@@ -13,16 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise, ranked, small_or_shuffled
 
 #: Fixed values of the mixing contract.
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 
-#: Per-source rows are broadcast up to this many sources; beyond, the join shuffles.
-BROADCAST_SOURCES = 100_000
-BINS = 4096
+#: Expected copies grow as size to this power (0: all documents of a source alike).
+POWER = 0.5
+#: Bins of a histogram of ranks, and strata in a doubling of size.
+BINS, STRATA = 4096, 2
+#: Share of the target beyond which a document is too large to be drawn, and documents of a source that may go in or out at last.
+LARGE, MOVES = 0.25, 8
 
 
 def words(text: Column) -> Column:
@@ -41,117 +48,179 @@ def source_key(source: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """(key, source_size, target) from rows (key, source, size).
 
-    Sources by code point, null last, weigh `weights` in turn and share all words.  No target passes `most` times
-    its source: with sources in order of cap by weight, those that reach their cap are a prefix, so one pass of
-    running sums over the sources finds the level at which the rest share by weight.
+    Sources by code point, null last, weigh `weights` in turn and share all words.  No target passes `most` times its source: the level at
+    which the others share by weight rises until no further source reaches its cap.  Only sums reach the driver.
     """
     per = sizes.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double"))
-    per = per.withColumn("cap", F.col("source_size").cast("double") * most)
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "key").rowsBetween(Window.unboundedPreceding, -1)
-    per = (
-        per.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("left_words", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("left_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.greatest(F.lit(0.0), F.col("left_words")) / F.col("left_weight"))
-        .withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
-        .withColumn("nth", F.row_number().over(Window.orderBy(F.col("cap") / F.col("weight"), "key")))
-        .withColumn("share", F.min_by("level", F.when(~F.col("capped"), F.col("nth"))).over(everything))
-    )
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight")))
+    per = ranked(per, F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = materialise(per.select("key", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap")))
+    level, before = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("cap") <= F.lit(level) * F.col("weight")
+        r = per.agg(F.sum("source_size").alias("total"), F.sum(F.when(over, F.col("cap"))).alias("caps"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count_if(over).alias("n")).first()
+        if r.n == before or not r.weight:
+            break
+        level, before = ((r.total or 0) - (r.caps or 0)) / r.weight, r.n
+    target = F.least(F.col("cap").cast("double"), F.lit(level or 0.0) * F.col("weight"))
     return per.select("key", "source_size", target.alias("target"))
 
 
-def with_sources(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Joins rows to their source's row: a broadcast where the count of sources allows one, else a shuffle that AQE can split."""
-    small = per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return rows.join(F.broadcast(per_source) if small else per_source, "key")
+def copy_rates(sizes: DataFrame, most: int, power: float) -> DataFrame:
+    """(key, rate) from (key, size, n, source_size, target), a row for each size of a source: expected copies are min(most, rate * size ** power).
 
+    Large documents count with their whole copies.  Of the others the largest sizes reach `most` first.  The rate is that of the largest size which doesn't, null where all do.  A source has no more sizes than its
+    longest document has words, however many documents it has.
+    """
+    words = F.col("size") * F.col("n")
+    certain = F.sum(F.when(large(), words * certain_copies(most))).over(Window.partitionBy("key"))
+    sizes = sizes.withColumn("certain", F.coalesce(certain, F.lit(0))).where(~large()).withColumn("target", F.col("target") - F.col("certain"))
+    larger = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    capped = F.coalesce(F.sum(words * most).over(larger), F.lit(0))
+    free = F.sum(words * importance(F.col("size"), power)).over(others)
+    rate = F.when(free > 0, (F.col("target") - capped) / free)
+    fitting = sizes.select("key", "size", rate.alias("rate")).where((F.col("rate") >= 0) & (F.col("rate") * importance(F.col("size"), power) < most))
+    return fitting.groupBy("key").agg(F.max_by("rate", "size").alias("rate"))
 
-def mix_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """How often the mix takes each document: (id, tie, size, source_size, target, copies) and carry_<column>s.
 
-    Null texts and texts without words have size 0, and null is a source like any other.  Reruns agree, since ranks
-    come from hashes of the id and text; ties in rank are broken by text and size, and identical rows are
-    interchangeable.  An empty table gives no rows.
+def large() -> Column:
+    return F.col("size") > F.col("target") * LARGE
+
+
+def certain_copies(most: int) -> Column:
+    """Copies of a large document."""
+    return F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") + 1e-9)).cast("int"), F.lit(most))
+
+
+def importance(size: Column, power: float) -> Column:
+    return F.pow(F.greatest(size, F.lit(1)).cast("double"), F.lit(power))
+
+
+def stratum(size: Column) -> Column:
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * STRATA).cast("int")
+
+
+def _uniform(*of: Column) -> Column:
+    return (F.shiftrightunsigned(F.xxhash64(*of), 11) + 0.5) / float(2**53)
+
+
+def planned(rows: DataFrame, weights: tuple[int, ...], most: int, power: float, seed: int, close: bool = True) -> DataFrame:
+    """Materialised rows(row, source, key, size, u, tie, ...) with source_size, target, expected and copies.
+
+    What a row needs to decide is its source's rate and its stratum's cut, so rows are never matched with one another.
     """
+    sizes = materialise(rows.groupBy("key", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")))
+    targets = materialise(source_targets(sizes.select("key", "source", (F.col("size") * F.col("n")).alias("size")), weights, most))
+    sizes = sizes.drop("source").join(small_or_shuffled(targets), "key")
+    rates = materialise(targets.join(copy_rates(sizes, most, power), "key", "left"))
+    rates = small_or_shuffled(rates)
+
+    def with_expected(d: DataFrame) -> DataFrame:
+        drawn = F.coalesce(F.least(F.col("rate") * importance(F.col("size"), power), F.lit(float(most))), F.lit(float(most)))
+        d = d.withColumn("expected", F.when(F.col("source_size") == 0, 0.0).when(large(), certain_copies(most)).otherwise(drawn).cast("double"))
+        d = d.withColumn("whole", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("whole"))
+        return d.withColumn("stratum", stratum(F.col("size")))
+
+    # How many of each stratum: running sums of p by size, moved by one random offset for each source and cut to whole numbers.
+    upto = F.sum(F.col("n") * F.col("p")).over(Window.partitionBy("key").orderBy("size")) + _uniform(F.col("key"), F.lit(seed))
+    each = with_expected(sizes.select("key", "size", "n").join(rates, "key")).withColumn("upto", upto)
+    each = each.groupBy("key", "stratum").agg(F.max(F.floor(F.col("upto") + 1e-9)).alias("last"))
+    first = F.coalesce(F.lag("last").over(Window.partitionBy("key").orderBy("stratum")), F.lit(0))
+    wanted = materialise(each.select("key", "stratum", (F.col("last") - first).alias("wanted")))
+
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    lot = with_expected(rows.join(rates, "key")).withColumn("q", F.when(F.col("p") > 0, odds))
+    lot = lot.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
+    place = ["key", "stratum"]
+
+    def first_past(counts: DataFrame, *order: str) -> DataFrame:
+        """Of rows (key, stratum, ..., m, need), in order, the one with which running sums of m reach need, and the need left at it."""
+        run = F.sum("m").over(Window.partitionBy(*place).orderBy(*order))
+        found = counts.withColumn("run", run).where((F.col("run") >= F.col("need")) & (F.col("run") - F.col("m") < F.col("need")))
+        return materialise(found.withColumn("need", F.col("need") - F.col("run") + F.col("m")).drop("run"))
+
+    bins = lot.where("q is not null").groupBy(*place, "bin").agg(F.count("*").alias("m"))
+    at = first_past(bins.join(small_or_shuffled(wanted.withColumnRenamed("wanted", "need")), place).where("need > 0"), "bin")
+    at = at.select(*place, F.col("bin").alias("cut_bin"), "need")
+    ties = lot.join(small_or_shuffled(at), place).where("bin = cut_bin").groupBy(*place, "q", "tie", "need").agg(F.count("*").alias("m"))
+    tied = first_past(ties, "q", "tie")
+    cuts = tied.select(*place, F.col("q").alias("cut_q"), F.col("tie").alias("cut_tie"), F.when(F.col("need") < F.col("m"), F.col("need")).alias("need"))
+    # Of equal rows as many as are wanted, by their numbers: first the partition of the last one, then its place there.
+    some = cuts.where("need is not null")
+    if some.isEmpty():
+        cuts = cuts.select(*place, "cut_q", "cut_tie", F.lit(2**63 - 1).alias("cut_row"))
+    else:
+        equal = lot.select(*place, "q", "tie", "row", F.shiftright("row", 33).alias("part")).join(small_or_shuffled(some), place).where("q = cut_q and tie = cut_tie")
+        parts = first_past(equal.groupBy(*place, "part", "need").agg(F.count("*").alias("m")), "part").select(*place, F.col("part").alias("cut_part"), F.col("need").alias("nth"))
+        nth = F.row_number().over(Window.partitionBy(*place).orderBy("row"))
+        last = equal.join(small_or_shuffled(parts), place).where("part = cut_part").withColumn("i", nth).where("i = nth").select(*place, F.col("row").alias("cut_row"))
+        cuts = materialise(cuts.drop("need").join(materialise(last), place, "left").withColumn("cut_row", F.coalesce("cut_row", F.lit(2**63 - 1))))
+    cuts = small_or_shuffled(cuts)
+
+    before = (F.col("q") < F.col("cut_q")) | ((F.col("q") == F.col("cut_q")) & ((F.col("tie") < F.col("cut_tie")) | ((F.col("tie") == F.col("cut_tie")) & (F.col("row") <= F.col("cut_row")))))
+    lot = lot.join(cuts, place, "left").withColumn("extra", F.coalesce(before, F.lit(False)).cast("int"))
+
+    out = [*rows.columns, "source_size", "target", "expected", (F.col("whole") + F.col("extra")).cast("int").alias("copies")]
+    if not close:
+        return lot.select(*out)
+    # Moves are found by size alone, one for each source in a round: the size that leaves the least gap if a document of it goes in or out.
+    free = (F.col("size") > 0) & ((F.col("extra") == 1) | (F.col("whole") < most))
+    state = materialise(lot.groupBy("key", "size", "whole", "extra").agg(F.count("*").alias("n")))
+    gaps = state.groupBy("key").agg(F.sum(F.col("size") * (F.col("whole") + F.col("extra")) * F.col("n")).alias("words"))
+    gaps = materialise(gaps.join(targets, "key").select("key", (F.col("target") - F.col("words")).alias("gap")))
+    state, moves = state.where(free).groupBy("key", "size", "extra").agg(F.sum("n").alias("n")), None
+    for _ in range(MOVES):
+        left = (F.col("gap") > 0) == (F.col("extra") == 0)
+        miss = F.abs(F.abs("gap") - F.col("size"))
+        step = state.join(small_or_shuffled(gaps), "key").where(left & (F.col("n") > 0) & (miss < F.abs("gap")))
+        step = materialise(step.groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "size", "extra")).alias("to")).select("key", "to.size", "to.extra"))
+        if step.isEmpty():
+            break
+        moves = step if moves is None else moves.unionByName(step)
+        words = F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size"))
+        gaps = materialise(gaps.join(step.select("key", words.alias("words")), "key").select("key", (F.col("gap") - F.col("words")).alias("gap")))
+        state = materialise(state.unionByName(step.withColumn("n", F.lit(-1).cast("long"))).groupBy("key", "size", "extra").agg(F.sum("n").alias("n")))
+    if moves is None:
+        return lot.select(*out)
+    moves = materialise(moves.groupBy("key", "size", "extra").agg(F.count("*").alias("times")))
+    nth = F.row_number().over(Window.partitionBy("key", "size", "extra").orderBy("tie", "row"))
+    one = lot.where(free).select("key", "size", "extra", "tie", "row").join(small_or_shuffled(moves), ["key", "size", "extra"])
+    one = one.withColumn("nth", nth).where(F.col("nth") <= MOVES).where("nth <= times").select("row", (1 - F.col("extra")).alias("moved"))
+    lot = lot.join(small_or_shuffled(materialise(one)), "row", "left").withColumn("extra", F.coalesce("moved", "extra"))
+    return lot.select(*out)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, **carry: Column) -> DataFrame:
     text = F.col(text_col)
-    unit = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), text, F.lit(seed)), 11) + 0.5) / float(2**53)
-    rows = materialise(
+    return materialise(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"),
-            words(text).alias("size"), unit.alias("u"), identity(F.col(id_col), text).alias("tie"), F.monotonically_increasing_id().alias("row"),
-            *[F.col(c).alias(f"carry_{c}") for c in carry],
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"), words(text).alias("size"),
+            _uniform(F.col(id_col), text, F.lit(seed)).alias("u"), identity(F.col(id_col), text).alias("tie"), F.monotonically_increasing_id().alias("row"),
+            *[c.alias(name) for name, c in carry.items()],
         )
     )
-    per = source_targets(rows.select("key", "source", "size"), weights, most)
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per = materialise(
-        per.withColumn("expected", F.least(expected, F.lit(float(most)))).withColumn("whole", F.floor("expected"))
-        .withColumn("p", F.col("expected") - F.col("whole"))
-        .withColumn("open", F.col("target") - F.col("whole") * F.col("source_size"))
-    )
-    odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-    ranked = with_sources(rows.drop("source"), per).withColumn("q", odds)
-    ranked = ranked.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS))
-
-    bins = ranked.where("q is not null").groupBy("key", "bin").agg(F.sum("size").alias("w"))
-    upto = F.sum("w").over(Window.partitionBy("key").orderBy("bin"))
-    cut = materialise(
-        with_sources(bins.withColumn("upto", upto), per.select("key", "open")).where(F.col("upto") >= F.col("open"))
-        .groupBy("key").agg(F.min(F.struct("bin", (F.col("upto") - F.col("w")).alias("before"))).alias("at"))
-        .select("key", F.col("at.bin").alias("cut_bin"), F.col("at.before").alias("before"))
-    )
-    ranked = ranked.join(F.broadcast(cut) if cut.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else cut, "key", "left")
-
-    # A source without a cut (rounding aside: p = 0) takes nothing beyond its whole copies, or every bin if all fall short.
-    inside = F.col("bin") < F.coalesce("cut_bin", F.lit(BINS + 1))
-    edge = ranked.where("bin = cut_bin")
-    order = Window.partitionBy("key").orderBy("q", "tie", "size")
-    edge = edge.withColumn("run", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("extra", (F.col("run") <= F.col("open")).cast("int")).drop("run")
-    rest = ranked.where("q is null or cut_bin is null or bin <> cut_bin").withColumn("extra", F.coalesce(inside & F.col("q").isNotNull(), F.lit(False)).cast("int"))
-    placed = rest.unionByName(edge)
-
-    # The lowest ranks that fit are in.  Of the others the one whose size comes nearest to the words still open goes in too.
-    gaps = placed.groupBy("key").agg((F.first("open") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
-    miss = F.abs(F.col("gap") - F.col("size"))
-    fill = (
-        with_sources(placed.where("extra = 0 and q is not null").select("key", "size", "q", "tie", "row"), materialise(gaps)).where(miss < F.col("gap"))
-        .groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "q", "tie", "row")).alias("best")).select("key", F.col("best.row").alias("best"))
-    )
-    fill = materialise(fill)
-    out = placed.join(F.broadcast(fill) if fill.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else fill, "key", "left")
-    out = out.withColumn("extra", F.when(F.col("row") == F.col("best"), 1).otherwise(F.col("extra")))
-    kept = ["id", "tie", "size", "source_size", "target", *[c for c in rows.columns if c.startswith("carry_")]]
-    return out.select(*kept, (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
 
 
-#: Rows of a mix that are broadcast at most.
-BROADCAST_ROWS = 500_000
+def mix_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, power: float = POWER, close: bool = True,
+) -> DataFrame:
+    """How often the mix takes each document: (id, source, size, source_size, target, expected, copies).
 
+    Null texts and texts without words have size 0 (and the chance of a text of one word), and null is a source like any other.  Reruns agree, since
+    ranks come from hashes of the id and text; identical rows are interchangeable.  A source without words takes nothing.  An empty table gives no rows.
+    Without `close` the Pareto sample stays as it is drawn, with no document moved in or out for the sake of the target.
+    """
+    mix = planned(_rows(docs, id_col, text_col, source_col, seed), weights, most, power, seed, close)
+    return mix.select("id", "source", "size", "source_size", "target", "expected", "copies")
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it, with its own columns.
 
-    Rows are matched to the mix by id and a hash of id and text, nulls included.  Only where rows repeat both are they
-    numbered as well, so that each stands for one row of the mix.
-    """
-    plan = mix_documents(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).select("tie", F.col("id").alias("mix_id_"), "copies")
-    plan = materialise(plan)
-    keyed = docs.withColumn("mix_tie_", identity(F.col(id_col), F.col(text_col)))
-    if plan.groupBy("tie", "mix_id_").count().where("count > 1").isEmpty():
-        plan, keyed = plan.withColumn("n", F.lit(1)), keyed.withColumn("mix_n_", F.lit(1))
-    else:
-        plan = plan.withColumn("n", F.row_number().over(Window.partitionBy("tie", "mix_id_").orderBy("copies")))
-        keyed = keyed.withColumn("mix_n_", F.row_number().over(Window.partitionBy("mix_tie_", id_col).orderBy("mix_tie_")))
-    plan = plan.where("copies > 0")
-    plan = F.broadcast(plan) if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else plan
-    on = (F.col("mix_tie_") == F.col("tie")) & F.col(id_col).eqNullSafe(F.col("mix_id_")) & (F.col("mix_n_") == F.col("n"))
-    out = keyed.join(plan, on).withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+def mixed(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, power: float = POWER,
+) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, with its own columns.  The rows are materialised once."""
+    mix = planned(_rows(docs, id_col, text_col, source_col, seed, whole_row=F.struct(*[F.col(f"`{c}`") for c in docs.columns])), weights, most, power, seed)
+    times = fresh(docs, "mix_copy")
+    return mix.where("copies > 0").select("whole_row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(times)).drop(times)

@@ -23,7 +23,7 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "expected")
 
 
 def op8_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

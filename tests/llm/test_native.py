@@ -52,16 +52,16 @@ def test_empty_tables(spark):
 
 
 def test_mix_reaches_its_targets(spark, docs):
-    got = mixing.mix_documents(docs, carry=("source",)).collect()
+    got = mixing.mix_documents(docs).collect()
     size = Counter()
     for r in ROWS:
         size[r[2]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
     assert sum(r["size"] for r in got) == sum(size.values()) and len(got) == len(ROWS)
     taken, target = Counter(), {}
     for r in got:
-        assert r.source_size == size[r.carry_source] and 0 <= r.copies <= 3
-        taken[r.carry_source] += r.copies * r["size"]
-        target[r.carry_source] = r.target
+        assert r.source_size == size[r.source] and 0 <= r.copies <= 3
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
     # Weights 5, 2, 1, 5 for s0, s1, s2 and null, with no target above three times its source.
     left, weight, want = set(size), {"s0": 5, "s1": 2, "s2": 1, None: 5}, {}
     while left:
@@ -72,7 +72,7 @@ def test_mix_reaches_its_targets(spark, docs):
     assert target == pytest.approx(want)
     assert all(abs(taken[s] - want[s]) <= 8 for s in want if s != "s2")
     again = mixing.mix_documents(docs).collect()
-    assert Counter((r.id, r.tie, r.copies) for r in again) == Counter((r.id, r.tie, r.copies) for r in got)
+    assert Counter((r.id, r["size"], r.copies) for r in again) == Counter((r.id, r["size"], r.copies) for r in got)
 
 
 def test_mixed_rows_repeat_as_planned(spark, docs):
@@ -85,6 +85,42 @@ def test_mixed_rows_repeat_as_planned(spark, docs):
     assert Counter(r.doc_id for r in rows.collect()) == +want
 
 
+def test_inclusion_follows_unequal_probabilities(spark):
+    """240 sources that each hold the same sizes are 240 draws: shares of extra copies against p, and fixed counts."""
+    sizes = [1, 3, 4, 6, 9, 12, 12, 20, 25, 33, 40, 60] * 3
+    docs = spark.createDataFrame([(n, "w " * w, f"s{k:03d}") for k in range(240) for n, w in enumerate(sizes, 1000 * k)], "doc_id long, text string, source string")
+    got = mixing.mix_documents(docs, close=False).collect()
+    by_weight: dict[float, list] = defaultdict(list)
+    for r in got:
+        by_weight[round(r.target, 6)].append(r)
+    assert len(by_weight) == 3
+    for target, rows in by_weight.items():
+        draws, hit, expected, words, counts = len(rows) / len(sizes), Counter(), {}, Counter(), Counter()
+        for r in rows:
+            expected[r["size"]], hit[r["size"]] = r.expected, hit[r["size"]] + r.copies
+            words[r.source] += r.copies * r["size"]
+            counts[r.source] += r.copies
+        assert sum(w * expected[w] for w in sizes) == pytest.approx(target)
+        assert expected[60] > 1.5 * expected[12] > 0 or expected[60] == 3, "larger documents are likelier"
+        for w, e in expected.items():
+            n, p = draws * sizes.count(w), e % 1
+            assert abs(hit[w] - n * e) <= 4 * (n * p * (1 - p)) ** 0.5 + 0.05 * n, (w, e, hit[w] / n)
+        assert max(counts.values()) - min(counts.values()) <= 1, "counts are fixed but for rounding"
+    words = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        words[r.source, r.target] += r.copies * r["size"]
+    assert max(abs(x - target) for (_, target), x in words.items()) <= 2, "near the target in every draw"
+
+
+def test_a_hot_row_is_taken_in_part(spark):
+    docs = spark.range(900).selectExpr("CASE WHEN id < 300 THEN 1 ELSE id END AS doc_id", "CASE WHEN id < 300 THEN 'a b c d' ELSE 'e f g h' END AS text", "CASE WHEN id < 450 THEN 'a' ELSE 'b' END AS source").repartition(6)
+    got = mixing.mix_documents(docs).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * 4 for r in mine) - mine[0].target) <= 4
+        assert len({r.copies for r in mine}) <= 2
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     found = []
     for n, rule in enumerate(secrets.RULES):
