@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, small_or_shuffled
-from .vectors import bounded_sample, by_length, stack, usable_vectors
+from .vectors import bounded_sample, by_length, stack, usable_vectors, vector
 
 #: Least and largest bound on the sample that codebooks and calibration are fitted on, and its rows for each codeword of a half.
 SAMPLE, MOST_SAMPLE, PER_WORD = 4096, 65_536, 16
@@ -190,7 +190,7 @@ def _met(classes: DataFrame, total: int, threshold: float, recall: float) -> Dat
 
     listed = materialise(classes.select("id", "n", "v", cells(F.col("v")).alias("visits"))).withColumn("home", F.element_at("visits", 1))
     members = listed.select("id", "n", "v", "home", "visits", F.col("home").alias("cell"), F.lit(True).alias("member"))
-    visitors = listed.select("id", "n", "v", "home", "visits", F.explode("visits").alias("cell"), F.lit(False).alias("member"))
+    visitors = listed.select("id", "n", "v", "home", F.lit(None).cast("array<int>").alias("visits"), F.explode("visits").alias("cell"), F.lit(False).alias("member"))
 
     # Cells are at most the codewords squared; their counts are broadcast where that is few.
     counts = members.groupBy("cell").agg(F.count("*").alias("m")).join(visitors.groupBy("cell").agg(F.count("*").alias("q")), "cell")
@@ -216,7 +216,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     classes = rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
     parts = [_met(part, total, threshold, recall) for total, part in by_length(classes)]
-    plain = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    plain = df.select(F.col(id_col).alias("id"), vector(df, vector_col).alias("v"))
     if not parts:
         return plain.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]

@@ -171,7 +171,7 @@ def search_lists(queries: pd.DataFrame, posts: pd.DataFrame, index: PermutationI
 
 def _search_length(rows: DataFrame, total: int, k: int, recall: float) -> DataFrame:
     spark = rows.sparkSession
-    norm = math.sqrt(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0])
+    norm = math.sqrt(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0])
     index = fitted_index(bounded_sample(rows, SAMPLE, "pivots"), norm, total, k, recall=recall)
     shared = spark.sparkContext.broadcast(index)
 

@@ -21,9 +21,15 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def vector(df: DataFrame, vector_col: str) -> Column:
+    """The vectors as doubles, or as they are where they are floats already: these are half as large to move, and Python widens them exactly."""
+    kind = df.schema[vector_col].dataType
+    return F.col(vector_col) if kind.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")
+
+
 def usable_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(row, id, v) of the vectors that take part, with a number of the row that stays: the rows are materialised once."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")))
+    rows = df.select(F.col(id_col).alias("id"), vector(df, vector_col).alias("v")).where(usable(F.col("v")))
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
