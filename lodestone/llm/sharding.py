@@ -66,15 +66,15 @@ def _split(rows: DataFrame, table: list[dict]) -> DataFrame:
 
 def shard_documents(
     docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, carry: tuple[str, ...] = (),
-    tolerance: float = 0.002, first_probes: int = 4096, probes: int = 64, leaf_share: float = 1 / 2048,
+    tolerance: float = 0.002, group_share: float = 0.02, first_probes: int = 4096, probes: int = 64, leaf_share: float = 1 / 2048,
 ) -> DataFrame:
     """Shards of near-equal bytes: (id, size, crc, shard, slot) and the carried columns, named carry_<column>.
 
     A boundary is in tolerance when it misses its byte target by at most `tolerance` of a mean shard, or when
     the rows on its two sides are neighbours.  An interval is split further while it holds more than `leaf_share`
     of all rows, so no text, id or repeated row, however frequent, gathers in one task.  Slots count from 0
-    without gaps in key order.  Equal texts are neighbours in that order, so a group stays in one shard unless
-    a boundary has to fall inside it.  Nulls, empty texts and repeated rows are ordinary rows; an empty table
+    without gaps in key order.  Equal texts are neighbours in that order, and a group of them is split over shards only
+    if it holds more than `group_share` of a mean shard's bytes.  Identical rows are interchangeable between reruns.  Nulls, empty texts and repeated rows are ordinary rows; an empty table
     gives an empty result.
     """
     keyed = keyed_rows(docs, id_col, text_col, overhead, carry)
@@ -86,12 +86,21 @@ def shard_documents(
     allowed, most, fresh = tolerance * total / shards, max(1, int(count * leaf_share)), first_probes
     targets = [total * j / shards for j in range(1, shards)]
 
+    def together(parts: list[dict]) -> list[bool]:
+        """For each interval whether it belongs to one group of equal texts that stays together."""
+        alone = [x["min_k1"] == x["max_k1"] for x in parts]
+        held: dict[int, int] = {}
+        for x, one in zip(parts, alone):
+            if one:
+                held[x["min_k1"]] = held.get(x["min_k1"], 0) + x["bytes"]
+        return [one and held[x["min_k1"]] <= group_share * total / shards for x, one in zip(parts, alone)]
+
     while True:
-        ends, wanted, at = list(accumulate(x["bytes"] for x in leaves)), set(), 0
+        ends, wanted, at, whole = list(accumulate(x["bytes"] for x in leaves)), set(), 0, together(leaves)
         for t in targets:
             while at < len(ends) and ends[at] < t:
                 at += 1
-            if at < len(ends) and leaves[at]["rows"] > 1 and min(ends[at] - t, t - (ends[at] - leaves[at]["bytes"])) > allowed:
+            if at < len(ends) and leaves[at]["rows"] > 1 and not whole[at] and min(ends[at] - t, t - (ends[at] - leaves[at]["bytes"])) > allowed:
                 wanted.add(at)
         wanted |= {i for i, x in enumerate(leaves) if x["rows"] > most}
         table = []
@@ -109,11 +118,13 @@ def shard_documents(
             by_parent[owner[x["iv"]]].append(x)
         leaves = [y for x in leaves for y in by_parent.get(x["iv"], [x])]
 
+    whole = together(leaves)
     ends, cuts, at = [0, *accumulate(x["bytes"] for x in leaves)], [], 0
+    edges = [i for i in range(len(ends)) if not (0 < i < len(leaves) and whole[i] and whole[i - 1] and leaves[i]["min_k1"] == leaves[i - 1]["min_k1"])]
     for t in targets:
-        while at + 1 < len(ends) and abs(ends[at + 1] - t) <= abs(ends[at] - t):
+        while at + 1 < len(edges) and abs(ends[edges[at + 1]] - t) <= abs(ends[edges[at]] - t):
             at += 1
-        cuts.append(at)
+        cuts.append(edges[at])
     plan, shard, base = [], 0, 0
     for i, x in enumerate(leaves):
         while shard < len(cuts) and cuts[shard] <= i:

@@ -43,6 +43,21 @@ def test_shards_of_many_rows_are_even(spark):
     assert len(held) == 40 and all(abs(b - mean) < 0.02 * mean for b in held.values())
 
 
+def test_groups_of_equal_texts_stay_together(spark):
+    """Copies of many texts, one of them with many rows and few bytes, and one larger than a shard."""
+    small = spark.range(30_000).selectExpr("id AS doc_id", "repeat('y', cast(id % 40 as int)) || cast(id / 3 as int) AS text")
+    empty = spark.range(6000).selectExpr("id AS doc_id", "cast(null as string) AS text")
+    hot = spark.range(4000).selectExpr("id AS doc_id", "repeat('hot ', 30) AS text")
+    placed = sharding.shard_documents(small.unionByName(empty.limit(400)).unionByName(hot), 40, leaf_share=1 / 128).collect()
+    held, shards = Counter(), defaultdict(set)
+    for r in placed:
+        held[r.shard] += r["size"]
+        shards[r.crc].add(r.shard)
+    mean = sum(held.values()) / 40
+    assert len(held) == 40 and all(abs(b - mean) < 0.03 * mean for b in held.values())
+    assert [crc for crc, s in shards.items() if len(s) > 1] == [zlib.crc32(b"hot " * 30)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert sharding.shard_documents(none, 8).count() == 0
