@@ -28,17 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, small_batches
+from .common import connected_components, materialise, small_batches, small_or_shuffled
 
 #: Words of a shingle and least similarity.
 WORDS, THRESHOLD = 5, 0.8
 #: Registers of a band and bands: a pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^7)^36 > 0.9997.
 ROWS, BANDS = 7, 36
 REGISTERS = ROWS * BANDS
-#: Pairs are compared exactly if their registers agree up to four standard errors below the threshold.
+#: Pairs are compared exactly if their registers agree up to four standard errors below the threshold, which 1 pair of 30,000 at the threshold misses.
 CLOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / REGISTERS)
-#: Ids that are broadcast at most; texts and shingles of a block; rows of a Python call; shingles handled at a time.
-BROADCAST_IDS, BLOCK, BLOCK_SHINGLES, SLOT, PIECE = 500_000, 512, 1 << 22, 4096, 1 << 20
+#: Rows of a digest that count as many; texts and shingles of a block; rows of a Python call; shingles handled at a time.
+HOT, BLOCK, BLOCK_SHINGLES, SLOT, PIECE = 1000, 512, 1 << 22, 4096, 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -59,7 +59,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -144,22 +144,22 @@ def _add_points(group: list, first: np.ndarray, value: np.ndarray) -> None:
             seed, doc, count, low, span, time = (x[on] for x in (seed, doc, count, low, span, time))
 
 
+def digest(words: list[str], text: str) -> bytes:
+    """What texts of equal words share; of texts without words, equal texts."""
+    return hashlib.md5(" ".join(words).encode() if words else b"\0" + text.encode("utf-8", "surrogatepass")).digest()
+
+
 def sketch(texts: list[str]) -> tuple[list[bytes], list, list]:
     """For each text: a digest that equal word sequences share, its band hashes, and one byte of each register (None without words)."""
     words = [words_of(t) for t in texts]
     value = signatures([shingles(w) for w in words])
     factors = np.array([_FACTORS[i % WORDS] + _U(2 * i) for i in range(ROWS)], np.uint64)
     bands = mix((value.reshape(len(texts), BANDS, ROWS) * factors).sum(2) + np.arange(BANDS, dtype=np.uint64) * _GOLD)
-    digests = [hashlib.md5(" ".join(w).encode() if w else b"\0" + t.encode("utf-8", "surrogatepass")).digest() for w, t in zip(words, texts)]
+    digests = list(map(digest, words, texts))
     low = (value & _U(255)).astype(np.uint8)
     return digests, [b.view(np.int64) if w else None for b, w in zip(bands, words)], [x.tobytes() if w else None for x, w in zip(low, words)]
 
 
-def _small_or_shuffled(ids: DataFrame) -> DataFrame:
-    """ids with a broadcast hint if they are few enough; else joins shuffle."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -171,13 +171,31 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "id long, digest binary, bands array<long>, low binary")
 
 
-def _members(docs: DataFrame) -> DataFrame:
+def _members(texts: DataFrame) -> DataFrame:
+    """(id, members) of rows (id, digest, text), once per id; rows whose text has another digest are left out."""
+
     @F.pandas_udf("array<long>")
-    def members(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([multiset_members(words_of(t)).view(np.int64) for t in texts])
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, wanted in batches:
+            words = map(words_of, texts)
+            yield pd.Series([multiset_members(w).view(np.int64) if digest(w, t) == d else None for w, t, d in zip(words, texts, wanted)], dtype=object)
 
-    return docs.select("id", members(F.col("text")).alias("members"))
+    # Not deterministic for the optimiser, which would else run it before a join, and again for the filter.
+    got = texts.select("id", found.asNondeterministic()("text", "digest").alias("members"))
+    return got.where("members is not null").dropDuplicates(["id"])
+
+
+def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows(id, digest) with the class of their digest, from classes(digest, n, class), null where there is none.
+
+    Where these are too many to broadcast, digests of many rows, of which there are few, are still joined apart from the rest.
+    """
+    small = small_or_shuffled(classes)
+    if small is not classes:
+        return rows.join(small.select("digest", "class"), "digest", "left")
+    hot = small_or_shuffled(materialise(classes.where(F.col("n") > HOT).select("digest", "class")))
+    rest = classes.where(F.col("n") <= HOT).select("digest", "class")
+    return rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(rest, "digest", "left"))
 
 
 def verified(pairs: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -234,20 +252,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Words are runs of letters and digits in lower case, so texts that differ in case, spacing or punctuation only are
     equal.  Texts without words (null counts as empty) are near-duplicates of equal texts only.  Rows that repeat an id are one
-    document.  Rows with a null id are in no class (class_id null) and kept.  An empty table gives no rows.
+    document, near whatever one of its texts is near.  Rows with a null id are in no class (class_id null) and kept.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketches = materialise(_sketches(plain.where("id is not null")))
-    classes = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = materialise(sketches.where("bands is not null").join(classes, "digest").where("id = rep").select("id", "bands", "low").dropDuplicates(["id"]))
+    # From here to the last step an id is the number of a digest, so that equal texts are one, however many they are.
+    reps = sketches.where("bands is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    reps = materialise(reps.withColumn("id", F.monotonically_increasing_id()))
+    names, reps = reps.select("id", "rep", "digest"), reps.select("id", "bands", "low")
 
     place = ["band", "bucket"]
     banded = reps.select("id", F.posexplode("bands").alias(*place))
     buckets = materialise(banded.groupBy(place).agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1").select(*place, "pivot"))
     crowd = materialise(banded.join(buckets, place))
-    ids = _small_or_shuffled(crowd.select("id").distinct())
-    members = materialise(_members(plain.join(ids, "id", "left_semi").dropDuplicates(["id"])))
+    wanted = materialise(crowd.select("id").distinct().join(names, "id"))
+    texts = plain.withColumnRenamed("id", "rep").join(small_or_shuffled(wanted), "rep")
+    members = materialise(_members(texts))
 
     low = reps.select("id", "low")
     star = crowd.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -274,20 +295,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = left.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     left = left.withColumn("slot", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(slots))).select("slot", *place, "i", "j", "own", "id", "comp", "low", "bands", "members")
     links = links.unionByName(left.groupBy("slot").applyInPandas(lambda s: compare_blocks(s, threshold), "a long, b long"))
-    # Rows that repeat an id in different classes hold these together.
-    component = connected_components(links.unionByName(sketches.join(classes, "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b")))
-
-    out = plain.select("id").join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("class_id", F.coalesce("c", "id"))
-    return out.select("id", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    rep = names.select("id", "rep")
+    pairs = links.join(rep.toDF("a", "x"), "a").join(rep.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # Rows that repeat an id with different texts hold these together.
+    rows, classes = sketches.select("id", "digest"), materialise(sketches.groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n")))
+    twice = materialise(rows.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("id"))
+    if not twice.isEmpty():
+        held = rows.join(small_or_shuffled(twice), "id").distinct().join(classes, "digest").select("id", "class")
+        pairs = pairs.unionByName(held.join(held.groupBy("id").agg(F.min("class").alias("a")), "id").select("a", F.col("class").alias("b")))
+    component = connected_components(pairs)
+    classes = classes.join(component.withColumnRenamed("id", "class"), "class", "left").select("digest", "n", "class", F.coalesce("component", "class").alias("to"))
+    classes = materialise(classes.where("n > 1 or to <> class").select("digest", "n", F.col("to").alias("class")))
+    out = with_class(rows, classes).select("id", F.coalesce("class", "id").alias("class_id"))
+    out = out.unionByName(plain.where("id is null").select("id", F.lit(None).cast("long").alias("class_id")))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class.  Of rows that repeat an id, one stays; rows with a null id all stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     gone = materialise(found.where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct())
-    kept = docs.join(_small_or_shuffled(gone), id_col, "left_anti")
+    kept = docs.join(small_or_shuffled(gone), id_col, "left_anti")
     repeated = materialise(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     if repeated.isEmpty():
         return kept
-    many = _small_or_shuffled(repeated)
+    many = small_or_shuffled(repeated)
     return kept.join(many, id_col, "left_anti").unionByName(kept.join(many, id_col, "left_semi").dropDuplicates([id_col]))

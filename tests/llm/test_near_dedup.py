@@ -98,3 +98,23 @@ def test_odd_rows(spark, rows):
     if rows:
         assert got == [(-1, None, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 4, False)]
         assert N.deduplicated(docs).count() == 3
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_rows_that_repeat_an_id_with_other_texts(spark, monkeypatch, limit):
+    """Id 9 joins the copies of both of its texts, and a crowd of equal texts is one class, with broadcasts or without."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(N, "HOT", 20)
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "uv")
+    rows = [(9, one), (9, two), (4, one + " more"), (11, two + " more"), (12, "alone"), (12, "alone")] + [(i, "equal texts of five words") for i in range(20, 70)]
+    got = {r.id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {9: 4, 4: 4, 11: 4, 12: 12} | dict.fromkeys(range(20, 70), 20)
+
+
+def test_very_long_and_repetitive_texts(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "a " * 100_000), (4, "a " * 90_000), (5, "a " * 40_000)], "doc_id long, text string")
+    got = {r.id: r.class_id for r in N.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
