@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch.  Texts can be long, so batches are kept well below Spark's 10,000 rows.
@@ -86,11 +86,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Up to `most` labelled training rows (half of each class where there are enough) as (doc_id, text, y).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int = 1 << 62) -> DataFrame:
+    """Up to `most` labelled training rows (half of each class where there are enough) of up to `chars` characters as (doc_id, text, y).
 
     The sample is the rows of smallest hash of the id, so reruns agree.  It has a fixed bound, hence the broadcast.
-    A document id that occurs in several rows of either table gives one training row.
+    A document id that occurs in several rows of either table gives one training row; of several texts the one of smallest hash.
     """
     lab = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -101,8 +101,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     half = most // 2
     picked = [lab.where(F.col("y") == v).orderBy(order, "doc_id").limit(half) for v in (0, 1)]
     sample = picked[0].unionByName(picked[1])
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    one = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"), "text")).alias("text"))
+    if chars == 1 << 62:
+        return one
+    upto = F.sum(F.length("text")).over(Window.partitionBy(F.lit(0)).orderBy(order, "doc_id"))
+    return one.withColumn("upto", upto).where(F.col("upto") <= chars).drop("upto")
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes a bounded sample of labelled rows.  Presence of each hashed n-gram is counted per class, the
-smoothed log-count ratio of a feature scales it, and logistic regression with an L2 penalty is fitted on the scaled
-features.  Only the features of largest ratio are kept, so the model is one array of fixed size.  Scoring adds the
-weights of the distinct n-grams of a whole text.
+Training takes a bounded sample of labelled rows, whose hashed n-grams are found on the executors.  Presence of each n-gram is counted per class, the
+smoothed log-count ratio of a feature scales it, texts are brought to unit length, and logistic regression with an L2 penalty, in which both
+classes weigh alike, is fitted on all features that occur.  The intercept is set where a part of the sample that a first fit hasn't seen is told apart
+best.  Scoring adds the weights of the distinct n-grams of a whole text.
 """
 
 from __future__ import annotations
@@ -14,20 +14,27 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import labelled_sample, small_batches
 
 #: n-gram lengths in characters, bits of the feature hash.
 ORDERS, BITS = (4, 5), 20
-#: The bound on labelled rows that are fitted, and on features that the model keeps.
-TRAINING_ROWS, FEATURES = 4000, 8192
+#: The bounds on labelled rows that are fitted, and on their characters.
+TRAINING_ROWS, TRAINING_CHARS = 4000, 6_000_000
+STEPS, PENALTY = 100, 1e-4
+#: What a clean text that is called toxic costs against a toxic one that is called clean, where the intercept is set.
+FALSE_ALARM = 4
 #: Characters hashed at a time; longer texts go in overlapping pieces.
 PIECE = 1 << 21
 
 
 @dataclass(frozen=True)
 class Model:
+    """By feature its weight and its squared ratio, both 0 for features that training didn't meet."""
+
     weights: np.ndarray
+    squares: np.ndarray
     intercept: float
 
 
@@ -76,51 +83,93 @@ def features(texts: list[str], wanted: np.ndarray | None = None) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def fit(texts: list[str], y: np.ndarray, steps: int = 150, penalty: float = 1e-3, alpha: float = 1.0) -> Model:
-    """Fits the classifier; with one class only, or none, it scores every text by that class's rate (0 without labels)."""
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(values) else np.empty(0)
+
+
+def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n_cols: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated gradient steps; entries come row by row, and every row and column has one."""
+    weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    order = np.argsort(col, kind="stable").astype(np.int32)
+    row_of, x_of, by_row = row[order], x[order], np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    by_col = np.append(0, np.cumsum(np.bincount(col, minlength=n_cols))[:-1])
+    del order
+    w, v, b, bv, t = np.zeros(n_cols, np.float32), np.zeros(n_cols, np.float32), 0.0, 0.0, 1.0
+    for _ in range(STEPS):
+        z = _sums(x * v[col], by_row) + bv
+        err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weigh).astype(np.float32)
+        w_next, b_next = v - (_sums(x_of * err[row_of], by_col) + np.float32(PENALTY) * v) / np.float32(0.5 + PENALTY), float(bv) - err.sum() / (0.5 + PENALTY)
+        t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        v, bv = w_next + np.float32((t - 1) / t_next) * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
+        w, b, t = w_next, b_next, t_next
+    return w, float(b)
+
+
+def _fit(found: list[np.ndarray], y: np.ndarray, alpha: float) -> Model:
+    """All arrays over entries are of 32 bits: the driver holds about 40 bytes for each n-gram of a text."""
+    size, pos, neg = np.array([len(f) for f in found]), np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for f, v in zip(found, y):  # distinct in a text
+        (pos if v else neg)[f] += 1
+    ratio = np.log((alpha + pos) / (alpha * 2 + y.sum())) - np.log((alpha + neg) / (alpha * 2 + (1 - y).sum()))
+    used = np.flatnonzero(pos + neg)
+    ratio[pos + neg == 0] = 0
+    number = np.zeros(1 << BITS, np.int32)
+    number[used] = np.arange(len(used))
+    some = np.flatnonzero(size)
+    length = np.array([max(np.sqrt((ratio[found[i]] ** 2).sum()), 1e-9) for i in some])
+    x = np.concatenate([(ratio[found[i]] / n).astype(np.float32) for i, n in zip(some, length)])
+    col = np.concatenate([number[found[i]] for i in some])
+    row = np.repeat(np.arange(len(some), dtype=np.int32), size[some])
+    w, b = _logistic(row, col, x, y[some], len(used))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w * ratio[used]
+    return Model(weights, (ratio**2).astype(np.float32), b)
+
+
+def fit(found: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> Model:
+    """Fits the classifier to texts' distinct features; with one class only, or none, it scores every text by that class's rate (0 without labels)."""
     y = np.asarray(y, np.float64)
     none = np.zeros(1 << BITS, np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        return Model(none, 6.0 if len(y) and y[0] else -6.0)
-    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for at in range(0, len(texts), 64):
-        pairs = features(texts[at : at + 64])
-        row, col = at + (pairs >> BITS), pairs & ((1 << BITS) - 1)
-        pos += np.bincount(col, y[row], 1 << BITS)
-        neg += np.bincount(col, 1 - y[row], 1 << BITS)
-    ratio = np.log((alpha + pos) / (alpha * 2 + y.sum())) - np.log((alpha + neg) / (alpha * 2 + (1 - y).sum()))
-    ratio[pos + neg < 3] = 0
-    kept = np.sort(np.argsort(-np.abs(ratio), kind="stable")[:FEATURES])
-    kept = kept[ratio[kept] != 0]
-    number = np.full(1 << BITS, -1)
-    number[kept] = np.arange(len(kept))
-    pairs = features(texts, number >= 0)
-    row, col = pairs >> BITS, number[pairs & ((1 << BITS) - 1)]
-    x = ratio[kept][col]
-    w, b = np.zeros(len(kept)), 0.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, x * w[col], len(y)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(col, x * err[row], len(kept)) + penalty * w / len(kept), err.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    weights = none
-    weights[kept] = w * ratio[kept]
-    return Model(weights, b)
+    if len(y) == 0 or y.min() == y.max() or not sum(map(len, found)):
+        return Model(none, none, 6.0 if len(y) and y.mean() > 0.5 else -6.0)
+    model, apart = _fit(found, y, alpha), np.arange(len(y)) % 4 == 3
+    if min(y[apart].sum(), (1 - y[apart]).sum(), y[~apart].sum(), (1 - y[~apart]).sum()) < 5:
+        return model
+    first = _fit([f for f, out in zip(found, apart) if not out], y[~apart], alpha)
+    z = np.array([_sum(f, first) for f, out in zip(found, apart) if out])
+    order = np.argsort(z)
+    wrong = np.cumsum(y[apart][order]) / y[apart].sum() + FALSE_ALARM * (1 - np.cumsum(1 - y[apart][order]) / (1 - y[apart]).sum())
+    # Between the two scores where the cost of errors is least; of equal places the middle one.
+    best = np.flatnonzero(wrong[:-1] <= wrong[:-1].min() + 1e-12)
+    at = best[len(best) // 2]
+    return Model(model.weights, model.squares, model.intercept - (z[order[at]] + z[order[at + 1]]) / 2)
+
+
+def _sum(found: np.ndarray, model: Model) -> float:
+    return float(model.weights[found].sum(dtype=np.float64) / max(np.sqrt(model.squares[found].sum(dtype=np.float64)), 1e-9)) + model.intercept
 
 
 def score(texts: list[str], model: Model) -> np.ndarray:
-    pairs = features(texts, model.weights != 0)
-    z = np.bincount(pairs >> BITS, model.weights[pairs & ((1 << BITS) - 1)], len(texts)) + model.intercept
+    pairs = features(texts, model.squares > 0)
+    row, col = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    length = np.sqrt(np.bincount(row, model.squares[col], len(texts)))
+    z = np.bincount(row, model.weights[col], len(texts)) / np.maximum(length, 1e-9) + model.intercept
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
-    """Learns from at most `rows` labelled documents outside the held-out fifth; at most so many texts reach the driver."""
-    sample = labelled_sample(docs, labels, label, rows).orderBy("doc_id").toPandas()
-    return fit(sample.text.tolist(), sample.y.to_numpy())
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS, chars: int = TRAINING_CHARS) -> Model:
+    """Learns from at most `rows` labelled documents outside the held-out fifth, of at most `chars` characters; only their feature numbers reach the driver."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([features([t]).astype(np.int32) for t in texts], dtype=object)
+
+    sample = labelled_sample(docs, labels, label, rows, chars).select("doc_id", "y", found(F.col("text")).alias("found")).toPandas().sort_values("doc_id")
+    y, each = sample.y.to_numpy(), [np.array(f, np.int32) for f in sample.found]
+    del sample
+    return fit(each, y)
 
 
 def add_scores(docs: DataFrame, model: Model, *, text_col: str = "text", to: str = "toxic_score") -> DataFrame:
@@ -129,13 +178,11 @@ def add_scores(docs: DataFrame, model: Model, *, text_col: str = "text", to: str
     The whole text counts.  Null and empty texts score as a text without n-grams; repeated rows score alike.
     """
     small_batches(docs.sparkSession)
-    from pyspark.sql.functions import col, pandas_udf
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(score(texts.fillna("").tolist(), shared.value))
 
-    return docs.withColumn(to, scored(col(text_col)))
+    return docs.withColumn(to, scored(F.col(text_col)))

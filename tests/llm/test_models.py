@@ -1,10 +1,12 @@
-"""Classifiers by their held-out accuracy, and the pipeline stage by stage."""
+"""Classifiers by their held-out accuracy and by plain Python."""
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
-import corpus_pipeline
+import numpy as np
 import pytest
 from lodestone.llm import quality, toxicity
 from lodestone.llm.common import labelled_sample, table
@@ -35,25 +37,54 @@ def test_odd_rows_and_empty_tables(spark, model, label):
     assert model.add_scores(docs.limit(0), fitted, to="other").count() == 0
 
 
+def test_scores_by_a_dictionary_of_ngrams():
+    """Features, ratios and scores against plain Python; no two n-grams of these texts share a number."""
+    texts = ["you awful fool", "a kind and gentle word", "awful awful noise", "a gentle fool \U0001f600", "", None, "gentle"] * 6
+    y = np.array([1, 0, 1, 0, 0, 0, 0] * 6)
+
+    def number(gram: str) -> int:
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+        return ((h ^ len(gram)) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    def grams(text: str | None) -> set[int]:
+        text = f" {(text or '').lower()} "
+        return {number(text[i : i + n]) for n in toxicity.ORDERS for i in range(len(text) - n + 1)}
+
+    found = [toxicity.features([t or ""]) for t in texts]
+    assert [set(f.tolist()) for f in found] == [grams(t) for t in texts]
+    model = toxicity.fit(found, y)
+    counts = [Counter(g for t, v in zip(texts, y) if v == label for g in grams(t)) for label in (1, 0)]
+    ratio = {g: math.log((1 + counts[0][g]) / (2 + y.sum())) - math.log((1 + counts[1][g]) / (2 + (1 - y).sum())) for g in counts[0] | counts[1]}
+    for text in [*texts[:7], "awful", "unseen", "a kind fool"]:
+        known = [g for g in grams(text) if g in ratio]
+        z = sum(float(model.weights[g]) for g in known) / max(math.sqrt(sum(ratio[g] ** 2 for g in known)), 1e-9) + model.intercept
+        assert toxicity.score([text or ""], model)[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+
+
+def test_rules_in_python_give_the_column(spark):
+    docs, labels = table(spark, SMALL, "documents").select("doc_id", "text"), table(spark, SMALL, "labels")
+    model = quality.train(docs, labels)
+    assert model.rules
+
+    def by_hand(text: str | None) -> float:
+        stats = dict(zip(quality.STATS, quality.text_stats(text or "")))
+        z = model.intercept + sum(w for w, rule in model.rules if all((stats[c.stat] > c.bound) == c.above for c in rule))
+        return 1 / (1 + math.exp(-z))
+
+    for r in quality.add_scores(docs, model, to="score").collect():
+        assert r.score == pytest.approx(by_hand(r.text), abs=1e-9)
+
+
+def test_a_sample_is_bounded_and_ties_are_settled(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {j} " + "x" * i) for i in range(60) for j in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0)], "doc_id long, toxic int")
+    once = labelled_sample(docs, labels, "toxic", 20, 400).collect()
+    assert sorted(once) == sorted(labelled_sample(docs.repartition(5), labels.repartition(3), "toxic", 20, 400).collect())
+    assert len(once) <= 20 and sum(len(r.text) for r in once) <= 400 and len({r.doc_id for r in once}) == len(once)
+
+
 def test_held_out_rows_are_never_learnt_from(spark):
     sample = labelled_sample(table(spark, SF, "documents"), table(spark, SF, "labels"), "toxic", 10_000)
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in sample.collect())
-
-
-def test_pipeline(spark):
-    docs = table(spark, SMALL, "documents")
-    toxic = {r.doc_id for r in table(spark, SMALL, "labels").where("toxic = 1").collect()}
-    before = {r.doc_id for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
-        assert out.columns == docs.columns, name
-        ids = {r.doc_id for r in out.collect()}
-        assert ids <= before
-        if name == "toxicity":
-            assert len(toxic - ids) >= 0.8 * len(toxic & before) and len(ids - toxic) >= 0.9 * len(before - toxic)
-        if name == "secrets":
-            assert ids == before
-        docs, before = corpus_pipeline.materialise(out), ids
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
-    assert last.count() == docs.count()
-    assert last.where("n_pieces <> size(piece_ids)").isEmpty()
