@@ -5,8 +5,9 @@ per source with which the expected words meet the target.  Its whole part is all
 probability p of one more.  Every document draws u from a hash of its id and text and is ranked by its random odds over its inclusion
 odds, (u / (1 - u)) / (p / (1 - p)).  Within a source, documents of like size form a stratum, and the n of lowest rank are taken in each, where n
 is fixed: the sums of p over strata, rounded so that no running sum is off by one or more.  As sizes in a stratum are alike, fixed
-counts keep the words near the target.  Documents of more than a quarter of the target are certain or out, since one more or less would miss it.
-At last a few documents go in or out where that brings a source nearer to its target.
+counts keep the words near the target.  Documents of more than a quarter of the target aren't drawn, since one more or less would miss it: they
+get a whole number of copies, the one nearest to the source's mean (the one below where that alone would pass the target).
+At last a few documents get a copy more or less where that brings a source nearer to its target.
 
 The n-th rank is found with a histogram of the ranks in each stratum, so only the rows of one histogram bin are ever ordered, and rows that are equal
 in everything count as one there.
@@ -28,7 +29,7 @@ MOST_COPIES = 3
 POWER = 0.5
 #: Bins of a histogram of ranks, and strata in a doubling of size.
 BINS, STRATA = 4096, 2
-#: Share of the target beyond which a document is too large to be drawn, and documents of a source that may go in or out at last.
+#: Share of the target beyond which a document is too large to be drawn, and documents of a source that may get a copy more or less at last.
 LARGE, MOVES = 0.25, 8
 
 
@@ -67,19 +68,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def copy_rates(sizes: DataFrame, most: int, power: float) -> DataFrame:
-    """(key, rate) from (key, size, n, source_size, target), a row for each size of a source: expected copies are min(most, rate * size ** power).
+    """(key, rate) from (key, size, n, source_size, target, up), a row for each size of a source: expected copies are min(most, rate * size ** power).
 
     Large documents count with their whole copies.  Of the others the largest sizes reach `most` first.  The rate is that of the largest size which doesn't, null where all do.  A source has no more sizes than its
     longest document has words, however many documents it has.
     """
     words = F.col("size") * F.col("n")
-    certain = F.sum(F.when(large(), words * certain_copies(most))).over(Window.partitionBy("key"))
-    sizes = sizes.withColumn("certain", F.coalesce(certain, F.lit(0))).where(~large()).withColumn("target", F.col("target") - F.col("certain"))
+    certain = F.sum(F.when(large(), words * F.floor(mean_copies(most) + F.when(F.col("up"), 0.5).otherwise(1e-9)))).over(Window.partitionBy("key"))
+    sizes = sizes.withColumn("certain", F.coalesce(certain, F.lit(0))).where(~large()).withColumn("target", F.greatest(F.col("target") - F.col("certain"), F.lit(0.0)))
     larger = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     others = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     capped = F.coalesce(F.sum(words * most).over(larger), F.lit(0))
     free = F.sum(words * importance(F.col("size"), power)).over(others)
-    rate = F.when(free > 0, (F.col("target") - capped) / free)
+    rate = F.when(free > 0, (F.col("target") - capped) / free).otherwise(F.when(F.col("target") <= 0, 0.0))
     fitting = sizes.select("key", "size", rate.alias("rate")).where((F.col("rate") >= 0) & (F.col("rate") * importance(F.col("size"), power) < most))
     return fitting.groupBy("key").agg(F.max_by("rate", "size").alias("rate"))
 
@@ -88,9 +89,9 @@ def large() -> Column:
     return F.col("size") > F.col("target") * LARGE
 
 
-def certain_copies(most: int) -> Column:
-    """Copies of a large document."""
-    return F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") + 1e-9)).cast("int"), F.lit(most))
+def mean_copies(most: int) -> Column:
+    """Copies of a source's documents if all had alike."""
+    return F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
 
 
 def importance(size: Column, power: float) -> Column:
@@ -113,13 +114,18 @@ def planned(rows: DataFrame, weights: tuple[int, ...], most: int, power: float,
     sizes = materialise(rows.groupBy("key", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")))
     targets = materialise(source_targets(sizes.select("key", "source", (F.col("size") * F.col("n")).alias("size")), weights, most))
     sizes = sizes.drop("source").join(small_or_shuffled(targets), "key")
+    rounded = F.sum(F.when(large(), F.col("size") * F.col("n") * F.floor(mean_copies(most) + 0.5)))
+    up = sizes.groupBy("key").agg((F.coalesce(rounded, F.lit(0)) <= F.max("target")).alias("up"))
+    targets = materialise(targets.join(up, "key"))
+    sizes = sizes.join(small_or_shuffled(targets.select("key", "up")), "key")
     rates = materialise(targets.join(copy_rates(sizes, most, power), "key", "left"))
     rates = small_or_shuffled(rates)
 
     def with_expected(d: DataFrame) -> DataFrame:
         drawn = F.coalesce(F.least(F.col("rate") * importance(F.col("size"), power), F.lit(float(most))), F.lit(float(most)))
-        d = d.withColumn("expected", F.when(F.col("source_size") == 0, 0.0).when(large(), certain_copies(most)).otherwise(drawn).cast("double"))
-        d = d.withColumn("whole", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("whole"))
+        d = d.withColumn("expected", F.when(F.col("source_size") == 0, 0.0).when(large(), mean_copies(most)).otherwise(drawn))
+        d = d.withColumn("whole", F.floor(F.col("expected") + 1e-9).cast("int")).withColumn("p", F.greatest(F.col("expected") - F.col("whole"), F.lit(0.0)))
+        d = d.withColumn("round", F.coalesce(large() & F.col("up") & (F.col("p") >= 0.5), F.lit(False)).cast("int")).withColumn("p", F.when(large(), 0.0).otherwise(F.col("p")))
         return d.withColumn("stratum", stratum(F.col("size")))
 
     # How many of each stratum: running sums of p by size, moved by one random offset for each source and cut to whole numbers.
@@ -159,36 +165,39 @@ def planned(rows: DataFrame, weights: tuple[int, ...], most: int, power: float,
     cuts = small_or_shuffled(cuts)
 
     before = (F.col("q") < F.col("cut_q")) | ((F.col("q") == F.col("cut_q")) & ((F.col("tie") < F.col("cut_tie")) | ((F.col("tie") == F.col("cut_tie")) & (F.col("row") <= F.col("cut_row")))))
-    lot = lot.join(cuts, place, "left").withColumn("extra", F.coalesce(before, F.lit(False)).cast("int"))
+    lot = lot.join(cuts, place, "left").withColumn("extra", F.coalesce(before.cast("int"), "round"))
 
-    out = [*rows.columns, "source_size", "target", "expected", (F.col("whole") + F.col("extra")).cast("int").alias("copies")]
+    lot = lot.withColumn("copies", F.col("whole") + F.col("extra"))
+    out = [*rows.columns, "source_size", "target", "expected"]
     if not close:
-        return lot.select(*out)
-    # Moves are found by size alone, one for each source in a round: the size that leaves the least gap if a document of it goes in or out.
-    free = (F.col("size") > 0) & ((F.col("extra") == 1) | (F.col("whole") < most))
-    state = materialise(lot.groupBy("key", "size", "whole", "extra").agg(F.count("*").alias("n")))
-    gaps = state.groupBy("key").agg(F.sum(F.col("size") * (F.col("whole") + F.col("extra")) * F.col("n")).alias("words"))
-    gaps = materialise(gaps.join(targets, "key").select("key", (F.col("target") - F.col("words")).alias("gap")))
-    state, moves = state.where(free).groupBy("key", "size", "extra").agg(F.sum("n").alias("n")), None
+        return lot.select(*out, "copies")
+    # Moves are found by size alone, one for each source in a round: the size that leaves the least gap if a document of it gets a copy more or less.
+    state = materialise(lot.where("size > 0").groupBy("key", "size", "copies").agg(F.count("*").alias("n")))
+    gaps = targets.join(state.groupBy("key").agg(F.sum(F.col("size") * F.col("copies") * F.col("n")).alias("words")), "key")
+    gaps, moves = materialise(gaps.select("key", (F.col("target") - F.col("words")).alias("gap"))), None
+    change = F.when(F.col("gap") > 0, 1).otherwise(-1)
     for _ in range(MOVES):
-        left = (F.col("gap") > 0) == (F.col("extra") == 0)
         miss = F.abs(F.abs("gap") - F.col("size"))
-        step = state.join(small_or_shuffled(gaps), "key").where(left & (F.col("n") > 0) & (miss < F.abs("gap")))
-        step = materialise(step.groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "size", "extra")).alias("to")).select("key", "to.size", "to.extra"))
+        step = state.join(small_or_shuffled(gaps), "key").where((F.col("n") > 0) & (F.col("copies") + change).between(0, most) & (miss < F.abs("gap")))
+        step = step.withColumn("change", change).groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "size", "copies", "change")).alias("to"))
+        step = materialise(step.select("key", "to.size", "to.copies", "to.change"))
         if step.isEmpty():
             break
         moves = step if moves is None else moves.unionByName(step)
-        words = F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size"))
-        gaps = materialise(gaps.join(step.select("key", words.alias("words")), "key").select("key", (F.col("gap") - F.col("words")).alias("gap")))
-        state = materialise(state.unionByName(step.withColumn("n", F.lit(-1).cast("long"))).groupBy("key", "size", "extra").agg(F.sum("n").alias("n")))
+        words = step.select("key", (F.col("size") * F.col("change")).alias("words"))
+        gaps = materialise(gaps.join(words, "key").select("key", (F.col("gap") - F.col("words")).alias("gap")))
+        # A document that has moved doesn't move again.
+        state = materialise(state.unionByName(step.select("key", "size", "copies", F.lit(-1).cast("long").alias("n"))).groupBy("key", "size", "copies").agg(F.sum("n").alias("n")))
     if moves is None:
-        return lot.select(*out)
-    moves = materialise(moves.groupBy("key", "size", "extra").agg(F.count("*").alias("times")))
-    nth = F.row_number().over(Window.partitionBy("key", "size", "extra").orderBy("tie", "row"))
-    one = lot.where(free).select("key", "size", "extra", "tie", "row").join(small_or_shuffled(moves), ["key", "size", "extra"])
-    one = one.withColumn("nth", nth).where(F.col("nth") <= MOVES).where("nth <= times").select("row", (1 - F.col("extra")).alias("moved"))
-    lot = lot.join(small_or_shuffled(materialise(one)), "row", "left").withColumn("extra", F.coalesce("moved", "extra"))
-    return lot.select(*out)
+        return lot.select(*out, "copies")
+    # Equal sizes may be asked to move both ways, so the documents of one size and number of copies are numbered, and so are its moves.
+    place, numbered = ["key", "size", "copies"], Window.partitionBy("key", "size", "copies")
+    moves = materialise(moves.withColumn("nth", F.row_number().over(numbered.orderBy("change"))))
+    one = lot.select(*place, "tie", "row").join(small_or_shuffled(moves.select(*place).distinct()), place)
+    one = one.withColumn("nth", F.row_number().over(numbered.orderBy("tie", "row"))).where(F.col("nth") <= MOVES)
+    one = materialise(one.join(moves, [*place, "nth"]).select("row", "change"))
+    lot = lot.join(small_or_shuffled(one), "row", "left")
+    return lot.select(*out, (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, **carry: Column) -> DataFrame:
@@ -210,7 +219,7 @@ def mix_documents(
 
     Null texts and texts without words have size 0 (and the chance of a text of one word), and null is a source like any other.  Reruns agree, since
     ranks come from hashes of the id and text; identical rows are interchangeable.  A source without words takes nothing.  An empty table gives no rows.
-    Without `close` the Pareto sample stays as it is drawn, with no document moved in or out for the sake of the target.
+    Without `close` the Pareto sample stays as it is drawn, with no copy more or less for the sake of the target.
     """
     mix = planned(_rows(docs, id_col, text_col, source_col, seed), weights, most, power, seed, close)
     return mix.select("id", "source", "size", "source_size", "target", "expected", "copies")
