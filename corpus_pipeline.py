@@ -53,7 +53,7 @@ STAGES = [
     ("pieces", encode_pieces),
 ]
 
-#: SQL can't express the learnt and hashed stages; tests compare each stage with a brute-force version.
+#: SQL can't express the learnt and hashed stages; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 

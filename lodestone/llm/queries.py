@@ -6,7 +6,6 @@ import re
 import string
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +142,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bagminhash_dedup": op8_bagminhash_dedup,
     "op9_trigram_secrets": op9_trigram_secrets,
     "op10_multi_index_duplicates": op10_multi_index_duplicates,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op6_template_licenses": _licenses_sql(), "op9_trigram_secrets": _secrets_sql()}
