@@ -6,6 +6,7 @@ the plan itself holds built-in expressions only.  Comparisons with a literal sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,12 +42,15 @@ def literal(value: str | int | float | bool | None) -> Term:
 
 
 def field(df: DataFrame, name: str) -> Term:
-    """A field by its exact name, else by descent through structs from its first part; an unknown field is null."""
+    """A field by its exact name, else by descent through structs from its first part, else from a map column called fields; an unknown field is null."""
     fields = {f.name: f for f in df.schema.fields}
     if name in fields:
         return Term(df[f"`{name}`"], fields[name].dataType, name)
     head, *rest = name.split(".")
     if not rest or head not in fields:
+        held = fields.get("fields")
+        if held is not None and isinstance(held.dataType, T.MapType) and isinstance(held.dataType.keyType, T.StringType):
+            return Term(F.try_element_at(df["fields"], F.lit(name)), held.dataType.valueType, name)
         return Term(F.lit(None), T.NullType(), name)
     column, dtype = df[f"`{head}`"], fields[head].dataType
     for part in rest:
@@ -163,3 +167,16 @@ def date_text(term: Term, today: str) -> Column:
     """'today' is the given day; any other text is itself, unchecked."""
     value = argument(term)
     return F.when(value == "today", F.lit(today)).otherwise(value)
+
+
+#: Functions by name, which further ones can join; each takes today's date and its arguments.
+FUNCTIONS: dict[str, Callable[..., Term]] = {
+    "contains": lambda today, haystack, needle: Term(contains(haystack, needle), T.BooleanType()),
+    "date": lambda today, value: Term(date_text(value, today), T.StringType()),
+}
+
+
+def call(name: str, *arguments: Term, today: str, functions: dict[str, Callable[..., Term]] = FUNCTIONS) -> Term:
+    """A function's value; a name that no function has gives null, whatever its arguments."""
+    found = functions.get(name)
+    return literal(None) if found is None else found(today, *arguments)

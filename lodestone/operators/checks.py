@@ -6,12 +6,17 @@ A finding counts the other notes that it concerns, exactly, and names their grou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, folder_of, is_archived, is_wikilink, normal_key, resolved_path, title_of
+from ..sources.vault import failures, readable
 from . import markdown as M
 from .tasks import ALLOWED_FIELDS, DATE_FIELDS, repeat_status
+from .tasks import tasks as task_records
 
 FINDING = ("category", "severity", "path", "line", "message", "n_related", "related_key")
 
@@ -122,8 +127,9 @@ def check_titles(notes: DataFrame) -> DataFrame:
 
 def check_dump(notes: DataFrame) -> DataFrame:
     """Notes called dump.md whose text goes beyond frontmatter and headings; the first such line is reported."""
-    d = M.body_lines(notes.where(F.lower(base_name(F.col("path"))) == "dump.md"))
-    body = d.where((F.trim("text") != "") & ~F.col("text").rlike(M.HEADING))
+    named = notes.where(base_name(F.col("path")) == "dump.md")
+    after = M.headings(named).where(~F.col("source").rlike(M.HEADING)).select("path", F.explode(F.array("line", F.col("line") + 1)).alias("line"))
+    body = M.body_lines(named).where((F.trim("text") != "") & ~F.col("text").rlike(M.HEADING)).join(after, ["path", "line"], "left_anti")
     first = body.groupBy("path").agg(F.min("line").alias("line"))
     return finding(first, "dump", "warning", F.lit("Dump note holds content"), F.col("line"))
 
@@ -157,20 +163,91 @@ def check_tasks(tasks: DataFrame) -> DataFrame:
     return d.select(F.lit("tasks").alias("category"), "x.severity", "path", F.col("line").cast("int").alias("line"), "x.message", F.lit(0).cast("long").alias("n_related"), F.lit(None).cast("string").alias("related_key"))
 
 
+def recurring_series(tasks: DataFrame) -> DataFrame:
+    """Tasks of a supported repeat with the key of their series, series_.
+
+    Series are told apart by area, project, text, repeat, which of scheduled and due there are, and how far these lie apart; no area counts as an empty one.
+    """
+    d = tasks.where(repeat_status(F.col("repeat")) == "supported")
+    shape = F.when(F.col("due").isNull(), "scheduled").when(F.col("scheduled").isNull(), "due").otherwise("scheduled+due")
+    apart = F.coalesce(F.datediff(F.try_to_date("scheduled", "yyyy-MM-dd"), F.try_to_date("due", "yyyy-MM-dd")), F.lit(0))
+    parts = [F.coalesce("area", F.lit("")), F.coalesce("project", F.lit("")), F.col("text"), F.trim("repeat"), shape, apart.cast("string")]
+    return d.withColumn("series_", F.sha2(F.concat_ws("\0", *parts), 256))
+
+
 def check_repeat_seeds(tasks: DataFrame) -> DataFrame:
-    """The latest completed task of a repeating series that no open task with a later date continues.
+    """The latest completed task of a recurring series that no open task with a later date continues.
 
-    Series are told apart by text, area, project and repeat; one aggregation gives the latest dates of each.
+    A completed task's date is its due, scheduled or completed date, an open one's its due or scheduled date.  One aggregation gives the
+    latest dates of each series, and only series that lack a continuation meet their tasks again.
     """
-    series = ["text", "area", "project", "repeat"]
-    d = tasks.where(repeat_status(F.col("repeat")) == "supported").withColumn("date_", F.coalesce("due", "scheduled"))
-    keyed = d.withColumn("series_", F.sha2(F.to_json(F.struct(*series), {"ignoreNullFields": "false"}), 256))
+    opened = F.coalesce("due", "scheduled")
+    keyed = recurring_series(tasks).withColumn("date_", F.when(F.col("done"), F.coalesce(opened, "completed")).otherwise(opened))
     last = keyed.groupBy("series_").agg(F.max(F.when(F.col("done"), F.col("date_"))).alias("done_"), F.max(F.when(~F.col("done"), F.col("date_"))).alias("open_"))
     late = last.where("done_ is not null and (open_ is null or open_ <= done_)")
     seeds = keyed.where("done").join(late, "series_").where("date_ = done_")
     return finding(seeds, "tasks", "warning", F.concat(F.lit("Repeating task has no later open task: "), "text"), F.col("line"))
 
 
+#: Bundles of checks by name; each check takes notes and what they hold of tasks.
+BUNDLES = {
+    "links": ("links",),
+    "headings": ("duplicate-headings", "titles", "archive-headings"),
+    "tasks": ("tasks", "repeat-seeds"),
+    "dump": ("dump",),
+    "all": ("failures", "links", "duplicate-headings", "titles", "archive-headings", "dump", "tasks", "repeat-seeds"),
+}
+CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "failures": lambda notes: check_failures(notes),
+    "links": lambda notes: check_links(notes),
+    "duplicate-headings": lambda notes: check_duplicate_headings(notes),
+    "titles": lambda notes: check_titles(notes),
+    "archive-headings": lambda notes: check_archive_headings(notes),
+    "dump": lambda notes: check_dump(notes),
+    "tasks": lambda notes: check_tasks(task_records(notes)),
+    "repeat-seeds": lambda notes: check_repeat_seeds(task_records(notes)),
+}
+
+
+def check_failures(notes: DataFrame) -> DataFrame:
+    """Notes that couldn't be read, each an error; see sources.vault.failures."""
+    return finding(failures(notes), "catalog", "error", F.col("error"))
+
+
+@dataclass(frozen=True)
+class CheckSet:
+    """Checks that run together; others can be added."""
+
+    checks: tuple[Callable[[DataFrame], DataFrame], ...]
+
+    def add(self, check: Callable[[DataFrame], DataFrame]) -> CheckSet:
+        return replace(self, checks=(*self.checks, check))
+
+    def run(self, notes: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+        """Findings of all checks, on the paths of `chosen` alone where it is given: what a note is compared with stays the whole collection."""
+        sound, found = readable(notes), None
+        for check in self.checks:
+            each = check(notes if check is CHECKS["failures"] else sound).select(*FINDING)
+            found = each if found is None else found.unionByName(each)
+        if found is None:
+            found = finding(sound.where(F.lit(False)), "", "", F.lit(""))
+        if chosen is None:
+            return found
+        paths = chosen.select(F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), r"^(\./)+", "").alias("path")).distinct()
+        return found.join(paths, "path", "left_semi").select(*FINDING)
+
+
+def bundle(name: str = "all") -> CheckSet:
+    return CheckSet(tuple(CHECKS[c] for c in BUNDLES[name]))
+
+
+def categories(findings: DataFrame) -> DataFrame:
+    """(category, n, ord): the categories of findings in their order of first appearance, with the number of findings in each."""
+    place = F.min(F.struct("path", F.coalesce("line", F.lit(2**31 - 1)), "category"))
+    per = findings.groupBy("category").agg(F.count("*").alias("n"), place.alias("first"))
+    return per.select("category", "n", (F.row_number().over(Window.orderBy("first")) - 1).alias("ord"))
+
+
 def in_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy("path", F.col("line").asc_nulls_last(), "category", "severity", "message")
 

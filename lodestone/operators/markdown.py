@@ -1,7 +1,8 @@
 """Records in Markdown notes: one DataFrame for each family, from notes (path, contents).
 
-All of it is built-in expressions on the lines of a note.  Fenced blocks and frontmatter are found in the row, so no
-family needs a shuffle.  Text in code and frontmatter gives no records.
+All of it is built-in expressions on the lines of a note.  Fenced blocks, indented code and frontmatter are found in the row, and only in notes
+that hold their marks, so no family needs a shuffle.  Text in code and frontmatter gives no records; code spans are part of a line's
+text, and nothing inside them is.
 """
 
 from __future__ import annotations
@@ -11,17 +12,25 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import expanded_tags, let
+from ..functions.text import expanded_tags
 
 #: Fixed patterns of the notes' syntax.
 FENCE = r"^\s{0,3}(`{3,}|~{3,})\s*([^`]*)$"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
+UNDERLINE = r"^ {0,3}(=+|-+)\s*$"
 ITEM = r"^(\s*)(?:[-*+]|\d+[.)])\s+(?:\[([ xX])\]\s+)?(.*)$"
+CODE = r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)"
 LINK = r"!?\[\[[^\[\]\n]+\]\]"
 TAG = r"#[A-Za-z0-9/_-]+\b"
 ANCHOR = r"(?<!\S)\^([A-Za-z0-9-]+)(?=$|\s)"
 FIELD = r"[\[(]([^\[\]()\n:]+)::((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*)[\])]"
+SHOWN_FIELD = r"[\[(][^\[\]()\n:]+::[ \t]*((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*?)[ \t]*[\])]"
 BARE_FIELD = r"^([^\[\]\n]+?)::[ \t]*(.*)$"
+#: Code as a whole in its first group, for replacements that keep it.
+KEPT_CODE = r"((?<!`)(`+)(?!`).*?(?<!`)\2(?!`))"
+
+_RANGES = "array<struct<first:int,last:int>>"
+_FENCES = "array<struct<first:int,last:int,mark:string,info:string>>"
 
 
 def _front(lines: Column) -> Column:
@@ -57,31 +66,91 @@ def _fences(lines: Column, front: Column) -> Column:
     return F.aggregate(marks, start, step, finish)
 
 
-def _of_lines(body) -> Column:
-    """body(lines, front) of a row's contents, each made once."""
-    return let(F.split(F.coalesce("contents", F.lit("")), "\r?\n"), lambda lines: let(_front(lines), lambda front: body(lines, front)))
+def _indented(lines: Column, front: Column, fences: Column) -> Column:
+    """array<struct<first, last>> of 0-based lines of indented code.
+
+    A line indented by four spaces or a tab is code unless it goes on with a paragraph (no blank line between) or stands in a list.
+    """
+
+    def seen(x, i):
+        """What the fold asks of a line: n for none of its own, b for blank, d for deep, and else h, l, i or t for other, list, inner or text."""
+        outside = (i < front) | F.exists(fences, lambda f: i.between(f["first"], f["last"]))
+        kind = (
+            F.when(outside, "h").when(x.rlike(r"^\s*$"), "b").when(x.rlike(r"^(?: {4}| {0,3}\t)"), "d").when(x.rlike(HEADING), "h").when(x.rlike(ITEM), "l")
+            .when(x.rlike(r"^ {2,3}\S"), "i").otherwise("t")
+        )
+        return F.struct(i.alias("i"), kind.alias("kind"))
+
+    def step(acc, line):
+        i, kind, runs, n = line["i"], line["kind"], acc["runs"], F.size(acc["runs"])
+        code = (kind == "d") & (acc["kind"] != "l") & ((acc["kind"] != "t") | acc["gap"])
+        listed = (acc["kind"] == "l") & ((kind == "i") | ~acc["gap"])
+        after = F.when(kind.isin("b", "d"), acc["kind"]).when(kind.isin("h", "l"), kind).when(listed, "l").otherwise("t")
+        run = F.struct(F.when(acc["open"], F.get(runs, n - 1)["first"]).otherwise(i).alias("first"), i.alias("last"))
+        more = F.concat(F.slice(runs, F.lit(1), n - F.when(acc["open"], 1).otherwise(0)), F.array(run))
+        return F.struct(
+            after.alias("kind"), F.when(kind == "b", True).when(code, acc["gap"]).otherwise(False).alias("gap"),
+            F.when(kind == "b", acc["open"]).otherwise(code).alias("open"), F.when(code, more).otherwise(runs).alias("runs"),
+        )
+
+    start = F.struct(F.lit("h").alias("kind"), F.lit(False).alias("gap"), F.lit(False).alias("open"), F.array().cast(_RANGES).alias("runs"))
+    return F.aggregate(F.transform(lines, seen), start, step, lambda acc: acc["runs"])
+
+
+def parsed(notes: DataFrame, *keep: str) -> DataFrame:
+    """(path, kept columns, lines, front, fences, indented): a note's lines, how many are frontmatter, and the ranges of its code."""
+    contents = F.coalesce(F.col("contents"), F.lit(""))
+    d = notes.select("path", *keep, contents.alias("contents_"), F.split(contents, r"\r?\n").alias("lines"))
+    d = d.withColumn("front", F.when(F.col("contents_").startswith("---"), _front(F.col("lines"))).otherwise(0))
+    fenced = F.contains("contents_", F.lit("```")) | F.contains("contents_", F.lit("~~~"))
+    d = d.withColumn("fences", F.when(fenced, _fences(F.col("lines"), F.col("front"))).otherwise(F.array().cast(_FENCES)))
+    deep = F.col("contents_").rlike(r"(?m)^(?: {4}| {0,3}\t)")
+    d = d.withColumn("indented", F.when(deep, _indented(F.col("lines"), F.col("front"), F.col("fences"))).otherwise(F.array().cast(_RANGES)))
+    return d.drop("contents_")
+
+
+def in_code(i: Column) -> Column:
+    """Whether the 0-based line i of a parsed note is code."""
+    return F.exists("fences", lambda f: i.between(f["first"], f["last"])) | F.exists("indented", lambda f: i.between(f["first"], f["last"]))
+
+
+def prose_lines(notes: DataFrame, *, holding: str = "", following: bool = False) -> DataFrame:
+    """(path, line, text) of the lines outside frontmatter and code that hold a text; line counts from 1.  With `following`, next is the line after."""
+    d = parsed(notes.where(F.contains("contents", F.lit(holding))) if holding else notes)
+    after = lambda i: F.get("lines", i + 1) if following else F.lit(None).cast("string")
+    each = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), after(i).alias("next")))
+    plain = (F.size("fences") == 0) & (F.size("indented") == 0)
+    d = d.select("path", "front", F.inline(F.when(plain, each).otherwise(F.filter(each, lambda s: ~in_code(s["line"] - 1)))))
+    d = d.where(F.col("line") > F.col("front"))
+    d = d.where(F.contains("text", F.lit(holding))) if holding else d
+    return d.select("path", "line", "text", "next") if following else d.select("path", "line", "text")
 
 
-def prose_lines(notes: DataFrame) -> DataFrame:
-    """(path, line, text, next) of the lines outside frontmatter and fences; line counts from 1, code spans are blanked."""
+def body_lines(notes: DataFrame, holding: str = "") -> DataFrame:
+    """(path, line, text) of the lines after the frontmatter that hold a text, those inside code too."""
+    d = parsed(notes.where(F.contains("contents", F.lit(holding))) if holding else notes)
+    d = d.select("path", "front", F.posexplode("lines").alias("i", "text")).where(F.col("i") >= F.col("front"))
+    return (d.where(F.contains("text", F.lit(holding))) if holding else d).select("path", (F.col("i") + 1).alias("line"), "text")
 
-    def outside(lines, front):
-        each = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.get(lines, i + 1).alias("next")))
-        return let(_fences(lines, front), lambda fences: F.filter(each, lambda s: (s["line"] > front) & ~F.exists(fences, lambda f: (s["line"] - 1).between(f["first"], f["last"]))))
 
-    d = notes.select("path", F.inline(_of_lines(outside)))
-    return d.withColumn("text", F.regexp_replace("text", r"(`+)[^`]+?\1", ""))
+def tokens(text: Column, pattern: str, *over: str) -> Column:
+    """What matches pattern in a line, outside code and what the patterns `over` match."""
+    every = F.regexp_extract_all(text, F.lit("|".join([CODE, *(f"(?:{o})" for o in over), f"(?:{pattern})"])), F.lit(0))
+    return F.filter(every, lambda x: x.rlike(f"^(?:{pattern})$"))
 
 
-def body_lines(notes: DataFrame) -> DataFrame:
-    """(path, line, text) of the lines after the frontmatter, those inside code too."""
-    return notes.select("path", F.inline(_of_lines(lambda lines, front: F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda s: s["line"] > front))))
+def shown_text(text: Column) -> Column:
+    """What a line shows: fields by their value, links by their alias or target, code spans and marked text without marks, no images."""
+    text = F.regexp_replace(text, f"{KEPT_CODE}|{SHOWN_FIELD}", "$1$3")
+    text = F.regexp_replace(text, KEPT_CODE + r"|(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\3|(?<![\w*])([*_])(?=[^\s*_])([^*_]+?)(?<=\S)\5(?![\w*])", "$1$4$6")
+    links = r"!?\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|!\[[^\[\]]*\]\([^()]*\)|\[([^\[\]]*)\]\([^()]*\)"
+    return F.trim(F.regexp_replace(text, r"(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)|" + links, "$2$3$4"))
 
 
 def frontmatter(notes: DataFrame) -> DataFrame:
     """(path, key, value) of the top-level scalars and inline lists of each note's frontmatter; values as written, quotes removed."""
-    inner = _of_lines(lambda lines, front: F.slice(lines, F.lit(2), F.greatest(front - 2, F.lit(0))))
-    rows = notes.select("path", F.posexplode(inner).alias("ord", "text"))
+    d = parsed(notes.where(F.col("contents").startswith("---")))
+    rows = d.select("path", F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.col("front") - 2, F.lit(0)))).alias("ord", "text"))
     rx = r"^([^\s:#][^:]*):(?:\s+(.*?))?\s*$"
     value = F.regexp_replace(F.regexp_extract("text", rx, 2), r"^(['\"])(.*)\1$", "$2")
     return rows.where(F.col("text").rlike(rx)).select("path", "ord", F.regexp_extract("text", rx, 1).alias("key"), F.nullif(value, F.lit("")).alias("value"))
@@ -93,22 +162,13 @@ def frontmatter_list(value: Column) -> Column:
     return F.when(value.rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array(value))
 
 
-def heading_text(text: Column) -> Column:
-    """The text a heading shows: links by their alias or target, fields by their value."""
-    shown = F.regexp_replace(text, r"!?\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
-    return F.trim(F.regexp_replace(shown, FIELD, "$2"))
-
-
 def headings(notes: DataFrame) -> DataFrame:
-    """(path, line, depth, text) of headings with # marks or underlines."""
-    d = prose_lines(notes)
-    marked = d.where(F.col("text").rlike(HEADING)).select(
-        "path", "line", F.length(F.regexp_extract("text", HEADING, 1)).alias("depth"), heading_text(F.regexp_extract("text", HEADING, 2)).alias("text")
-    )
-    under = d.where(F.col("next").rlike(r"^ {0,3}(=+|-+)\s*$") & F.col("text").rlike(r"^ {0,3}[^\s#>*+-]")).select(
-        "path", "line", F.when(F.ltrim("next").startswith("="), 1).otherwise(2).alias("depth"), heading_text(F.trim("text")).alias("text")
-    )
-    return marked.unionByName(under)
+    """(path, line, depth, text, source) of headings with # marks or underlines; source is the line as it is written."""
+    d = prose_lines(notes, following=True)
+    marked, under = F.col("text").rlike(HEADING), F.col("next").rlike(UNDERLINE) & F.col("text").rlike(r"^ {0,3}[^\s#>*+-]")
+    d = d.where(marked | under)
+    depth = F.when(marked, F.length(F.regexp_extract("text", HEADING, 1))).when(F.ltrim("next").startswith("="), 1).otherwise(2)
+    return d.select("path", "line", depth.alias("depth"), shown_text(F.when(marked, F.regexp_extract("text", HEADING, 2)).otherwise(F.col("text"))).alias("text"), F.col("text").alias("source"))
 
 
 def table_of_contents(notes: DataFrame) -> DataFrame:
@@ -123,7 +183,7 @@ def table_of_contents(notes: DataFrame) -> DataFrame:
 
 def links(notes: DataFrame) -> DataFrame:
     """(path, line, ord, original, embed, target, header, block, alias, value) of wikilinks; parts that are absent are null."""
-    d = prose_lines(notes).select("path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(LINK), F.lit(0))).alias("ord", "original"))
+    d = prose_lines(notes, holding="[[").select("path", "line", F.posexplode(tokens(F.col("text"), LINK)).alias("ord", "original"))
     inner = F.regexp_replace("original", r"^!?\[\[|\]\]$", "")
     body, alias = F.substring_index(inner, "|", 1), F.when(F.contains(inner, F.lit("|")), F.regexp_replace(inner, r"^[^|]*\|", ""))
     fragment = F.when(F.contains(body, F.lit("#")), F.regexp_replace(body, r"^[^#]*#", ""))
@@ -136,15 +196,9 @@ def links(notes: DataFrame) -> DataFrame:
     return out.where(valid & sound).withColumn("value", F.coalesce("alias", F.nullif("target", F.lit("")), "header", "block")).drop("fragment")
 
 
-def _outside_syntax(text: Column) -> Column:
-    """Text without links and inline fields."""
-    return F.regexp_replace(F.regexp_replace(text, FIELD, " "), LINK, " ")
-
-
 def tags(notes: DataFrame) -> DataFrame:
     """(path, line, ord, value) of tags in running text."""
-    d = prose_lines(notes)
-    return d.select("path", "line", F.posexplode(F.regexp_extract_all(_outside_syntax(F.col("text")), F.lit(TAG), F.lit(0))).alias("ord", "value"))
+    return prose_lines(notes, holding="#").select("path", "line", F.posexplode(tokens(F.col("text"), TAG, FIELD, LINK)).alias("ord", "value"))
 
 
 def note_tags(notes: DataFrame) -> DataFrame:
@@ -158,7 +212,7 @@ def note_tags(notes: DataFrame) -> DataFrame:
 
 def inline_fields(notes: DataFrame) -> DataFrame:
     """(path, line, ord, key, value) of [key:: value] and (key:: value)."""
-    d = prose_lines(notes).select("path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(FIELD), F.lit(0))).alias("ord", "original"))
+    d = prose_lines(notes, holding="::").select("path", "line", F.posexplode(tokens(F.col("text"), FIELD)).alias("ord", "original"))
     key, value = (F.trim(F.regexp_extract("original", FIELD, n)) for n in (1, 2))
     return d.select("path", "line", "ord", key.alias("key"), value.alias("value")).where("key <> ''")
 
@@ -166,36 +220,59 @@ def inline_fields(notes: DataFrame) -> DataFrame:
 def bare_fields(notes: DataFrame) -> DataFrame:
     """(path, line, key, value) of 'key:: value' lines after the frontmatter, those inside code too; keys with brackets don't count."""
     key, value = (F.trim(F.regexp_extract("text", BARE_FIELD, n)) for n in (1, 2))
-    return body_lines(notes).where(F.col("text").rlike(BARE_FIELD)).select("path", "line", key.alias("key"), value.alias("value")).where("key <> ''")
+    return body_lines(notes, "::").where(F.col("text").rlike(BARE_FIELD)).select("path", "line", key.alias("key"), value.alias("value")).where("key <> ''")
 
 
-def list_items(notes: DataFrame) -> DataFrame:
-    """(path, line, indent, checked, text): checked is null for plain bullets."""
-    d = prose_lines(notes).where(F.col("text").rlike(ITEM))
-    box = F.regexp_extract("text", ITEM, 2)
-    return d.select("path", "line", F.length(F.regexp_extract("text", ITEM, 1)).alias("indent"), F.when(box != "", F.lower(box) == "x").alias("checked"), F.regexp_extract("text", ITEM, 3).alias("text"))
+def list_items(notes: DataFrame, holding: str = "") -> DataFrame:
+    """(path, line, indent, checked, text, source): checked is null for plain bullets, text is what the first line shows, source as it is written."""
+    d = prose_lines(notes, holding=holding).where(F.col("text").rlike(ITEM))
+    box, source = F.regexp_extract("text", ITEM, 2), F.regexp_extract("text", ITEM, 3)
+    return d.select(
+        "path", "line", F.length(F.regexp_extract("text", ITEM, 1)).alias("indent"), F.when(box != "", F.lower(box) == "x").alias("checked"), shown_text(source).alias("text"), source.alias("source")
+    )
 
 
 def fenced_blocks(notes: DataFrame) -> DataFrame:
     """(path, line, language, meta, value) of fenced code."""
 
-    def block(lines, f):
-        closed = F.get(lines, f["last"]).rlike(r"^\s{0,3}(`{3,}|~{3,})\s*$") & (f["last"] > f["first"])
+    def block(f):
+        closed = F.get("lines", f["last"]).rlike(r"^\s{0,3}(`{3,}|~{3,})\s*$") & (f["last"] > f["first"])
         count = f["last"] - f["first"] - F.when(closed, 1).otherwise(0)
-        return F.struct((f["first"] + 1).alias("line"), f["info"].alias("info"), F.array_join(F.slice(lines, f["first"] + 2, count), "\n").alias("value"))
+        return F.struct((f["first"] + 1).alias("line"), f["info"].alias("info"), F.array_join(F.slice("lines", f["first"] + 2, count), "\n").alias("value"))
 
-    d = notes.select("path", F.inline(_of_lines(lambda lines, front: F.transform(_fences(lines, front), lambda f: block(lines, f)))))
+    d = parsed(notes).select("path", F.inline(F.transform("fences", block)))
     word = F.substring_index("info", " ", 1)
     return d.select("path", "line", F.nullif(word, F.lit("")).alias("language"), F.nullif(F.trim(F.expr("substring(info, length(substring_index(info, ' ', 1)) + 1)")), F.lit("")).alias("meta"), "value")
 
 
+def code_blocks(notes: DataFrame) -> DataFrame:
+    """(path, line, language, meta, value) of fenced and indented code; indented code has neither language nor meta."""
+
+    def block(r):
+        inner = F.transform(F.slice("lines", r["first"] + 1, r["last"] - r["first"] + 1), lambda x: F.regexp_replace(x, r"^(?: {1,4}| {0,3}\t)", ""))
+        return F.struct((r["first"] + 1).alias("line"), F.array_join(inner, "\n").alias("value"))
+
+    d = parsed(notes).select("path", F.inline(F.transform("indented", block)))
+    none = F.lit(None).cast("string")
+    return fenced_blocks(notes).unionByName(d.select("path", "line", none.alias("language"), none.alias("meta"), "value"))
+
+
 def block_anchors(notes: DataFrame) -> DataFrame:
     """(path, line, id) of ^anchors."""
-    d = prose_lines(notes)
-    return d.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(ANCHOR), F.lit(1))).alias("id"))
+    return prose_lines(notes, holding="^").select("path", "line", F.explode(F.transform(tokens(F.col("text"), ANCHOR), lambda x: F.substring(x, 2, 1_000_000))).alias("id"))
 
 
 def renamed_links(notes: DataFrame, old: str, new: str) -> DataFrame:
-    """notes with every link to old pointing to new; fragments and aliases stay."""
+    """notes with every link to old pointing to new; fragments, aliases, frontmatter and code stay as they are."""
     rx = rf"(!?\[\[)\s*{re.escape(old)}\s*(?=[#|\]])"
-    return notes.withColumn("contents", F.regexp_replace("contents", rx, "$1" + new.replace("\\", r"\\").replace("$", r"\$")))
+    to = "$1" + new.replace("\\", r"\\").replace("$", r"\$")
+
+    def edited(line):
+        parts = F.regexp_extract_all(line, F.lit(CODE + r"|[^`]+|`+"), F.lit(0))
+        return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("`"), x).otherwise(F.regexp_replace(x, rx, to))), "")
+
+    d = parsed(notes, *[c for c in notes.columns if c != "path"])
+    lines = F.transform(F.split("contents", "\n"), lambda x, i: F.when((i < F.col("front")) | in_code(i), x).otherwise(edited(x)))
+    new = F.when(F.col("contents").rlike(rx), F.array_join(lines, "\n")).otherwise(F.col("contents"))
+    # Made by a generator, the new contents stay one column to the optimiser, however often what follows names them.
+    return d.select(*[c for c in notes.columns if c != "contents"], F.explode(F.array(new)).alias("contents")).select(*notes.columns)

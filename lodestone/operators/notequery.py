@@ -7,11 +7,14 @@ Conditions and sort keys are Terms and columns from functions.values, so the pla
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.frames import numbered
 
 
 @dataclass(frozen=True)
@@ -20,6 +23,8 @@ class Result:
     #: Labels of the columns of rows, in order; labels may repeat, the names of columns can't.
     labels: tuple[str, ...]
     groups: DataFrame | None = None
+    #: The query as it was named, and its source: a path as it is, null for a tag, for several whether they hold of an empty record.
+    metadata: dict[str, str | bool | None] = field(default_factory=dict)
 
 
 def from_path(path: Column, source: str) -> Column:
@@ -49,6 +54,19 @@ class NoteQuery:
     most: int | None = None
     shown: tuple[tuple[str, V.Term], ...] = field(default=())
     group: V.Term | None = None
+    metadata: tuple[tuple[str, str | bool | None], ...] = ()
+
+    def named(self, query: str) -> NoteQuery:
+        """The query with a text that stands for it in the metadata of its result."""
+        return replace(self, metadata=(*self.metadata, ("query", query)))
+
+    def source(self, *sources: str, every: bool = False) -> NoteQuery:
+        """Records of a path or a #tag; of several sources, of any of them or of every one."""
+        path = V.field(self.df, "file.path" if "file.path" in self.df.columns else "path").column
+        tests = [from_tag(self.df, s) if s.startswith("#") else from_path(path, s) for s in sources]
+        held = [bool(s) and not s.startswith("#") for s in sources]
+        known = (all(held) if every else any(held)) if len(sources) > 1 else sources[0] if held[0] else None
+        return replace(self.where(reduce(and_ if every else or_, tests)), metadata=(*self.metadata, ("source", known)))
 
     def term(self, name: str) -> V.Term:
         return V.field(self.df, name)
@@ -89,10 +107,10 @@ class NoteQuery:
             out = out.orderBy(*self.keys, *self.order)
         return out.limit(self.most) if self.most else out
 
-    def run(self, file_link: str | None = None) -> Result:
-        """Cells of the shown columns (all fields where none is named), with the file column first where it is asked for."""
+    def run(self, file_link: str | None = None, fields: bool = True) -> Result:
+        """Cells of the shown columns (all fields where none is named, unless `fields` is off), with the file column first where it is asked for."""
         d = self.records()
-        shown = [(n, t) for n, t in self.shown] or [(n, V.field(d, n)) for n in d.columns]
+        shown = [(n, t) for n, t in self.shown] or [(n, V.field(d, n)) for n in d.columns if fields]
         if file_link:
             shown.insert(0, ("File", V.field(d, file_link)))
         names, cells = [], []
@@ -100,33 +118,25 @@ class NoteQuery:
             name = label if label not in names else f"{label}_{len(names)}"
             names.append(name)
             cells.append(term.column.alias(name))
-        return Result(d.select(*cells), tuple(n for n, _ in shown), self.groups() if self.group else None)
-
-    def groups(self) -> DataFrame:
-        """(key, label, row_indexes) in order of first appearance, by 0-based places after sort and limit.
+        return Result(d.select(*cells), tuple(n for n, _ in shown), self.groups() if self.group else None, dict(self.metadata))
 
-        Without a limit, places come from one range-partitioned sort and the counts of its partitions.
-        """
+    def group_rows(self) -> DataFrame:
+        """(key, i): the group and the 0-based place, after sort and limit, of every record.  No row grows with a group."""
         key = F.coalesce(V.text(self.group), F.lit(""))
         if self.most:
-            order = Window.orderBy(*self.keys, *self.order)
-            numbered = self.records().select(key.alias("key"), (F.row_number().over(order) - 1).alias("i"))
-        else:
-            numbered = numbered_rows(self.records().select(key.alias("key")) if not self.keys else self.records().select(key.alias("key"), *self.order))
-        per = numbered.groupBy("key").agg(F.sort_array(F.collect_list("i")).alias("row_indexes"))
-        return per.select("key", F.col("key").alias("label"), "row_indexes").orderBy(F.get("row_indexes", F.lit(0)))
-
+            number = F.row_number().over(Window.orderBy(*self.keys, *self.order)) - 1
+            return self.records().select(key.alias("key"), number.cast("long").alias("i"))
+        rows = replace(self, keys=(), most=None).records().withColumn("group_", key)
+        return numbered(rows, *self.keys, *self.order).select(F.col("group_").alias("key"), "i")
 
-def numbered_rows(df: DataFrame) -> DataFrame:
-    """df, which is sorted, with a 0-based number i: places within partitions plus the rows of partitions before."""
-    part = df.withColumn("part_", F.spark_partition_id()).withColumn("in_", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = part.groupBy("part_").agg(F.count("*").alias("n_")).withColumn("before_", before)
-    return part.join(F.broadcast(counts), "part_").withColumn("i", (F.col("before_") + F.col("in_")).cast("int")).drop("part_", "in_", "n_", "before_")
+    def groups(self) -> DataFrame:
+        """(key, label, row_indexes) in order of first appearance; row_indexes is one array for each group, for results of moderate size (else group_rows)."""
+        per = self.group_rows().groupBy("key").agg(F.sort_array(F.collect_list(F.col("i").cast("int"))).alias("row_indexes"))
+        return per.select("key", F.col("key").alias("label"), "row_indexes").orderBy(F.get("row_indexes", F.lit(0)))
 
 
 def first_seen_keys(records: DataFrame, order: str, pairs: str) -> DataFrame:
-    """(key, ord) of all keys in array<struct<key, value>> columns, by first appearance."""
+    """(key, ord) of all keys in array<struct<key, value>> columns, by first appearance; keys are few."""
     d = records.select(F.col(order).alias("row_"), F.posexplode(pairs).alias("pos_", "p"))
     first = d.groupBy(F.col("p.key").alias("key")).agg(F.min(F.struct("row_", "pos_")).alias("at"))
     return first.select("key", (F.row_number().over(Window.orderBy("at")) - 1).alias("ord"))

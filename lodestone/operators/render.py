@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import Term, text
+from .notequery import Result
 
 #: A document is collected up to this many rows.
 MOST_ROWS = 10_000
@@ -40,3 +43,20 @@ def markdown_table(df: DataFrame) -> str:
     if len(lines) > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS} rows; write markdown_lines() instead")
     return "\n".join([f"| {' | '.join(df.columns)} |", f"| {' | '.join('---' for _ in df.columns)} |", *lines])
+
+
+def json_document(result: Result) -> str:
+    """A bounded result as one JSON document with columns, rows, groups and metadata; more rows than MOST_ROWS are refused."""
+    keys = result.rows.columns
+    rows = [json.loads(r.line) for r in json_lines(result.rows.toDF(*[f"c{n}" for n in range(len(keys))])).limit(MOST_ROWS + 1).collect()]
+    groups = [] if result.groups is None else result.groups.limit(MOST_ROWS + 1).collect()
+    if max(len(rows), len(groups)) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows; write json_lines() instead")
+    document = {
+        "_tag": "QueryResult",
+        "columns": [{"key": k, "label": label} for k, label in zip(keys, result.labels, strict=True)],
+        "rows": [[r[f"c{n}"] for n in range(len(keys))] for r in rows],
+        "groups": [{"key": g.key, "label": g.label, "rowIndexes": g.row_indexes} for g in groups],
+        "metadata": result.metadata,
+    }
+    return json.dumps(document, indent=2, ensure_ascii=False)

@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, let
-from .markdown import ANCHOR, FIELD, TAG, list_items
+from .markdown import ANCHOR, FIELD, KEPT_CODE, LINK, TAG, list_items, shown_text, tokens
 
 #: Fields that a task gives a meaning to, and those that no check calls unknown.
 KNOWN_FIELDS = ("scheduled", "due", "completed", "depends", "repeat", "repeatFrom", "area", "project")
 ALLOWED_FIELDS = (*KNOWN_FIELDS, "person", "source", "priority")
 DATE_FIELDS = ("scheduled", "due", "completed")
 
-#: 'every', a number, a unit, and days of the week.
-REPEAT = r"(?i)^every\s+(?:(\d+)\s+)?(day|weekday|week|month|year)s?(?:\s+on\s+(.+))?$"
+#: Fixed words of repeats, and the forms that are read: a number or 'other', a unit or days or a month, and days of the week or of the month.
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
-DAY_LIST = rf"(?i)^(?:{'|'.join(DAYS)})(?:(?:\s*,\s*|\s+and\s+)(?:{'|'.join(DAYS)}))*$"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_AND = r"(?:\s*,\s*(?:and\s+)?|\s+and\s+)"
+_DAY_LIST = rf"(?:{'|'.join(DAYS)})(?:{_AND}(?:{'|'.join(DAYS)}))*"
+_NTH_LIST = rf"(?:the\s+)?\d+(?:st|nd|rd|th)(?:{_AND}(?:the\s+)?\d+(?:st|nd|rd|th))*"
+REPEAT = (
+    rf"^every\s+(?:(\d+|other|second|third)\s+)?(day|weekday|week|month|year|{_DAY_LIST}|{'|'.join(MONTHS)})s?"
+    rf"(?:\s+on\s+(?:({_DAY_LIST})s?|({_NTH_LIST})))?$"
+)
 
 
 def tasks(notes: DataFrame) -> DataFrame:
@@ -25,9 +31,8 @@ def tasks(notes: DataFrame) -> DataFrame:
     (path, line, done, text, tags, fields, unknown_fields, scheduled, due, completed, depends, repeat, repeatFrom, area,
     project).  Dates are promoted only if they are valid; of repeated fields the last counts.
     """
-    d = list_items(notes).where(F.col("checked").isNotNull())
-    outside = F.regexp_replace("text", FIELD, " ")
-    d = d.withColumn("tags", F.regexp_extract_all(F.regexp_replace(outside, r"!?\[\[[^\[\]\n]+\]\]", " "), F.lit(TAG), F.lit(0)))
+    d = list_items(notes, holding="#task").where(F.col("checked").isNotNull()).drop("text").withColumnRenamed("source", "text")
+    d = d.withColumn("tags", tokens(F.col("text"), TAG, FIELD, LINK))
     d = d.where(F.array_contains("tags", "#task"))
 
     def pair(f, i):
@@ -37,32 +42,41 @@ def tasks(notes: DataFrame) -> DataFrame:
         kept = F.filter(pairs, lambda p: (p["k"] != "") & ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
         return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
 
-    d = d.withColumn("fields", let(F.transform(F.regexp_extract_all("text", F.lit(FIELD), F.lit(0)), pair), last_of_each))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", FIELD, ""), ANCHOR, ""), TAG, "")
+    d = d.withColumn("fields", let(F.transform(tokens(F.col("text"), FIELD), pair), last_of_each))
+    clean = shown_text(F.regexp_replace("text", rf"{KEPT_CODE}|({LINK})|{FIELD}|{ANCHOR}|{TAG}", "$1$3"))
     known = F.array(*map(F.lit, KNOWN_FIELDS))
     return d.select(
-        "path", "line", F.col("checked").alias("done"), F.trim(F.regexp_replace(clean, r"\s{2,}", " ")).alias("text"), "tags", "fields",
+        "path", "line", F.col("checked").alias("done"), F.trim(F.regexp_replace(clean, r"\s+", " ")).alias("text"), "tags", "fields",
         F.map_filter("fields", lambda k, v: ~F.array_contains(known, k)).alias("unknown_fields"),
         *[iso_date(F.try_element_at("fields", F.lit(k))).alias(k) for k in DATE_FIELDS],
         *[F.try_element_at("fields", F.lit(k)).alias(k) for k in KNOWN_FIELDS if k not in DATE_FIELDS],
     )
 
 
+def _rule(repeat: Column) -> Column:
+    """What a repeat says: struct<n, unit, days, nths, month>; unit is empty where it can't be read, month is 0 for none."""
+    text = F.lower(F.trim(repeat))
+    number, word = F.regexp_extract(text, REPEAT, 1), F.regexp_extract(text, REPEAT, 2)
+    n = F.when(number == "", 1).when(number.isin("other", "second"), 2).when(number == "third", 3).otherwise(F.coalesce(number.try_cast("int"), F.lit(0)))
+    named, month = word.rlike(f"^{_DAY_LIST}$"), F.array_position(F.array(*map(F.lit, MONTHS)), word).cast("int")
+    nths = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract(text, REPEAT, 4), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    unit = F.when(n == 0, "").when(named, "week").when(month > 0, "year").otherwise(word)
+    return F.struct(n.alias("n"), unit.alias("unit"), F.when(named, word).otherwise(F.regexp_extract(text, REPEAT, 3)).alias("days"), nths.alias("nths"), month.alias("month"))
+
+
 def repeat_status(repeat: Column) -> Column:
     """'none', 'empty', 'unsupported', 'parse-error' or 'supported'."""
-    text = F.trim(repeat)
-    days = F.regexp_extract(text, REPEAT, 3)
-    readable = text.rlike(REPEAT) & ((days == "") | days.rlike(DAY_LIST)) & ~((F.regexp_extract(text, REPEAT, 1) == "0"))
-    return (
-        F.when(repeat.isNull(), "none").when(text == "", "empty").when(F.lower(text).endswith(" when done"), "unsupported").when(readable, "supported").otherwise("parse-error")
-    )
+    text = F.lower(F.trim(repeat))
+    readable = text.rlike(REPEAT) & ~text.rlike(r"^every\s+0+\s")
+    return F.when(repeat.isNull(), "none").when(text == "", "empty").when(text.endswith(" when done"), "unsupported").when(readable, "supported").otherwise("parse-error")
 
 
 def occurrences(repeat: Column, reference: Column, until: Column) -> Column:
-    """Dates strictly after reference up to until, on which a supported repeat falls; months and years skip days that they lack."""
-    text, none = F.trim(repeat), F.array().cast("array<date>")
-    number = F.coalesce(F.regexp_extract(text, REPEAT, 1).try_cast("int"), F.lit(1))
-    rule = F.struct(number.alias("n"), F.lower(F.regexp_extract(text, REPEAT, 2)).alias("unit"), F.lower(F.regexp_extract(text, REPEAT, 3)).alias("days"), reference.alias("reference"), until.alias("until"))
+    """Dates strictly after reference up to until, on which a supported repeat falls; months and years skip days that they lack.
+
+    Plain intervals are stepped.  Repeats that name days of the week or the month, or a month, are days of the units that the interval takes.
+    """
+    none = F.array().cast("array<date>")
 
     def stepped(reference, until, step):
         """Every step-th day."""
@@ -70,22 +84,30 @@ def occurrences(repeat: Column, reference: Column, until: Column) -> Column:
         return F.when(times > 0, F.transform(F.sequence(F.lit(1), times), lambda k: F.date_add(reference, k * step))).otherwise(none)
 
     def dates(r):
-        n, unit, days, reference, until = r["n"], r["unit"], r["days"], r["reference"], r["until"]
-        ago = lambda d: F.datediff(d, reference)
+        n, unit, days, nths, month, reference, until = (r[k] for k in ("n", "unit", "days", "nths", "month", "reference", "until"))
         week_of = lambda d: F.date_trunc("week", d).cast("date")
-        weeks = lambda d: F.floor(F.datediff(week_of(d), week_of(reference)) / 7)
-        named = lambda d: F.contains(days, F.lower(F.date_format(d, "EEEE")))
+        apart = lambda d: (F.year(d) - F.year(reference)) * 12 + F.month(d) - F.month(reference)
+        in_unit = lambda d: (
+            F.when(unit == "week", F.floor(F.datediff(week_of(d), week_of(reference)) / 7) % n == 0)
+            .when(unit == "month", apart(d) % n == 0).when(unit == "year", (F.year(d) - F.year(reference)) % n == 0).otherwise(F.datediff(d, reference) % n == 0)
+        )
+        on_day = lambda d: (
+            ((days == "") | F.contains(days, F.lower(F.date_format(d, "EEEE")))) & ((F.size(nths) == 0) | F.array_contains(nths, F.dayofmonth(d)))
+            & ((month == 0) | (F.month(d) == month)) & ((days != "") | (F.size(nths) > 0) | (month == 0) | (F.dayofmonth(d) == F.dayofmonth(reference)))
+        )
         months = F.when(unit == "year", n * 12).otherwise(n)
         span = F.floor(F.months_between(until, reference) / months).cast("int") + 1
         by_month = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(span, F.lit(1))), lambda k: F.add_months(reference, k * months)), lambda d: (d <= until) & (F.dayofmonth(d) == F.dayofmonth(reference)))
         return (
-            F.when(unit.isin("month", "year"), F.when(days == "", by_month))
-            .when(unit == "weekday", F.filter(stepped(reference, until, F.lit(1)), lambda d: F.weekday(d) < 5))
-            .when(days != "", F.filter(stepped(reference, until, F.lit(1)), lambda d: named(d) & (F.when(unit == "week", weeks(d) % n).otherwise(ago(d) % n) == 0)))
+            F.when(unit == "weekday", F.filter(stepped(reference, until, F.lit(1)), lambda d: F.weekday(d) < 5))
+            .when((days != "") | (F.size(nths) > 0) | (month > 0), F.filter(stepped(reference, until, F.lit(1)), lambda d: in_unit(d) & on_day(d)))
+            .when(unit.isin("month", "year"), by_month)
             .otherwise(stepped(reference, until, n * F.when(unit == "week", 7).otherwise(1)))
         )
 
-    return F.when((until > reference) & (repeat_status(repeat) == "supported"), F.coalesce(let(rule, dates), none)).otherwise(none)
+    rule = _rule(repeat)
+    whole = F.struct(*[rule[k].alias(k) for k in ("n", "unit", "days", "nths", "month")], reference.alias("reference"), until.alias("until"))
+    return F.when((until > reference) & (repeat_status(repeat) == "supported"), F.coalesce(let(whole, dates), none)).otherwise(none)
 
 
 def _recurring(tasks_df: DataFrame) -> DataFrame:
@@ -99,14 +121,15 @@ def _recurring(tasks_df: DataFrame) -> DataFrame:
     )
 
 
-def _generated(d: DataFrame, day: Column) -> DataFrame:
-    """Rows of later occurrences: open, dates moved, completion dropped."""
-    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+def _generated(d: DataFrame) -> DataFrame:
+    """Rows with a day_ as later occurrences: open, dates moved in columns and fields, completion dropped.  Others stay as they are."""
+    text, day, stays = (lambda c: F.date_format(c, "yyyy-MM-dd")), F.col("day_"), F.col("day_").isNull()
     due = F.when(F.col("due").isNotNull(), text(day))
     scheduled = F.when(F.col("scheduled").isNotNull(), text(F.date_add(day, F.col("offset_"))))
-    return d.withColumn("due_", due).withColumn("scheduled_", scheduled).withColumns(
-        {"due": F.col("due_"), "scheduled": F.col("scheduled_"), "completed": F.lit(None).cast("string"), "done": F.lit(False)}
-    )
+    dates = F.filter(F.array(F.struct(F.lit("scheduled").alias("key"), scheduled.alias("value")), F.struct(F.lit("due").alias("key"), due.alias("value"))), lambda x: x["value"].isNotNull())
+    fields = F.map_concat(F.map_filter("fields", lambda k, v: ~k.isin(*DATE_FIELDS)), F.map_from_entries(dates))
+    new = {"due": due, "scheduled": scheduled, "completed": F.lit(None).cast("string"), "done": F.lit(False), "fields": fields}
+    return d.withColumns({name: F.when(stays, F.col(name)).otherwise(to) for name, to in new.items()})
 
 
 def expand_in_window(tasks_df: DataFrame, start: str, end: str) -> DataFrame:
@@ -117,19 +140,14 @@ def expand_in_window(tasks_df: DataFrame, start: str, end: str) -> DataFrame:
     d = _recurring(tasks_df)
     lo, hi = (F.date_add(F.lit(x).cast("date"), -F.col("offset_")) for x in (start, end))
     days = let(lo, lambda first: F.filter(occurrences(F.col("repeat"), F.col("reference_"), hi), lambda x: x >= first))
-    later = d.where("recurs_").select("*", F.posexplode(days).alias("occ_", "day_"))
-    later = _generated(later, F.col("day_")).withColumn("occurrence", F.col("occ_") + 1)
-    return d.withColumn("occurrence", F.lit(0)).select(*tasks_df.columns, "occurrence").unionByName(later.select(*tasks_df.columns, "occurrence"))
+    later = F.when(F.col("recurs_"), F.transform(days, lambda x, i: F.struct((i + 1).alias("occurrence"), x.alias("day_"))))
+    itself = F.array(F.struct(F.lit(0).alias("occurrence"), F.lit(None).cast("date").alias("day_")))
+    d = d.select("*", F.inline(F.concat(itself, F.coalesce(later, F.array().cast("array<struct<occurrence:int,day_:date>>")))))
+    return _generated(d).select(*tasks_df.columns, "occurrence")
 
 
 def latest_on_or_before(tasks_df: DataFrame, cutoff: str) -> DataFrame:
     """Each recurring row replaced by its latest occurrence up to the cutoff, if it has one after its reference; others as they are."""
     d = _recurring(tasks_df)
-    limit = F.date_add(F.lit(cutoff).cast("date"), -F.col("offset_"))
-    d = d.withColumn("day_", F.when(F.col("recurs_"), F.array_max(occurrences(F.col("repeat"), F.col("reference_"), limit))))
-    stays, text = F.col("day_").isNull(), lambda c: F.date_format(c, "yyyy-MM-dd")
-    moved = d.withColumns({
-        "due_": F.when(stays | F.col("due").isNull(), F.col("due")).otherwise(text("day_")), "completed": F.when(stays, F.col("completed")),
-        "scheduled_": F.when(stays | F.col("scheduled").isNull(), F.col("scheduled")).otherwise(text(F.date_add("day_", F.col("offset_")))),
-    })
-    return moved.drop("due", "scheduled").withColumnsRenamed({"due_": "due", "scheduled_": "scheduled"}).select(*tasks_df.columns)
+    day = F.when(F.col("recurs_"), F.array_max(occurrences(F.col("repeat"), F.col("reference_"), F.lit(cutoff).cast("date"))))
+    return _generated(d.withColumn("day_", day)).select(*tasks_df.columns)

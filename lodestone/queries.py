@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
-from .operators import checks, notequery, render, search
+from .operators import checks, notequery, pages, render, search
 from .operators import markdown as M
 from .operators import tasks as T
 from .plans import views
@@ -64,8 +64,8 @@ def list_projection(spark, sf_dir):
 
 @registered("SELECT 'nations/' || n_name || '.md' AS \"File\" FROM nation")
 def list_default_link(spark, sf_dir):
-    d = table(spark, sf_dir, "nation").select(F.concat(F.lit("nations/"), "n_name", F.lit(".md")).alias("file.link"))
-    return d.select(F.col("`file.link`").alias("File"))
+    notes = table(spark, sf_dir, "nation").select(F.concat(F.lit("nations/"), "n_name", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "n_name").alias("contents"))
+    return notequery.NoteQuery(pages.page_records(notes), ("`file.path`",)).run(file_link="file.link", fields=False).rows
 
 
 @registered("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 30 AND (l_returnflag = 'R' OR l_linestatus = 'O') AND NOT (l_discount > 0.05)")
@@ -189,6 +189,28 @@ def group_row_indexes(spark, sf_dir):
     return q.groups().withColumn("row_indexes", F.array_join("row_indexes", ","))
 
 
+_PLACES = "(SELECT o_orderpriority AS key, row_number() OVER (ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey) - 1 AS i FROM orders)"
+
+
+@registered(f"SELECT key, count(*) AS n, min(i) AS first, max(i) AS last, CAST(sum(i) AS BIGINT) AS total FROM {_PLACES} GROUP BY key")
+def group_rows_without_limit(spark, sf_dir):
+    q = query(spark, sf_dir, "orders", "o_orderkey").sort("-o_totalprice").group_by("o_orderpriority")
+    return q.group_rows().groupBy("key").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"), F.sum("i").alias("total"))
+
+
+@registered(f"SELECT key, CAST(sum(i) AS BIGINT) AS total, count(*) AS n FROM {_PLACES} GROUP BY key")
+def group_arrays_without_limit(spark, sf_dir):
+    q = query(spark, sf_dir, "orders", "o_orderkey").sort("-o_totalprice").group_by("o_orderpriority")
+    return q.groups().select("key", F.aggregate("row_indexes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("row_indexes").cast("long").alias("n"))
+
+
+@registered("SELECT p_partkey, contains(p_name, 'a') AS held, '1994-06-15' AS day, CAST(NULL AS VARCHAR) AS nothing FROM part")
+def functions_by_name(spark, sf_dir):
+    d = table(spark, sf_dir, "part")
+    call = lambda name, *args: V.call(name, *args, today="1994-06-15").column
+    return d.select("p_partkey", call("contains", V.field(d, "p_name"), V.literal("a")).alias("held"), call("date", V.literal("today")).alias("day"), call("lower", V.field(d, "p_name")).cast("string").alias("nothing"))
+
+
 @registered("""SELECT key, row_number() OVER (ORDER BY r, p) - 1 AS ord FROM (SELECT key, min(event_id * 10) AS r, min(p) AS p FROM (SELECT event_id, event_type AS key, 0 AS p FROM events UNION ALL SELECT event_id, 'k' || (event_id % 5), 1 FROM events) GROUP BY key)""")
 def columns_first_seen(spark, sf_dir):
     pair = lambda k: F.struct(k.alias("key"), F.lit("v").alias("value"))
@@ -234,7 +256,7 @@ _HEADINGS = "(SELECT 'parts/' || p_partkey || '.md' AS path, unnest([6, 9, 18, 1
 
 @registered(f"SELECT path, line, depth, text FROM {_HEADINGS}")
 def headings_extract(spark, sf_dir):
-    return M.headings(_part_notes(spark, sf_dir))
+    return M.headings(_part_notes(spark, sf_dir)).drop("source")
 
 
 @registered(f"SELECT path, line, depth, text, parent FROM {_HEADINGS}")
@@ -259,7 +281,7 @@ def note_tags(spark, sf_dir):
     return M.note_tags(_part_notes(spark, sf_dir)).select("path", F.array_join("etags", " ").alias("etags"), F.array_join("tags", " ").alias("tags"))
 
 
-@registered("SELECT 'parts/' || p_partkey || '.md' AS path, unnest([11, 12, 13]) AS line, unnest([NULL, true, false]) AS checked, unnest(['first point', 'done point', 'open point (who:: [[Ann]])']) AS text FROM part")
+@registered("SELECT 'parts/' || p_partkey || '.md' AS path, unnest([11, 12, 13]) AS line, unnest([NULL, true, false]) AS checked, unnest(['first point', 'done point', 'open point Ann']) AS text FROM part")
 def list_items_extract(spark, sf_dir):
     return M.list_items(_part_notes(spark, sf_dir)).select("path", "line", "checked", "text")
 
@@ -279,6 +301,60 @@ def rename_links(spark, sf_dir):
     return M.links(M.renamed_links(_part_notes(spark, sf_dir), "Ann", "Bea")).select("path", "target")
 
 
+def _coded_notes(spark, sf_dir):
+    """Code spans with syntax inside, indented and fenced code, an underlined heading, and a list whose nested items are as deep as code."""
+    k = F.col("s_suppkey").cast("string")
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s/_"), k, F.lit(".md")).alias("path"),
+        F.concat_ws(
+            "\n", F.concat(F.lit("# Use `"), "s_name", F.lit("` **well**")), F.lit(""), F.lit("    - [ ] not #task [[x]] [a:: 1]"), F.lit(""), F.lit("\tmore #code"),
+            F.concat(F.lit("- [ ] run `[[not]] #no` "), k, F.lit(" #task [cmd:: `ls` "), k, F.lit("] [[Old|see]]")), F.lit("    - [ ] _nested_ #task [due:: 2026-01-02] [due:: bad]"), F.lit(""),
+            F.concat(F.lit("Section "), k), F.lit("---"), F.lit("text"), F.lit("    goes on [[Old#part]]"), F.lit("~~~"), F.lit("[[Old]]"), F.lit("~~~"),
+        ).alias("contents"),
+    )
+
+
+@registered("SELECT 's/_' || s_suppkey || '.md' AS path, unnest([1, 9]) AS line, unnest([1, 2]) AS depth, unnest(['Use ' || s_name || ' well', 'Section ' || s_suppkey]) AS text FROM supplier")
+def headings_with_code(spark, sf_dir):
+    return M.headings(_coded_notes(spark, sf_dir)).drop("source")
+
+
+@registered("SELECT 's/_' || s_suppkey || '.md' AS path, unnest([6, 7]) AS line, unnest(['run [[not]] #no ' || s_suppkey || ' see', 'nested']) AS text, unnest(['`ls` ' || s_suppkey, NULL]) AS cmd, unnest([NULL, 'bad']) AS due_field, CAST(NULL AS VARCHAR) AS due FROM supplier")
+def tasks_with_code(spark, sf_dir):
+    d = T.tasks(_coded_notes(spark, sf_dir))
+    return d.select("path", "line", "text", F.try_element_at("fields", F.lit("cmd")).alias("cmd"), F.try_element_at("fields", F.lit("due")).alias("due_field"), "due")
+
+
+@registered("SELECT 's/_' || s_suppkey || '.md' AS path, unnest([3, 13]) AS line, unnest(['- [ ] not #task [[x]] [a:: 1]' || chr(10) || chr(10) || 'more #code', '[[Old]]']) AS value FROM supplier")
+def code_blocks_extract(spark, sf_dir):
+    return M.code_blocks(_coded_notes(spark, sf_dir)).select("path", "line", "value")
+
+
+@registered("SELECT 's/_' || s_suppkey || '.md' AS path, unnest([6, 12]) AS line, unnest(['[[New|see]]', '[[New#part]]']) AS original FROM supplier")
+def rename_links_outside_code(spark, sf_dir):
+    d = M.renamed_links(M.renamed_links(_coded_notes(spark, sf_dir), "Old", "New"), "not", "bad").where(F.contains("contents", F.lit("~~~\n[[Old]]\n~~~")) & F.contains("contents", F.lit("`[[not]] #no`")))
+    return M.links(d).select("path", "line", "original")
+
+
+@registered("""SELECT 'parts/' || p_partkey || '.md' AS path, unnest(['type', 'size', 'tags', 'price', 'who', 'kind']) AS key, unnest(['part', CAST(p_size AS VARCHAR), 'part,shop/tool', CAST(p_size * 2 AS VARCHAR), '[[Ann]]', p_type]) AS value FROM part""")
+def page_fields(spark, sf_dir):
+    return pages.page_records(_part_notes(spark, sf_dir)).select(F.col("`file.path`").alias("path"), F.explode("fields").alias("key", "v")).select("path", "key", F.array_join("v", ",").alias("value"))
+
+
+@registered("""SELECT CAST(p_partkey AS VARCHAR) AS name, 'parts' AS folder, 'part,shop/tool,' || b AS etags, 'part,shop,shop/tool,brand,' || b AS tags, 'supplier-' || (p_partkey % 10) || ',' || split_part(p_brand, '#', 1) || ',Ann' AS outlinks, 'type | part;size | ' || p_size AS front
+FROM (SELECT *, 'brand/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g')) AS b FROM part)""")
+def page_file_fields(spark, sf_dir):
+    c = lambda name: F.col(f"`file.{name}`")
+    plain = lambda name: F.replace(F.array_join(c(name), ","), F.lit("#"), F.lit("")).alias(name)
+    return pages.page_records(_part_notes(spark, sf_dir)).select(c("name").alias("name"), c("folder").alias("folder"), plain("etags"), plain("tags"), F.array_join(c("outlinks"), ",").alias("outlinks"), F.array_join(c("frontmatter"), ";").alias("front"))
+
+
+@registered("SELECT 'parts/' || p_partkey || '.md' AS \"File\", CAST(p_size AS VARCHAR) AS size, p_type AS kind FROM part WHERE CAST(p_size AS VARCHAR) >= '4' AND p_type <> 'ECONOMY'")
+def page_table_where(spark, sf_dir):
+    q = notequery.NoteQuery(pages.page_records(_part_notes(spark, sf_dir)), ("`file.path`",)).source("#shop", "parts", every=True)
+    return q.compare("size", ">=", "4").compare("kind", "!=", "ECONOMY").show(size=V.head(q.term("size")), kind=V.head(q.term("kind"))).run(file_link="file.link").rows
+
+
 @registered("SELECT doc_id, string_split(text, chr(10))[2] AS line FROM documents")
 def source_line(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.source_line(F.col("text"), F.lit(2)).alias("line"))
@@ -366,7 +442,7 @@ def task_week(spark, sf_dir):
 
 _LATEST = f"""(WITH t AS (SELECT *, CAST(coalesce(due, scheduled) AS DATE) AS ref, CASE repeat WHEN 'every week' THEN 7 WHEN 'every 3 days' THEN 3 END AS step,
   CASE WHEN due IS NOT NULL AND scheduled IS NOT NULL THEN 3 ELSE 0 END AS shift FROM {_TASKS}),
- m AS (SELECT *, CASE WHEN NOT done AND step IS NOT NULL AND ref IS NOT NULL AND DATE '1996-03-01' - shift >= ref + step THEN ref + CAST(floor((DATE '1996-03-01' - shift - ref) / step) * step AS INTEGER) END AS day_ FROM t)
+ m AS (SELECT *, CASE WHEN NOT done AND step IS NOT NULL AND ref IS NOT NULL AND DATE '1996-03-01' >= ref + step THEN ref + CAST(floor((DATE '1996-03-01' - ref) / step) * step AS INTEGER) END AS day_ FROM t)
  SELECT k, done, CASE WHEN day_ IS NOT NULL AND due IS NOT NULL THEN strftime(day_, '%Y-%m-%d') ELSE due END AS due, CASE WHEN day_ IS NOT NULL AND scheduled IS NOT NULL THEN strftime(day_ + shift, '%Y-%m-%d') ELSE scheduled END AS scheduled FROM m)"""
 
 
@@ -385,6 +461,37 @@ def task_overdue(spark, sf_dir):
     return views.overdue(_tasks(spark, sf_dir), "1996-03-01").select("path", "due")
 
 
+def _early_tasks(spark, sf_dir):
+    """Tasks scheduled before they are due, after it, on it, or not at all, each of them weekly."""
+    k, day = F.col("o_orderkey"), lambda c: F.date_format(c, "yyyy-MM-dd")
+    early = F.when(k % 4 < 3, F.concat(F.lit(" [scheduled:: "), day(F.date_add("o_orderdate", ((k % 4) - 1).cast("int") * 9)), F.lit("]"))).otherwise("")
+    body = F.concat(F.lit("- [ ] Early #task [due:: "), day("o_orderdate"), F.lit("]"), early, F.lit(" [repeat:: every week]"))
+    return T.tasks(table(spark, sf_dir, "orders").select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents")))
+
+
+_EARLY = """(SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS ref, CASE WHEN o_orderkey % 4 < 3 THEN CAST((o_orderkey % 4 - 1) * 9 AS INTEGER) END AS shift,
+ CAST(floor((DATE '1996-03-01' - CAST(o_orderdate AS DATE)) / 7) AS INTEGER) AS weeks FROM orders)"""
+
+
+@registered(f"""SELECT 'o/' || k || '.md' AS path, strftime(d, '%Y-%m-%d') AS due, strftime(d + shift, '%Y-%m-%d') AS scheduled, strftime(d, '%Y-%m-%d') AS due_field FROM (SELECT *, ref + 7 * CASE WHEN weeks > 0 THEN weeks ELSE 0 END AS d FROM {_EARLY})""")
+def recur_latest_offsets(spark, sf_dir):
+    return T.latest_on_or_before(_early_tasks(spark, sf_dir), "1996-03-01").select("path", "due", "scheduled", F.try_element_at("fields", F.lit("due")).alias("due_field"))
+
+
+@registered(f"""SELECT 'o/' || k || '.md' AS path, strftime(ref + 7 * CASE WHEN weeks > 0 THEN weeks ELSE 0 END, '%Y-%m-%d') AS due FROM {_EARLY} WHERE ref <= DATE '1996-03-01'""")
+def task_query_due_by(spark, sf_dir):
+    return views.TaskQuery(_early_tasks(spark, sf_dir)).by("1996-03-01").where(~F.col("done")).records().select("path", "due")
+
+
+@registered("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS ref, o_orderkey % 3 AS r FROM orders), days AS (SELECT k, ref, r, CAST(unnest(generate_series(ref + 1, ref + 70, INTERVAL 1 DAY)) AS DATE) AS day FROM o)
+SELECT k, strftime(day, '%Y-%m-%d') AS day FROM days WHERE (r = 0 AND isodow(day) IN (1, 5)) OR (r = 1 AND day(day) IN (1, 15)) OR (r = 2 AND isodow(day) = 3 AND date_diff('week', date_trunc('week', ref), date_trunc('week', day)) % 2 = 0)""")
+def recur_named_days(spark, sf_dir):
+    k, ref = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    repeat = F.when(k % 3 == 0, "every monday and friday").when(k % 3 == 1, "every month on the 1st and 15th").otherwise("Every other week on Wednesday")
+    d = table(spark, sf_dir, "orders").select(k.alias("k"), F.explode(T.occurrences(repeat, ref, F.date_add(ref, 70))).alias("day"))
+    return d.select("k", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 # Checks.
 
 
@@ -500,3 +607,49 @@ def render_markdown(spark, sf_dir):
 @registered("""SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '","none":null}' AS line FROM region""")
 def render_json(spark, sf_dir):
     return render.json_lines(table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.lit(None).cast("string").alias("none")))
+
+
+# Checks of chosen notes, of notes that can't be read, and of series.
+
+
+@registered(f"""WITH s AS {_SUPS} SELECT 'a/parts/' || p || '.md' AS path, 'Broken link: [[sup-' || t || ']]' AS message FROM (SELECT p_partkey AS p, p_partkey % 120 AS t FROM part) WHERE p % 3 = 0 AND t NOT IN (SELECT s FROM s)
+UNION ALL SELECT 'a/parts/' || p || '.md', 'Broken link: [[../sup-' || r || ']]' FROM (SELECT p_partkey AS p, p_partkey % 50 AS r FROM part) WHERE p % 3 = 0 AND r NOT IN (SELECT s FROM s)
+UNION ALL SELECT 'a/parts/' || p || '.md', 'Ambiguous link: [[sup-' || t || ']]' FROM (SELECT p_partkey AS p, p_partkey % 120 AS t FROM part) WHERE p % 3 = 0 AND t IN (SELECT s FROM s) AND t % 10 = 0""")
+def check_chosen_links(spark, sf_dir):
+    chosen = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.format_string("./a/parts/%d.md", "p_partkey").alias("path"))
+    return checks.bundle("links").run(_linked_notes(spark, sf_dir), chosen).select("path", "message")
+
+
+def _broken_notes(spark, sf_dir):
+    k = F.col("s_suppkey")
+    contents = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.concat(F.lit("---\nno key here\n---\n[[gone]] "), k)).when(k % 5 == 2, "---\na: b\n\tc: d\n---\ntext").otherwise(F.concat(F.lit("---\na: [b]\nc:\n  - d\n---\n[[gone]] "), k))
+    return table(spark, sf_dir, "supplier").select(F.format_string("b/%d.md", "s_suppkey").alias("path"), contents.alias("contents"))
+
+
+@registered("""SELECT 'catalog' AS category, 'b/' || s_suppkey || '.md' AS path, CASE s_suppkey % 5 WHEN 0 THEN 'The note has no contents' ELSE 'The frontmatter is no list of keys and values' END AS message FROM supplier WHERE s_suppkey % 5 < 3
+UNION ALL SELECT 'links', 'b/' || s_suppkey || '.md', 'Broken link: [[gone]]' FROM supplier WHERE s_suppkey % 5 > 2""")
+def check_unreadable_notes(spark, sf_dir):
+    return checks.CheckSet((checks.CHECKS["failures"], checks.CHECKS["links"])).run(_broken_notes(spark, sf_dir)).select("category", "path", "message")
+
+
+@registered("""WITH f AS (SELECT CASE WHEN s_suppkey % 5 < 3 THEN 'catalog' ELSE 'links' END AS category, 'b/' || s_suppkey || '.md' AS path FROM supplier)
+SELECT category, count(*) AS n, row_number() OVER (ORDER BY min(path)) - 1 AS ord FROM f GROUP BY category""")
+def check_categories(spark, sf_dir):
+    return checks.categories(checks.CheckSet((checks.CHECKS["failures"], checks.CHECKS["links"])).run(_broken_notes(spark, sf_dir)))
+
+
+def _series_notes(spark, sf_dir):
+    """Completed tasks whose only date is their completion, or that are due, or scheduled; open ones of one shape only."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    dated = F.when(k % 3 == 0, F.concat(F.lit(" [completed:: "), day, F.lit("]"))).when(k % 3 == 1, F.concat(F.lit(" [due:: "), day, F.lit("]"))).otherwise(F.concat(F.lit(" [scheduled:: "), day, F.lit("]")))
+    done = (k % 3 == 0) | (k % 5 > 0)
+    area = F.when(k % 2 == 0, " [area:: ]").otherwise("")
+    body = F.concat(F.lit("- ["), F.when(done, "x").otherwise(" "), F.lit("] Pay "), "o_custkey", F.lit(" #task [repeat::  every week ]"), area, dated)
+    return table(spark, sf_dir, "orders").select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents"))
+
+
+@registered("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 3 = 1 THEN 'due' ELSE 'scheduled' END AS shape, o_orderkey % 3 = 0 OR o_orderkey % 5 > 0 AS done FROM orders),
+s AS (SELECT c, shape, max(day) FILTER (done) AS d, max(day) FILTER (NOT done) AS p FROM o GROUP BY ALL)
+SELECT 'o/' || k || '.md' AS path FROM o JOIN s USING (c, shape) WHERE done AND day = d AND (p IS NULL OR p <= d)""")
+def check_recur_series(spark, sf_dir):
+    return checks.check_repeat_seeds(T.tasks(_series_notes(spark, sf_dir))).select("path")

@@ -58,27 +58,88 @@ def ignored(path: Column, text: str) -> Column:
     return verdict
 
 
-def ignore_text(spark: SparkSession, root: str) -> str:
-    """The text of the ignore file at root, empty where there is none; Spark's own readers skip hidden names."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.kbignore")
+def _bytes(spark: SparkSession, file: str) -> bytes | None:
+    """The bytes of one file by Hadoop's file system, None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(path):
-        return ""
+        return None
     stream = store.open(path)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
+def ignore_text(spark: SparkSession, root: str) -> str:
+    """The text of the ignore file at root, empty where there is none; Spark's own readers skip hidden names."""
+    return (_bytes(spark, f"{root}/.kbignore") or b"").decode("utf-8", "replace")
+
+
+def hidden_notes(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """The notes under root that Spark's listing skips, since a name on their path begins with '_' or '.': those in hidden folders, and
+    hidden files with their sizes, which no reader of Spark's takes even by their paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store, inside, files = path.getFileSystem(spark._jsc.hadoopConfiguration()), [], []
+    base, found = store.getFileStatus(path).getPath().toString(), store.listFiles(path, True)
+    while found.hasNext():
+        status = found.next()
+        file = status.getPath().toString()
+        if file.endswith(".md") and re.search(r"/[_.]", file[len(base) :]):
+            if re.search(r"/[_.][^/]*$", file):
+                files.append((file, status.getLen()))
+            else:
+                inside.append(file)
+    return inside, files
+
+
+#: Bytes of hidden files that the driver reads at most.
+HIDDEN_BYTES = 64 << 20
+
+
 def read_notes(spark: SparkSession, root: str, scope: str | None = None) -> DataFrame:
-    """(path, contents) of the notes under root, by Spark's recursive file reader; an ignore file .kbignore at the root applies.
+    """(path, contents, error) of the notes under root, hidden ones too; an ignore file .kbignore at the root applies.
 
-    Files and folders whose names begin with '_' or '.' are hidden from Spark's listing and aren't read.
+    Spark's recursive file reader lists all but hidden names.  Notes in hidden folders are read by their paths, and notes whose own names
+    are hidden by the driver, up to HIDDEN_BYTES (more are refused).  A note that isn't UTF-8 has null contents and says so in error.
     """
     root = root.rstrip("/")
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
-    files = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("contents"))
-    inside = F.regexp_replace(F.url_decode(F.col("file")), rf"^.*?{re.escape(root)}/", "")
-    notes = files.select(inside.alias("path"), "contents").where(in_scope(F.col("path"), scope))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", "*.md").load(root).select(F.col("path").alias("file"), "content")
+    folders, hidden = hidden_notes(spark, root)
+    if folders:
+        files = files.unionByName(spark.read.format("binaryFile").load(folders).select(F.col("path").alias("file"), "content"))
+    if sum(size for _, size in hidden) > HIDDEN_BYTES:
+        raise ValueError(f"{len(hidden)} hidden notes hold more than {HIDDEN_BYTES} bytes")
+    if hidden:
+        files = files.unionByName(spark.createDataFrame([(file, bytearray(_bytes(spark, file))) for file, _ in hidden], "file string, content binary"))
+    inside = F.regexp_replace(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))), rf"^.*?{re.escape(root)}/", "")
+    contents = F.try_validate_utf8(F.col("content").cast("string"))
+    notes = files.select(inside.alias("path"), contents.alias("contents"), F.when(contents.isNull(), "The file is not UTF-8 text").alias("error"))
+    notes = notes.where(in_scope(F.col("path"), scope))
     return notes.where(~ignored(F.col("path"), ignore_text(spark, root)))
+
+
+def _error(notes: DataFrame) -> Column:
+    """Why a note can't be read; null for sound ones."""
+    contents = F.col("contents")
+    known = F.col("error") if "error" in notes.columns else F.lit(None).cast("string")
+    front = F.regexp_extract(contents, r"\A---\r?\n((?s:.*?))\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)", 1)
+    odd = front.rlike(r"(?m)^[^\s#\-:\]}?\"'][^:\n]*$|^\t")
+    return F.coalesce(known, F.when(contents.isNull(), "The note has no contents"), F.when(odd, "The frontmatter is no list of keys and values"))
+
+
+def failures(notes: DataFrame) -> DataFrame:
+    """(path, error) of the notes that can't be read: no contents, no UTF-8, or frontmatter with a line that can't be YAML (one indented
+    by a tab, or top-level text that is neither a key nor an item)."""
+    return notes.select("path", _error(notes).alias("error")).where("error is not null")
+
+
+def readable(notes: DataFrame) -> DataFrame:
+    """The notes that can be read; a bad one leaves the others as they are."""
+    return notes.where(_error(notes).isNull())
+
+
+def note_at(notes: DataFrame, path: str) -> DataFrame:
+    """(path, contents, error) of one note; no row where there is none."""
+    return notes.where(F.col("path") == path).select("path", "contents", _error(notes).alias("error"))

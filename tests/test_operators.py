@@ -127,3 +127,125 @@ def test_findings_do_not_grow_with_their_group(spark):
         rows = checks.with_related_paths(found, paths).collect()
         assert {r.n_related for r in rows} == n and len(rows) == found.count()
         assert all(len(r.related_paths) == r.n_related and r.path not in r.related_paths for r in rows)
+
+
+CODED = """---
+type: log
+tags: [a, b/c]
+Due Date: 2026-01-05
+---
+# Use `grep` **well** [[Page|shown]] [site](http://x.y)
+
+    - [ ] code #task [[no]] [x:: 1]
+
+- item `[[not]]` (who:: [[Ann]]) [run:: `ls -a`]
+    - [ ] nested `c` *open* #task [due:: 2026-01-01]
+plain text
+    still text [[Old]]
+
+Second `[[Old]]` [[Old#h|x]] kind:: a
+kind:: a
+
+```
+[[Old]]
+```
+\tdeep code
+more:: v
+"""
+
+
+def test_code_hides_syntax_but_not_text(spark):
+    d = spark.createDataFrame([("f/n.md", CODED)], "path string, contents string")
+    assert rows(M.headings(d), "line", "text") == [(6, "Use grep well shown site")]
+    assert rows(M.links(d), "line", "target") == [(6, "Page"), (10, "Ann"), (13, "Old"), (15, "Old")]
+    assert rows(M.inline_fields(d), "line", "key", "value") == [(10, "run", "`ls -a`"), (10, "who", "[[Ann]]"), (11, "due", "2026-01-01")]
+    assert rows(M.list_items(d), "line", "checked", "text") == [(10, None, "item [[not]] Ann ls -a"), (11, False, "nested c open #task 2026-01-01")]
+    (t,) = T.tasks(d).collect()
+    assert (t.line, t.text, t.due) == (11, "nested c open", "2026-01-01")
+    assert rows(M.code_blocks(d), "line", "value") == [(8, "- [ ] code #task [[no]] [x:: 1]"), (18, "[[Old]]"), (21, "deep code")]
+    assert M.renamed_links(d, "Old", "N$w").first().contents == CODED.replace("still text [[Old]]", "still text [[N$w]]").replace("[[Old#h", "[[N$w#h")
+
+
+def test_page_records(spark):
+    from lodestone.operators.pages import page_records
+
+    pages = page_records(spark.createDataFrame([("f/n.md", CODED), ("e.md", None)], "path string, contents string"))
+    (p, e) = pages.orderBy(F.desc("`file.path`")).collect()
+    assert (p["file.name"], p["file.folder"], p["file.ext"], p["file.outlinks"]) == ("n", "f", "md", ["Page", "Ann", "Old", "Old"])
+    assert p["file.etags"] == ["#a", "#b/c", "#task"] and p["file.tags"] == ["#a", "#b", "#b/c", "#task"]
+    assert p["file.frontmatter"] == ["type | log", "Due Date | 2026-01-05"]
+    assert p.fields["due-date"] == ["2026-01-05"] and p.fields["who"] == ["[[Ann]]"] and p.fields["kind"] == ["a"] and p.fields["more"] == ["v"]
+    assert (e["file.name"], e["file.tags"], e.fields) == ("e", [], {})
+    q = notequery.NoteQuery(pages, ("file.path",)).source("f").compare("type", "=", "log").show("due-date").run()
+    assert [r[0] for r in q.rows.collect()] == [["2026-01-05"]] and q.metadata == {"source": "f"}
+    several = notequery.NoteQuery(pages, ("`file.path`",)).source("#b", "e", every=False).named("LIST")
+    assert several.records().count() == 2 and several.run().metadata == {"source": True, "query": "LIST"}
+    assert '"source": "f"' in render.json_document(q) and '"label": "due-date"' in render.json_document(q)
+
+
+@pytest.mark.parametrize(
+    ("repeat", "days"),
+    [("every monday", ["07-13", "07-20", "07-27", "08-03"]), ("every other week", ["07-20", "08-03"]), ("every month on the 1st and 15th", ["07-15", "08-01"]), ("every july", []), ("every month on Monday", ["07-13", "07-20", "07-27", "08-03"]), ("every 0 days", []), ("every 2 months on the 9th", ["07-09"])],
+)
+def test_repeats_that_name_days(spark, repeat, days):
+    d = spark.createDataFrame([(repeat,)], "r string").select(T.occurrences(F.col("r"), F.lit("2026-07-06").cast("date"), F.lit("2026-08-08").cast("date")).alias("o"), T.repeat_status(F.col("r")).alias("s")).first()
+    assert [x.strftime("%m-%d") for x in d.o] == days and d.s == ("parse-error" if "0 days" in repeat else "supported")
+
+
+def test_latest_occurrence_is_bounded_by_the_cutoff_itself(spark):
+    from lodestone.plans import views
+
+    note = "- [ ] a #task [due:: 2026-06-01] [scheduled:: 2026-05-25] [repeat:: every week]\n- [ ] b #task [due:: 2026-06-01] [scheduled:: 2026-06-05] [repeat:: every week]\n- [x] c #task [due:: 2026-05-01] [repeat:: every day]"
+    d = T.tasks(spark.createDataFrame([("n.md", note)], "path string, contents string"))
+    got = {r.text: (r.due, r.scheduled, r.fields["due"], r.fields.get("scheduled")) for r in T.latest_on_or_before(d, "2026-06-10").collect()}
+    assert got == {"a": ("2026-06-08", "2026-06-01", "2026-06-08", "2026-06-01"), "b": ("2026-06-08", "2026-06-12", "2026-06-08", "2026-06-12"), "c": ("2026-05-01", None, "2026-05-01", None)}
+    assert {r.text for r in views.due_by(d, "2026-06-10").collect()} == {"a", "b"}
+    assert {(r.text, r.due) for r in views.TaskQuery(d).by("2026-06-10").where(~F.col("done")).records().collect()} == {("a", "2026-06-08"), ("b", "2026-06-08")}
+    assert {(r.text, r.due) for r in views.TaskQuery(d).on("2026-06-08").records().collect()} == {("a", "2026-06-08"), ("a", "2026-06-15")} & {(r.text, r.due) for r in views.on_day(d, "2026-06-08").collect()}
+
+
+def test_groups_without_a_limit_keep_every_place(spark):
+    d = spark.range(20_000).selectExpr("id AS k", "cast(id % 3 as string) AS g", "id * 7919 % 20011 AS v").repartition(7)
+    for q in (notequery.NoteQuery(d, ("k",)).group_by("g"), notequery.NoteQuery(d, ("k",)).sort("-v").group_by("g")):
+        got = {r.key: r.row_indexes for r in q.groups().collect()}
+        assert sorted(i for x in got.values() for i in x) == list(range(20_000))
+        want = [r.g for r in d.orderBy(*(q.keys or ()), "k").collect()] if q.keys else None
+        if want:
+            assert all(want[i] == g for g, x in got.items() for i in x)
+
+
+def test_checks_of_chosen_notes_and_bundles(spark):
+    from lodestone.operators import checks
+
+    done = "- [x] call #task [area:: [[A]]] [project:: [[P]]] [repeat:: every week] [completed:: 2026-01-0{}]"
+    notes = spark.createDataFrame(
+        [("a.md", "# b\n[[no]]"), ("b.md", "# b\n[[gone]]"), ("dump.md", "Title\n=====\n\nleft"), ("x/DUMP.md", "# X\nleft"), ("bad.md", "---\njust words\n---\n[[no]]"), ("none.md", None), ("t.md", done.format(1) + "\n" + done.format(2))],
+        "path string, contents string",
+    )
+    found = checks.bundle("all").run(notes).collect()
+    assert sorted(r.path for r in found if r.category == "catalog") == ["bad.md", "none.md"]
+    assert [(r.path, r.line) for r in found if r.category == "dump"] == [("dump.md", 4)]
+    assert [(r.path, r.line) for r in found if "no later open" in r.message] == [("t.md", 2)]
+    assert sorted(r.path for r in found if r.category == "links") == ["a.md", "b.md"] + ["t.md"] * 2
+    chosen = spark.createDataFrame([("./a.md",)], "path string")
+    some = checks.bundle("headings").run(notes, chosen).collect()
+    assert {r.path for r in some} == {"a.md"} and [r.n_related for r in some if r.category == "headings"] == [1]
+    more = checks.bundle("dump").add(lambda n: checks.finding(n, "own", "warning", F.lit("seen")))
+    assert {r.category for r in more.run(notes).collect()} == {"dump", "own"}
+    assert [(r.category, r.ord) for r in checks.categories(more.run(notes)).orderBy("ord").collect()] == [("own", 0), ("dump", 1)]
+
+
+def test_functions_by_name(spark):
+    d = spark.createDataFrame([("today", ["a"])], "w string, t array<string>")
+    w, t = V.field(d, "w"), V.field(d, "t")
+    terms = [V.call("date", w, today="2026-01-02"), V.call("contains", t, V.literal("a"), today=""), V.call("lower", w, today="")]
+    assert tuple(d.select(*[V.text(x).alias(f"c{n}") for n, x in enumerate(terms)]).first()) == ("2026-01-02", "true", None)
+
+
+def test_hidden_and_broken_notes_are_read(spark, tmp_path):
+    for name, text in {"_a.md": b"# A", ".h/b+c d.md": b"# B", "sub/_x/c.md": b"# C", "bad.md": b"\xff\xfe\x00", "ok.md": b"# O"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    got = vault.read_notes(spark, str(tmp_path))
+    assert rows(got.where("error is null"), "path", "contents") == [(".h/b+c d.md", "# B"), ("_a.md", "# A"), ("ok.md", "# O"), ("sub/_x/c.md", "# C")]
+    assert rows(vault.failures(got), "path") == [("bad.md",)] and vault.note_at(got, "bad.md").first().error
