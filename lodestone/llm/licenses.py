@@ -38,6 +38,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("gpl-2", "licensed under the gnu general public license <<optional>>as published by the free software foundation either<</optional>> version 2 <<optional>>or <<any 6>> later version<</optional>>"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc", "permission to use copy modify and <<optional>>or<</optional>> distribute this software <<optional>>and its documentation<</optional>> for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", "<<optional>>3<</optional>> neither the name of <<any 12>> nor the names of <<any 2>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any 8>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl-3", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>library<</optional>> <<optional>>lesser<</optional>> general public license as published by the free software foundation either version <<any 2>> of the license or at your option any later version"),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or <<optional>>at your option<</optional>> any later version"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc0", "to the extent possible under law <<any 12>> has waived all copyright and related or neighboring rights to <<any 8>> <<optional>>this work is published from<</optional>>"),
+    ("cc-by-sa", "licensed under <<optional>>the<</optional>> <<optional>>a<</optional>> creative commons attribution sharealike <<any 2>> international license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license <<optional>>v<</optional>> <<any 2>> which accompanies this distribution"),
 )
 
 
@@ -174,7 +189,7 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", to: str = "license") -> DataFrame:
-    """docs with a struct `to` of what scan_text says about the whole text.
+    """docs with a struct `to` of what scan_text says about the whole text; a column of that name is replaced.
 
     A null text counts as empty: no words, no labels, score 0.  The score is the share of a text's labels that a
     template accepts, where a label of phrases alone counts half.  Repeated rows get equal results.

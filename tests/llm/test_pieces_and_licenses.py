@@ -102,6 +102,9 @@ def test_empty_tables_clashing_columns_and_odd_ids(spark, vocabulary):
 NOTICES = [
     "", "Licensed under the Apache License, Version 2.0 (the License)", "licensed under the apache license 3", "This code is released under the terms of the MIT License.", "under the MIT license! UNDER the mit, license",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software) to deal in the Software without restriction",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 2 of the License or at your option any other version",
     "licensed under a Creative Commons Attribution 4 0 International License", "under cc-by-nc sa 4 0 license", "no notice", "licensed under the gnu general public license version 3 or at your option any later version",
 ]
 
@@ -118,3 +121,14 @@ def test_scan_of_odd_rows(spark):
     got = [r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
     assert [(x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in got] == [(0, 0, None, None, ""), (0, 0, None, None, ""), (8, 2, 0, 4, "mit"), (8, 2, 0, 4, "mit")]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_template_accepts_its_own_wording_and_long_texts_are_read_whole(spark):
+    for label, markup in licenses.TEMPLATES:
+        words = re.sub(r"<<any \d+>>|<<optional>>.*?<</optional>>", " ", markup).split()
+        assert label in {x for _, _, x in licenses.template_spans(words)}, markup
+        broken = [w for i, w in enumerate(words) if i != len(words) // 2]
+        assert len(broken) < 3 or (0, len(broken), label) not in licenses.template_spans(broken)
+    text = "filler " * 200_000 + "Licensed under the Apache License, Version 2.0"
+    (r,) = licenses.scan(spark.createDataFrame([(text, 1)], "text string, license int")).collect()
+    assert (r.license.n_words, r.license.first_word, r.license.labels) == (200_008, 200_003, "apache-2")
