@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, materialise, small_batches
+from .common import fresh, labelled_sample, materialise, small_batches
 
 #: The bound on labelled rows that the forest and the weights are fitted on.
 TRAINING_ROWS = 12_000
@@ -133,5 +133,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def add_scores(docs: DataFrame, model: RuleModel, *, text_col: str = "text", to: str = "quality_score") -> DataFrame:
-    """docs with a double column `to`; null and empty texts score by statistics of 0."""
-    return add_stats(docs, text_col=text_col, to="quality_stats_").withColumn(to, model.column("quality_stats_")).drop("quality_stats_")
+    """docs with a double column `to` (replaced where there is one); null and empty texts score by statistics of 0."""
+    stats = fresh(docs, "quality_stats")
+    return add_stats(docs, text_col=text_col, to=stats).withColumn(to, model.column(stats)).drop(stats)

@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import inline_table, let
+from .common import fresh, inline_table, let
 
 
 @dataclass(frozen=True)
@@ -162,23 +162,24 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column secret_spans: array<struct<start:int, rank:int, end:int>> in order of start, then rule.
+    """docs with a column secret_spans: array<struct<start:int, rank:int, end:int>> in order of start, then rule; a column of that name is replaced.
 
     Null and empty texts have no spans.  Repeated rows and equal texts each get their own spans.  Only rows of
     texts that are some rule's candidates are joined to them, by the hash of the text: a sort-merge join, in which
     Spark splits a text that many rows share.
     """
-    keyed = docs.withColumn("secret_key", text_key(F.coalesce(F.col(text_col), F.lit(""))))
+    key, kinds = fresh(docs, "secret_key"), fresh(docs, "secret_kinds")
+    keyed = docs.withColumn(key, text_key(F.coalesce(F.col(text_col), F.lit(""))))
     texts = docs.select(text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hits = candidates(texts, rules).select(F.col("text_key").alias("secret_key"), F.col("kinds").alias("secret_kinds"))
-    joined = keyed.join(hits, "secret_key", "left")
+    hits = candidates(texts, rules).select(F.col("text_key").alias(key), F.col("kinds").alias(kinds))
+    joined = keyed.join(hits, key, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     parts = []
     for rank, rule in enumerate(rules):
-        asked = F.array_contains(F.coalesce("secret_kinds", F.array().cast("array<string>")), rule.kind) if trigram_query(rule.pattern) else F.rlike(text, F.lit(rule.pattern))
+        asked = F.array_contains(F.coalesce(kinds, F.array().cast("array<string>")), rule.kind) if trigram_query(rule.pattern) else F.rlike(text, F.lit(rule.pattern))
         parts.append(F.when(asked, rule_spans(text, rule, rank)).otherwise(none))
-    return joined.withColumn("secret_spans", F.sort_array(F.concat(*parts))).drop("secret_key", "secret_kinds")
+    return joined.withColumn("secret_spans", F.sort_array(F.concat(*parts))).drop(key, kinds)
 
 
 def span_digest(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -150,8 +150,10 @@ SECRETS = [
 
 
 def test_spans_are_those_of_the_patterns(spark):
-    d = spark.createDataFrame([(n, t, 1) for n, t in enumerate(SECRETS)] * 3, "doc_id long, text string, kinds int")
+    d = spark.createDataFrame([(n, t, 1, 2, 3) for n, t in enumerate(SECRETS)] * 3, "doc_id long, text string, kinds int, secret_key int, secret_kinds int")
+    assert secrets.scan(d).columns == [*d.columns, "secret_spans"]
     for r in secrets.scan(d).collect():
+        assert (r.secret_key, r.secret_kinds) == (2, 3)
         assert [tuple(s) for s in r.secret_spans] == spans_of(r.text or ""), r.text
 
 
