@@ -65,10 +65,6 @@ def resolved_path(folder: Column, target: Column) -> Column:
     return F.array_join(out, "/")
 
 
-def tag_match(tags: Column, tag: str) -> Column:
-    return F.coalesce(F.array_contains(tags, tag), F.lit(False))
-
-
 def source_line(contents: Column, line: Column) -> Column:
     """The 1-based line of a text; null beyond its end."""
     return F.try_element_at(F.split(contents, "\n"), line.cast("int"))
