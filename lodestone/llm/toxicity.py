@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, small_batches
 
 #: n-gram lengths in characters, bits of the feature hash.
-ORDERS, BITS = (4, 5), 20
+ORDERS, BITS = (4, 5), 18
 #: The bounds on labelled rows that are fitted, and on their characters.
-TRAINING_ROWS, TRAINING_CHARS = 4000, 4_000_000
+TRAINING_ROWS, TRAINING_CHARS = 4000, 3_000_000
 STEPS, PENALTY = 100, 1e-4
 #: What a clean text that is called toxic costs against a toxic one that is called clean, where the intercept is set.
 FALSE_ALARM = 4
@@ -175,10 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         for texts in batches:
             yield pd.Series([features([t]).astype(np.int32) for t in texts], dtype=object)
 
-    sample = labelled_sample(docs, labels, label, rows, chars).select("doc_id", "y", found(F.col("text")).alias("found")).toPandas().sort_values("doc_id")
-    y, each = sample.y.to_numpy(), [np.array(f, np.int32) for f in sample.found]
-    del sample
-    return fit(each, y)
+    sample = labelled_sample(docs, labels, label, rows, chars).select("doc_id", "y", found(F.col("text")).alias("found")).toArrow().sort_by("doc_id")
+    lists, y = sample["found"].combine_chunks(), sample["y"].to_numpy()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return fit([values[a:b] for a, b in zip(ends, ends[1:])], y)
 
 
 def add_scores(docs: DataFrame, model: Model, *, text_col: str = "text", to: str = "toxic_score") -> DataFrame:
