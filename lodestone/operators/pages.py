@@ -1,4 +1,4 @@
-"""Page records: one row for each note, with what list and table queries ask of it."""
+"""Page and task records: one row for each note or task, with what queries ask of it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import expanded_tags, folder_of, sanitised_key, title_of
 from . import markdown as M
+from .tasks import KNOWN_FIELDS
 
 
 def page_records(notes: DataFrame) -> DataFrame:
@@ -57,3 +58,13 @@ def page_records(notes: DataFrame) -> DataFrame:
         etags.alias("file.etags"), expanded_tags(etags).alias("file.tags"), F.coalesce("outlinks", empty).alias("file.outlinks"), F.coalesce("frontmatter", empty).alias("file.frontmatter"),
         F.coalesce("fields", F.create_map().cast("map<string,array<string>>")).alias("fields"),
     )
+
+
+def task_records(tasks: DataFrame) -> DataFrame:
+    """What queries ask of tasks (of a note or expanded): task and text, completed, dates and known fields as they are or as written, tags, path, line,
+    file.path, file.link, file.line, and fields, where a term looks up all others."""
+    written = lambda name: F.coalesce(F.col(name), F.try_element_at("fields", F.lit(name))).alias(name)
+    return tasks.select(
+        "fields", F.col("text").alias("task"), "text", F.col("done").alias("completed"), *[written(k) for k in KNOWN_FIELDS if k != "completed"], "tags", "path", "line",
+        F.col("path").alias("file.path"), F.col("path").alias("file.link"), F.col("line").alias("file.line"),
+    )

@@ -401,6 +401,13 @@ def task_unknown_fields(spark, sf_dir):
     return _tasks(spark, sf_dir).select("path", F.explode("unknown_fields").alias("key", "value"))
 
 
+@registered(f"""SELECT 'orders/' || k || '.md' AS "File", 'Ship order ' || k AS task, due, CAST(k % 7 AS VARCHAR) AS effort FROM {_TASKS} WHERE NOT done AND (due IS NULL OR due >= '1998-01-01') AND k % 7 >= 5 ORDER BY due DESC NULLS FIRST, k LIMIT 100""")
+def task_table_where(spark, sf_dir):
+    d = pages.task_records(_tasks(spark, sf_dir)).withColumn("order", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
+    q = notequery.NoteQuery(d, ("order",)).source("#ship", "orders", every=True).compare("completed", "=", False).compare("due", ">=", "1998-01-01").compare("effort", ">=", "5")
+    return q.sort("-due").limit(100).show("task", "due", "effort").run(file_link="file.link").rows
+
+
 @registered(f"SELECT repeat, count(*) AS n, CASE WHEN repeat IS NULL THEN 'none' WHEN repeat = 'weekly' THEN 'parse-error' ELSE 'supported' END AS status FROM {_TASKS} GROUP BY repeat")
 def repeat_status(spark, sf_dir):
     return _tasks(spark, sf_dir).groupBy("repeat").agg(F.count("*").alias("n")).withColumn("status", T.repeat_status(F.col("repeat")))
