@@ -22,6 +22,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores where a small input came in fewer; larger inputs stay as they are, without a shuffle.
+
+    For work that is much dearer than reading its rows, such as reading Markdown: a file of a few megabytes is one partition else.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < min(cores, 64) else df
+
+
 def numbered(df: DataFrame, *order: Column | str, to: str = "i") -> DataFrame:
     """df in order with a gapless 0-based number of each row.
 

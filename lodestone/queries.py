@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
+from .functions.frames import spread
 from .operators import checks, notequery, pages, render, search
 from .operators import markdown as M
 from .operators import tasks as T
@@ -225,7 +226,7 @@ _FENCE = "```"
 
 def _part_notes(spark, sf_dir):
     """Two headings, frontmatter, a link with alias, a tag, fields, a list, and code that must give no records."""
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.format_string("parts/%d.md", "p_partkey").alias("path"),
         F.concat_ws(
             "\n", F.lit("---"), F.concat(F.lit("type: part\nsize: "), "p_size"), F.lit("tags: [part, shop/tool]"), F.lit("---"), F.concat(F.lit("# "), "p_name"), F.lit(""),
@@ -376,7 +377,7 @@ _TASKS = """(SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS done, strftime(o_orde
 def _task_notes(spark, sf_dir):
     k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     part = lambda cond, *bits: F.when(cond, F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits])).otherwise("")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.format_string("orders/%d.md", "o_orderkey").alias("path"),
         F.concat(
             F.lit("# Plan\n\n- [ ] no task\n- ["), F.when(k % 3 == 0, "x").otherwise(" "), F.lit("] Ship  order "), k, F.lit(" #task #ship"), part(k % 5 < 3, " [due:: ", day, "]"),
@@ -473,7 +474,7 @@ def _early_tasks(spark, sf_dir):
     k, day = F.col("o_orderkey"), lambda c: F.date_format(c, "yyyy-MM-dd")
     early = F.when(k % 4 < 3, F.concat(F.lit(" [scheduled:: "), day(F.date_add("o_orderdate", ((k % 4) - 1).cast("int") * 9)), F.lit("]"))).otherwise("")
     body = F.concat(F.lit("- [ ] Early #task [due:: "), day("o_orderdate"), F.lit("]"), early, F.lit(" [repeat:: every week]"))
-    return T.tasks(table(spark, sf_dir, "orders").select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents")))
+    return T.tasks(spread(table(spark, sf_dir, "orders")).select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents")))
 
 
 _EARLY = """(SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS ref, CASE WHEN o_orderkey % 4 < 3 THEN CAST((o_orderkey % 4 - 1) * 9 AS INTEGER) END AS shift,
@@ -508,7 +509,7 @@ def _linked_notes(spark, sf_dir):
     first = sup.select(F.format_string("a/sup-%d.md", "k").alias("path"), F.format_string("# %s %d\n\ntext", F.when(F.col("k") % 4 == 0, "Shared").otherwise("Sup"), F.when(F.col("k") % 4 == 0, F.col("k") % 16).otherwise(F.col("k"))).alias("contents"))
     twin = sup.where("k % 10 = 0").select(F.format_string("b/sup-%d.md", "k").alias("path"), F.format_string("---\ntitle: Twin\n---\n# Twin %d", "k").alias("contents"))
     old = sup.where("k % 8 = 4").select(F.format_string("Archive/old-%d.md", "k").alias("path"), F.format_string("# Shared %d", F.col("k") % 16).alias("contents"))
-    parts = table(spark, sf_dir, "part").select(
+    parts = spread(table(spark, sf_dir, "part")).select(
         F.format_string("a/parts/%d.md", "p_partkey").alias("path"),
         F.format_string("# %d\n[[sup-%d]]\n[[../sup-%d]] `[[sup-x]]`", "p_partkey", F.col("p_partkey") % 120, F.col("p_partkey") % 50).alias("contents"),
     )
@@ -562,7 +563,7 @@ def _flawed_tasks(spark, sf_dir):
         F.lit("- ["), F.when(k % 2 == 0, "x").otherwise(" "), F.lit("] Do "), k, F.lit(" #task"), F.when(k % 3 == 0, " [due:: 2026-02-29]").otherwise(" [due:: 2026-03-01]"), F.when(k % 5 == 0, " [completed:: 2026-01-01]").otherwise(""),
         F.when(k % 7 == 0, " [scheduled:: 2026-04-01]").otherwise(""), F.when(k % 4 == 1, " [area:: Sales]").otherwise(" [area:: [[Sales]]]"), F.lit(" [project:: [[P]]]"), F.when(k % 6 == 0, " [priority:: urgent]").otherwise(" [priority:: High]"), F.when(k % 9 == 0, " [size:: 3]").otherwise(""),
     )
-    return T.tasks(table(spark, sf_dir, "orders").select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents")))
+    return T.tasks(spread(table(spark, sf_dir, "orders")).select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents")))
 
 
 @registered("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS done FROM orders), f AS (
@@ -586,7 +587,7 @@ def check_recur_seed(spark, sf_dir):
     body = F.concat(
         F.lit("- ["), F.when(F.col("o_orderkey") % 3 != 0, "x").otherwise(" "), F.lit("] Call "), "o_custkey", F.lit(" #task [repeat:: every month] [due:: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("]")
     )
-    d = T.tasks(table(spark, sf_dir, "orders").select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents")))
+    d = T.tasks(spread(table(spark, sf_dir, "orders")).select(F.format_string("o/%d.md", "o_orderkey").alias("path"), body.alias("contents")))
     return checks.check_repeat_seeds(d).select("path", "message")
 
 
