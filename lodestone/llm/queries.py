@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, multi_index, near_dedup, permutation_index, pieces, quality, secrets, sharding, toxicity
+from . import filter_audit, fingerprints, licenses, mixing, multi_index, near_dedup, permutation_index, pieces, quality, secrets, sharding, toxicity, vector_file
 from .common import held_out, table
 
 
@@ -131,6 +131,57 @@ def op10_multi_index_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_vector_file_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return vector_file.hard_negatives(moved, lambda i: i % 100 == 0)
+
+
+_NEGATIVES_SQL = """
+WITH fine AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 10
+"""
+
+
+def op12_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprints.written(F.col("anchors")).alias("fingerprint"), fingerprints.written(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
+def op13_bitmap_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM t),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(words) < 200 AS "A", 100 * len(list_distinct(words)) < 50 * len(words) AS "B",
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS "C", regexp_matches(t, '[#$%&*|]') AS "D", coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS "E"
+  FROM w LEFT JOIN marks USING (doc_id)),
+n AS (SELECT part, MAP {'A': "A", 'B': "B", 'C': "C", 'D': "D", 'E': "E"} AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+g AS (SELECT part, o, step, o[step] AS x, n, good, toxic, fails[o[step]] AS fails_it, len(list_filter(o[1:step - 1], lambda y: fails[y])) > 0 AS gone, len(list_filter(o, lambda y: fails[y])) AS many FROM n, s),
+r AS (SELECT part, array_to_string(o, '') AS filter_order, step, x, sum(n) FILTER (NOT gone AND NOT fails_it) AS kept, sum(n) FILTER (NOT gone AND fails_it) AS removed, sum(n) FILTER (gone AND fails_it) AS redundant,
+  sum(n) FILTER (fails_it AND many = 1) AS unique_fails, sum(good) FILTER (NOT gone AND fails_it) AS good_lost, sum(toxic) FILTER (NOT gone AND fails_it) AS toxic_lost FROM g GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_sharding": op1_histogram_sharding,
     "op2_nb_ngram_toxicity": op2_nb_ngram_toxicity,
@@ -142,5 +193,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bagminhash_dedup": op8_bagminhash_dedup,
     "op9_trigram_secrets": op9_trigram_secrets,
     "op10_multi_index_duplicates": op10_multi_index_duplicates,
+    "op11_vector_file_negatives": op11_vector_file_negatives,
+    "op12_closed_syncmers": op12_closed_syncmers,
+    "op13_bitmap_filter_audit": op13_bitmap_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op6_template_licenses": _licenses_sql(),
+    "op9_trigram_secrets": _secrets_sql(),
+    "op11_vector_file_negatives": _NEGATIVES_SQL,
+    "op13_bitmap_filter_audit": _AUDIT_SQL,
 }
-ORACLES: dict[str, str] = {"op6_template_licenses": _licenses_sql(), "op9_trigram_secrets": _secrets_sql()}
