@@ -82,24 +82,50 @@ class MultiIndex:
                     heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
             yield np.array(out, np.int32)
 
-    def visits_for(self, sample: np.ndarray, threshold: float, recall: float, most: int) -> int | None:
-        """Visits after which the share `recall` of pairs meets: sample vectors with partners turned away by cosines spread over [threshold, 1).
+    def visits_for(self, pairs: list[tuple[np.ndarray, np.ndarray]], recall: float, most: int) -> int | None:
+        """Visits after which the share `recall` of the pairs of each kind meets; None where `most` visits fall short.
 
-        The share is met with two standard errors to spare.  None where `most` visits fall short.
+        The share is met with two standard errors to spare, as far as there are pairs enough to tell.
         """
-        rng = np.random.default_rng(7)
-        x = sample[:PAIRS]
-        c = np.linspace(threshold, 1, len(x), endpoint=False)[:, None]
-        z = rng.normal(size=x.shape)
-        z = normalised(z - (z * x).sum(1, keepdims=True) * x + 1e-12)
-        y = normalised(c * x + np.sqrt(1 - c**2) * z)
-        needed = []
-        for va, vb in zip(self.traverse(x, most), self.traverse(y, most)):
-            hits = [int(np.flatnonzero(v == home)[0]) + 1 for v, home in ((va, vb[0]), (vb, va[0])) if (v == home).any()]
-            needed.append(min(hits, default=most + 1))
-        share = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(needed)))
-        visits = int(np.quantile(needed, share, method="higher"))
-        return visits if visits <= most else None
+        enough = 1
+        for x, y in pairs:
+            needed = []
+            for va, vb in zip(self.traverse(x, most), self.traverse(y, most)):
+                hits = [int(np.flatnonzero(v == home)[0]) + 1 for v, home in ((va, vb[0]), (vb, va[0])) if (v == home).any()]
+                needed.append(min(hits, default=most + 1))
+            share = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(needed)))
+            enough = max(enough, int(np.quantile(needed, share, method="higher")))
+        return enough if enough <= most else None
+
+
+def calibration_pairs(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at cosines over the threshold, of three kinds: vectors turned anywhere, vectors turned the way that others of the sample lie, and pairs of the sample itself.
+
+    Tables whose vectors lie near a plane of few dimensions have partners in that plane, which random turns leave.
+    """
+    rng = np.random.default_rng(7)
+    x = sample[:PAIRS]
+    c = np.linspace(threshold, 1, len(x), endpoint=False)[:, None]
+
+    def turned(z):
+        z = z - (z * x).sum(1, keepdims=True) * x
+        return normalised(c * x + np.sqrt(1 - c**2) * (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)))
+
+    pairs = [(x, turned(rng.normal(size=x.shape)))]
+    if len(sample) > 1:
+        a, b = (sample[rng.integers(len(sample), size=len(x))] for _ in range(2))
+        pairs.append((x, turned(a - b + 1e-9 * rng.normal(size=x.shape))))
+    some = sample[: 2 * SAMPLE]
+    found = [np.empty((0, 2), np.int64)]
+    for at in range(0, len(some), 512):
+        i, j = np.nonzero(some[at : at + 512] @ some.T >= threshold)
+        new = np.column_stack([i + at, j])[i + at < j]
+        found.append(new[rng.permutation(len(new))[: 16 * PAIRS]])
+    real = np.concatenate(found)
+    if len(real):
+        real = real[rng.permutation(len(real))[: 2 * PAIRS]]
+        pairs.append((some[real[:, 0]], some[real[:, 1]]))
+    return pairs
 
 
 def codewords_for(total: int) -> int:
@@ -115,12 +141,12 @@ def fitted_index(sample: np.ndarray, total: int, threshold: float, recall: float
     sample, calibration's vectors are not those that codebooks learn from.
     """
     learnt = sample[PAIRS:] if len(sample) >= SAMPLE else sample
-    k = min(codewords_for(total), max(1, len(learnt)))
+    k, pairs = min(codewords_for(total), max(1, len(learnt))), calibration_pairs(sample, threshold)
     found = []
     while True:
         index = MultiIndex(learnt, k)
         for n in range(DOUBLINGS + 1):
-            visits = index.visits_for(sample, threshold, recall, MOST_VISITS << n)
+            visits = index.visits_for(pairs, recall, MOST_VISITS << n)
             if visits is not None:
                 found.append((visits * (COPY + total / index.k**2), len(found), index, visits))
                 break

@@ -110,10 +110,27 @@ def test_planted_links_and_large_groups(spark):
     assert np.mean([got[i].component_id == c for i, c in enumerate(label.tolist())]) >= 0.99
 
 
+@pytest.mark.parametrize("kind", ["low rank", "clusters"])
+def test_links_of_tables_that_fill_little_of_their_space(spark, kind):
+    """6,000 vectors of 64 dimensions near a plane of 6, or in 60 clusters whose members turn in a few directions of their own."""
+    rng = np.random.default_rng(23)
+    if kind == "low rank":
+        x = rng.normal(size=(6000, 6)) @ rng.normal(size=(6, 64)) + 0.05 * rng.normal(size=(6000, 64))
+    else:
+        centre, ways = rng.normal(size=(60, 64)), rng.normal(size=(60, 3, 64))
+        home = rng.integers(0, 60, 6000)
+        x = centre[home] + 0.3 * np.einsum("nk,nkd->nd", rng.normal(size=(6000, 3)), ways[home])
+    docs = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.tolist()}))
+    links, _ = brute_components(np.arange(6000), x)
+    got = {r.id: r.n_links for r in multi_index.near_duplicates(docs).collect()}
+    n = np.array([got[i] for i in range(6000)])
+    assert (n <= links).all() and n.sum() >= 0.95 * links.sum(), (n.sum(), links.sum())
+
+
 def test_visits_that_fall_short_are_not_taken_for_enough():
     rng = np.random.default_rng(11)
     sample = multi_index.normalised(rng.normal(size=(multi_index.SAMPLE, 64)))
-    assert multi_index.MultiIndex(sample, 64).visits_for(sample, 0.9, 0.98, 2) is None
+    assert multi_index.MultiIndex(sample, 64).visits_for(multi_index.calibration_pairs(sample, 0.9), 0.98, 2) is None
     index, visits = multi_index.fitted_index(sample, 600_000, 0.9, 0.98)
     x = multi_index.normalised(rng.normal(size=(1000, 64)))
     y = turned(rng, x, np.linspace(0.9, 1, 1000, endpoint=False))
