@@ -10,7 +10,8 @@ How many lists a query reads, and how large its radius is, are fitted on a bound
 nearest neighbours of the sample are found with the recall that is asked for.  Tables that fall into clusters need few lists;
 in one whose vectors point everywhere alike most lists matter to a query, and the fit says so.
 
-Longer vectors have larger inner products in every direction.  A last component that brings all vectors to the largest norm
+Longer vectors have larger inner products in every direction.  So vectors are indexed in bands of like norm, each with pivots, lists and radius of its
+own, and a query asks every band.  Within a band a last component that brings all vectors to the largest norm
 (and is 0 for queries) turns the order by inner product into one by angle.
 """
 
@@ -33,6 +34,8 @@ SAMPLE, TRIALS = 4096, 512
 PIVOTS, LISTED, POSTED = 1024, 16, 2
 #: Cosine above which a vector is no pivot beside another.
 ALIKE = 0.5
+#: Ratio of the largest norm of a band to the least, and bands at most, the last one for all shorter vectors.
+BAND, BANDS = 1.25, 12
 #: Share of nearest neighbours that the lists read must hold, and of those that the radius must hold.
 RECALL = 0.975
 #: Postings and queries of one task.
@@ -41,14 +44,14 @@ BLOCK, QUERIES = 8192, 4096
 READERS, HELD = 512, 500_000
 
 
-def pick_pivots(unit: np.ndarray, most: int) -> np.ndarray:
-    """Up to `most` unit vectors that point in different directions, so that no dense group takes up the pivots."""
+def pick_pivots(unit: np.ndarray, most: int) -> list[int]:
+    """Up to `most` places of unit vectors that point in different directions, so that no dense group takes up the pivots."""
     free, picked = np.ones(len(unit), bool), []
     for i in range(len(unit)):
         if free[i] and len(picked) < most:
             picked.append(i)
             free &= unit @ unit[i] <= ALIKE
-    return unit[picked]
+    return picked
 
 
 @dataclass(frozen=True)
@@ -104,7 +107,9 @@ def fitted_index(sample: np.ndarray, norm: float, total: int, k: int, pivots: in
     index = PermutationIndex(np.empty((0, 0)), norm, 1, 1, 1, 1.0, np.empty((0, 1), np.int16))
     whole = index.padded(sample)
     unit = whole / np.linalg.norm(whole, axis=1, keepdims=True)
-    chosen = pick_pivots(unit[: max(1, len(unit) - TRIALS)], max(1, min(pivots, len(sample) // 4)))
+    # Directions are those of the vectors themselves: what brings them to one norm is alike in all.
+    own = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen = unit[pick_pivots(own[: max(1, len(own) - TRIALS)], max(1, min(pivots, len(sample) // 4)))]
     listed, posted = min(listed, len(chosen)), min(POSTED, len(chosen))
     index = PermutationIndex(chosen, norm, listed, posted, len(chosen), 1.0, np.empty((0, 1), np.int16))
     # Trial queries are rows that pivots weren't picked from: a pivot finds its own list at once.
@@ -169,9 +174,18 @@ def search_lists(queries: pd.DataFrame, posts: pd.DataFrame, index: PermutationI
     return pd.DataFrame({"query_row": q_row[who], "query_id": queries.query_id.to_numpy()[who], "vec_id": vec_id, "score": score})
 
 
-def _search_length(rows: DataFrame, total: int, k: int, recall: float) -> DataFrame:
+def _search_length(rows: DataFrame, k: int, recall: float) -> list[DataFrame]:
+    """What each band of vectors of one length holds for the queries of that length."""
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
+    norm = rows.agg(F.max("norm")).first()[0]
+    band = F.least(F.floor(F.log(F.lit(norm) / F.col("norm")) / math.log(BAND)), F.lit(BANDS - 1)).cast("int")
+    rows = rows.withColumn("band", band)
+    bands = sorted((r.band, r["count"], r.norm) for r in rows.groupBy("band").agg(F.count("*").alias("count"), F.max("norm").alias("norm")).collect())
+    return [_search_band(rows if len(bands) == 1 else rows.where(F.col("band") == b), rows, most, count, k, recall) for b, count, most in bands]
+
+
+def _search_band(rows: DataFrame, queries: DataFrame, norm: float, total: int, k: int, recall: float) -> DataFrame:
     spark = rows.sparkSession
-    norm = math.sqrt(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0])
     index = fitted_index(bounded_sample(rows, SAMPLE, "pivots"), norm, total, k, recall=recall)
     shared = spark.sparkContext.broadcast(index)
 
@@ -198,7 +212,7 @@ def _search_length(rows: DataFrame, total: int, k: int, recall: float) -> DataFr
     place = F.broadcast(inline_table(spark, where, "pivot int, first int, parts int"))
     posts = posts.join(place, "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("first", "parts")
 
-    asked = materialise(rows.where("asks").withColumn("to", read(F.col("v"))))
+    asked = materialise(queries.where("asks").withColumn("to", read(F.col("v"))))
     groups = max(1, math.ceil(asked.count() / QUERIES))
     asked = asked.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
     asked = asked.withColumn("pivot", F.explode("to.lists")).join(place, "pivot")
@@ -225,7 +239,7 @@ def search(df: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str =
     """
     rows = usable_vectors(df, id_col=id_col, vector_col=vector_col).withColumn("asks", F.coalesce(is_query(F.col("id")), F.lit(False)))
     rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    parts = [_search_length(part, total, k, recall) for total, part in by_length(rows)]
+    parts = [found for _, part in by_length(rows) for found in _search_length(part, k, recall)]
     found = parts[0] if parts else df.sparkSession.createDataFrame([], FOUND)
     for part in parts[1:]:
         found = found.unionByName(part)
