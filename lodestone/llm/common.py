@@ -86,11 +86,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Share of a sample's characters that one text may hold.
+ONE_TEXT = 0.01
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int = 1 << 62) -> DataFrame:
     """Up to `most` labelled training rows (half of each class where there are enough) of up to `chars` characters as (doc_id, text, y).
 
     The sample is the rows of smallest hash of the id, so reruns agree.  It has a fixed bound, hence the broadcast.
     A document id that occurs in several rows of either table gives one training row; of several texts the one of smallest hash.
+    With a bound on characters, texts of more than ONE_TEXT of it are no training rows (they are scored like any other); only lengths are summed, in
+    a window of at most `most` short rows.
     """
     lab = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -99,14 +105,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, c
     )
     order = F.xxhash64(F.col("doc_id"), F.lit(label))
     half = most // 2
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if chars != 1 << 62:
+        short = texts.where(F.length("text") <= max(1, int(chars * ONE_TEXT)))
+        lab = lab.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
+        texts = short
     picked = [lab.where(F.col("y") == v).orderBy(order, "doc_id").limit(half) for v in (0, 1)]
-    sample = picked[0].unionByName(picked[1])
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    one = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"), "text")).alias("text"))
-    if chars == 1 << 62:
-        return one
-    upto = F.sum(F.length("text")).over(Window.partitionBy(F.lit(0)).orderBy(order, "doc_id"))
-    return one.withColumn("upto", upto).where(F.col("upto") <= chars).drop("upto")
+    sample = materialise(picked[0].unionByName(picked[1]))
+    texts = texts.withColumn("key", F.struct(F.xxhash64("text"), F.length("text"), F.crc32(F.col("text").cast("binary"))))
+    one = texts.select("doc_id", "key").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("key").alias("key"))
+    if chars != 1 << 62:
+        upto = F.sum(F.col("key.col2")).over(Window.partitionBy(F.lit(0)).orderBy(order, "doc_id"))
+        one = one.withColumn("upto", upto).where(F.col("upto") <= chars).drop("upto")
+    return texts.join(F.broadcast(materialise(one)), ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:

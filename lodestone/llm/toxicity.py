@@ -21,10 +21,12 @@ from .common import labelled_sample, small_batches
 #: n-gram lengths in characters, bits of the feature hash.
 ORDERS, BITS = (4, 5), 18
 #: The bounds on labelled rows that are fitted, and on their characters.
-TRAINING_ROWS, TRAINING_CHARS = 4000, 3_000_000
+TRAINING_ROWS, TRAINING_CHARS = 4000, 8_000_000
 STEPS, PENALTY = 100, 1e-4
 #: What a clean text that is called toxic costs against a toxic one that is called clean, where the intercept is set.
 FALSE_ALARM = 4
+#: Features of training texts that one step looks at together.
+ENTRIES = 1 << 20
 #: Characters hashed at a time; longer texts go in overlapping pieces.
 PIECE = 1 << 21
 
@@ -36,6 +38,8 @@ class Model:
     weights: np.ndarray
     squares: np.ndarray
     intercept: float
+    #: Whether there were labels of both classes to tell apart.
+    learnt: bool = True
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -89,35 +93,37 @@ def features(texts: list[str], wanted: np.ndarray | None = None) -> np.ndarray:
     return distinct(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts) if len(values) else np.empty(0)
-
-
-def _logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def _logistic(col: np.ndarray, starts: np.ndarray, scale: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps.
 
-    Entry (row, col) is scale[col] / length[row]; entries come row by row, and every row and column has one.
+    Text i has the features col[starts[i]:starts[i + 1]], one at least, each of the value scale[feature] / length[i].  Steps go over ENTRIES of them at a time, so
+    besides col itself nothing grows with the texts but a number for each.
     """
     weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    by_row = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    by_col = np.append(0, np.cumsum(np.bincount(col, minlength=len(scale)))[:-1])
-    row_of = row[np.argsort(col, kind="stable")]
-    scale = scale.astype(np.float32)
-    w, v, b, bv, t = np.zeros(len(scale), np.float32), np.zeros(len(scale), np.float32), 0.0, 0.0, 1.0
+    blocks, at = [], 0
+    while at < len(y):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + ENTRIES, "right")) - 1)
+        blocks.append((at, min(end, len(y))))
+        at = blocks[-1][1]
+    w, v, b, bv, t = np.zeros(len(scale)), np.zeros(len(scale)), 0.0, 0.0, 1.0
     for _ in range(STEPS):
-        z = _sums((scale * v)[col], by_row) / length + bv
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weigh
-        g = scale * _sums((err / length).astype(np.float32)[row_of], by_col)
-        w_next, b_next = v - (g + np.float32(PENALTY) * v) / np.float32(0.5 + PENALTY), float(bv) - err.sum() / (0.5 + PENALTY)
+        g, slope, u = np.zeros(len(scale)), 0.0, scale * v
+        for i, j in blocks:
+            own, first = col[starts[i] : starts[j]], starts[i:j] - starts[i]
+            z = np.add.reduceat(u[own], first) / length[i:j] + bv
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) * weigh[i:j]
+            g += np.bincount(own, np.repeat(err / length[i:j], np.diff(starts[i : j + 1])), len(scale))
+            slope += err.sum()
+        w_next, b_next = v - (scale * g + PENALTY * v) / (0.5 + PENALTY), bv - slope / (0.5 + PENALTY)
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        v, bv = w_next + np.float32((t - 1) / t_next) * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
+        v, bv = w_next + (t - 1) / t_next * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
         w, b, t = w_next, b_next, t_next
-    return w, float(b)
+    return w.astype(np.float32), float(b)
 
 
 def _fit(found: list[np.ndarray], y: np.ndarray, alpha: float) -> Model:
-    """Arrays over entries are few and of 32 bits: the driver holds about 30 bytes for each n-gram of a text."""
-    size, pos, neg = np.array([len(f) for f in found]), np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    """The driver holds the features of the texts once more, in 32 bits each."""
+    pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for f, v in zip(found, y):  # distinct in a text
         (pos if v else neg)[f] += 1
     ratio = np.log((alpha + pos) / (alpha * 2 + y.sum())) - np.log((alpha + neg) / (alpha * 2 + (1 - y).sum()))
@@ -125,11 +131,10 @@ def _fit(found: list[np.ndarray], y: np.ndarray, alpha: float) -> Model:
     ratio[pos + neg == 0] = 0
     number = np.zeros(1 << BITS, np.int32)
     number[used] = np.arange(len(used))
-    some = np.flatnonzero(size)
+    some = [i for i, f in enumerate(found) if len(f)]
     length = np.array([max(np.sqrt((ratio[found[i]] ** 2).sum()), 1e-9) for i in some])
     col = np.concatenate([number[found[i]] for i in some])
-    row = np.repeat(np.arange(len(some), dtype=np.int32), size[some])
-    w, b = _logistic(row, col, ratio[used], length, y[some])
+    w, b = _logistic(col, np.append(0, np.cumsum([len(found[i]) for i in some])), ratio[used], length, y[some])
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w * ratio[used]
     return Model(weights, (ratio**2).astype(np.float32), b)
@@ -140,7 +145,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> Model:
     y = np.asarray(y, np.float64)
     none = np.zeros(1 << BITS, np.float32)
     if len(y) == 0 or y.min() == y.max() or not sum(map(len, found)):
-        return Model(none, none, 6.0 if len(y) and y.mean() > 0.5 else -6.0)
+        return Model(none, none, 6.0 if len(y) and y.mean() > 0.5 else -6.0, learnt=False)
     model, apart = _fit(found, y, alpha), np.arange(len(y)) % 4 == 3
     if min(y[apart].sum(), (1 - y[apart]).sum(), y[~apart].sum(), (1 - y[~apart]).sum()) < 5:
         return model
