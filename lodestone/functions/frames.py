@@ -44,3 +44,8 @@ def numbered(df: DataFrame, *order: Column | str, to: str = "i") -> DataFrame:
     joined = placed.withColumn("part_", part).join(F.broadcast(counts), "part_")
     number = F.col("before_") + F.col("place_").bitwiseAND(F.lit((1 << 33) - 1))
     return joined.withColumn(to, number).drop("part_", "place_", "n_", "before_")
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that a generator makes: to the optimiser they stay columns, and it doesn't put what makes them in the place of each use, inside lambdas too."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(make):
+    """make, whose large expression of columns by name is built once for each JVM: building is slower than most plans."""
+    made: dict = {}
+
+    @functools.wraps(make)
+    def kept(*args):
+        key = (id(SparkContext._jvm), *args)
+        if key not in made:
+            made[key] = make(*args)
+        return made[key]
+
+    return kept
+
+
 def normal_key(value: Column) -> Column:
     """What links, titles and paths are matched by: cut at the first '#', trimmed, lower case, without '.md'."""
     return F.regexp_replace(F.lower(F.trim(F.substring_index(value, "#", 1))), r"\.md$", "")
@@ -68,3 +85,27 @@ def resolved_path(folder: Column, target: Column) -> Column:
 def source_line(contents: Column, line: Column) -> Column:
     """The 1-based line of a text; null beyond its end."""
     return F.try_element_at(F.split(contents, "\n"), line.cast("int"))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, value>> of a pattern's matches, with the 0-based place of each: the lengths of what lies between the matches, and of themselves, add up to it."""
+    rx = F.lit(pattern)
+
+    def placed(found):
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+        return F.aggregate(
+            steps, start,
+            lambda a, s: F.struct((a["at"] + s["gap"] + F.length(s["value"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), s["value"].alias("value")))).alias("out")),
+            lambda a: a["out"],
+        )
+
+    return let(F.regexp_extract_all(text, rx, F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,value:string>>")).otherwise(placed(found)))
+
+
+def without(text: Column, spans: Column, by) -> Column:
+    """text with spans (structs with 0-based start and end, in order, apart from one another) replaced by by(span)."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), by(s)).alias("out"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))

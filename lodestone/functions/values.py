@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 
 @dataclass(frozen=True)
 class Term:
@@ -31,6 +33,8 @@ class Term:
             return "array"
         if isinstance(self.dtype, (T.StructType, T.MapType)):
             return "object"
+        if isinstance(self.dtype, T.VariantType):
+            return "variant"
         return "null" if isinstance(self.dtype, T.NullType) else "string"
 
 
@@ -50,7 +54,13 @@ def field(df: DataFrame, name: str) -> Term:
     if not rest or head not in fields:
         held = fields.get("fields")
         if held is not None and isinstance(held.dataType, T.MapType) and isinstance(held.dataType.keyType, T.StringType):
-            return Term(F.try_element_at(df["fields"], F.lit(name)), held.dataType.valueType, name)
+            found, dtype = F.try_element_at(df["fields"], F.lit(name)), held.dataType.valueType
+            if rest and dtype == T.ArrayType(T.VariantType()) and "'" not in name:
+                # A name with points may also be the way into a map of the first part.
+                path = "$" + "".join(f"['{r}']" for r in rest)
+                deep = F.try_variant_get(F.get(F.try_element_at(df["fields"], F.lit(head)), F.lit(0)), path, "variant")
+                found = F.coalesce(found, F.when(deep.isNotNull(), F.array(deep)))
+            return Term(found, dtype, name)
         return Term(F.lit(None), T.NullType(), name)
     column, dtype = df[f"`{head}`"], fields[head].dataType
     for part in rest:
@@ -63,6 +73,12 @@ def field(df: DataFrame, name: str) -> Term:
     return Term(column, dtype, name)
 
 
+def inside(term: Term, *path: str | int) -> Term:
+    """What a variant holds at a path of keys and places; null where it holds nothing there."""
+    steps = "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path)
+    return Term(F.try_variant_get(head(term).column, "$" + steps, "variant"), T.VariantType(), term.name)
+
+
 def head(term: Term) -> Term:
     """Arrays stand for their first element, recursively; objects for null."""
     while term.kind == "array":
@@ -70,6 +86,34 @@ def head(term: Term) -> Term:
     return Term(F.lit(None), T.NullType(), term.name) if term.kind == "object" else term
 
 
+#: How deep first elements of lists in variants are looked for.
+NESTED = 3
+
+
+def variant_head(v: Column) -> Column:
+    """Lists in a variant stand for their first element, as deep as NESTED."""
+    for _ in range(NESTED):
+        v = let(v, lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$[0]", "variant")).otherwise(x))
+    return v
+
+
+def _variant_number(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+
+
+def _variant_text(v: Column) -> Column:
+    plain = ~F.schema_of_variant(v).rlike("^(?:OBJECT|ARRAY|VOID)")
+    return F.coalesce(let(_variant_number(v), lambda x: F.when(x.isNotNull(), number_text(x))), F.when(plain, F.try_variant_get(v, "$", "string")))
+
+
+def number_of(term: Term) -> Column:
+    """The number that a term holds; null where it holds something else."""
+    term = head(term)
+    if term.kind == "number":
+        return term.column.cast("double")
+    return let(variant_head(term.column), _variant_number) if term.kind == "variant" else F.lit(None).cast("double")
+
+
 def number_text(x: Column) -> Column:
     """A double's shortest decimal text: integral values without a point, others as plain decimals from 1e-6 to 1e21."""
     whole = (x == F.floor(x)) & (F.abs(x) < 2.0**53)
@@ -87,11 +131,18 @@ def text(term: Term) -> Column:
         if isinstance(term.dtype, T.IntegralType):
             return term.column.cast("string")
         return number_text(term.column.cast("double"))
+    if term.kind == "variant":
+        return let(variant_head(term.column), _variant_text)
     if isinstance(term.dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(term.column, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return term.column.cast("string")
 
 
+def as_text(term: Term) -> Term:
+    """A term's text as a term of its own, for columns that are shown."""
+    return Term(text(term), T.StringType(), term.name)
+
+
 def _operands(left: Term, right: Term) -> tuple[Column, Column]:
     """Numbers compare as numbers only with numbers; everything else as text."""
     a, b = head(left), head(right)
@@ -104,6 +155,26 @@ def _is_null(column: Column, term: Term) -> Column:
     return F.lit(True) if head(term).kind == "null" else column.isNull()
 
 
+def _typed_by_row(compare):
+    """Where a side's type is known only row by row, two numbers compare as numbers and all else as text."""
+
+    def compared(left: Term, right: Term) -> Column:
+        if "variant" not in (head(left).kind, head(right).kind):
+            return compare(left, right)
+        # Both sides are worked out once a row.
+        both = F.struct(number_of(left).alias("a"), number_of(right).alias("b"), text(left).alias("c"), text(right).alias("d"))
+
+        def of(x):
+            number, words = ([Term(x[k], kind, t.name) for k, t in zip(keys, (left, right))] for keys, kind in (("ab", T.DoubleType()), ("cd", T.StringType())))
+            return F.when(x["a"].isNotNull() & x["b"].isNotNull(), compare(*number)).otherwise(compare(*words))
+
+        return let(both, of)
+
+    compared.__doc__ = compare.__doc__
+    return compared
+
+
+@_typed_by_row
 def eq(left: Term, right: Term) -> Column:
     a, b = _operands(left, right)
     return a.eqNullSafe(b)
@@ -113,21 +184,25 @@ def ne(left: Term, right: Term) -> Column:
     return ~eq(left, right)
 
 
+@_typed_by_row
 def lt(left: Term, right: Term) -> Column:
     a, b = _operands(left, right)
     return F.coalesce(a.isNotNull() & (b.isNull() | (a < b)), F.lit(False))
 
 
+@_typed_by_row
 def le(left: Term, right: Term) -> Column:
     a, b = _operands(left, right)
     return F.coalesce(b.isNull() | (a.isNotNull() & (a <= b)), F.lit(False))
 
 
+@_typed_by_row
 def gt(left: Term, right: Term) -> Column:
     a, b = _operands(left, right)
     return F.coalesce(b.isNotNull() & (a.isNull() | (a > b)), F.lit(False))
 
 
+@_typed_by_row
 def ge(left: Term, right: Term) -> Column:
     """Null is greatest, so a null field passes; against a literal this is what a scan can evaluate."""
     a, b = _operands(left, right)
@@ -140,7 +215,8 @@ COMPARE = {"=": eq, "!=": ne, "<": lt, "<=": le, ">": gt, ">=": ge}
 def truthy(term: Term) -> Column:
     """False for null, false, '', 0 and empty arrays; true otherwise, objects included."""
     c = term.column
-    rule = {"boolean": lambda: c, "number": lambda: c != 0, "string": lambda: c != "", "array": lambda: F.size(c) > 0, "object": lambda: c.isNotNull(), "null": lambda: F.lit(False)}
+    rule = {"boolean": lambda: c, "number": lambda: c != 0, "string": lambda: c != "", "array": lambda: F.size(c) > 0, "object": lambda: c.isNotNull(), "null": lambda: F.lit(False),
+            "variant": lambda: ~F.coalesce(number_of(term) == 0, F.lit(False)) & ~F.to_json(c).isin("null", "false", '""', "[]")}
     return F.coalesce(rule[term.kind](), F.lit(False))
 
 

@@ -11,7 +11,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
+from ..functions import values as V
+from ..functions.frames import held, materialised
 from ..functions.text import base_name, folder_of, is_archived, is_wikilink, normal_key, resolved_path, title_of
 from ..sources.vault import failures, readable
 from . import markdown as M
@@ -39,6 +42,12 @@ def with_related_paths(findings: DataFrame, related: DataFrame) -> DataFrame:
     return d.groupBy("row_", *FINDING).agg(F.sort_array(F.collect_set("other_")).alias("related_paths")).drop("row_")
 
 
+def parsed_once(notes: DataFrame, *families: str) -> DataFrame:
+    """notes with the families' records, materialised, so that what a check joins them with doesn't parse them again."""
+    ready = M.extracted(notes, *families)
+    return notes if ready is notes else materialised(ready.select("path", *[M.FAMILIES[f][0] for f in families]))
+
+
 def first_headings(notes: DataFrame) -> DataFrame:
     """(path, line, text) of each note's first heading of depth 1."""
     top = M.headings(notes).where("depth = 1").groupBy("path").agg(F.min(F.struct("line", "text")).alias("h"))
@@ -53,34 +62,50 @@ def note_keys(notes: DataFrame, headings: DataFrame | None = None) -> DataFrame:
     return paths.unionByName(names).unionByName(tops).groupBy("key", "path").agg(F.max("by_path").alias("by_path"))
 
 
-def resolved_links(notes: DataFrame) -> DataFrame:
-    """Links with the number of paths that they name, `named`, and the key of these in note_keys.
+def link_paths(notes: DataFrame) -> DataFrame:
+    """(key, path) of the notes that a link's key names."""
+    keys = note_keys(notes)
+    return keys.select("key", "path").unionByName(keys.where("by_path").select(F.concat(F.lit("\0"), "key").alias("key"), "path"))
+
+
+def resolved_links(notes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Links (of the notes `of`, where they are given) with the number of paths that they name, `named`, and the key of these in link_paths.
 
     Where a target with an inner '/' names nothing, it is tried against the note's folder; such a key is led by a NUL and
     stands for paths only (see link_paths).
     """
-    d = M.links(notes).where("target <> ''").dropDuplicates(["path", "line", "ord"])
-    d = d.withColumn("key", normal_key(F.col("target")))
+    return _resolved(M.links(notes if of is None else of), link_paths(notes))
+
+
+def _resolved(links: DataFrame, paths: DataFrame) -> DataFrame:
+    d = links.where("target <> ''").withColumn("key", normal_key(F.col("target")))
     relative = F.contains(F.col("target"), F.lit("/")) & ~F.col("target").startswith("/")
     d = d.withColumn("relative_key", F.when(relative, F.concat(F.lit("\0"), normal_key(resolved_path(folder_of(F.col("path")), F.col("target"))))))
-    counts = link_paths(notes).groupBy("key").agg(F.count("*").alias("n"))
+    # Each link asks for its one or two keys; one aggregation tells how many paths a key has.
+    counts = paths.groupBy("key").agg(F.count("*").alias("n"))
     out = d.join(counts.withColumnRenamed("n", "direct"), "key", "left").join(counts.select(F.col("key").alias("relative_key"), F.col("n").alias("near")), "relative_key", "left")
     out = out.withColumn("key", F.when(F.col("direct").isNotNull(), F.col("key")).when(F.col("near").isNotNull(), F.col("relative_key")))
     return out.withColumn("named", F.coalesce("direct", "near", F.lit(0))).drop("direct", "near", "relative_key")
 
 
-def link_paths(notes: DataFrame) -> DataFrame:
-    """(key, path) of the notes that a link's key names."""
-    keys = note_keys(notes)
-    return keys.select("key", "path").unionByName(keys.where("by_path").select(F.concat(F.lit("\0"), "key").alias("key"), "path"))
+def scoped(check):
+    """Marks a check that takes (notes, of) and finds on the notes `of` alone, compared with all notes."""
+    check.scoped = True
+    return check
 
 
-def check_links(notes: DataFrame) -> DataFrame:
-    """Links that name no note, or several; link_paths has the paths of the latter."""
-    d = resolved_links(notes)
+@scoped
+def check_links(notes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Links that name no note, or several; link_paths has the paths of the latter.  One finding for each link, told apart by line and column."""
+    of = notes if of is None else of
+    if of is notes:
+        of = notes = parsed_once(notes, "headings", "links")
+    else:
+        notes, of = parsed_once(notes, "headings"), M.extracted(of, "links")
+    paths = materialised(link_paths(notes))
+    d = _resolved(M.links(of), paths)
     broken = finding(d.where("named = 0"), "links", "error", F.concat(F.lit("Broken link: "), "original"), F.col("line"))
-    own = link_paths(notes).withColumn("own", F.lit(1))
-    many = d.where("named > 1").join(own, ["key", "path"], "left")
+    many = d.where("named > 1").join(paths.withColumn("own", F.lit(1)), ["key", "path"], "left")
     others = F.col("named") - F.coalesce("own", F.lit(0))
     return broken.unionByName(finding(many, "links", "warning", F.concat(F.lit("Ambiguous link: "), "original"), F.col("line"), others, F.col("key")))
 
@@ -94,10 +119,12 @@ def heading_paths(notes: DataFrame) -> DataFrame:
     return _top_headings(notes).where("not old").select("key", "path").distinct()
 
 
-def check_duplicate_headings(notes: DataFrame) -> DataFrame:
+@scoped
+def check_duplicate_headings(notes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Top headings that several notes outside the archive share, with the number of other notes; heading_paths has their paths."""
-    shared = heading_paths(notes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    d = _top_headings(notes).where("not old").join(shared, "key")
+    all_ = parsed_once(notes, "headings")
+    shared = heading_paths(all_).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    d = _top_headings(all_ if of is None else of).where("not old").join(shared, "key")
     return finding(d, "headings", "warning", F.concat(F.lit("Duplicate heading: "), "text"), F.col("line"), F.col("n") - 1, F.col("key"))
 
 
@@ -107,31 +134,35 @@ def archive_heading_paths(notes: DataFrame) -> DataFrame:
     return d.select(F.concat(F.when(F.col("old"), "old:").otherwise("new:"), "key").alias("key"), "path").distinct()
 
 
-def check_archive_headings(notes: DataFrame) -> DataFrame:
+@scoped
+def check_archive_headings(notes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Top headings that a note in use and one in the archive share, reported on both; archive_heading_paths has the other side's paths."""
-    counts = archive_heading_paths(notes).groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "other")
-    d = _top_headings(notes).withColumn("other", F.concat(F.when(F.col("old"), "new:").otherwise("old:"), "key")).join(counts, "other")
+    all_ = parsed_once(notes, "headings")
+    counts = archive_heading_paths(all_).groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "other")
+    d = _top_headings(all_ if of is None else of).withColumn("other", F.concat(F.when(F.col("old"), "new:").otherwise("old:"), "key")).join(counts, "other")
     return finding(d, "archive-headings", "error", F.concat(F.lit("Heading also in archive: "), "text"), F.col("line"), F.col("n"), F.col("other"))
 
 
 def check_titles(notes: DataFrame) -> DataFrame:
-    """First heading or frontmatter title that differs from the file's name; the heading of a source copy may differ."""
-    front = M.frontmatter(notes)
-    copies = front.where("key = 'type' and value = 'source-copy'").select("path")
-    name = normal_key(title_of(F.col("path")))
-    heads = first_headings(notes).join(copies, "path", "left_anti").where(normal_key(F.col("text")) != name)
-    titles = front.where("key = 'title' and value is not null").where(normal_key(F.col("value")) != name)
-    drift = finding(heads, "title-drift", "warning", F.concat(F.lit("Heading differs from file name: "), "text"), F.col("line"))
-    return drift.unionByName(finding(titles, "title-drift", "warning", F.concat(F.lit("Title differs from file name: "), "value")))
+    """First heading or frontmatter title that differs from the file's name; the heading of a source copy may differ.  A note's own row tells, so nothing is joined."""
+    d = M.extracted(notes, "headings", "front")
+    front = M.front_pairs(F.col("front_"))
+    written = lambda k: V.text(V.Term(F.try_element_at(front, F.lit(k)), VariantType()))
+    first = F.get(F.filter("headings_", lambda h: h["depth"] == 1), F.lit(0))
+    d = held(d.select("path", "headings_", "front_"), first=first, title=written("title"), type=written("type")).withColumn("name", normal_key(title_of(F.col("path"))))
+    heads = d.where("first is not null and coalesce(type, '') <> 'source-copy'").where(normal_key(F.col("first.text")) != F.col("name"))
+    titles = d.where("title is not null").where(normal_key(F.col("title")) != F.col("name"))
+    drift = finding(heads, "title-drift", "warning", F.concat(F.lit("Heading differs from file name: "), "first.text"), F.col("first.line"))
+    return drift.unionByName(finding(titles, "title-drift", "warning", F.concat(F.lit("Title differs from file name: "), "title")))
 
 
 def check_dump(notes: DataFrame) -> DataFrame:
     """Notes called dump.md whose text goes beyond frontmatter and headings; the first such line is reported."""
-    named = notes.where(base_name(F.col("path")) == "dump.md")
-    after = M.headings(named).where(~F.col("source").rlike(M.HEADING)).select("path", F.explode(F.array("line", F.col("line") + 1)).alias("line"))
-    body = M.body_lines(named).where((F.trim("text") != "") & ~F.col("text").rlike(M.HEADING)).join(after, ["path", "line"], "left_anti")
-    first = body.groupBy("path").agg(F.min("line").alias("line"))
-    return finding(first, "dump", "warning", F.lit("Dump note holds content"), F.col("line"))
+    d = M.parsed(notes.where(base_name(F.col("path")) == "dump.md"))
+    under = F.transform(F.filter("rows", lambda r: r["kind"] == "u"), lambda r: r["part"])
+    body = F.filter("rows", lambda r: ~r["kind"].isin("y", "b", "h") & ~F.array_contains(F.col("under"), r["part"]))
+    first = held(held(d, under=under), first=F.array_min(F.transform(body, lambda r: r["line"]))).where("first is not null")
+    return finding(first, "dump", "warning", F.lit("Dump note holds content"), F.col("first"))
 
 
 def check_tasks(tasks: DataFrame) -> DataFrame:
@@ -197,13 +228,13 @@ BUNDLES = {
     "dump": ("dump",),
     "all": ("failures", "links", "duplicate-headings", "titles", "archive-headings", "dump", "tasks", "repeat-seeds"),
 }
-CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {
+CHECKS: dict[str, Callable[..., DataFrame]] = {
     "failures": lambda notes: check_failures(notes),
-    "links": lambda notes: check_links(notes),
-    "duplicate-headings": lambda notes: check_duplicate_headings(notes),
-    "titles": lambda notes: check_titles(notes),
-    "archive-headings": lambda notes: check_archive_headings(notes),
-    "dump": lambda notes: check_dump(notes),
+    "links": check_links,
+    "duplicate-headings": check_duplicate_headings,
+    "titles": check_titles,
+    "archive-headings": check_archive_headings,
+    "dump": check_dump,
     "tasks": lambda notes: check_tasks(task_records(notes)),
     "repeat-seeds": lambda notes: check_repeat_seeds(task_records(notes)),
 }
@@ -218,23 +249,41 @@ def check_failures(notes: DataFrame) -> DataFrame:
 class CheckSet:
     """Checks that run together; others can be added."""
 
-    checks: tuple[Callable[[DataFrame], DataFrame], ...]
+    checks: tuple[Callable[..., DataFrame], ...]
 
-    def add(self, check: Callable[[DataFrame], DataFrame]) -> CheckSet:
+    def add(self, check: Callable[..., DataFrame]) -> CheckSet:
         return replace(self, checks=(*self.checks, check))
 
     def run(self, notes: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-        """Findings of all checks, on the paths of `chosen` alone where it is given: what a note is compared with stays the whole collection."""
-        sound, found = readable(notes), None
+        """Findings of all checks, on the paths of `chosen` alone where it is given: what a note is compared with stays the whole collection.
+
+        Notes are parsed once for all checks.  With chosen paths, only the chosen notes are parsed for what findings are made of, and the
+        others for what these are compared with; checks that aren't marked as scoped, but for those on single notes, see all notes, and what they find elsewhere goes.
+        """
+        sound, paths = readable(notes), None
+        if chosen is not None:
+            paths = chosen.select(F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), r"^(\./)+", "").alias("path")).distinct()
+        near = (lambda d: d) if paths is None else lambda d: d.join(paths, "path", "left_semi")
+        if paths is None:
+            everything = own = materialised(M.extracted(sound))
+        else:
+            everything, own = materialised(M.extracted(sound, "headings")), materialised(M.extracted(near(sound)))
+        found = finding(sound.where(F.lit(False)), "", "", F.lit(""))
         for check in self.checks:
-            each = check(notes if check is CHECKS["failures"] else sound).select(*FINDING)
-            found = each if found is None else found.unionByName(each)
-        if found is None:
-            found = finding(sound.where(F.lit(False)), "", "", F.lit(""))
-        if chosen is None:
-            return found
-        paths = chosen.select(F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), r"^(\./)+", "").alias("path")).distinct()
-        return found.join(paths, "path", "left_semi").select(*FINDING)
+            if check is CHECKS["failures"]:
+                each = check(near(notes))
+            elif getattr(check, "scoped", False):
+                each = check(everything, own) if paths is not None else check(everything)
+            elif check in SINGLE:
+                each = check(own)
+            else:
+                each = near(check(everything))
+            found = found.unionByName(each.select(*FINDING))
+        return found
+
+
+#: Checks whose findings depend on the note alone.
+SINGLE = (CHECKS["titles"], CHECKS["dump"], CHECKS["tasks"])
 
 
 def bundle(name: str = "all") -> CheckSet:

@@ -1,8 +1,7 @@
 """Records in Markdown notes: one DataFrame for each family, from notes (path, contents).
 
-All of it is built-in expressions on the lines of a note.  Fenced blocks, indented code and frontmatter are found in the row, and only in notes
-that hold their marks, so no family needs a shuffle.  Text in code and frontmatter gives no records; code spans are part of a line's
-text, and nothing inside them is.
+A note is parsed once, within its row (blocks.parsed); a family is an array of what its prose lines hold, found in masked text, so that code, HTML and
+comments give no records and every record has its place.  No family needs a shuffle.
 """
 
 from __future__ import annotations
@@ -12,163 +11,258 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import expanded_tags
+from ..functions import yaml
+from ..functions.frames import held
+from ..functions.text import expanded_tags, let, matches, once, without
+from . import blocks
+from .blocks import HEADING  # noqa: F401
 
-#: Fixed patterns of the notes' syntax.
-FENCE = r"^\s{0,3}(`{3,}|~{3,})\s*([^`]*)$"
-HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
-UNDERLINE = r"^ {0,3}(=+|-+)\s*$"
-ITEM = r"^(\s*)(?:[-*+]|\d+[.)])\s+(?:\[([ xX])\]\s+)?(.*)$"
-CODE = r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)"
-LINK = r"!?\[\[[^\[\]\n]+\]\]"
+#: Fixed patterns of inline syntax.
+LINK = r"!?\[\[[^\n\x00]+?\]\](?!\])"
 TAG = r"#[A-Za-z0-9/_-]+\b"
 ANCHOR = r"(?<!\S)\^([A-Za-z0-9-]+)(?=$|\s)"
-FIELD = r"[\[(]([^\[\]()\n:]+)::((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*)[\])]"
-SHOWN_FIELD = r"[\[(][^\[\]()\n:]+::[ \t]*((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*?)[ \t]*[\])]"
 BARE_FIELD = r"^([^\[\]\n]+?)::[ \t]*(.*)$"
+BLOCK_ID = r"^[A-Za-z0-9-]+$"
 #: Code as a whole in its first group, for replacements that keep it.
-KEPT_CODE = r"((?<!`)(`+)(?!`).*?(?<!`)\2(?!`))"
+CODE = r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)"
+KEPT_CODE = r"((?<!`)(`+)(?!`)(?s:.*?)(?<!`)\2(?!`))"
+#: What decides where fields begin and end: links as a whole, brackets, double colons, line ends.
+_FIELD_MARKS = r"\[\[(?:(?!\]\])[^\n])*\]\]|::|[\[\]()\n]"
+#: A field without brackets but its links'; where no other bracket is left, these are all fields.
+_PLAIN_VALUE = r"[^\[\]()\n:]*[^\[\]()\n:\s][^\[\]()\n:]*::(?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*"
+_PLAIN_FIELD = rf"\[{_PLAIN_VALUE}\]|\({_PLAIN_VALUE}\)"
+_SPAN = "struct<start:int,end:int,key_start:int,key_end:int,value_start:int,value_end:int>"
+
+
+@once
+def _prose() -> Column:
+    def line(r):
+        first = r["line"] == r["part"]
+        mine = F.get(F.split(F.get("mask", r["group"]), "\n", -1), r["line"] - r["part"])
+        return F.struct(
+            r["line"].alias("line"), r["kind"].alias("kind"), r["text"].alias("text"), mine.alias("masked"), r["at"].alias("at"), r["col"].alias("col"), r["item"].alias("item"), r["part"].alias("part"),
+            F.when(first, F.get("shown", r["group"])).alias("whole"), F.when(first, F.get("mask", r["group"])).alias("whole_mask"), let(mine, field_spans).alias("spans"),
+        )
 
-_RANGES = "array<struct<first:int,last:int>>"
-_FENCES = "array<struct<first:int,last:int,mark:string,info:string>>"
+    return F.transform(F.filter("rows", lambda r: r["kind"].isin(*blocks.PROSE)), line)
 
 
-def _front(lines: Column) -> Column:
-    """The number of frontmatter lines, marks included."""
-    close = F.array_position(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.rtrim(x).isin("---", "...")), True)
-    return F.when((F.get(lines, F.lit(0)) == "---") & (close > 0), close + 1).otherwise(F.lit(0)).cast("int")
+def parsed(notes: DataFrame, *keep: str) -> DataFrame:
+    """What blocks.parsed gives, and prose: array<struct<line, kind, text, masked, at, col, item, part, whole, whole_mask, spans>> of the lines with running text or headings.
 
+    masked is the line's part of its paragraph's masked text; whole and whole_mask are the paragraph's, in its first line alone; spans are the line's fields.
+    """
+    d = blocks.parsed(notes, *keep)
+    return held(d, prose=_prose())
 
-def _fences(lines: Column, front: Column) -> Column:
-    """array<struct<first, last, mark, info>> of 0-based lines.
 
-    A fence closes at a line of the same mark, at least as long, without info; an open one runs to the end.
-    """
-    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.trim(F.regexp_extract(x, FENCE, 2)).alias("info"))), lambda m: (m["mark"] != "") & (m["i"] >= front))
-
-    def step(acc, m):
-        opened = F.struct(m["i"].alias("first"), m["mark"].alias("mark"), m["info"].alias("info"))
-        cur = acc["open"]
-        ends = (F.substring(cur["mark"], 1, 1) == F.substring(m["mark"], 1, 1)) & (F.length(m["mark"]) >= F.length(cur["mark"])) & (m["info"] == "")
-        done = F.concat(acc["done"], F.array(F.struct(cur["first"].alias("first"), m["i"].alias("last"), cur["mark"].alias("mark"), cur["info"].alias("info"))))
-        none = F.lit(None).cast("struct<first:int,mark:string,info:string>")
-        return F.struct(
-            F.when(cur.isNull(), opened).when(ends, none).otherwise(cur).alias("open"), F.when(cur.isNotNull() & ends, done).otherwise(acc["done"]).alias("done")
-        )
+def _each(array: Column, of) -> Column:
+    return F.flatten(F.transform(array, of))
+
+
+def _holding(mark: str) -> Column:
+    return F.filter("prose", lambda r: F.contains(r["masked"], F.lit(mark)))
+
+
+def _notes_with(notes: DataFrame, mark: str) -> DataFrame:
+    return notes.where(F.contains("contents", F.lit(mark)))
+
 
-    start = F.struct(F.lit(None).cast("struct<first:int,mark:string,info:string>").alias("open"), F.array().cast("array<struct<first:int,last:int,mark:string,info:string>>").alias("done"))
+def _exploded(d: DataFrame, records: Column | str) -> DataFrame:
+    return d.select("path", F.explode(records).alias("r_")).select("path", "r_.*")
 
-    def finish(acc):
-        cur = acc["open"]
-        last = F.array(F.struct(cur["first"].alias("first"), (F.size(lines) - 1).alias("last"), cur["mark"].alias("mark"), cur["info"].alias("info")))
-        return F.when(cur.isNull(), acc["done"]).otherwise(F.concat(acc["done"], last))
 
-    return F.aggregate(marks, start, step, finish)
+#: Families that can be extracted together: the column that holds each, its records, and the text that notes with any of them hold.
+FAMILIES = {
+    "headings": ("headings_", lambda: heading_records(), ""),
+    "links": ("links_", lambda: link_records(), "[["),
+    "tags": ("tags_", lambda: tag_records(), "#"),
+    "fields": ("fields_", lambda: field_records(), "::"),
+    "tasks": ("tasks_", lambda: task_records(), "#task"),
+    "front": ("front_", lambda: front_json(), ""),
+}
 
 
-def _indented(lines: Column, front: Column, fences: Column) -> Column:
-    """array<struct<first, last>> of 0-based lines of indented code.
+def extracted(notes: DataFrame, *families: str) -> DataFrame:
+    """notes with the records of some families (all of FAMILIES where none is named) in a column each, from one parse of each note.
 
-    A line indented by four spaces or a tab is code unless it goes on with a paragraph (no blank line between) or stands in a list.
+    The functions of these families take such notes like others and parse nothing then.  Materialise them where several are to follow.
     """
+    wanted = [f for f in families or FAMILIES if FAMILIES[f][0] not in notes.columns]
+    if not wanted:
+        return notes
+    d = parsed(notes, *[c for c in notes.columns if c != "path"])
+    return held(d, **{FAMILIES[f][0]: FAMILIES[f][1]() for f in wanted}).select(*notes.columns, *[FAMILIES[f][0] for f in wanted])
 
-    def seen(x, i):
-        """What the fold asks of a line: n for none of its own, b for blank, d for deep, and else h, l, i or t for other, list, inner or text."""
-        outside = (i < front) | F.exists(fences, lambda f: i.between(f["first"], f["last"]))
-        kind = (
-            F.when(outside, "h").when(x.rlike(r"^\s*$"), "b").when(x.rlike(r"^(?: {4}| {0,3}\t)"), "d").when(x.rlike(HEADING), "h").when(x.rlike(ITEM), "l")
-            .when(x.rlike(r"^ {2,3}\S"), "i").otherwise("t")
-        )
-        return F.struct(i.alias("i"), kind.alias("kind"))
-
-    def step(acc, line):
-        i, kind, runs, n = line["i"], line["kind"], acc["runs"], F.size(acc["runs"])
-        code = (kind == "d") & (acc["kind"] != "l") & ((acc["kind"] != "t") | acc["gap"])
-        listed = (acc["kind"] == "l") & ((kind == "i") | ~acc["gap"])
-        after = F.when(kind.isin("b", "d"), acc["kind"]).when(kind.isin("h", "l"), kind).when(listed, "l").otherwise("t")
-        run = F.struct(F.when(acc["open"], F.get(runs, n - 1)["first"]).otherwise(i).alias("first"), i.alias("last"))
-        more = F.concat(F.slice(runs, F.lit(1), n - F.when(acc["open"], 1).otherwise(0)), F.array(run))
-        return F.struct(
-            after.alias("kind"), F.when(kind == "b", True).when(code, acc["gap"]).otherwise(False).alias("gap"),
-            F.when(kind == "b", acc["open"]).otherwise(code).alias("open"), F.when(code, more).otherwise(runs).alias("runs"),
-        )
 
-    start = F.struct(F.lit("h").alias("kind"), F.lit(False).alias("gap"), F.lit(False).alias("open"), F.array().cast(_RANGES).alias("runs"))
-    return F.aggregate(F.transform(lines, seen), start, step, lambda acc: acc["runs"])
+def _family(notes: DataFrame, name: str) -> DataFrame:
+    column, records, mark = FAMILIES[name]
+    return _exploded(notes, column) if column in notes.columns else _exploded(parsed(_notes_with(notes, mark) if mark else notes), records())
 
 
-def parsed(notes: DataFrame, *keep: str) -> DataFrame:
-    """(path, kept columns, lines, front, fences, indented): a note's lines, how many are frontmatter, and the ranges of its code."""
+def body_lines(notes: DataFrame, holding: str = "") -> DataFrame:
+    """(path, line, text) of the lines after the frontmatter that hold a text, those inside code too, as they are written."""
     contents = F.coalesce(F.col("contents"), F.lit(""))
-    d = notes.select("path", *keep, contents.alias("contents_"), F.split(contents, r"\r?\n").alias("lines"))
-    d = d.withColumn("front", F.when(F.col("contents_").startswith("---"), _front(F.col("lines"))).otherwise(0))
-    fenced = F.contains("contents_", F.lit("```")) | F.contains("contents_", F.lit("~~~"))
-    d = d.withColumn("fences", F.when(fenced, _fences(F.col("lines"), F.col("front"))).otherwise(F.array().cast(_FENCES)))
-    deep = F.col("contents_").rlike(r"(?m)^(?: {4}| {0,3}\t)")
-    d = d.withColumn("indented", F.when(deep, _indented(F.col("lines"), F.col("front"), F.col("fences"))).otherwise(F.array().cast(_RANGES)))
-    return d.drop("contents_")
+    d = notes.where(F.contains("contents", F.lit(holding))) if holding else notes
+    d = d.select("path", F.split(contents, r"\r?\n").alias("lines"), contents.startswith("---").alias("marked"))
+    d = d.select("path", F.when(F.col("marked"), blocks.front_lines(F.col("lines"))).otherwise(0).alias("front"), F.posexplode("lines").alias("i", "text")).where(F.col("i") >= F.col("front"))
+    return (d.where(F.contains("text", F.lit(holding))) if holding else d).select("path", (F.col("i") + 1).alias("line"), "text")
 
 
-def in_code(i: Column) -> Column:
-    """Whether the 0-based line i of a parsed note is code."""
-    return F.exists("fences", lambda f: i.between(f["first"], f["last"])) | F.exists("indented", lambda f: i.between(f["first"], f["last"]))
+# Inline fields: brackets are matched by their running depth.
 
 
-def prose_lines(notes: DataFrame, *, holding: str = "", following: bool = False) -> DataFrame:
-    """(path, line, text) of the lines outside frontmatter and code that hold a text; line counts from 1.  With `following`, next is the line after."""
-    d = parsed(notes.where(F.contains("contents", F.lit(holding))) if holding else notes)
-    after = lambda i: F.get("lines", i + 1) if following else F.lit(None).cast("string")
-    each = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), after(i).alias("next")))
-    plain = (F.size("fences") == 0) & (F.size("indented") == 0)
-    d = d.select("path", "front", F.inline(F.when(plain, each).otherwise(F.filter(each, lambda s: ~in_code(s["line"] - 1)))))
-    d = d.where(F.col("line") > F.col("front"))
-    d = d.where(F.contains("text", F.lit(holding))) if holding else d
-    return d.select("path", "line", "text", "next") if following else d.select("path", "line", "text")
+def field_spans(masked: Column) -> Column:
+    """array<struct<start, end, key_start, key_end, value_start, value_end>> of the inline fields in masked text, ends exclusive.
 
+    A field opens at a bracket that double colons follow before it closes, and ends where the depth of its own kind of bracket, counted over the marks
+    of the text, falls below that at the colons.  One that holds another is text, and so is the other.
+    """
 
-def body_lines(notes: DataFrame, holding: str = "") -> DataFrame:
-    """(path, line, text) of the lines after the frontmatter that hold a text, those inside code too."""
-    d = parsed(notes.where(F.contains("contents", F.lit(holding))) if holding else notes)
-    d = d.select("path", "front", F.posexplode("lines").alias("i", "text")).where(F.col("i") >= F.col("front"))
-    return (d.where(F.contains("text", F.lit(holding))) if holding else d).select("path", (F.col("i") + 1).alias("line"), "text")
+    def spans(t):
+        n = F.size(t)
+        upto = lambda a, b: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.size(F.filter(F.slice(t, F.lit(1), i + 1), lambda m: m["value"] == a)) - F.size(F.filter(F.slice(t, F.lit(1), i + 1), lambda m: m["value"] == b)))
+        return let(F.struct(upto("[", "]").alias("square"), upto("(", ")").alias("round")), lambda depth: found(t, n, depth))
+
+    def found(t, n, depth):
+        value = lambda i: F.get(t, i)["value"]
+        start = lambda i: F.get(t, i)["start"]
+
+        def one(i):
+            square = value(i) == "["
+            close = F.when(square, "]").otherwise(")")
+            later = F.sequence(i + 1, n - 1)
+            colons = F.get(F.filter(later, lambda j: value(j).isin("::", "\n") | (value(j) == close)), F.lit(0))
+            at = lambda j: F.when(square, F.get(depth["square"], j)).otherwise(F.get(depth["round"], j))
+
+            def ended(c):
+                end = F.get(F.filter(F.sequence(c, n - 1), lambda j: (value(j) == "\n") | ((value(j) == close) & (at(j) < at(c)))), F.lit(0))
+                return let(end, lambda e: F.when((value(c) == "::") & (value(e) == close), bounds(i, c, e)))
 
+            return F.when((i < n - 1) & colons.isNotNull(), let(colons, ended))
 
-def tokens(text: Column, pattern: str, *over: str) -> Column:
-    """What matches pattern in a line, outside code and what the patterns `over` match."""
-    every = F.regexp_extract_all(text, F.lit("|".join([CODE, *(f"(?:{o})" for o in over), f"(?:{pattern})"])), F.lit(0))
-    return F.filter(every, lambda x: x.rlike(f"^(?:{pattern})$"))
+        def bounds(i, c, e):
+            return F.struct(start(i).alias("start"), (start(e) + 1).alias("end"), (start(i) + 1).alias("key_start"), start(c).alias("key_end"), (start(c) + 2).alias("value_start"), start(e).alias("value_end"))
 
+        opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: value(i).isin("[", "("))
+        return F.filter(F.transform(opens, one), lambda s: s.isNotNull() & (F.trim(F.translate(F.substring(masked, s["key_start"] + 1, s["key_end"] - s["key_start"]), "\t", " ")) != ""))
 
-def shown_text(text: Column) -> Column:
-    """What a line shows: fields by their value, links by their alias or target, code spans and marked text without marks, no images."""
-    text = F.regexp_replace(text, f"{KEPT_CODE}|{SHOWN_FIELD}", "$1$3")
-    text = F.regexp_replace(text, KEPT_CODE + r"|(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\3|(?<![\w*])([*_])(?=[^\s*_])([^*_]+?)(?<=\S)\5(?![\w*])", "$1$4$6")
+    def outermost(all_):
+        free = F.aggregate(
+            all_, F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{_SPAN}>").alias("out")),
+            lambda a, s: F.when(s["start"] >= a["next"], F.struct(s["end"].alias("next"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"],
+        )
+        inside = lambda o, s: (o["start"] > s["start"]) & (((o["start"] >= s["key_start"]) & (o["end"] <= s["key_end"])) | ((o["start"] >= s["value_start"]) & (o["end"] <= s["value_end"])))
+        return F.filter(free, lambda s: ~F.exists(all_, lambda o: inside(o, s)))
+
+    def plain(m):
+        colons = m["start"] + F.locate("::", m["value"]) - 1
+        end = m["start"] + F.length(m["value"])
+        return F.struct(m["start"].alias("start"), end.alias("end"), (m["start"] + 1).alias("key_start"), colons.alias("key_end"), (colons + 2).alias("value_start"), (end - 1).alias("value_end"))
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    whole = let(matches(masked, _FIELD_MARKS), lambda t: F.when(F.size(t) > 2, let(spans(t), outermost)).otherwise(none))
+    simple = ~F.regexp_replace(masked, rf"{_PLAIN_FIELD}|\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]")
+    found = F.when(simple, F.transform(matches(masked, _PLAIN_FIELD), plain)).otherwise(F.coalesce(whole, none))
+    return F.when(F.contains(masked, F.lit("::")), found).otherwise(none)
+
+
+def _cut(text: Column, start: Column, end: Column) -> Column:
+    return F.trim(F.translate(F.substring(text, start + 1, end - start), "\t", " "))
+
+
+def _fields(r: Column) -> Column:
+    """The fields of a prose line, in their order."""
+    return F.transform(
+        r["spans"],
+        lambda s, i: F.struct(
+            r["line"].alias("line"), i.alias("ord"), (r["at"] + s["start"] + 1).alias("column"),
+            _cut(r["text"], s["key_start"], s["key_end"]).alias("key"), _cut(r["text"], s["value_start"], s["value_end"]).alias("value"),
+        ),
+    )
+
+
+def shown_text(text: Column, mask: Column | None = None) -> Column:
+    """What a paragraph shows: fields by their value, links by their alias or target, code spans and marked text without marks, no images."""
+    mask = blocks.masked(text) if mask is None else mask
+    text = F.when(F.contains(mask, F.lit("::")), let(field_spans(mask), lambda spans: without(text, spans, lambda s: _cut(text, s["value_start"], s["value_end"])))).otherwise(text)
+    text = F.regexp_replace(text, KEPT_CODE + r"|(\*\*|__|~~)(?=\S)((?s:.+?))(?<=\S)\3|(?<![\w*])([*_])(?=[^\s*_])([^*_]+?)(?<=\S)\5(?![\w*])", "$1$4$6")
     links = r"!?\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|!\[[^\[\]]*\]\([^()]*\)|\[([^\[\]]*)\]\([^()]*\)"
-    return F.trim(F.regexp_replace(text, r"(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)|" + links, "$2$3$4"))
+    return F.trim(F.regexp_replace(text, r"(?<!`)(`+)(?!`)((?s:.*?))(?<!`)\1(?!`)|" + links, "$2$3$4"))
+
+
+# Frontmatter.
+
+
+@once
+def front_json() -> Column:
+    """The frontmatter of a parsed note as JSON; null where there is none, or it holds no map."""
+    return F.when(F.col("front") > 2, yaml.block_json(F.slice("lines", F.lit(2), F.greatest(F.col("front") - 2, F.lit(0)))))
+
+
+def frontmatter_json(notes: DataFrame, *keep: str) -> DataFrame:
+    """(path, kept columns, front, json): how many lines are frontmatter, and what it holds, as JSON (null where it holds no map or can't be read)."""
+    contents = F.coalesce(F.col("contents"), F.lit(""))
+    d = notes.select("path", *keep, F.when(contents.startswith("---"), F.split(contents, r"\r?\n")).alias("lines"))
+    d = d.withColumn("front", F.when(F.col("lines").isNotNull(), blocks.front_lines(F.col("lines"))).otherwise(0))
+    return d.select("path", *keep, "front", front_json().alias("json"))
+
+
+def front_pairs(json: Column) -> Column:
+    """map<string, variant> of frontmatter's JSON, keys in their order."""
+    return F.from_json(json, "map<string,variant>")
+
+
+def frontmatter_values(notes: DataFrame) -> DataFrame:
+    """(path, ord, key, value) of each note's frontmatter; value is a VARIANT of YAML's core types, with nested lists and maps."""
+    if "front_" not in notes.columns:
+        notes = frontmatter_json(notes.where(F.col("contents").startswith("---"))).withColumnRenamed("json", "front_")
+    return notes.select("path", F.posexplode(front_pairs(F.col("front_"))).alias("ord", "key", "value"))
 
 
 def frontmatter(notes: DataFrame) -> DataFrame:
-    """(path, key, value) of the top-level scalars and inline lists of each note's frontmatter; values as written, quotes removed."""
-    d = parsed(notes.where(F.col("contents").startswith("---")))
-    rows = d.select("path", F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.col("front") - 2, F.lit(0)))).alias("ord", "text"))
-    rx = r"^([^\s:#][^:]*):(?:\s+(.*?))?\s*$"
+    """(path, ord, key, value) of the top-level keys whose value is on their line; values as written, quotes removed.  frontmatter_values reads them all, with types."""
+    contents = F.coalesce(F.col("contents"), F.lit(""))
+    d = notes.where(F.col("contents").startswith("---")).select("path", F.split(contents, r"\r?\n").alias("lines"))
+    rows = d.select("path", F.posexplode(F.slice("lines", F.lit(2), F.greatest(blocks.front_lines(F.col("lines")) - 2, F.lit(0)))).alias("ord", "text"))
+    rx = r"^([^\s:#-][^:]*):(?:\s+(.*?))?\s*$"
     value = F.regexp_replace(F.regexp_extract("text", rx, 2), r"^(['\"])(.*)\1$", "$2")
     return rows.where(F.col("text").rlike(rx)).select("path", "ord", F.regexp_extract("text", rx, 1).alias("key"), F.nullif(value, F.lit("")).alias("value"))
 
 
-def frontmatter_list(value: Column) -> Column:
-    """'[a, b]' as an array; other text as an array of one."""
-    inner = F.regexp_extract(value, r"^\[(.*)\]$", 1)
-    return F.when(value.rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array(value))
+def front_tags(json: Column) -> Column:
+    """Tags that frontmatter names, each with its mark: of a text or a list of texts."""
+    v = F.try_element_at(front_pairs(json), F.lit("tags"))
+    several = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    texts = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.transform(several, lambda x: F.try_variant_get(x, "$", "string"))).when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+    named = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
+    return F.transform(named, lambda t: F.when(t.startswith("#"), t).otherwise(F.concat(F.lit("#"), t)))
+
+
+# Headings.
+
+
+@once
+def heading_records() -> Column:
+    """The headings of a parsed note: array<struct<line, depth, text, source>>."""
+
+    def marked(r):
+        inner = F.regexp_extract(r["text"], HEADING, 2)
+        return F.struct(r["line"].alias("line"), F.length(F.regexp_extract(r["text"], HEADING, 1)).alias("depth"), shown_text(inner).alias("text"), r["text"].alias("source"))
+
+    def underlined(u):
+        first = F.get("rows", u["part"] - 1)
+        depth = F.when(F.ltrim(u["text"]).startswith("="), 1).otherwise(2)
+        return F.struct(u["part"].alias("line"), depth.alias("depth"), shown_text(F.regexp_replace(F.get("shown", u["group"]), r"\n$", "")).alias("text"), first["text"].alias("source"))
+
+    plain = F.transform(F.filter("prose", lambda r: r["kind"] == "h"), marked)
+    under = F.filter("rows", lambda r: r["kind"] == "u")
+    return F.when(F.size(under) == 0, plain).otherwise(F.array_sort(F.concat(plain, F.transform(under, underlined))))
 
 
 def headings(notes: DataFrame) -> DataFrame:
-    """(path, line, depth, text, source) of headings with # marks or underlines; source is the line as it is written."""
-    d = prose_lines(notes, following=True)
-    marked, under = F.col("text").rlike(HEADING), F.col("next").rlike(UNDERLINE) & F.col("text").rlike(r"^ {0,3}[^\s#>*+-]")
-    d = d.where(marked | under)
-    depth = F.when(marked, F.length(F.regexp_extract("text", HEADING, 1))).when(F.ltrim("next").startswith("="), 1).otherwise(2)
-    return d.select("path", "line", depth.alias("depth"), shown_text(F.when(marked, F.regexp_extract("text", HEADING, 2)).otherwise(F.col("text"))).alias("text"), F.col("text").alias("source"))
+    """(path, line, depth, text, source) of headings with # marks or underlines, in quotes and items too; source is the first line as it is written."""
+    return _family(notes, "headings")
 
 
 def table_of_contents(notes: DataFrame) -> DataFrame:
@@ -181,89 +275,202 @@ def table_of_contents(notes: DataFrame) -> DataFrame:
     return d.select("path", "line", "depth", "text", F.greatest(*shallower).alias("parent"))
 
 
+# Links, tags, fields, anchors.
+
+#: The part of a link before a mark outside brackets within it.
+_UPTO = r"^((?:[^\[\]{0}]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*){0}(?s:(.*))$"
+
+
+def _split_at(text: Column, mark: str) -> tuple[Column, Column]:
+    """What stands before and after the first mark that is in no brackets; all and null where there is none."""
+    rx = _UPTO.format(re.escape(mark))
+    held = text.rlike(rx)
+    return F.when(held, F.regexp_extract(text, rx, 1)).otherwise(text), F.when(held, F.regexp_extract(text, rx, 2))
+
+
+@once
+def link_records() -> Column:
+    """The links of a parsed note: array<struct<line, ord, column, original, embed, target, header, block, alias, value>>."""
+
+    def of(r):
+        found = F.transform(matches(r["masked"], LINK), lambda m, i: one(r, m, i))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    def one(r, m, i):
+        original = F.translate(m["value"], "\x02", "")
+        inner = F.regexp_replace(original, r"^!?\[\[|\]\]$", "")
+        body, alias = _split_at(inner, "|")
+        return let(F.struct(original.alias("original"), body.alias("body"), F.nullif(F.trim(alias), F.lit("")).alias("alias")), lambda p: made(r, m, i, p))
+
+    def made(r, m, i, p):
+        target, fragment = (F.trim(c) for c in _split_at(p["body"], "#"))
+        block = F.when(fragment.startswith("^"), F.trim(F.substring(fragment, F.lit(2), F.length(fragment))))
+        header = F.when(~fragment.startswith("^"), fragment)
+        sound = ~target.startswith("^^") & ((target != "") | fragment.isNotNull()) & F.coalesce((fragment != "") & ~fragment.startswith("#") & (block.isNull() | block.rlike(BLOCK_ID)), F.lit(True))
+        value = F.coalesce(p["alias"], F.nullif(target, F.lit("")), header, block)
+        return F.when(
+            sound,
+            F.struct(
+                r["line"].alias("line"), i.alias("ord"), (r["at"] + m["start"] + 1).alias("column"), p["original"].alias("original"), p["original"].startswith("!").alias("embed"), target.alias("target"),
+                header.alias("header"), block.alias("block"), p["alias"].alias("alias"), value.alias("value"),
+            ),
+        )
+
+    return _each(_holding("[["), of)
+
+
 def links(notes: DataFrame) -> DataFrame:
-    """(path, line, ord, original, embed, target, header, block, alias, value) of wikilinks; parts that are absent are null."""
-    d = prose_lines(notes, holding="[[").select("path", "line", F.posexplode(tokens(F.col("text"), LINK)).alias("ord", "original"))
-    inner = F.regexp_replace("original", r"^!?\[\[|\]\]$", "")
-    body, alias = F.substring_index(inner, "|", 1), F.when(F.contains(inner, F.lit("|")), F.regexp_replace(inner, r"^[^|]*\|", ""))
-    fragment = F.when(F.contains(body, F.lit("#")), F.regexp_replace(body, r"^[^#]*#", ""))
-    target = F.trim(F.substring_index(body, "#", 1))
-    block = F.when(fragment.rlike(r"^\^[A-Za-z0-9-]+$"), F.substring(fragment, 2, 1_000_000))
-    header = F.when(~F.coalesce(fragment.startswith("^"), F.lit(False)), F.nullif(F.trim(fragment), F.lit("")))
-    out = d.select("path", "line", "ord", "original", F.col("original").startswith("!").alias("embed"), target.alias("target"), header.alias("header"), block.alias("block"), F.nullif(F.trim(alias), F.lit("")).alias("alias"), fragment.alias("fragment"))
-    valid = (F.col("target") != "") | F.col("header").isNotNull() | F.col("block").isNotNull()
-    sound = F.coalesce(~F.col("fragment").rlike(r"^$|^\^\^|^#|^\^.*[^A-Za-z0-9-].*$"), F.lit(True))
-    return out.where(valid & sound).withColumn("value", F.coalesce("alias", F.nullif("target", F.lit("")), "header", "block")).drop("fragment")
+    """(path, line, ord, column, original, embed, target, header, block, alias, value) of wikilinks; parts that are absent are null.  column counts from 1 in the line as it is written."""
+    return _family(notes, "links")
+
+
+def line_tags(masked: Column, spans: Column) -> Column:
+    """array<struct<start, value>> of the tags in masked text, outside fields and links."""
+    open_ = F.when(F.size(spans) > 0, without(masked, spans, lambda s: F.repeat(F.lit("\x00"), s["end"] - s["start"]))).otherwise(masked)
+    return let(open_, lambda t: F.filter(matches(t, f"{LINK}|{TAG}"), lambda m: m["value"].startswith("#")))
+
+
+@once
+def tag_records() -> Column:
+    """The tags of a parsed note: array<struct<line, ord, column, value>>."""
+    return _each(
+        _holding("#"),
+        lambda r: F.transform(line_tags(r["masked"], r["spans"]), lambda m, i: F.struct(r["line"].alias("line"), i.alias("ord"), (r["at"] + m["start"] + 1).alias("column"), m["value"].alias("value"))),
+    )
 
 
 def tags(notes: DataFrame) -> DataFrame:
-    """(path, line, ord, value) of tags in running text."""
-    return prose_lines(notes, holding="#").select("path", "line", F.posexplode(tokens(F.col("text"), TAG, FIELD, LINK)).alias("ord", "value"))
+    """(path, line, ord, column, value) of tags in running text."""
+    return _family(notes, "tags")
 
 
 def note_tags(notes: DataFrame) -> DataFrame:
     """(path, etags, tags): frontmatter and body tags once each, and with the tags above them in their hierarchy."""
-    front = frontmatter(notes).where("key = 'tags' and value is not null").select("path", F.posexplode(frontmatter_list(F.col("value"))).alias("ord", "v"))
-    front = front.select("path", F.lit(0).alias("line"), "ord", F.when(F.col("v").startswith("#"), F.col("v")).otherwise(F.concat(F.lit("#"), "v")).alias("value"))
-    every = front.unionByName(tags(notes)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "ord", "value"))).alias("t"))
-    etags = F.array_distinct("t.value")
-    return every.select("path", etags.alias("etags"), expanded_tags(etags).alias("tags"))
+    d = extracted(notes, "front", "tags").select("path", F.concat(front_tags(F.col("front_")), F.transform("tags_", lambda t: t["value"])).alias("found"))
+    d = d.select("path", F.array_distinct("found").alias("etags")).where(F.size("etags") > 0)
+    return d.select("path", "etags", expanded_tags(F.col("etags")).alias("tags"))
+
+
+@once
+def field_records() -> Column:
+    """The inline fields of a parsed note: array<struct<line, ord, column, key, value>>."""
+    return _each(_holding("::"), _fields)
 
 
 def inline_fields(notes: DataFrame) -> DataFrame:
-    """(path, line, ord, key, value) of [key:: value] and (key:: value)."""
-    d = prose_lines(notes, holding="::").select("path", "line", F.posexplode(tokens(F.col("text"), FIELD)).alias("ord", "original"))
-    key, value = (F.trim(F.regexp_extract("original", FIELD, n)) for n in (1, 2))
-    return d.select("path", "line", "ord", key.alias("key"), value.alias("value")).where("key <> ''")
+    """(path, line, ord, column, key, value) of [key:: value] and (key:: value)."""
+    return _family(notes, "fields")
+
+
+@once
+def bare_records() -> Column:
+    """The 'key:: value' lines of a parsed note: array<struct<line, key, value>>."""
+    each = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), F.trim(x).alias("text")))
+    own = F.filter(each, lambda r: (r["line"] > F.col("front")) & F.contains(r["text"], F.lit("::")) & r["text"].rlike(BARE_FIELD))
+    made = F.transform(own, lambda r: F.struct(r["line"].alias("line"), *[F.trim(F.regexp_extract(r["text"], BARE_FIELD, n)).alias(c) for n, c in ((1, "key"), (2, "value"))]))
+    return F.filter(made, lambda r: r["key"] != "")
 
 
 def bare_fields(notes: DataFrame) -> DataFrame:
     """(path, line, key, value) of 'key:: value' lines after the frontmatter, those inside code too; keys with brackets don't count."""
     key, value = (F.trim(F.regexp_extract("text", BARE_FIELD, n)) for n in (1, 2))
-    return body_lines(notes, "::").where(F.col("text").rlike(BARE_FIELD)).select("path", "line", key.alias("key"), value.alias("value")).where("key <> ''")
+    rows = body_lines(notes, "::").withColumn("text", F.trim("text"))
+    return rows.where(F.col("text").rlike(BARE_FIELD)).select("path", "line", key.alias("key"), value.alias("value")).where("key <> ''")
 
 
-def list_items(notes: DataFrame, holding: str = "") -> DataFrame:
-    """(path, line, indent, checked, text, source): checked is null for plain bullets, text is what the first line shows, source as it is written."""
-    d = prose_lines(notes, holding=holding).where(F.col("text").rlike(ITEM))
-    box, source = F.regexp_extract("text", ITEM, 2), F.regexp_extract("text", ITEM, 3)
-    return d.select(
-        "path", "line", F.length(F.regexp_extract("text", ITEM, 1)).alias("indent"), F.when(box != "", F.lower(box) == "x").alias("checked"), shown_text(source).alias("text"), source.alias("source")
+def block_anchors(notes: DataFrame) -> DataFrame:
+    """(path, line, column, id) of ^anchors."""
+    made = lambda r: F.transform(matches(r["masked"], ANCHOR), lambda m: F.struct(r["line"].alias("line"), (r["at"] + m["start"] + 1).alias("column"), F.substring(m["value"], F.lit(2), F.length(m["value"])).alias("id")))
+    return _exploded(parsed(_notes_with(notes, "^")), _each(_holding("^"), made))
+
+
+# Items and code.
+
+
+def _source(r: Column) -> tuple[Column, Column, Column]:
+    """Of an item's line: whether it is checked (null without a box), how long its box is, and what follows that."""
+    mark, n = F.regexp_extract(r["text"], blocks.BOX, 1), F.length(F.regexp_extract(r["text"], blocks.BOX, 0))
+    return F.when(mark != "", F.lower(mark) == "x"), n, F.substring(r["text"], n + 1, F.length(r["text"]))
+
+
+@once
+def item_records(holding: str = "") -> Column:
+    """The list items of a parsed note: array<struct<line, indent, checked, text, source>>.
+
+    text is the first line of what the item's own paragraph shows, so marked text may go on in the next line; source is the item's line as it is written.
+    """
+
+    def made(r):
+        checked, n, source = _source(r)
+        rest = lambda c: F.substring(c, n + 1, F.length(c))
+        whole = F.struct(rest(F.coalesce(r["whole"], r["text"])).alias("text"), rest(F.coalesce(r["whole_mask"], r["masked"])).alias("mask"))
+        shown = let(whole, lambda w: F.substring_index(shown_text(w["text"], w["mask"]), "\n", 1))
+        return F.struct(r["line"].alias("line"), r["col"].alias("indent"), checked.alias("checked"), F.trim(shown).alias("text"), source.alias("source"))
+
+    own = F.filter("prose", lambda r: r["item"] & F.contains(r["text"], F.lit(holding))) if holding else F.filter("prose", lambda r: r["item"])
+    empty = F.transform(
+        F.filter("rows", lambda r: r["item"] & (r["kind"] == "b")), lambda r: F.struct(r["line"].alias("line"), r["col"].alias("indent"), F.lit(None).cast("boolean").alias("checked"), F.lit("").alias("text"), F.lit("").alias("source"))
     )
+    found = F.transform(own, made)
+    return found if holding else F.concat(found, empty)
 
 
-def fenced_blocks(notes: DataFrame) -> DataFrame:
-    """(path, line, language, meta, value) of fenced code."""
+@once
+def task_records() -> Column:
+    """The items of a parsed note with a box and a tag #task: array<struct<line, checked, source, tags, spans>>; spans are the places of the fields in source."""
 
-    def block(f):
-        closed = F.get("lines", f["last"]).rlike(r"^\s{0,3}(`{3,}|~{3,})\s*$") & (f["last"] > f["first"])
-        count = f["last"] - f["first"] - F.when(closed, 1).otherwise(0)
-        return F.struct((f["first"] + 1).alias("line"), f["info"].alias("info"), F.array_join(F.slice("lines", f["first"] + 2, count), "\n").alias("value"))
+    def made(r):
+        checked, n, source = _source(r)
+        spans = F.transform(r["spans"], lambda s: F.struct(*[(s[c] - n).alias(c) for c in ("start", "end", "key_start", "key_end", "value_start", "value_end")]))
+        tags_ = F.transform(line_tags(r["masked"], r["spans"]), lambda m: m["value"])
+        return F.struct(r["line"].alias("line"), checked.alias("checked"), source.alias("source"), tags_.alias("tags"), spans.alias("spans"))
 
-    d = parsed(notes).select("path", F.inline(F.transform("fences", block)))
-    word = F.substring_index("info", " ", 1)
-    return d.select("path", "line", F.nullif(word, F.lit("")).alias("language"), F.nullif(F.trim(F.expr("substring(info, length(substring_index(info, ' ', 1)) + 1)")), F.lit("")).alias("meta"), "value")
+    boxed = F.filter("prose", lambda r: r["item"] & F.contains(r["text"], F.lit("#task")) & r["text"].rlike(blocks.BOX))
+    return F.filter(F.transform(boxed, made), lambda t: F.array_contains(t["tags"], "#task"))
 
 
-def code_blocks(notes: DataFrame) -> DataFrame:
-    """(path, line, language, meta, value) of fenced and indented code; indented code has neither language nor meta."""
+def task_items(notes: DataFrame) -> DataFrame:
+    return _family(notes, "tasks")
+
 
-    def block(r):
-        inner = F.transform(F.slice("lines", r["first"] + 1, r["last"] - r["first"] + 1), lambda x: F.regexp_replace(x, r"^(?: {1,4}| {0,3}\t)", ""))
-        return F.struct((r["first"] + 1).alias("line"), F.array_join(inner, "\n").alias("value"))
+def list_items(notes: DataFrame, holding: str = "") -> DataFrame:
+    """(path, line, indent, checked, text, source): checked is null for plain bullets, text is what the first line shows, source as it is written.  Items in quotes and items count."""
+    return _exploded(parsed(_notes_with(notes, holding) if holding else notes), item_records(holding))
 
-    d = parsed(notes).select("path", F.inline(F.transform("indented", block)))
-    none = F.lit(None).cast("string")
-    return fenced_blocks(notes).unionByName(d.select("path", "line", none.alias("language"), none.alias("meta"), "value"))
 
+@once
+def code_records(fenced: bool = True) -> Column:
+    """array<struct<line, info, value>> of the fenced, or the indented, code of a parsed note; info is null for the latter."""
+    heads = F.filter("rows", lambda r: (r["kind"] == "o") if fenced else (r["kind"] == "d") & (r["line"] == r["part"]))
+
+    def made(h):
+        of = F.filter("rows", lambda r: (r["part"] == h["part"]) & (r["kind"] == "f" if fenced else r["kind"].isin("d", "b")))
+        lead = F.length(F.regexp_extract(h["text"], r"^ *", 0))
+        texts = F.transform(of, lambda r: F.regexp_replace(r["text"], F.concat(F.lit("^ {0,"), lead.cast("string"), F.lit("}")), "") if fenced else F.regexp_replace(r["text"], r"^(?: {1,4}| {0,3}\t)", ""))
+        value = F.array_join(texts, "\n") if fenced else F.regexp_replace(F.array_join(texts, "\n"), r"\s+$", "")
+        info = F.trim(F.regexp_extract(h["text"], blocks.FENCE, 2)) if fenced else F.lit(None).cast("string")
+        return F.struct(h["line"].alias("line"), info.alias("info"), value.alias("value"))
+
+    return F.transform(heads, made)
 
-def block_anchors(notes: DataFrame) -> DataFrame:
-    """(path, line, id) of ^anchors."""
-    return prose_lines(notes, holding="^").select("path", "line", F.explode(F.transform(tokens(F.col("text"), ANCHOR), lambda x: F.substring(x, 2, 1_000_000))).alias("id"))
+
+def _with_words(d: DataFrame) -> DataFrame:
+    word, rest = F.substring_index("info", " ", 1), F.trim(F.expr("substring(info, length(substring_index(info, ' ', 1)) + 1)"))
+    return d.select("path", "line", F.nullif(word, F.lit("")).alias("language"), F.nullif(rest, F.lit("")).alias("meta"), "value")
+
+
+def fenced_blocks(notes: DataFrame) -> DataFrame:
+    """(path, line, language, meta, value) of fenced code, in quotes and items too."""
+    return _with_words(_exploded(parsed(notes), code_records()))
+
+
+def code_blocks(notes: DataFrame) -> DataFrame:
+    """(path, line, language, meta, value) of fenced and indented code; indented code has neither language nor meta."""
+    return _with_words(_exploded(parsed(notes), F.concat(code_records(), code_records(False))))
 
 
 def renamed_links(notes: DataFrame, old: str, new: str) -> DataFrame:
-    """notes with every link to old pointing to new; fragments, aliases, frontmatter and code stay as they are."""
+    """notes with every link to old pointing to new; fragments, aliases, frontmatter, HTML and code stay as they are."""
     rx = rf"(!?\[\[)\s*{re.escape(old)}\s*(?=[#|\]])"
     to = "$1" + new.replace("\\", r"\\").replace("$", r"\$")
 
@@ -271,8 +478,8 @@ def renamed_links(notes: DataFrame, old: str, new: str) -> DataFrame:
         parts = F.regexp_extract_all(line, F.lit(CODE + r"|[^`]+|`+"), F.lit(0))
         return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("`"), x).otherwise(F.regexp_replace(x, rx, to))), "")
 
-    d = parsed(notes, *[c for c in notes.columns if c != "path"])
-    lines = F.transform(F.split("contents", "\n"), lambda x, i: F.when((i < F.col("front")) | in_code(i), x).otherwise(edited(x)))
+    d = blocks.parsed(notes, *[c for c in notes.columns if c != "path"])
+    lines = F.transform(F.split("contents", "\n"), lambda x, i: F.when(F.get("rows", i)["kind"].isin(*blocks.PROSE), edited(x)).otherwise(x))
     new = F.when(F.col("contents").rlike(rx), F.array_join(lines, "\n")).otherwise(F.col("contents"))
     # Made by a generator, the new contents stay one column to the optimiser, however often what follows names them.
     return d.select(*[c for c in notes.columns if c != "contents"], F.explode(F.array(new)).alias("contents")).select(*notes.columns)

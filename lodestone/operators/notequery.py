@@ -37,7 +37,9 @@ def from_tag(df: DataFrame, tag: str) -> Column:
     found = F.lit(False)
     for name in ("file.tags", "file.etags", "tags"):
         term = V.field(df, name)
-        if term.kind == "array":
+        if term.kind == "array" and V.Term(term.column, term.dtype.elementType).kind == "variant":
+            found = found | F.coalesce(F.exists(term.column, lambda x: V.text(V.Term(x, term.dtype.elementType)) == tag), F.lit(False))
+        elif term.kind == "array":
             found = found | F.coalesce(F.array_contains(term.column, tag), F.lit(False))
         elif term.kind == "string":
             found = found | F.coalesce(term.column == tag, F.lit(False))
@@ -83,8 +85,10 @@ class NoteQuery:
         made = []
         for n in names:
             term = V.head(self.term(n.removeprefix("-")))
-            key = term.column if term.kind in ("number", "null") else V.text(term)
-            made.append(key.desc_nulls_first() if n.startswith("-") else key.asc_nulls_last())
+            keys = [term.column] if term.kind in ("number", "null") else [V.text(term)]
+            if term.kind == "variant":  # numbers by size before texts, nulls after both
+                keys = [F.when(V.number_of(term).isNotNull(), 0).when(V.text(term).isNotNull(), 1), V.number_of(term), V.text(term)]
+            made += [key.desc_nulls_first() if n.startswith("-") else key.asc_nulls_last() for key in keys]
         return replace(self, keys=(*self.keys, *made))
 
     def limit(self, n: int) -> NoteQuery:

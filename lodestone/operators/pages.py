@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import values as V
+from ..functions.frames import held
 from ..functions.text import expanded_tags, folder_of, sanitised_key, title_of
 from . import markdown as M
 from .tasks import KNOWN_FIELDS
@@ -13,50 +16,30 @@ from .tasks import KNOWN_FIELDS
 def page_records(notes: DataFrame) -> DataFrame:
     """One row for each note: file.path, file.name, file.folder, file.ext, file.link, file.etags, file.tags, file.outlinks, file.frontmatter and fields.
 
-    fields maps each key, as written and with lower case and hyphens, to its values in order: frontmatter, inline fields, then 'key:: value' lines
-    that don't repeat an inline field.  A term looks a name up there that is no column (functions.values.field).  All families meet in
-    one aggregation by path, so a note's row holds what the note itself holds and no more.
+    fields maps each key, as written and with lower case and hyphens, to its values in order, each a VARIANT: those of the frontmatter with their types, inline
+    fields, then 'key:: value' lines that don't repeat an inline field.  A term looks a name up there that is no column (functions.values.field).  A note
+    is parsed once and makes its own row, so nothing is shuffled.
     """
-    none = F.lit(None).cast("string")
-    front = M.frontmatter(notes).where("value is not null")
-    inline = M.inline_fields(notes)
-    bare = M.bare_fields(notes).join(inline.select("path", "key", "value").distinct(), ["path", "key", "value"], "left_anti")
-
-    def entries(d: DataFrame, rank: int, line, order, values, scalar) -> DataFrame:
-        return d.select("path", F.lit("field").alias("kind"), F.struct(F.lit(rank).alias("rank"), line.cast("int").alias("line"), order.cast("int").alias("ord")).alias("at"), "key", values.alias("values"), scalar.alias("scalar"))
-
-    value = F.array("value")
-    is_list = F.col("value").rlike(r"^\[.*\]$")
-    parts = [
-        entries(front, 0, F.lit(0), F.col("ord"), M.frontmatter_list(F.col("value")), F.when(~is_list, F.concat_ws(" | ", "key", "value"))),
-        entries(inline, 1, F.col("line"), F.col("ord"), value, none),
-        entries(bare, 2, F.col("line"), F.lit(0), value, none),
-        entries(M.links(notes).withColumn("key", F.col("target")), 3, F.col("line"), F.col("ord"), F.array("target"), none).withColumn("kind", F.lit("link")),
-        entries(M.tags(notes).withColumn("key", F.col("value")), 4, F.col("line"), F.col("ord"), value, none).withColumn("kind", F.lit("tag")),
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "key", "values", "scalar"))))
-    held = every.groupBy("path").agg(of("field").alias("entries"), of("link").alias("links"), of("tag").alias("tags"))
-
-    named = F.transform("entries", lambda e: F.struct(F.array_distinct(F.array(e["key"], sanitised_key(e["key"]))).alias("keys"), e["values"].alias("values")))
-    keys = F.array_distinct(F.flatten(F.transform("named", lambda e: e["keys"])))
+    d = held(M.parsed(notes), inline=M.field_records(), bare=M.bare_records(), links=M.link_records(), found=M.tag_records(), json=M.front_json())
+    d = d.select("path", "inline", "bare", "links", "found", "json")
+    pairs = F.filter(F.map_entries(M.front_pairs(F.col("json"))), lambda p: ~F.is_variant_null(p["value"]))
+    d = held(d, pairs=F.coalesce(pairs, F.array().cast("array<struct<key:string,value:variant>>")))
+    entry = lambda key, values: F.struct(key.alias("key"), values.alias("values"))
+    is_list = lambda v: F.schema_of_variant(v).startswith("ARRAY")
+    front = F.transform("pairs", lambda p: entry(p["key"], F.when(is_list(p["value"]), F.try_variant_get(p["value"], "$", "array<variant>")).otherwise(F.array(p["value"]))))
+    written = lambda r: entry(r["key"], F.array(r["value"].cast("variant")))
+    new = F.filter("bare", lambda b: ~F.exists("inline", lambda i: (i["key"] == b["key"]) & (i["value"] == b["value"])))
+    d = held(d, entries=F.concat(front, F.transform("inline", written), F.transform(new, written)))
+    d = held(d, named=F.transform("entries", lambda e: F.struct(F.array_distinct(F.array(e["key"], sanitised_key(e["key"]))).alias("keys"), e["values"].alias("values"))))
+    d = held(d, keys=F.array_distinct(F.flatten(F.transform("named", lambda e: e["keys"]))))
     gathered = F.transform("keys", lambda k: F.flatten(F.transform(F.filter("named", lambda e: F.array_contains(e["keys"], k)), lambda e: e["values"])))
-    front_tags = F.flatten(F.transform(F.filter("entries", lambda e: (e["key"] == "tags") & (e["at"]["rank"] == 0)), lambda e: e["values"]))
-    marked = F.transform(front_tags, lambda t: F.when(t.startswith("#"), t).otherwise(F.concat(F.lit("#"), t)))
-    etags = F.array_distinct(F.concat(marked, F.transform("tags", lambda t: t["key"])))
-    held = held.withColumn("named", named).withColumn("keys", keys).withColumn("etags", etags).select(
-        "path", F.map_from_arrays("keys", gathered).alias("fields"), "etags", F.transform("links", lambda x: x["key"]).alias("outlinks"),
-        F.filter(F.transform("entries", lambda e: e["scalar"]), lambda x: x.isNotNull()).alias("frontmatter"),
-    )
-    empty = F.array().cast("array<string>")
-    d = notes.select("path").join(held, "path", "left")
-    etags = F.coalesce("etags", empty)
+    scalars = F.filter("pairs", lambda p: ~F.schema_of_variant(p["value"]).rlike("^(?:ARRAY|OBJECT)"))
+    lines = F.transform(scalars, lambda p: F.concat_ws(" | ", p["key"], V.text(V.Term(p["value"], T.VariantType()))))
+    etags = F.array_distinct(F.concat(M.front_tags(F.col("json")), F.transform("found", lambda t: t["value"])))
+    d = held(d, fields=F.map_from_arrays("keys", gathered), etags=etags, outlinks=F.transform("links", lambda x: x["target"]), lines=lines)
     return d.select(
         F.col("path").alias("file.path"), title_of(F.col("path")).alias("file.name"), folder_of(F.col("path")).alias("file.folder"), F.lit("md").alias("file.ext"), F.col("path").alias("file.link"),
-        etags.alias("file.etags"), expanded_tags(etags).alias("file.tags"), F.coalesce("outlinks", empty).alias("file.outlinks"), F.coalesce("frontmatter", empty).alias("file.frontmatter"),
-        F.coalesce("fields", F.create_map().cast("map<string,array<string>>")).alias("fields"),
+        F.col("etags").alias("file.etags"), expanded_tags(F.col("etags")).alias("file.tags"), F.col("outlinks").alias("file.outlinks"), F.col("lines").alias("file.frontmatter"), "fields",
     )
 
 

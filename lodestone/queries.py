@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from .functions import text as X
 from .functions import values as V
@@ -339,7 +340,7 @@ def rename_links_outside_code(spark, sf_dir):
 
 @registered("""SELECT 'parts/' || p_partkey || '.md' AS path, unnest(['type', 'size', 'tags', 'price', 'who', 'kind']) AS key, unnest(['part', CAST(p_size AS VARCHAR), 'part,shop/tool', CAST(p_size * 2 AS VARCHAR), '[[Ann]]', p_type]) AS value FROM part""")
 def page_fields(spark, sf_dir):
-    return pages.page_records(_part_notes(spark, sf_dir)).select(F.col("`file.path`").alias("path"), F.explode("fields").alias("key", "v")).select("path", "key", F.array_join("v", ",").alias("value"))
+    return pages.page_records(_part_notes(spark, sf_dir)).select(F.col("`file.path`").alias("path"), F.explode("fields").alias("key", "v")).select("path", "key", F.array_join(F.transform("v", lambda x: V.text(V.Term(x, VariantType()))), ",").alias("value"))
 
 
 @registered("""SELECT CAST(p_partkey AS VARCHAR) AS name, 'parts' AS folder, 'part,shop/tool,' || b AS etags, 'part,shop,shop/tool,brand,' || b AS tags, 'supplier-' || (p_partkey % 10) || ',' || split_part(p_brand, '#', 1) || ',Ann' AS outlinks, 'type | part;size | ' || p_size AS front
@@ -353,7 +354,7 @@ def page_file_fields(spark, sf_dir):
 @registered("SELECT 'parts/' || p_partkey || '.md' AS \"File\", CAST(p_size AS VARCHAR) AS size, p_type AS kind FROM part WHERE CAST(p_size AS VARCHAR) >= '4' AND p_type <> 'ECONOMY'")
 def page_table_where(spark, sf_dir):
     q = notequery.NoteQuery(pages.page_records(_part_notes(spark, sf_dir)), ("`file.path`",)).source("#shop", "parts", every=True)
-    return q.compare("size", ">=", "4").compare("kind", "!=", "ECONOMY").show(size=V.head(q.term("size")), kind=V.head(q.term("kind"))).run(file_link="file.link").rows
+    return q.compare("size", ">=", "4").compare("kind", "!=", "ECONOMY").show(**{c: V.as_text(q.term(c)) for c in ("size", "kind")}).run(file_link="file.link").rows
 
 
 @registered("SELECT doc_id, string_split(text, chr(10))[2] AS line FROM documents")
@@ -661,3 +662,134 @@ s AS (SELECT c, shape, max(day) FILTER (done) AS d, max(day) FILTER (NOT done) A
 SELECT 'o/' || k || '.md' AS path FROM o JOIN s USING (c, shape) WHERE done AND day = d AND (p IS NULL OR p <= d)""")
 def check_recur_series(spark, sf_dir):
     return checks.check_repeat_seeds(T.tasks(_series_notes(spark, sf_dir))).select("path")
+
+
+# Typed frontmatter.
+
+
+def _typed_notes(spark, sf_dir):
+    """Frontmatter with block lists, a nested map, quoted and folded text, numbers and a comment."""
+    k = F.col("p_partkey").cast("string")
+    return spread(table(spark, sf_dir, "part")).select(
+        F.format_string("t/%d.md", "p_partkey").alias("path"),
+        F.concat_ws(
+            "\n", F.lit("---"), F.concat(F.lit("name: \""), "p_name", F.lit(": it\"")), F.concat(F.lit("size: "), "p_size", F.lit("  # in inches")), F.concat(F.lit("half: "), "p_size", F.lit(".5")), F.lit("tags:\n- part\n-   shop/tool"),
+            F.concat(F.lit("maker:\n  brand: "), "p_brand", F.lit("\n  lines:\n    - id: "), k, F.lit("\n      open: true\n    - {id: 2, open: no}\n  last: ~")), F.concat(F.lit("about: >-\n  folded "), "p_type", F.lit("\n  text\n\n  end")),
+            F.lit("links: [[[Home]], 'it''s']\n---"), F.concat(F.lit("body "), k, F.lit(" #"), F.lit("body")),
+        ).alias("contents"),
+    )
+
+
+@registered("""SELECT 't/' || p_partkey || '.md' AS path, unnest(range(7)) AS ord, unnest(['name', 'size', 'half', 'tags', 'maker', 'about', 'links']) AS key, unnest([
+  '"' || p_name || ': it"', CAST(p_size AS VARCHAR), p_size || '.5', '["part","shop/tool"]',
+  '{"brand":"' || p_brand || '","last":null,"lines":[{"id":' || p_partkey || ',"open":true},{"id":2,"open":"no"}]}', '"folded ' || p_type || ' text\\nend"', '[[["Home"]],"it''s"]']) AS value FROM part""")
+def front_typed_values(spark, sf_dir):
+    return M.frontmatter_values(_typed_notes(spark, sf_dir)).select("path", F.col("ord").cast("long").alias("ord"), "key", F.to_json("value").alias("value"))
+
+
+@registered("""SELECT 't/' || p_partkey || '.md' AS "File", CAST(p_size AS VARCHAR) AS size, p_brand AS brand FROM part WHERE p_size >= 7 AND p_size + 0.5 < 30 AND p_brand <> 'Brand#11' ORDER BY p_size DESC, p_partkey LIMIT 400""")
+def page_typed_where(spark, sf_dir):
+    d = pages.page_records(_typed_notes(spark, sf_dir)).withColumn("order", F.regexp_extract("`file.path`", r"(\d+)", 1).cast("long"))
+    q = notequery.NoteQuery(d, ("order",)).source("#shop/tool").compare("size", ">=", 7).compare("half", "<", 30).compare("maker.brand", "!=", "Brand#11").sort("-size").limit(400)
+    return q.show(size=V.as_text(q.term("size")), brand=V.as_text(q.term("maker.brand"))).run(file_link="file.link").rows
+
+
+@registered("SELECT 't/' || p_partkey || '.md' AS path, '#part #shop/tool #body' AS etags, '#part #shop #shop/tool #body' AS tags FROM part")
+def tags_from_block_lists(spark, sf_dir):
+    return M.note_tags(_typed_notes(spark, sf_dir)).select("path", F.array_join("etags", " ").alias("etags"), F.array_join("tags", " ").alias("tags"))
+
+
+def _odd_front_notes(spark, sf_dir):
+    k = F.col("s_suppkey")
+    front = (
+        F.when(k % 6 == 0, "a: \"open").when(k % 6 == 1, "a: b\n  c: d").when(k % 6 == 2, "a: 1\na: 2").when(k % 6 == 3, "a:\n  - b\n c: d").when(k % 6 == 4, "- a\n- b")
+        .otherwise("# nothing\na: |\n  no key: here\n   \"open\nb: 'c'")
+    )
+    return table(spark, sf_dir, "supplier").select(F.format_string("y/%d.md", k).alias("path"), F.concat(F.lit("---\n"), front, F.lit("\n---\n")).alias("contents"))
+
+
+@registered("SELECT 'y/' || s_suppkey || '.md' AS path FROM supplier WHERE s_suppkey % 6 < 4")
+def unreadable_frontmatter(spark, sf_dir):
+    return vault.failures(_odd_front_notes(spark, sf_dir)).select("path")
+
+
+# Containers, masks, brackets and places.
+
+
+def _nested_notes(spark, sf_dir):
+    """Quotes, nested items, HTML, a table, nested brackets, and text marked over line ends."""
+    k = F.col("c_custkey").cast("string")
+    return spread(table(spark, sf_dir, "customer")).select(
+        F.concat(F.lit("n/"), k, F.lit(".md")).alias("path"),
+        F.concat_ws(
+            "\n", F.concat(F.lit("> # Quoted "), k), F.concat(F.lit("> - [ ] call [["), "c_name", F.lit("]] #task [due:: 2026-01-02]")), F.lit(">   - nested **marked\n>     on** more\n>"),
+            F.lit("> ```sql\n> select 1 # no #tag\n> ```\n"), F.concat(F.lit("1. first\n\n   ## Inner "), k), F.lit("   - deep `a\n     [[hidden]] b` [[Seen|x]]"),
+            F.concat(F.lit("\n<!-- [[gone]] #gone\nstill [[gone]] -->\n| [[T"), k, F.lit("\\|al]] | #cell |")), F.lit("<div>\n#html [[html]]\n</div>\n"),
+            F.concat(F.lit("Text <a href=\"#no\"> [k:: a (b) c] (z:: [[L"), k, F.lit("]] (in) [q]) [a:: [b:: c]] #end")), F.lit("<b>#bold</b> ![[P [x]|y [z]]]"),
+        ).alias("contents"),
+    )
+
+
+@registered("SELECT 'n/' || c_custkey || '.md' AS path, unnest([1, 12]) AS line, unnest([1, 2]) AS depth, unnest(['Quoted ' || c_custkey, 'Inner ' || c_custkey]) AS text FROM customer")
+def headings_in_containers(spark, sf_dir):
+    return M.headings(_nested_notes(spark, sf_dir)).drop("source")
+
+
+@registered("""SELECT 'n/' || c_custkey || '.md' AS path, unnest([2, 3, 10, 13]) AS line, unnest([2, 4, 0, 3]) AS indent, unnest([false, NULL, NULL, NULL]) AS checked, unnest(['call ' || c_name || ' #task 2026-01-02', 'nested marked', 'first', 'deep a']) AS text FROM customer""")
+def items_in_containers(spark, sf_dir):
+    return M.list_items(_nested_notes(spark, sf_dir)).select("path", "line", "indent", "checked", "text")
+
+
+@registered("SELECT 'n/' || c_custkey || '.md' AS path, 2 AS line, 'call ' || c_name AS text, '2026-01-02' AS due, false AS done FROM customer")
+def tasks_in_containers(spark, sf_dir):
+    return T.tasks(_nested_notes(spark, sf_dir)).select("path", "line", "text", "due", "done")
+
+
+@registered("SELECT 'n/' || c_custkey || '.md' AS path, 6 AS line, 'sql' AS language, 'select 1 # no #tag' AS value FROM customer")
+def code_in_containers(spark, sf_dir):
+    return M.code_blocks(_nested_notes(spark, sf_dir)).select("path", "line", "language", "value")
+
+
+@registered("""SELECT 'n/' || c_custkey || '.md' AS path, unnest([2, 14, 18, 23, 24]) AS line, unnest([14, 20, 3, 40, 14]) AS col, unnest([split_part(c_name, '#', 1), 'Seen', 'T' || c_custkey, 'L' || c_custkey, 'P [x]']) AS target,
+ unnest([NULL, 'x', 'al', NULL, 'y [z]']) AS alias, unnest([false, false, false, false, true]) AS embed FROM customer""")
+def links_with_places(spark, sf_dir):
+    return M.links(_nested_notes(spark, sf_dir)).select("path", "line", F.col("column").alias("col"), "target", "alias", "embed")
+
+
+@registered("SELECT 'n/' || c_custkey || '.md' AS path, unnest([2, 18, 23, 24]) AS line, unnest([19 + length(c_name), 15 + length(CAST(c_custkey AS VARCHAR)), 70 + length(CAST(c_custkey AS VARCHAR)), 4]) AS col, unnest(['#task', '#cell', '#end', '#bold']) AS value FROM customer")
+def tags_with_places(spark, sf_dir):
+    return M.tags(_nested_notes(spark, sf_dir)).select("path", "line", F.col("column").alias("col"), "value")
+
+
+@registered("SELECT 'n/' || c_custkey || '.md' AS path, unnest([2, 23, 23]) AS line, unnest(['due', 'k', 'z']) AS key, unnest(['2026-01-02', 'a (b) c', '[[L' || c_custkey || ']] (in) [q]']) AS value FROM customer")
+def fields_with_brackets(spark, sf_dir):
+    return M.inline_fields(_nested_notes(spark, sf_dir)).select("path", "line", "key", "value")
+
+
+# Ordinal and bounded repeats, whole task rows.
+
+
+def _ordinal_tasks(spark, sf_dir):
+    k = F.col("o_orderkey")
+    repeat = F.when(k % 4 == 0, "every month on the 2nd Friday").when(k % 4 == 1, "every month on the last friday").when(k % 4 == 2, "every 2 weeks on monday for 3 times").otherwise("every month until June 15, 1996")
+    body = F.concat(F.lit("- [ ] Visit "), k, F.lit(" #task [due:: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("] [repeat:: "), repeat, F.lit("]"))
+    return T.tasks(table(spark, sf_dir, "orders").select(F.format_string("r/%d.md", k).alias("path"), body.alias("contents")))
+
+
+@registered("""WITH days AS (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS d),
+o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d0 FROM orders),
+hit AS (SELECT k, d0, d, k % 4 AS kind FROM o JOIN days ON d >= d0 AND CASE k % 4
+  WHEN 0 THEN dayofweek(d) = 5 AND day(d) BETWEEN 8 AND 14 WHEN 1 THEN dayofweek(d) = 5 AND month(d + INTERVAL 7 DAY) <> month(d)
+  WHEN 2 THEN dayofweek(d) = 1 AND (datediff('day', date_trunc('week', d0), date_trunc('week', d)) // 7) % 2 = 0 ELSE day(d) = day(d0) AND d <= DATE '1996-06-15' END),
+counted AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM hit)
+SELECT 'r/' || k || '.md' AS path, strftime(d, '%Y-%m-%d') AS due FROM counted WHERE d > d0 AND d >= DATE '1996-01-01' AND (kind <> 2 OR i <= 3)""")
+def recur_ordinal_in_window(spark, sf_dir):
+    return T.expand_in_window(_ordinal_tasks(spark, sf_dir), "1996-01-01", "1996-12-31").where("occurrence > 0").select("path", "due")
+
+
+@registered(f"""SELECT 'orders/' || k || '.md' AS "File", 'Ship order ' || k AS task, 'Ship order ' || k AS text, done AS completed, due, scheduled, repeat, '[[Sales]]' AS area, CAST(NULL AS VARCHAR) AS project, CAST(NULL AS VARCHAR) AS depends,
+ CAST(NULL AS VARCHAR) AS "repeatFrom", '#task,#ship' AS tags, 'orders/' || k || '.md' AS path, 4 AS line, CAST(k % 7 AS VARCHAR) AS effort FROM {_TASKS}""")
+def task_rows_whole(spark, sf_dir):
+    d = pages.task_records(_tasks(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
+    q = notequery.NoteQuery(d, ("path", "line"))
+    return q.show("task", "text", "completed", "due", "scheduled", "repeat", "area", "project", "depends", "repeatFrom", "tags", "path", "line", "effort").run(file_link="file.link").rows

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import yaml
+from ..functions.text import once
+
 
 def glob_regex(glob: str) -> str:
     """A glob with *, ? and ** as a regular expression for whole paths; leading dots are matched like other characters."""
@@ -124,14 +127,20 @@ def _error(notes: DataFrame) -> Column:
     """Why a note can't be read; null for sound ones."""
     contents = F.col("contents")
     known = F.col("error") if "error" in notes.columns else F.lit(None).cast("string")
-    front = F.regexp_extract(contents, r"\A---\r?\n((?s:.*?))\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)", 1)
-    odd = front.rlike(r"(?m)^[^\s#\-:\]}?\"'][^:\n]*$|^\t")
-    return F.coalesce(known, F.when(contents.isNull(), "The note has no contents"), F.when(odd, "The frontmatter is no list of keys and values"))
+    return F.coalesce(known, F.when(contents.isNull(), "The note has no contents"), F.when(_odd_front(), "The frontmatter is no list of keys and values"))
+
+
+@once
+def _odd_front() -> Column:
+    """Whether a note's frontmatter holds something, and neither a map nor a list that the fold over its lines can read."""
+    front = F.regexp_extract("contents", r"\A---\r?\n((?s:.*?))\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)", 1)
+    unread = front.rlike(r"(?m)^\s*[^\s#]") & ~front.rlike(r"\A(?:[ \t]*(?:#.*)?\r?\n)*- ") & yaml.block_json(F.split(front, r"\r?\n")).isNull()
+    return F.when(F.col("contents").startswith("---"), unread)
 
 
 def failures(notes: DataFrame) -> DataFrame:
-    """(path, error) of the notes that can't be read: no contents, no UTF-8, or frontmatter with a line that can't be YAML (one indented
-    by a tab, or top-level text that is neither a key nor an item)."""
+    """(path, error) of the notes that can't be read: no contents, no UTF-8, or frontmatter that isn't YAML (open quotes or
+    brackets, keys under a scalar, repeated keys, columns that nothing opened, tabs) or holds text alone."""
     return notes.select("path", _error(notes).alias("error")).where("error is not null")
 
 
