@@ -70,10 +70,12 @@ def _truncated(a: int, w: int) -> int:
     return a // w if a >= 0 else -(-a // w)
 
 
-def _ranges(keys: DataFrame, count: int) -> DataFrame:
-    """A table (cell, base, cuts) that finds the range of a key: cells of equal width over ids, and the cuts between ranges that lie in each."""
+def _ranges(keys: DataFrame, rows: int, count: int) -> tuple[int, int, int, DataFrame]:
+    """The width, first and last of the cells of equal width over ids, and a table (cell, base, cuts) with the cuts between ranges that lie in each: what finds the range of a key."""
     spark = keys.sparkSession
-    sample = sorted(tuple(r) for r in keys.select("k1", "k2", "k3").orderBy(F.xxhash64("k1", "k2", "k3")).limit(SAMPLED * count).collect())
+    # About as many keys as are wanted have hashes below a bound, so no more than these leave their tasks.
+    share = int(min(1.0, SAMPLED * count / max(rows, 1)) * (1 << 40))
+    sample = sorted(tuple(r) for r in keys.select("k1", "k2", "k3").where(F.pmod(F.xxhash64("k1", "k2", "k3"), F.lit(1 << 40)) <= share).collect())
     cuts = sorted({sample[i * len(sample) // count] for i in range(1, count)} if sample else [])
     low, high = (cuts[0][0], cuts[-1][0]) if cuts else (0, 0)
     width = (high - low) // (4 * count) + 1
@@ -100,8 +102,8 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64(F.monotonically_increasing_id()).alias("k3"),
     )
     keys = materialise(rows.select("k1", "k2", "k3", F.octet_length("text").alias("bytes")))
-    total = keys.agg(F.sum("bytes")).first()[0] or 0
-    width, first, last, table = _ranges(keys, min(MOST_RANGES, max(LEAST_RANGES, math.ceil(total / RANGE_BYTES))))
+    n, total = keys.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    width, first, last, table = _ranges(keys, n, min(MOST_RANGES, max(LEAST_RANGES, math.ceil(total / RANGE_BYTES))))
 
     def placed(d: DataFrame) -> DataFrame:
         cell = F.greatest(F.lit(first), F.least(F.lit(last), F.call_function("div", F.col("k1"), F.lit(width).cast("long"))))
