@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_or_shuffled
 
 #: What separates words, and the limits of the filters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,10 +30,11 @@ LABELS = ("good", "toxic")
 def repeated_text(rows: DataFrame) -> DataFrame:
     """rows (id, digest, ...) with `repeats`: whether a smaller id has a text of the same digest.
 
-    Digests are counted before rows move; where one has many rows, Spark splits the join at it.  Rows with a null id repeat nothing.
+    Digests are counted before rows move.  Those that repeat are broadcast where they are counted few; beyond that rows are joined with them by digest, and Spark
+    splits the join at a digest of many rows.  Rows with a null id repeat nothing.
     """
     firsts = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
-    joined = rows.join(firsts.select("digest", "first_id"), "digest", "left")
+    joined = rows.join(small_or_shuffled(materialise(firsts.select("digest", "first_id"))), "digest", "left")
     return joined.withColumn("repeats", F.coalesce(F.col("first_id") < F.col("id"), F.lit(False))).drop("first_id")
 
 
