@@ -46,21 +46,22 @@ def literal(value: str | int | float | bool | None) -> Term:
 
 
 def field(df: DataFrame, name: str) -> Term:
-    """A field by its exact name, else by descent through structs from its first part, else from a map column called fields; an unknown field is null."""
+    """A field by its exact name, else by descent through structs from its first part, else from a map column called values, of lists of variants, or fields; an unknown field is null."""
     fields = {f.name: f for f in df.schema.fields}
     if name in fields:
         return Term(df[f"`{name}`"], fields[name].dataType, name)
     head, *rest = name.split(".")
     if not rest or head not in fields:
-        held = fields.get("fields")
-        if held is not None and isinstance(held.dataType, T.MapType) and isinstance(held.dataType.keyType, T.StringType):
-            found, dtype = F.try_element_at(df["fields"], F.lit(name)), held.dataType.valueType
-            if rest and dtype == T.ArrayType(T.VariantType()) and "'" not in name:
-                # A name with points may also be the way into a map of the first part.
-                path = "$" + "".join(f"['{r}']" for r in rest)
-                deep = F.try_variant_get(F.get(F.try_element_at(df["fields"], F.lit(head)), F.lit(0)), path, "variant")
-                found = F.coalesce(found, F.when(deep.isNotNull(), F.array(deep)))
-            return Term(found, dtype, name)
+        for column in ("values", "fields"):
+            kind = fields[column].dataType if column in fields else None
+            if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType) and (column == "fields" or kind.valueType == T.ArrayType(T.VariantType())):
+                found = F.try_element_at(df[column], F.lit(name))
+                if rest and column == "values" and "'" not in name:
+                    # A name with points may also be the way into a map of the first part.
+                    path = "$" + "".join(f"['{r}']" for r in rest)
+                    deep = F.try_variant_get(F.get(F.try_element_at(df[column], F.lit(head)), F.lit(0)), path, "variant")
+                    found = F.coalesce(found, F.when(deep.isNotNull(), F.array(deep)))
+                return Term(found, kind.valueType, name)
         return Term(F.lit(None), T.NullType(), name)
     column, dtype = df[f"`{head}`"], fields[head].dataType
     for part in rest:
@@ -138,9 +139,13 @@ def text(term: Term) -> Column:
     return term.column.cast("string")
 
 
-def as_text(term: Term) -> Term:
-    """A term's text as a term of its own, for columns that are shown."""
-    return Term(text(term), T.StringType(), term.name)
+def shown(term: Term) -> Column:
+    """A term as a cell: variants as their texts, other values as they are."""
+    if term.kind == "variant":
+        return text(term)
+    if isinstance(term.dtype, T.ArrayType) and isinstance(term.dtype.elementType, T.VariantType):
+        return F.transform(term.column, lambda x: text(Term(x, term.dtype.elementType)))
+    return term.column
 
 
 def _operands(left: Term, right: Term) -> tuple[Column, Column]:

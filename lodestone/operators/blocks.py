@@ -134,7 +134,7 @@ def _step(state: Column, x: Column, line: Column, front: Column) -> Column:
         deep = (_indent(rest) >= 4) & ~blank & (held != "p")
         comment = rest.rlike(COMMENT)
         kind = (
-            F.when(blank, "b").when(deep, "d").when((held == "p") & rest.rlike(UNDERLINE), "u").when(rest.rlike(FENCE), "o").when(rest.rlike(HEADING), "h").when(rest.rlike(RULE), "r")
+            F.when(blank, "b").when(rest.rlike(PLAIN), "p").when(deep, "d").when((held == "p") & rest.rlike(UNDERLINE), "u").when(rest.rlike(FENCE), "o").when(rest.rlike(HEADING), "h").when(rest.rlike(RULE), "r")
             .when(comment | rest.rlike(BLOCK_TAG) | ((held != "p") & rest.rlike(TAG_LINE)), "x").otherwise("p")
         )
 

@@ -18,7 +18,7 @@ from . import blocks
 from .blocks import HEADING  # noqa: F401
 
 #: Fixed patterns of inline syntax.
-LINK = r"!?\[\[[^\n\x00]+?\]\](?!\])"
+LINK = r"!?\[\[[^\n\x00\x03]+?\]\](?!\])"
 TAG = r"#[A-Za-z0-9/_-]+\b"
 ANCHOR = r"(?<!\S)\^([A-Za-z0-9-]+)(?=$|\s)"
 BARE_FIELD = r"^([^\[\]\n]+?)::[ \t]*(.*)$"
@@ -292,8 +292,15 @@ def _split_at(text: Column, mark: str) -> tuple[Column, Column]:
 def link_records() -> Column:
     """The links of a parsed note: array<struct<line, ord, column, original, embed, target, header, block, alias, value>>."""
 
+    def apart(r):
+        """The masked line with the marks of its fields blanked, so that a link in a field ends where the field does."""
+        cut = lambda a, b: F.substring(r["masked"], a + 1, b - a)
+        mark = F.lit("\x03")
+        kept = lambda s: F.concat(mark, cut(s["key_start"], s["key_end"]), mark, mark, cut(s["value_start"], s["value_end"]), mark)
+        return F.when(F.size(r["spans"]) > 0, without(r["masked"], r["spans"], kept)).otherwise(r["masked"])
+
     def of(r):
-        found = F.transform(matches(r["masked"], LINK), lambda m, i: one(r, m, i))
+        found = let(apart(r), lambda t: F.transform(matches(t, LINK), lambda m, i: one(r, m, i)))
         return F.filter(found, lambda x: x.isNotNull())
 
     def one(r, m, i):

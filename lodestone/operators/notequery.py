@@ -121,7 +121,7 @@ class NoteQuery:
         for label, term in shown:
             name = label if label not in names else f"{label}_{len(names)}"
             names.append(name)
-            cells.append(term.column.alias(name))
+            cells.append(V.shown(term).alias(name))
         return Result(d.select(*cells), tuple(n for n, _ in shown), self.groups() if self.group else None, dict(self.metadata))
 
     def group_rows(self) -> DataFrame:

@@ -14,11 +14,11 @@ from .tasks import KNOWN_FIELDS
 
 
 def page_records(notes: DataFrame) -> DataFrame:
-    """One row for each note: file.path, file.name, file.folder, file.ext, file.link, file.etags, file.tags, file.outlinks, file.frontmatter and fields.
+    """One row for each note: file.path, file.name, file.folder, file.ext, file.link, file.etags, file.tags, file.outlinks, file.frontmatter, values and fields.
 
-    fields maps each key, as written and with lower case and hyphens, to its values in order, each a VARIANT: those of the frontmatter with their types, inline
-    fields, then 'key:: value' lines that don't repeat an inline field.  A term looks a name up there that is no column (functions.values.field).  A note
-    is parsed once and makes its own row, so nothing is shuffled.
+    values maps each key, as written and with lower case and hyphens, to its values in order, each a VARIANT: those of the frontmatter with their types, inline
+    fields, then 'key:: value' lines that don't repeat an inline field; fields has the same values as texts.  A term looks a name up there that is no
+    column (functions.values.field).  A note is parsed once and makes its own row, so nothing is shuffled.
     """
     d = held(M.parsed(notes), inline=M.field_records(), bare=M.bare_records(), links=M.link_records(), found=M.tag_records(), json=M.front_json())
     d = d.select("path", "inline", "bare", "links", "found", "json")
@@ -36,10 +36,11 @@ def page_records(notes: DataFrame) -> DataFrame:
     scalars = F.filter("pairs", lambda p: ~F.schema_of_variant(p["value"]).rlike("^(?:ARRAY|OBJECT)"))
     lines = F.transform(scalars, lambda p: F.concat_ws(" | ", p["key"], V.text(V.Term(p["value"], T.VariantType()))))
     etags = F.array_distinct(F.concat(M.front_tags(F.col("json")), F.transform("found", lambda t: t["value"])))
-    d = held(d, fields=F.map_from_arrays("keys", gathered), etags=etags, outlinks=F.transform("links", lambda x: x["target"]), lines=lines)
+    d = held(d, values=F.map_from_arrays("keys", gathered), etags=etags, outlinks=F.transform("links", lambda x: x["target"]), lines=lines)
     return d.select(
         F.col("path").alias("file.path"), title_of(F.col("path")).alias("file.name"), folder_of(F.col("path")).alias("file.folder"), F.lit("md").alias("file.ext"), F.col("path").alias("file.link"),
-        F.col("etags").alias("file.etags"), expanded_tags(F.col("etags")).alias("file.tags"), F.col("outlinks").alias("file.outlinks"), F.col("lines").alias("file.frontmatter"), "fields",
+        F.col("etags").alias("file.etags"), expanded_tags(F.col("etags")).alias("file.tags"), F.col("outlinks").alias("file.outlinks"), F.col("lines").alias("file.frontmatter"), "values",
+        F.transform_values("values", lambda k, v: F.transform(v, lambda x: V.text(V.Term(x, T.VariantType())))).alias("fields"),
     )
 
 

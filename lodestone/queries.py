@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import VariantType
 
 from .functions import text as X
 from .functions import values as V
@@ -340,7 +339,7 @@ def rename_links_outside_code(spark, sf_dir):
 
 @registered("""SELECT 'parts/' || p_partkey || '.md' AS path, unnest(['type', 'size', 'tags', 'price', 'who', 'kind']) AS key, unnest(['part', CAST(p_size AS VARCHAR), 'part,shop/tool', CAST(p_size * 2 AS VARCHAR), '[[Ann]]', p_type]) AS value FROM part""")
 def page_fields(spark, sf_dir):
-    return pages.page_records(_part_notes(spark, sf_dir)).select(F.col("`file.path`").alias("path"), F.explode("fields").alias("key", "v")).select("path", "key", F.array_join(F.transform("v", lambda x: V.text(V.Term(x, VariantType()))), ",").alias("value"))
+    return pages.page_records(_part_notes(spark, sf_dir)).select(F.col("`file.path`").alias("path"), F.explode("fields").alias("key", "v")).select("path", "key", F.array_join("v", ",").alias("value"))
 
 
 @registered("""SELECT CAST(p_partkey AS VARCHAR) AS name, 'parts' AS folder, 'part,shop/tool,' || b AS etags, 'part,shop,shop/tool,brand,' || b AS tags, 'supplier-' || (p_partkey % 10) || ',' || split_part(p_brand, '#', 1) || ',Ann' AS outlinks, 'type | part;size | ' || p_size AS front
@@ -354,7 +353,7 @@ def page_file_fields(spark, sf_dir):
 @registered("SELECT 'parts/' || p_partkey || '.md' AS \"File\", CAST(p_size AS VARCHAR) AS size, p_type AS kind FROM part WHERE CAST(p_size AS VARCHAR) >= '4' AND p_type <> 'ECONOMY'")
 def page_table_where(spark, sf_dir):
     q = notequery.NoteQuery(pages.page_records(_part_notes(spark, sf_dir)), ("`file.path`",)).source("#shop", "parts", every=True)
-    return q.compare("size", ">=", "4").compare("kind", "!=", "ECONOMY").show(**{c: V.as_text(q.term(c)) for c in ("size", "kind")}).run(file_link="file.link").rows
+    return q.compare("size", ">=", "4").compare("kind", "!=", "ECONOMY").show(size=V.head(q.term("size")), kind=V.head(q.term("kind"))).run(file_link="file.link").rows
 
 
 @registered("SELECT doc_id, string_split(text, chr(10))[2] AS line FROM documents")
@@ -691,7 +690,7 @@ def front_typed_values(spark, sf_dir):
 def page_typed_where(spark, sf_dir):
     d = pages.page_records(_typed_notes(spark, sf_dir)).withColumn("order", F.regexp_extract("`file.path`", r"(\d+)", 1).cast("long"))
     q = notequery.NoteQuery(d, ("order",)).source("#shop/tool").compare("size", ">=", 7).compare("half", "<", 30).compare("maker.brand", "!=", "Brand#11").sort("-size").limit(400)
-    return q.show(size=V.as_text(q.term("size")), brand=V.as_text(q.term("maker.brand"))).run(file_link="file.link").rows
+    return q.show(size=V.head(q.term("size")), brand=V.head(q.term("maker.brand"))).run(file_link="file.link").rows
 
 
 @registered("SELECT 't/' || p_partkey || '.md' AS path, '#part #shop/tool #body' AS etags, '#part #shop #shop/tool #body' AS tags FROM part")

@@ -249,3 +249,107 @@ def test_hidden_and_broken_notes_are_read(spark, tmp_path):
     got = vault.read_notes(spark, str(tmp_path))
     assert rows(got.where("error is null"), "path", "contents") == [(".h/b+c d.md", "# B"), ("_a.md", "# A"), ("ok.md", "# O"), ("sub/_x/c.md", "# C")]
     assert rows(vault.failures(got), "path") == [("bad.md",)] and vault.note_at(got, "bad.md").first().error
+
+
+def noted(spark, text: str):
+    return spark.createDataFrame([("n.md", text)], "path string, contents string")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Task [due:: 2022-04-05] and (priority:: high)", [("due", "2022-04-05"), ("priority", "high")]),
+        ("[area:: [[Ops]]] [ref:: ^send-mail]", [("area", "[[Ops]]"), ("ref", "^send-mail")]),
+        ("[[Key Note]]:: outside [ [[Key Note]]:: value]", [("[[Key Note]]", "value")]),
+        ("[a:: [b:: c]] [x:: y]", [("x", "y")]),
+        ("[k:: a (b) c] (k:: a (b) [c) (d]) [k:: a [b] c]", [("k", "a (b) c"), ("k", "a (b) [c"), ("k", "a [b] c")]),
+        ("[🎅:: a console game] [Noël:: Un jeu]", [("🎅", "a console game"), ("Noël", "Un jeu")]),
+        ("[:: no] [ :: no] [open:: [x] (a:: b", []),
+        ("[a (b):: c] [a]b:: c] ((x:: y))", [("a (b)", "c"), ("(x", "y")]),
+        ("`[x:: y]` <b [x:: y]> [ok:: yes] <!-- [x:: y]", [("ok", "yes"), ("x", "y")]),
+    ],
+)
+def test_fields_by_depth_of_brackets(spark, text, want):
+    assert [(r.key, r.value) for r in M.inline_fields(noted(spark, text)).orderBy("ord").collect()] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("[[T]] [[T#H]] [[#H]] [[#^b-1]] [[T#^b|A]]", [("T", None, None, None), ("T", "H", None, None), ("", "H", None, None), ("", None, "b-1", None), ("T", None, "b", "A")]),
+        ("![[Folder [Draft]/Note.md#Header|Embed [x]]] [[#]] [[a##b]] [[a#^x y]] [[^^q]]", [("Folder [Draft]/Note.md", "Header", None, "Embed [x]")]),
+        ("| [[T\\|al]] | `[[no]]` |\n| --- | --- |\n<!-- [[no]]\n[[no]] --> [[no]]\n\n[[a\nb]] [[c]]", [("T", None, None, "al"), ("c", None, None, None)]),
+    ],
+)
+def test_parts_of_links(spark, text, want):
+    assert [(r.target, r.header, r.block, r.alias) for r in M.links(noted(spark, text)).orderBy("line", "ord").collect()] == want
+
+
+def test_blocks_in_quotes_and_items(spark):
+    text = "> > # Deep\n> - a\n>   1. b\n>\n>          code\n>\n>      # c\nlazy?\n\n- x\n\n  para\n  ~~~\n  # no\n  ~~~\n# yes\n* * *\n10) ten\n    more\n- [X]  done\n-\n  late"
+    d = noted(spark, text)
+    assert rows(M.headings(d), "line", "text") == [(1, "Deep"), (7, "c"), (16, "yes")]
+    assert rows(M.list_items(d), "line", "indent", "text") == [(2, 2, "a"), (3, 4, "b"), (10, 0, "x"), (18, 0, "ten"), (20, 0, "done"), (21, 0, "")]
+    assert rows(M.code_blocks(d).where("language is null"), "line", "value") == [(5, "code"), (13, "# no")]
+    long = noted(spark, "\n".join(["- item", "  text [[L]]", ""] * 200))  # over the pieces that lines are folded in
+    assert M.list_items(long).count() == 200 and rows(M.links(long), "line") == [(n,) for n in range(2, 601, 3)]
+
+
+@pytest.mark.parametrize(
+    ("text", "json"),
+    [
+        ("a: 1\nb:\n- x\n- y: 2\n  z: [p, 'q''r', \"s\\n\"]", '{"a":1,"b":["x",{"y":2,"z":["p","q\'r","s\\n"]}]}'),
+        ("a:\n  b:\n    c: 1.5\n  d: ~\ne: TRUE\nf: 0x1F\ng: 007\nh: 1e2x", '{"a":{"b":{"c":1.5},"d":null},"e":true,"f":31,"g":7,"h":"1e2x"}'),
+        ("a: |\n  one\n    two\n\n  three\nb: >-\n  x\n  y\n\n  z\nc: >\n  end\n", '{"a":"one\\n  two\\n\\nthree\\n","b":"x y\\nz","c":"end\\n"}'),
+        ("a: plain\n  goes on\n  still\nb: [1,\n  2]\nc: {k: v, l: [m]}\nd: \"x # y\" # z", '{"a":"plain goes on still","b":[1,2],"c":{"k":"v","l":["m"]},"d":"x # y"}'),
+        ("date: 2024-01-02\nurl: http://a/b\ntime: 12:30\n'q k': [[Note]]\nempty:\n", '{"date":"2024-01-02","empty":null,"q k":[["Note"]],"time":"12:30","url":"http://a/b"}'),
+        ("- - 1\n  - 2", None), ("a: b\n  c: d", None), ("a: 1\na: 2", None), ("a: 'x", None), ("a:\n - b\n  - c\nd", None), ("text", None),
+    ],
+)
+def test_yaml(spark, text, json):
+    from json import loads
+
+    from lodestone.functions.yaml import block_json
+
+    got = spark.createDataFrame([(text.split("\n"),)], "l array<string>").select(F.to_json(F.try_parse_json(block_json(F.col("l"))))).first()[0]
+    assert (None if got is None else loads(got)) == (None if json is None else loads(json))
+
+
+def test_typed_values_compare_by_their_types(spark):
+    from lodestone.operators.pages import page_records
+
+    notes = spark.createDataFrame([(f"{n}.md", f"---\nsize: {v}\nin: {{deep: {n}}}\n---\n") for n, v in enumerate(["7", "10", "'9'", "x", "[8, 1]", "~", "{a: 1}"])], "path string, contents string")
+    q = notequery.NoteQuery(page_records(notes), ("`file.path`",))
+    kept = lambda op, x: [r["file.path"][0] for r in q.compare("size", op, x).records().orderBy("`file.path`").collect()]
+    # Numbers by size, '9' and x by text, null and maps as the greatest of all.
+    assert kept(">=", 8) == ["1", "2", "3", "4", "5", "6"] and kept("<", 8) == ["0"] and kept("=", "9") == ["2"] and kept("=", 8) == ["4"]
+    assert [r[0] for r in q.compare("size", "<=", 100).sort("-size").show("in.deep").run().rows.collect()] and q.compare("in.deep", "=", 3).records().count() == 1
+    assert [r[0] for r in q.where(q.term("size")).sort("size").show("size").run().rows.collect()][:3] == [["7"], ["8", "1"], ["10"]]
+
+
+@pytest.mark.parametrize(
+    ("repeat", "days"),
+    [
+        ("every month on the 2nd Friday", ["2026-02-13", "2026-03-13", "2026-04-10"]), ("every month on the last friday", ["2026-01-30", "2026-02-27", "2026-03-27"]), ("every 2 months on the 2nd last friday", ["2026-01-23", "2026-03-20"]),
+        ("every month on the first monday and third wednesday for 4 times", ["2026-01-21", "2026-02-02", "2026-02-18", "2026-03-02"]), ("every day for 3 times", ["2026-01-10", "2026-01-11"]),
+        ("every week until January 25, 2026", ["2026-01-16", "2026-01-23"]), ("every week until 2026-01-16", ["2026-01-16"]), ("every week until someday", []), ("every month on the last day", ["2026-01-31", "2026-02-28", "2026-03-31"]),
+        ("every february on the 1st monday", ["2026-02-02"]), ("every year on the 10th sunday", ["2026-03-08"]), ("every month on the 6th friday", []),
+    ],
+)
+def test_ordinal_and_bounded_repeats(spark, repeat, days):
+    d = spark.range(1).select(T.occurrences(F.lit(repeat), F.lit("2026-01-09").cast("date"), F.lit("2026-04-12").cast("date")).alias("o"), T.repeat_status(F.lit(repeat)).alias("s")).first()
+    assert [str(x) for x in d.o] == days and d.s == ("parse-error" if "someday" in repeat else "supported")
+
+
+def test_notes_are_parsed_once(spark):
+    from lodestone.operators.pages import page_records
+    from lodestone.operators.search import search_notes
+
+    d = noted(spark, "# a\n[[b]] #c [d:: e]")
+    for df in (page_records(d), search_notes(d, "b"), M.note_tags(d)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        # What makes the blocks stands in one generator.
+        assert len([x for x in plan.split("\n") if "Generate inline" in x and "AS rows" in x]) <= 1
+    ready = M.extracted(d)
+    assert "aggregate" not in M.links(spark.createDataFrame(ready.collect(), ready.schema))._jdf.queryExecution().optimizedPlan().toString()
