@@ -17,10 +17,17 @@ TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier, trained on the labels of sf_dir, doesn't hold for toxic.  Null texts stay."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    """Keeps the documents that the classifier, trained on the labels of sf_dir, doesn't hold for toxic."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that a classifier trained on labels holds for toxic.  Null texts stay, and all documents where labels of one class alone, or none, are there."""
+    model = toxicity.train(docs, labels)
+    if not model.learnt:
+        return docs
     scored = toxicity.add_scores(docs, model, to="pipeline_toxic_score")
-    return scored.where(F.col("pipeline_toxic_score") < TOXIC).select(*docs.columns)
+    return scored.where((F.col("pipeline_toxic_score") < TOXIC) | F.col("text").isNull()).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
