@@ -106,7 +106,8 @@ def audit(bits: DataFrame, filters: str = "abcde") -> DataFrame:
 
 
 def audit_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The audit of the five filters over documents by lang, with labels (doc_id, quality, toxic); a document that labels name more than once bears what any of them says."""
+    """The audit of the five filters over documents by lang, with labels (doc_id, quality, toxic); a document that labels name more than once bears what any of them says,
+    and one without an id none."""
     marks = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     bits = filter_bits(docs).join(marks, "id", "left")
     return audit(bits.withColumns({c: F.coalesce(c, F.lit(False)) for c in LABELS}))

@@ -101,6 +101,9 @@ CONTRACTS = {
     "op8_bagminhash_dedup": "doc_id bigint, class_id bigint",
     "op9_trigram_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op10_multi_index_duplicates": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op11_vector_file_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_closed_syncmers": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op13_bitmap_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
 }
 
 
@@ -109,6 +112,8 @@ def test_registered_queries_keep_their_contracts(spark, name):
     found = queries.QUERIES[name](spark, SMALL)
     types = {f.name: f.dataType.simpleString() for f in found.schema}
     assert {c.split()[0]: types.get(c.split()[0]) for c in CONTRACTS[name].split(", ")} == dict(c.split() for c in CONTRACTS[name].split(", "))
+    if name.startswith(("op11", "op13")):
+        return  # their rows are held against plain Python and SQL
     rows, source = found.collect(), "embeddings" if name.startswith(("op3", "op10")) else "documents"
     ids = [r.doc_id if source == "documents" else r.vec_id for r in table(spark, SMALL, source).collect()]
     if name.startswith("op3"):
