@@ -397,7 +397,7 @@ def block_anchors(notes: DataFrame) -> DataFrame:
 def _source(r: Column) -> tuple[Column, Column, Column]:
     """Of an item's line: whether it is checked (null without a box), how long its box is, and what follows that."""
     mark, n = F.regexp_extract(r["text"], blocks.BOX, 1), F.length(F.regexp_extract(r["text"], blocks.BOX, 0))
-    return F.when(mark != "", F.lower(mark) == "x"), n, F.substring(r["text"], n + 1, F.length(r["text"]))
+    return F.when(mark != "", mark != " "), n, F.substring(r["text"], n + 1, F.length(r["text"]))
 
 
 @once

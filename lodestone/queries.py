@@ -792,3 +792,45 @@ def task_rows_whole(spark, sf_dir):
     d = pages.task_records(_tasks(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
     q = notequery.NoteQuery(d, ("path", "line"))
     return q.show("task", "text", "completed", "due", "scheduled", "repeat", "area", "project", "depends", "repeatFrom", "tags", "path", "line", "effort").run(file_link="file.link").rows
+
+
+# Findings with counts and keys, and the paths of keys as rows: nothing grows with a group.
+
+
+@registered(f"""WITH l AS (SELECT p_partkey AS p, p_partkey % 120 AS t, p_partkey % 50 AS r FROM part), s AS {_SUPS}
+SELECT 'a/parts/' || p || '.md' AS path, 2 AS line, CAST(0 AS BIGINT) AS n_related, CAST(NULL AS VARCHAR) AS related_key FROM l WHERE t NOT IN (SELECT s FROM s)
+UNION ALL SELECT 'a/parts/' || p || '.md', 3, 0, NULL FROM l WHERE r NOT IN (SELECT s FROM s)
+UNION ALL SELECT 'a/parts/' || p || '.md', 2, 2, 'sup-' || t FROM l WHERE t IN (SELECT s FROM s) AND t % 10 = 0""")
+def check_links_by_key(spark, sf_dir):
+    return checks.check_links(_linked_notes(spark, sf_dir)).select("path", "line", "n_related", "related_key")
+
+
+@registered(f"SELECT 'sup-' || s AS key, unnest(['a/sup-' || s || '.md', 'b/sup-' || s || '.md']) AS path FROM {_SUPS} WHERE s % 10 = 0")
+def link_key_paths(spark, sf_dir):
+    paths = checks.link_paths(_linked_notes(spark, sf_dir)).where(~F.contains("key", F.lit("/")))
+    return paths.join(paths.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 and key like 'sup-%'"), "key").select("key", "path")
+
+
+@registered(f"""WITH h AS (SELECT s, s % 16 AS g FROM {_SUPS} WHERE s % 4 = 0)
+SELECT 'a/sup-' || s || '.md' AS path, 'shared ' || g AS related_key, count(*) OVER (PARTITION BY g) - 1 AS n_related FROM h QUALIFY count(*) OVER (PARTITION BY g) > 1""")
+def duplicate_headings_by_key(spark, sf_dir):
+    return checks.check_duplicate_headings(_linked_notes(spark, sf_dir)).select("path", "related_key", "n_related")
+
+
+@registered(f"""WITH a AS (SELECT s % 16 AS g, 'a/sup-' || s || '.md' AS path FROM {_SUPS} WHERE s % 4 = 0), o AS (SELECT s % 16 AS g, 'Archive/old-' || s || '.md' AS path FROM {_SUPS} WHERE s % 8 = 4),
+na AS (SELECT g, count(*) AS n FROM a GROUP BY g), nb AS (SELECT g, count(*) AS n FROM o GROUP BY g)
+SELECT path, 'old:shared ' || g AS related_key, n AS n_related FROM a JOIN nb USING (g) UNION ALL SELECT path, 'new:shared ' || g, n FROM o JOIN na USING (g)""")
+def archive_headings_by_key(spark, sf_dir):
+    return checks.check_archive_headings(_linked_notes(spark, sf_dir)).select("path", "related_key", "n_related")
+
+
+# A window that any dated condition of a task query gives.
+
+
+@registered("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d0 FROM orders WHERE o_orderkey % 4 = 1),
+days AS (SELECT CAST(unnest(generate_series(DATE '1996-03-01', DATE '1996-03-31', INTERVAL 1 DAY)) AS DATE) AS d)
+SELECT 'r/' || k || '.md' AS path, strftime(d, '%Y-%m-%d') AS due FROM o JOIN days ON d > d0 AND dayofweek(d) = 5 AND month(d + INTERVAL 7 DAY) <> month(d)
+UNION ALL SELECT 'r/' || k || '.md', strftime(d0, '%Y-%m-%d') FROM o WHERE d0 BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'""")
+def recur_last_fridays_within(spark, sf_dir):
+    some = _ordinal_tasks(spark, sf_dir).where("repeat = 'every month on the last friday'")
+    return views.TaskQuery(some).within("1996-03-01", "1996-03-31").records().select("path", "due")
