@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ STEPS, PENALTY = 100, 1e-4
 #: What a clean text that is called toxic costs against a toxic one that is called clean, where the intercept is set.
 FALSE_ALARM = 4
 #: Features of training texts that one step looks at together.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 18
 #: Characters hashed at a time; longer texts go in overlapping pieces.
 PIECE = 1 << 21
 
@@ -133,8 +134,11 @@ def _fit(found: list[np.ndarray], y: np.ndarray, alpha: float) -> Model:
     number[used] = np.arange(len(used))
     some = [i for i, f in enumerate(found) if len(f)]
     length = np.array([max(np.sqrt((ratio[found[i]] ** 2).sum()), 1e-9) for i in some])
-    col = np.concatenate([number[found[i]] for i in some])
-    w, b = _logistic(col, np.append(0, np.cumsum([len(found[i]) for i in some])), ratio[used], length, y[some])
+    starts = np.append(0, np.cumsum([len(found[i]) for i in some]))
+    col = np.empty(starts[-1], np.int32)
+    for i, at in zip(some, starts):
+        col[at : at + len(found[i])] = number[found[i]]
+    w, b = _logistic(col, starts, ratio[used], length, y[some])
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w * ratio[used]
     return Model(weights, (ratio**2).astype(np.float32), b)
@@ -180,10 +184,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         for texts in batches:
             yield pd.Series([features([t]).astype(np.int32) for t in texts], dtype=object)
 
-    sample = labelled_sample(docs, labels, label, rows, chars).select("doc_id", "y", found(F.col("text")).alias("found")).toArrow().sort_by("doc_id")
-    lists, y = sample["found"].combine_chunks(), sample["y"].to_numpy()
-    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return fit([values[a:b] for a, b in zip(ends, ends[1:])], y)
+    sample = labelled_sample(docs, labels, label, rows, chars).select("doc_id", "y", found(F.col("text")).alias("found")).orderBy("doc_id").toArrow()
+    lists = []
+    for part in sample["found"].chunks:  # views, so the features are held once
+        values, ends = part.values.to_numpy(), part.offsets.to_numpy()
+        lists += [values[a:b] for a, b in zip(ends, ends[1:])]
+    model = fit(lists, sample["y"].to_numpy())
+    del lists, sample
+    pyarrow.default_memory_pool().release_unused()
+    return model
 
 
 def add_scores(docs: DataFrame, model: Model, *, text_col: str = "text", to: str = "toxic_score") -> DataFrame:
