@@ -22,13 +22,18 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores where a small input came in fewer; larger inputs stay as they are, without a shuffle.
+#: Rows of one task of work that is much dearer than reading its rows.
+TASK_ROWS = 50_000
 
-    For work that is much dearer than reading its rows, such as reading Markdown: a file of a few megabytes is one partition else.
+
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """df in partitions of at most about `rows` rows, at least one for each core, whatever the files and row groups that it comes from.
+
+    For work that is much dearer than reading its rows, such as reading Markdown: how a file splits says little of how many rows a task gets.  The count
+    reads no columns of a table, and the shuffle moves only those that are used.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < min(cores, 64) else df
+    return df.repartition(max(cores, -(-df.count() // rows)))
 
 
 def numbered(df: DataFrame, *order: Column | str, to: str = "i") -> DataFrame:

@@ -57,9 +57,14 @@ def is_wikilink(value: Column) -> Column:
     return F.coalesce(F.trim(value).rlike(r"^\[\[.*\]\]$"), F.lit(False))
 
 
+def day_of(value: Column) -> Column:
+    """The date that a YYYY-MM-DD text names, else null.  A cast, since a parser by pattern throws, and is slow, at each invalid day."""
+    return F.when(value.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}\z"), value.try_cast("date"))
+
+
 def iso_date(value: Column) -> Column:
     """A valid YYYY-MM-DD text, else null."""
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), value)
+    return F.when(day_of(value).isNotNull(), value)
 
 
 def expanded_tags(tags: Column) -> Column:

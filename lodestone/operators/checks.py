@@ -15,7 +15,7 @@ from pyspark.sql.types import VariantType
 
 from ..functions import values as V
 from ..functions.frames import held, materialised
-from ..functions.text import base_name, folder_of, is_archived, is_wikilink, normal_key, resolved_path, title_of
+from ..functions.text import base_name, day_of, folder_of, is_archived, is_wikilink, normal_key, resolved_path, title_of
 from ..sources.vault import failures, readable
 from . import markdown as M
 from .tasks import ALLOWED_FIELDS, DATE_FIELDS, repeat_status
@@ -201,7 +201,7 @@ def recurring_series(tasks: DataFrame) -> DataFrame:
     """
     d = tasks.where(repeat_status(F.col("repeat")) == "supported")
     shape = F.when(F.col("due").isNull(), "scheduled").when(F.col("scheduled").isNull(), "due").otherwise("scheduled+due")
-    apart = F.coalesce(F.datediff(F.try_to_date("scheduled", "yyyy-MM-dd"), F.try_to_date("due", "yyyy-MM-dd")), F.lit(0))
+    apart = F.coalesce(F.datediff(day_of(F.col("scheduled")), day_of(F.col("due"))), F.lit(0))
     parts = [F.coalesce("area", F.lit("")), F.coalesce("project", F.lit("")), F.col("text"), F.trim("repeat"), shape, apart.cast("string")]
     return d.withColumn("series_", F.sha2(F.concat_ws("\0", *parts), 256))
 
@@ -213,7 +213,9 @@ def check_repeat_seeds(tasks: DataFrame) -> DataFrame:
     latest dates of each series, and only series that lack a continuation meet their tasks again.
     """
     opened = F.coalesce("due", "scheduled")
-    keyed = recurring_series(tasks).withColumn("date_", F.when(F.col("done"), F.coalesce(opened, "completed")).otherwise(opened))
+    dated = recurring_series(tasks).withColumn("date_", F.when(F.col("done"), F.coalesce(opened, "completed")).otherwise(opened))
+    # Reading a note is dearer than writing its tasks, which are read twice.
+    keyed = materialised(dated.select("path", "line", "text", "done", "date_", "series_"))
     last = keyed.groupBy("series_").agg(F.max(F.when(F.col("done"), F.col("date_"))).alias("done_"), F.max(F.when(~F.col("done"), F.col("date_"))).alias("open_"))
     late = last.where("done_ is not null and (open_ is null or open_ <= done_)")
     seeds = keyed.where("done").join(late, "series_").where("date_ = done_")

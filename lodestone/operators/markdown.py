@@ -31,6 +31,13 @@ _FIELD_MARKS = r"\[\[(?:(?!\]\])[^\n])*\]\]|::|[\[\]()\n]"
 #: A field without brackets but its links'; where no other bracket is left, these are all fields.
 _PLAIN_VALUE = r"[^\[\]()\n:]*[^\[\]()\n:\s][^\[\]()\n:]*::(?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*"
 _PLAIN_FIELD = rf"\[{_PLAIN_VALUE}\]|\({_PLAIN_VALUE}\)"
+#: A link with colons or brackets of its own, which aren't a field's, so that marks need counting.
+_FULL_LINK = r"\[\[[^\]\n]*(?:::|[()])"
+#: A plain field with its key and its value.
+FLAT_FIELD = r"[\[(]([^\[\]()\n:]*[^\[\]()\n:\s][^\[\]()\n:]*)::((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*)[\])]"
+#: What makes a note, after a line end, need the fold over its lines: marks of code, HTML and escapes, tabs, and lines that are neither blank, nor headings, text or items right at their beginning.
+HARD = r"[`<\\\t\r\x00\x01\x02\x03\n](?<!\n(?=\n|\z|#{1,6} [^\n]|(?:[-*+] )?" + blocks.PLAIN[1:] + "))"
+PLAIN_BOX = r"^[-*+] \[[ xX]\]\s+"
 _SPAN = "struct<start:int,end:int,key_start:int,key_end:int,value_start:int,value_end:int>"
 
 
@@ -162,7 +169,7 @@ def field_spans(masked: Column) -> Column:
 
     none = F.array().cast(f"array<{_SPAN}>")
     whole = let(matches(masked, _FIELD_MARKS), lambda t: F.when(F.size(t) > 2, let(spans(t), outermost)).otherwise(none))
-    simple = ~F.regexp_replace(masked, rf"{_PLAIN_FIELD}|\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]")
+    simple = ~F.regexp_replace(masked, rf"{_PLAIN_FIELD}|\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]") & ~masked.rlike(_FULL_LINK)
     found = F.when(simple, F.transform(matches(masked, _PLAIN_FIELD), plain)).otherwise(F.coalesce(whole, none))
     return F.when(F.contains(masked, F.lit("::")), found).otherwise(none)
 
@@ -186,9 +193,15 @@ def shown_text(text: Column, mask: Column | None = None) -> Column:
     """What a paragraph shows: fields by their value, links by their alias or target, code spans and marked text without marks, no images."""
     mask = blocks.masked(text) if mask is None else mask
     text = F.when(F.contains(mask, F.lit("::")), let(field_spans(mask), lambda spans: without(text, spans, lambda s: _cut(text, s["value_start"], s["value_end"])))).otherwise(text)
-    text = F.regexp_replace(text, KEPT_CODE + r"|(\*\*|__|~~)(?=\S)((?s:.+?))(?<=\S)\3|(?<![\w*])([*_])(?=[^\s*_])([^*_]+?)(?<=\S)\5(?![\w*])", "$1$4$6")
+    return let(text, _unmarked)
+
+
+def _unmarked(text: Column) -> Column:
+    """text without the marks of code, emphasis and links; texts without such characters are left at one look."""
+    bare = F.regexp_replace(text, KEPT_CODE + r"|(\*\*|__|~~)(?=\S)((?s:.+?))(?<=\S)\3|(?<![\w*])([*_])(?=[^\s*_])([^*_]+?)(?<=\S)\5(?![\w*])", "$1$4$6")
     links = r"!?\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|!\[[^\[\]]*\]\([^()]*\)|\[([^\[\]]*)\]\([^()]*\)"
-    return F.trim(F.regexp_replace(text, r"(?<!`)(`+)(?!`)((?s:.*?))(?<!`)\1(?!`)|" + links, "$2$3$4"))
+    shown = lambda t: F.regexp_replace(t, r"(?<!`)(`+)(?!`)((?s:.*?))(?<!`)\1(?!`)|" + links, "$2$3$4")
+    return F.trim(F.when(text.rlike(r"[`*_~]"), let(bare, shown)).when(F.contains(text, F.lit("[")), shown(text)).otherwise(text))
 
 
 # Frontmatter.
@@ -437,7 +450,30 @@ def task_records() -> Column:
 
 
 def task_items(notes: DataFrame) -> DataFrame:
-    return _family(notes, "tasks")
+    """(path, line, checked, source, tags, spans, free) of items with a box and a tag #task.
+
+    free is source without its fields, which FLAT_FIELD finds then; where brackets aren't that plain it is null, and spans has the places of the fields.
+    Notes of plain lines alone need no fold: each of their items stands for itself.  Others are parsed.  Both read notes, which must give the same rows each time.
+    """
+    parsed_ = lambda d: _family(d, "tasks").withColumn("free", F.lit(None).cast("string"))
+    if FAMILIES["tasks"][0] in notes.columns:
+        return parsed_(notes)
+    marked = _notes_with(notes, "#task")
+    hard = F.concat(F.lit("\n"), "contents").rlike(HARD)
+    return _plain_tasks(marked.where(~hard)).unionByName(parsed_(marked.where(hard)))
+
+
+def _plain_tasks(notes: DataFrame) -> DataFrame:
+    d = notes.select("path", F.posexplode(F.split("contents", "\n")).alias("i", "text_")).where(F.contains("text_", F.lit("#task")) & F.col("text_").rlike(PLAIN_BOX))
+    source = F.regexp_replace("text_", PLAIN_BOX, "")
+    d = d.select("path", (F.col("i") + 1).alias("line"), (F.substring("text_", 4, 1) != " ").alias("checked"), source.alias("source"))
+    d = held(d, open_=F.regexp_replace("source", _PLAIN_FIELD, "\x00"))
+    flat = ~F.regexp_replace("open_", r"\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]") & ~F.col("source").rlike(_FULL_LINK)
+    d = held(d, spans=F.when(~flat, field_spans(F.col("source"))))
+    tags_ = F.filter(F.regexp_extract_all("open_", F.lit(f"{LINK}|{TAG}"), F.lit(0)), lambda m: m.startswith("#"))
+    bent = F.transform(line_tags(F.col("source"), F.col("spans")), lambda m: m["value"])
+    d = held(d, tags=F.when(F.col("spans").isNull(), tags_).otherwise(bent)).where(F.array_contains("tags", "#task"))
+    return d.select("path", "line", "checked", "source", "tags", "spans", F.when(F.col("spans").isNull(), F.translate("open_", "\x00", "")).alias("free"))
 
 
 def list_items(notes: DataFrame, holding: str = "") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import held
-from ..functions.text import iso_date, let, once, without
-from .markdown import ANCHOR, KEPT_CODE, LINK, TAG, shown_text, task_items
+from ..functions.text import day_of, iso_date, let, once, without
+from .markdown import ANCHOR, FLAT_FIELD, KEPT_CODE, LINK, TAG, shown_text, task_items
 
 #: Fields that a task gives a meaning to, and those that no check calls unknown.
 KNOWN_FIELDS = ("scheduled", "due", "completed", "depends", "repeat", "repeatFrom", "area", "project")
@@ -44,10 +44,15 @@ def _parts() -> tuple[Column, ...]:
         kept = F.filter(pairs, lambda p: (p["k"] != "") & ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
         return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
 
-    free = without(F.col("text"), F.col("spans"), lambda s: F.lit(""))
+    flat = F.col("free").isNotNull()
+    keys, values = (F.transform(F.regexp_extract_all("text", F.lit(FLAT_FIELD), F.lit(k)), lambda x: F.trim(x)) for k in (1, 2))
+    pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
+    apart = lambda k: (F.size(F.array_distinct(k)) == F.size(k)) & ~F.array_contains(k, "")
+    flat_fields = let(keys, lambda k: F.when(apart(k), F.map_from_arrays(k, values)).otherwise(let(pairs, last_of_each)))
+    free = F.coalesce("free", without(F.col("text"), F.col("spans"), lambda s: F.lit("")))
     # No fields are left in it, so it shows what its own marks say.
-    clean = shown_text(F.regexp_replace(free, rf"{KEPT_CODE}|({LINK})|{ANCHOR}|{TAG}", "$1$3"), F.lit(""))
-    return let(F.transform("spans", pair), last_of_each), clean
+    clean = let(free, lambda x: shown_text(F.when(x.rlike(r"[`#^\[]"), F.regexp_replace(x, rf"{KEPT_CODE}|({LINK})|{ANCHOR}|{TAG}", "$1$3")).otherwise(x), F.lit("")))
+    return F.when(flat, flat_fields).otherwise(let(F.transform("spans", pair), last_of_each)), clean
 
 
 def tasks(notes: DataFrame) -> DataFrame:
@@ -57,11 +62,10 @@ def tasks(notes: DataFrame) -> DataFrame:
     project).  Dates are promoted only if they are valid; of repeated fields the last counts.
     """
     fields, clean = _parts()
-    d = held(task_items(notes).withColumnRenamed("source", "text"), fields=fields)
-    known = F.array(*map(F.lit, KNOWN_FIELDS))
+    d = held(task_items(notes).withColumnRenamed("source", "text"), fields=fields, clean_=clean)
     return d.select(
-        "path", "line", F.col("checked").alias("done"), F.trim(F.regexp_replace(clean, r"\s+", " ")).alias("text"), "tags", "fields",
-        F.map_filter("fields", lambda k, v: ~F.array_contains(known, k)).alias("unknown_fields"),
+        "path", "line", F.col("checked").alias("done"), F.trim(F.regexp_replace("clean_", r"\s+", " ")).alias("text"), "tags", "fields",
+        F.map_filter("fields", lambda k, v: ~k.isin(*KNOWN_FIELDS)).alias("unknown_fields"),
         *[iso_date(F.try_element_at("fields", F.lit(k))).alias(k) for k in DATE_FIELDS],
         *[F.try_element_at("fields", F.lit(k)).alias(k) for k in KNOWN_FIELDS if k not in DATE_FIELDS],
     )
@@ -76,7 +80,7 @@ def _ordinal(word: Column, last: Column) -> Column:
 def _end(text: Column) -> Column:
     """The day that a repeat's text names as its end; null where it names none that can be read."""
     written = F.initcap(F.trim(F.regexp_extract(text, REPEAT, 5)))
-    return F.coalesce(*[F.try_to_date(written, u) for u in UNTIL])
+    return F.when(written != "", F.coalesce(*[F.try_to_date(written, u) for u in UNTIL]))
 
 
 def _rule(repeat: Column) -> Column:
@@ -105,6 +109,18 @@ def _rule(repeat: Column) -> Column:
     )
 
 
+#: Repeats that are a number of days, which need no list of dates to step over.
+_PLAIN_STEP = r"^every\s+(?:(\d{1,4}|other|second|third)\s+)?(day|week)s?\z"
+
+
+def plain_step(repeat: Column) -> Column:
+    """How many days lie between the dates of a repeat such as 'every 3 days' or 'every week'; null for all others, those that aren't readable among them."""
+    text = F.lower(F.trim(repeat))
+    number, unit = F.regexp_extract(text, _PLAIN_STEP, 1), F.regexp_extract(text, _PLAIN_STEP, 2)
+    n = F.when(number == "", 1).when(number.isin("other", "second"), 2).when(number == "third", 3).otherwise(number.try_cast("int"))
+    return F.when((unit != "") & (n > 0), n * F.when(unit == "week", 7).otherwise(1))
+
+
 def repeat_status(repeat: Column) -> Column:
     """'none', 'empty', 'unsupported', 'parse-error' or 'supported'."""
     text = F.lower(F.trim(repeat))
@@ -177,14 +193,12 @@ def occurrences(repeat: Column, reference: Column, until: Column) -> Column:
 
 
 def _recurring(tasks_df: DataFrame) -> DataFrame:
-    """tasks with what expansion needs: whether a row recurs, its reference date, and how far scheduled lies from due."""
-    due, scheduled = (F.try_to_date(c, "yyyy-MM-dd") for c in ("due", "scheduled"))
-    reference = F.coalesce(due, scheduled)
-    return (
-        tasks_df.withColumn("reference_", reference)
-        .withColumn("offset_", F.coalesce(F.datediff(scheduled, due), F.lit(0)))
-        .withColumn("recurs_", ~F.col("done") & reference.isNotNull() & (repeat_status(F.col("repeat")) == "supported"))
-    )
+    """tasks with what expansion needs: whether a row recurs, its reference date, how far scheduled lies from due, and its plain step."""
+    due, scheduled = day_of(F.col("due")), day_of(F.col("scheduled"))
+    d = held(tasks_df, due_=due, scheduled_=scheduled, step_=F.when(~F.col("done"), plain_step(F.col("repeat"))))
+    reference = F.coalesce("due_", "scheduled_")
+    recurs = ~F.col("done") & reference.isNotNull() & (F.col("step_").isNotNull() | (repeat_status(F.col("repeat")) == "supported"))
+    return held(d, reference_=reference, offset_=F.coalesce(F.datediff("scheduled_", "due_"), F.lit(0)), recurs_=recurs)
 
 
 def _generated(d: DataFrame) -> DataFrame:
@@ -205,7 +219,12 @@ def expand_in_window(tasks_df: DataFrame, start: str, end: str) -> DataFrame:
     """
     d = _recurring(tasks_df)
     lo, hi = (F.date_add(F.lit(x).cast("date"), -F.col("offset_")) for x in (start, end))
-    days = let(lo, lambda first: F.filter(occurrences(F.col("repeat"), F.col("reference_"), hi), lambda x: x >= first))
+    # Plain steps begin with the first date of the window, so that work doesn't grow with the years since the reference.
+    step, reference = F.col("step_"), F.col("reference_")
+    first_k, last_k = F.greatest(F.ceil(F.datediff(lo, reference) / step), F.lit(1)).cast("int"), F.floor(F.datediff(hi, reference) / step).cast("int")
+    stepped = F.when(first_k <= last_k, F.transform(F.sequence(first_k, F.greatest(first_k, last_k)), lambda k: F.date_add(reference, k * step)))
+    listed = let(lo, lambda first: F.filter(occurrences(F.col("repeat"), reference, hi), lambda x: x >= first))
+    days = F.when(step.isNotNull(), stepped).otherwise(listed)
     later = F.when(F.col("recurs_"), F.transform(days, lambda x, i: F.struct((i + 1).alias("occurrence"), x.alias("day_"))))
     itself = F.array(F.struct(F.lit(0).alias("occurrence"), F.lit(None).cast("date").alias("day_")))
     d = d.select("*", F.inline(F.concat(itself, F.coalesce(later, F.array().cast("array<struct<occurrence:int,day_:date>>")))))
@@ -215,5 +234,8 @@ def expand_in_window(tasks_df: DataFrame, start: str, end: str) -> DataFrame:
 def latest_on_or_before(tasks_df: DataFrame, cutoff: str) -> DataFrame:
     """Each recurring row replaced by its latest occurrence up to the cutoff, if it has one after its reference; others as they are."""
     d = _recurring(tasks_df)
-    day = F.when(F.col("recurs_"), F.array_max(occurrences(F.col("repeat"), F.col("reference_"), F.lit(cutoff).cast("date"))))
-    return _generated(d.withColumn("day_", day)).select(*tasks_df.columns)
+    step, reference, last = F.col("step_"), F.col("reference_"), F.lit(cutoff).cast("date")
+    times = F.floor(F.datediff(last, reference) / step).cast("int")
+    stepped = F.when(times > 0, F.date_add(reference, times * step))
+    day = F.when(F.col("recurs_"), F.when(step.isNotNull(), stepped).otherwise(F.array_max(occurrences(F.col("repeat"), reference, last))))
+    return _generated(held(d, day_=day)).select(*tasks_df.columns)
