@@ -94,12 +94,13 @@ def features(texts: list[str], wanted: np.ndarray | None = None) -> np.ndarray:
     return distinct(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def _logistic(col: np.ndarray, starts: np.ndarray, scale: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def _logistic(found: list[np.ndarray], scale: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps.
 
-    Text i has the features col[starts[i]:starts[i + 1]], one at least, each of the value scale[feature] / length[i].  Steps go over ENTRIES of them at a time, so
-    besides col itself nothing grows with the texts but a number for each.
+    Text i has the features found[i], one at least, each of the value scale[feature] / length[i].  Steps join ENTRIES of them at a time, so
+    besides found itself nothing grows with the texts but a number for each.
     """
+    starts = np.append(0, np.cumsum([len(f) for f in found]))
     weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     blocks, at = [], 0
     while at < len(y):
@@ -110,7 +111,7 @@ def _logistic(col: np.ndarray, starts: np.ndarray, scale: np.ndarray, length: np
     for _ in range(STEPS):
         g, slope, u = np.zeros(len(scale)), 0.0, scale * v
         for i, j in blocks:
-            own, first = col[starts[i] : starts[j]], starts[i:j] - starts[i]
+            own, first = np.concatenate(found[i:j]), starts[i:j] - starts[i]
             z = np.add.reduceat(u[own], first) / length[i:j] + bv
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) * weigh[i:j]
             g += np.bincount(own, np.repeat(err / length[i:j], np.diff(starts[i : j + 1])), len(scale))
@@ -123,24 +124,16 @@ def _logistic(col: np.ndarray, starts: np.ndarray, scale: np.ndarray, length: np
 
 
 def _fit(found: list[np.ndarray], y: np.ndarray, alpha: float) -> Model:
-    """The driver holds the features of the texts once more, in 32 bits each."""
+    """The features stay where they are; besides them there are numbers for each of the 2^BITS features and each text."""
     pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for f, v in zip(found, y):  # distinct in a text
         (pos if v else neg)[f] += 1
     ratio = np.log((alpha + pos) / (alpha * 2 + y.sum())) - np.log((alpha + neg) / (alpha * 2 + (1 - y).sum()))
-    used = np.flatnonzero(pos + neg)
     ratio[pos + neg == 0] = 0
-    number = np.zeros(1 << BITS, np.int32)
-    number[used] = np.arange(len(used))
     some = [i for i, f in enumerate(found) if len(f)]
     length = np.array([max(np.sqrt((ratio[found[i]] ** 2).sum()), 1e-9) for i in some])
-    starts = np.append(0, np.cumsum([len(found[i]) for i in some]))
-    col = np.empty(starts[-1], np.int32)
-    for i, at in zip(some, starts):
-        col[at : at + len(found[i])] = number[found[i]]
-    w, b = _logistic(col, starts, ratio[used], length, y[some])
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * ratio[used]
+    w, b = _logistic([found[i] for i in some], ratio, length, y[some])
+    weights = (w * ratio).astype(np.float32)
     return Model(weights, (ratio**2).astype(np.float32), b)
 
 
