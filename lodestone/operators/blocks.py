@@ -21,8 +21,9 @@ RULE = r"^ {0,3}(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$"
 QUOTE = r"^ {0,3}> ?"
 MARKER = r"^( {0,3})([-*+]|\d{1,9}[.)])(\s+|$)"
 BOX = r"^\[([ xX])\]\s+"
-#: How lines begin that can't be anything but text.
+#: How lines begin that can't be anything but text, or an item of such text.
 PLAIN = r"^[^\s>#<`~*+_=\-\d]"
+ITEM = r"^[-*+] " + PLAIN[1:]
 COMMENT = r"^ {0,3}<!--"
 TAG_LINE = r"^ {0,3}</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>\s*$"
 #: Fixed words: elements whose tag begins a block of HTML even within a paragraph.
@@ -40,6 +41,8 @@ _PIECES = rf"{CODE}|<!--(?:(?!-->)[^\x01])*-->|</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>
 PROSE = ("p", "h")
 _LINE = "struct<line:int,kind:string,text:string,at:int,col:int,item:boolean,group:int,part:int>"
 _STATE = "struct<stack:array<struct<quote:boolean,need:int>>,leaf:string,mark:string,group:int,part:int>"
+#: Whether items, headings, blank lines and code at the beginning of lines are known at one look; the walk through their containers gives the same.
+QUICK = True
 #: Lines that one inner fold appends to one array.
 CHUNK = 128
 
@@ -162,7 +165,20 @@ def _step(state: Column, x: Column, line: Column, front: Column) -> Column:
     group, part = F.when(goes_on, state["group"]).otherwise(state["group"] + 1), F.when(goes_on, state["part"]).otherwise(line)
     text_line = both(_state(stack, "p", "", group, part), result("p", raw, zero, F.lit(-1), no, group, part))
     front_line = both(_state(stack, leaf, state["mark"], state["group"] + 1, line), result("y", x, zero, F.lit(-1), no, state["group"] + 1, line))
-    return F.when(line <= front, front_line).when(plain & (raw == ""), blank_line).when(plain & raw.rlike(PLAIN), text_line).otherwise(let(walked, within))
+    # So are these, whatever containers are open, as long as no fence or HTML outside containers takes them in: items and headings right at the line's beginning leave all
+    # containers, and a blank line goes on with items.  Lines of a fence outside containers that can't close it are code.
+    known = F.lit(QUICK)
+    free = known & ((F.size(stack) > 0) | ~leaf.isin("f", "c", "t"))
+    one = F.array(F.struct(no.alias("quote"), F.lit(2).alias("need")))
+    item_line = both(_state(one, "p", "", state["group"] + 1, line), result("p", F.substring(raw, 3, 1 << 30), F.lit(2), zero, F.lit(True), state["group"] + 1, line))
+    heading_line = both(_state(F.slice(stack, F.lit(1), F.lit(0)), "", "", state["group"] + 1, line), result("h", raw, zero, F.lit(-1), no, state["group"] + 1, line))
+    code_line = both(_state(stack, "f", state["mark"], state["group"] + 1, state["part"]), result("f", raw, zero, F.lit(-1), no, state["group"] + 1, state["part"]))
+    gap_line = known & (raw == "") & leaf.isin("", "p") & ~F.exists(stack, lambda c: c["quote"])
+    return (
+        F.when(line <= front, front_line).when(plain & (raw == ""), blank_line).when(plain & raw.rlike(PLAIN), text_line)
+        .when(free & raw.rlike(ITEM), item_line).when(free & raw.startswith("#") & raw.rlike(HEADING), heading_line).when(gap_line, blank_line)
+        .when(known & (F.size(stack) == 0) & (leaf == "f") & ~raw.rlike(r"^\s*[`~]"), code_line).otherwise(let(walked, within))
+    )
 
 
 def block_lines(lines: Column, front: Column) -> Column:
