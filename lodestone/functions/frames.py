@@ -54,3 +54,9 @@ def numbered(df: DataFrame, *order: Column | str, to: str = "i") -> DataFrame:
 def held(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that a generator makes: to the optimiser they stay columns, and it doesn't put what makes them in the place of each use, inside lambdas too."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def kept(df: DataFrame, **columns: Column) -> DataFrame:
+    """held, with the columns made by a projection that the generator hands on: such columns are made in generated code but for lambdas, which a generator walks as a tree."""
+    made = df.select("*", *[c.alias(f"{name}_made") for name, c in columns.items()])
+    return made.select(*df.columns, F.inline(F.array(F.struct(*[F.col(f"{name}_made").alias(name) for name in columns]))))

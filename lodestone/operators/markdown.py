@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import yaml
-from ..functions.frames import held
+from ..functions.frames import held, kept
 from ..functions.text import expanded_tags, let, matches, once, without
 from . import blocks
 from .blocks import HEADING  # noqa: F401
@@ -29,12 +29,12 @@ KEPT_CODE = r"((?<!`)(`+)(?!`)(?s:.*?)(?<!`)\2(?!`))"
 #: What decides where fields begin and end: links as a whole, brackets, double colons, line ends.
 _FIELD_MARKS = r"\[\[(?:(?!\]\])[^\n])*\]\]|::|[\[\]()\n]"
 #: A field without brackets but its links'; where no other bracket is left, these are all fields.
-_PLAIN_VALUE = r"[^\[\]()\n:]*[^\[\]()\n:\s][^\[\]()\n:]*::(?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*"
+_PLAIN_VALUE = r"(?=[^\[\]()\n:]*[^\[\]()\n:\s])[^\[\]()\n:]*+::(?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n]++)*+"
 _PLAIN_FIELD = rf"\[{_PLAIN_VALUE}\]|\({_PLAIN_VALUE}\)"
 #: A link with colons or brackets of its own, which aren't a field's, so that marks need counting.
 _FULL_LINK = r"\[\[[^\]\n]*(?:::|[()])"
-#: A plain field with its key and its value.
-FLAT_FIELD = r"[\[(]([^\[\]()\n:]*[^\[\]()\n:\s][^\[\]()\n:]*)::((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n])*)[\])]"
+#: A plain field with its key and its value, trimmed.
+FLAT_FIELD = r"[\[(](?=[^\[\]()\n:]*[^\[\]()\n:\s]) *+([^\[\]()\n:]*?) *+:: *+((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n ]++| ++(?![\])]))*+) *+[\])]"
 #: What makes a note, after a line end, need the fold over its lines: marks of code, HTML and escapes, tabs, and lines that are neither blank, nor headings, text or items right at their beginning.
 HARD = r"[`<\\\t\r\x00\x01\x02\x03\n](?<!\n(?=\n|\z|#{1,6} [^\n]|(?:[-*+] )?" + blocks.PLAIN[1:] + "))"
 PLAIN_BOX = r"^[-*+] \[[ xX]\]\s+"
@@ -72,7 +72,8 @@ def _holding(mark: str) -> Column:
 
 
 def _notes_with(notes: DataFrame, mark: str) -> DataFrame:
-    return notes.where(F.contains("contents", F.lit(mark)))
+    """notes that hold a mark.  Their contents are kept, or the optimiser would make them, and look for marks, before a table is spread, and again after that."""
+    return kept(notes.withColumnRenamed("contents", "written_"), contents=F.col("written_")).select(*notes.columns).where(F.contains("contents", F.lit(mark)))
 
 
 def _exploded(d: DataFrame, records: Column | str) -> DataFrame:
@@ -467,12 +468,12 @@ def _plain_tasks(notes: DataFrame) -> DataFrame:
     d = notes.select("path", F.posexplode(F.split("contents", "\n")).alias("i", "text_")).where(F.contains("text_", F.lit("#task")) & F.col("text_").rlike(PLAIN_BOX))
     source = F.regexp_replace("text_", PLAIN_BOX, "")
     d = d.select("path", (F.col("i") + 1).alias("line"), (F.substring("text_", 4, 1) != " ").alias("checked"), source.alias("source"))
-    d = held(d, open_=F.regexp_replace("source", _PLAIN_FIELD, "\x00"))
-    flat = ~F.regexp_replace("open_", r"\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]") & ~F.col("source").rlike(_FULL_LINK)
-    d = held(d, spans=F.when(~flat, field_spans(F.col("source"))))
-    tags_ = F.filter(F.regexp_extract_all("open_", F.lit(f"{LINK}|{TAG}"), F.lit(0)), lambda m: m.startswith("#"))
+    d = kept(d, open_=F.regexp_replace("source", _PLAIN_FIELD, "\x00"))
+    bracketed = F.col("open_").rlike(r"[\[\]()]") & F.regexp_replace("open_", r"\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]")
+    d = d.withColumn("spans", F.when(bracketed | F.col("source").rlike(_FULL_LINK), field_spans(F.col("source"))))
+    tags_ = F.array_remove(F.regexp_extract_all("open_", F.lit(f"{LINK}|({TAG})"), F.lit(1)), "")
     bent = F.transform(line_tags(F.col("source"), F.col("spans")), lambda m: m["value"])
-    d = held(d, tags=F.when(F.col("spans").isNull(), tags_).otherwise(bent)).where(F.array_contains("tags", "#task"))
+    d = kept(d, tags=F.when(F.col("spans").isNull(), tags_).otherwise(bent)).where(F.array_contains("tags", "#task"))
     return d.select("path", "line", "checked", "source", "tags", "spans", F.when(F.col("spans").isNull(), F.translate("open_", "\x00", "")).alias("free"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import held
+from ..functions.frames import kept
 from ..functions.text import day_of, iso_date, let, once, without
 from .markdown import ANCHOR, FLAT_FIELD, KEPT_CODE, LINK, TAG, shown_text, task_items
 
@@ -33,26 +33,20 @@ UNTIL = ("yyyy-MM-dd", "MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy")
 
 
 @once
-def _parts() -> tuple[Column, ...]:
-    """The fields and the bare text of a task's line."""
+def _fields() -> Column:
+    """The fields of a task's line: keys_ and values_ where they are plain, else by their places."""
 
     def pair(s, i):
         cut = lambda a, b: F.trim(F.substring("text", s[a] + 1, s[b] - s[a]))
         return F.struct(cut("key_start", "key_end").alias("k"), cut("value_start", "value_end").alias("v"), i.alias("i"))
 
     def last_of_each(pairs):
-        kept = F.filter(pairs, lambda p: (p["k"] != "") & ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
-        return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
+        kept_ = F.filter(pairs, lambda p: (p["k"] != "") & ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
+        return F.map_from_entries(F.transform(kept_, lambda p: F.struct(p["k"], p["v"])))
 
-    flat = F.col("free").isNotNull()
-    keys, values = (F.transform(F.regexp_extract_all("text", F.lit(FLAT_FIELD), F.lit(k)), lambda x: F.trim(x)) for k in (1, 2))
-    pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
-    apart = lambda k: (F.size(F.array_distinct(k)) == F.size(k)) & ~F.array_contains(k, "")
-    flat_fields = let(keys, lambda k: F.when(apart(k), F.map_from_arrays(k, values)).otherwise(let(pairs, last_of_each)))
-    free = F.coalesce("free", without(F.col("text"), F.col("spans"), lambda s: F.lit("")))
-    # No fields are left in it, so it shows what its own marks say.
-    clean = let(free, lambda x: shown_text(F.when(x.rlike(r"[`#^\[]"), F.regexp_replace(x, rf"{KEPT_CODE}|({LINK})|{ANCHOR}|{TAG}", "$1$3")).otherwise(x), F.lit("")))
-    return F.when(flat, flat_fields).otherwise(let(F.transform("spans", pair), last_of_each)), clean
+    pairs = F.transform(F.arrays_zip(F.col("keys_").alias("k"), F.col("values_").alias("v")), lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
+    apart = F.size(F.array_distinct("keys_")) == F.size("keys_")
+    return F.when(F.col("keys_").isNull(), let(F.transform("spans", pair), last_of_each)).when(apart, F.map_from_arrays("keys_", "values_")).otherwise(let(pairs, last_of_each))
 
 
 def tasks(notes: DataFrame) -> DataFrame:
@@ -61,10 +55,18 @@ def tasks(notes: DataFrame) -> DataFrame:
     (path, line, done, text, tags, fields, unknown_fields, scheduled, due, completed, depends, repeat, repeatFrom, area,
     project).  Dates are promoted only if they are valid; of repeated fields the last counts.
     """
-    fields, clean = _parts()
-    d = held(task_items(notes).withColumnRenamed("source", "text"), fields=fields, clean_=clean)
+    flat = F.col("free").isNotNull()
+    found = {f"{name}_": F.when(flat, F.regexp_extract_all("text", F.lit(FLAT_FIELD), F.lit(k))) for k, name in ((1, "keys"), (2, "values"))}
+    d = task_items(notes).withColumnRenamed("source", "text").withColumns(found)
+    d = kept(d, fields=_fields()).drop("keys_", "values_")
+    # No fields are left in the bare text, so it shows what its own marks say.  Each step is a column, which goes where no text is asked for.
+    d = d.withColumn("bare_", F.coalesce("free", without(F.col("text"), F.col("spans"), lambda s: F.lit(""))))
+    marks = rf"({LINK})|{ANCHOR}|{TAG}"
+    clean = F.when(F.contains("bare_", F.lit("`")), F.regexp_replace("bare_", rf"{KEPT_CODE}|{marks}", "$1$3")).when(F.col("bare_").rlike(r"[#^\[]"), F.regexp_replace("bare_", marks, "$1"))
+    d = d.withColumn("clean_", clean.otherwise(F.col("bare_")))
+    shown = F.when(F.col("clean_").rlike(r"[`*_~\[]"), shown_text(F.col("clean_"), F.lit(""))).otherwise(F.col("clean_"))
     return d.select(
-        "path", "line", F.col("checked").alias("done"), F.trim(F.regexp_replace("clean_", r"\s+", " ")).alias("text"), "tags", "fields",
+        "path", "line", F.col("checked").alias("done"), F.trim(F.regexp_replace(shown, r"\s+", " ")).alias("text"), "tags", "fields",
         F.map_filter("fields", lambda k, v: ~k.isin(*KNOWN_FIELDS)).alias("unknown_fields"),
         *[iso_date(F.try_element_at("fields", F.lit(k))).alias(k) for k in DATE_FIELDS],
         *[F.try_element_at("fields", F.lit(k)).alias(k) for k in KNOWN_FIELDS if k not in DATE_FIELDS],
@@ -195,10 +197,10 @@ def occurrences(repeat: Column, reference: Column, until: Column) -> Column:
 def _recurring(tasks_df: DataFrame) -> DataFrame:
     """tasks with what expansion needs: whether a row recurs, its reference date, how far scheduled lies from due, and its plain step."""
     due, scheduled = day_of(F.col("due")), day_of(F.col("scheduled"))
-    d = held(tasks_df, due_=due, scheduled_=scheduled, step_=F.when(~F.col("done"), plain_step(F.col("repeat"))))
+    d = kept(tasks_df, due_=due, scheduled_=scheduled, step_=F.when(~F.col("done"), plain_step(F.col("repeat"))))
     reference = F.coalesce("due_", "scheduled_")
     recurs = ~F.col("done") & reference.isNotNull() & (F.col("step_").isNotNull() | (repeat_status(F.col("repeat")) == "supported"))
-    return held(d, reference_=reference, offset_=F.coalesce(F.datediff("scheduled_", "due_"), F.lit(0)), recurs_=recurs)
+    return kept(d, reference_=reference, offset_=F.coalesce(F.datediff("scheduled_", "due_"), F.lit(0)), recurs_=recurs)
 
 
 def _generated(d: DataFrame) -> DataFrame:
@@ -238,4 +240,4 @@ def latest_on_or_before(tasks_df: DataFrame, cutoff: str) -> DataFrame:
     times = F.floor(F.datediff(last, reference) / step).cast("int")
     stepped = F.when(times > 0, F.date_add(reference, times * step))
     day = F.when(F.col("recurs_"), F.when(step.isNotNull(), stepped).otherwise(F.array_max(occurrences(F.col("repeat"), reference, last))))
-    return _generated(held(d, day_=day)).select(*tasks_df.columns)
+    return _generated(kept(d, day_=day)).select(*tasks_df.columns)

@@ -66,3 +66,28 @@ def test_repeat_seeds_read_notes_once(spark):
     notes = spark.createDataFrame([("a.md", "- [x] Call #task [repeat:: every month] [due:: 2026-01-01]")], "path string, contents string")
     found = checks.check_repeat_seeds(T.tasks(notes))
     assert found.count() == 1 and "Scan ExistingRDD" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_notes_are_made_after_their_table_is_spread(spark):
+    table = spread(spark.range(10).withColumnRenamed("id", "k"))
+    notes = table.select(F.format_string("%d.md", "k").alias("path"), F.concat(F.lit("- [ ] do #task [[x]] [k:: "), "k", F.lit("]")).alias("contents"))
+    for d in (T.tasks(notes), M.links(notes)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan
+        for below in plan.split("Repartition")[1:]:
+            assert "#task" not in below.split("Range")[0] and "[[" not in below.split("Range")[0]
+        assert d.count() == 10
+
+
+def test_plain_fields_are_trimmed_by_their_pattern(spark):
+    body = " [ due ::  2026-01-02  ] (a b:: [[L x]]  (?) [k::] [l::   ] (m::n o  [[P]]) [ : :: x] [a b::  last of  two ] ![q:: r:s::t ]"
+    long = "word " * 40_000
+    notes = spark.createDataFrame([("a.md", f"- [ ] one #task{body}"), ("b.md", f"- [ ] two #task [z::  {long}] [y:: 1]")], "path string, contents string")
+    rows = lambda d: sorted(map(repr, d.select("path", "text", F.array_sort(F.map_entries("fields"))).collect()))
+    short = notes.where("path = 'a.md'")
+    assert rows(T.tasks(short)) == rows(T.tasks(M.extracted(short, "tasks")))
+    flat = T.tasks(spark.createDataFrame([("c.md", "- [ ] c #task [ due ::  2026-01-02  ] (a b:: [[L x]]  ) [k::] [l::   ] (m::n o  [[P]]) ![q:: r s ]")], "path string, contents string"))
+    assert flat.first()["fields"] == {"due": "2026-01-02", "a b": "[[L x]]", "k": "", "l": "", "m": "n o  [[P]]", "q": "r s"}
+    # A value as long as this doesn't fill the stack of the pattern's matcher.
+    found = T.tasks(notes.where("path = 'b.md'")).first()["fields"]
+    assert found == {"z": long.strip(), "y": "1"}
