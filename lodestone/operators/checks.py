@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
 from ..functions import values as V
-from ..functions.frames import held, materialised
+from ..functions.frames import held, kept, materialised
 from ..functions.text import base_name, day_of, folder_of, is_archived, is_wikilink, normal_key, resolved_path, title_of
 from ..sources.vault import failures, readable
 from . import markdown as M
@@ -190,7 +190,8 @@ def check_tasks(tasks: DataFrame) -> DataFrame:
     rule("warning", opened & (status == "supported") & F.col("due").isNull() & F.col("scheduled").isNull(), "Repeating task without a date")
     found = F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), m.alias("message"))) for s, c, m in rules])
     unknown = F.transform(F.array_sort(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, ALLOWED_FIELDS)))), lambda k: F.struct(F.lit("warning").alias("severity"), F.concat(F.lit("Unknown field: "), k).alias("message")))
-    d = tasks.select("path", "line", F.explode(F.filter(F.concat(found, unknown), lambda x: x.isNotNull())).alias("x"))
+    # Rules are made by a projection, in generated code; the explosion alone has none to walk.
+    d = kept(tasks, found_=F.concat(found, unknown)).select("path", "line", F.explode("found_").alias("x")).where(F.col("x").isNotNull())
     return d.select(F.lit("tasks").alias("category"), "x.severity", "path", F.col("line").cast("int").alias("line"), "x.message", F.lit(0).cast("long").alias("n_related"), F.lit(None).cast("string").alias("related_key"))
 
 

@@ -28,13 +28,11 @@ CODE = r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)"
 KEPT_CODE = r"((?<!`)(`+)(?!`)(?s:.*?)(?<!`)\2(?!`))"
 #: What decides where fields begin and end: links as a whole, brackets, double colons, line ends.
 _FIELD_MARKS = r"\[\[(?:(?!\]\])[^\n])*\]\]|::|[\[\]()\n]"
-#: A field without brackets but its links'; where no other bracket is left, these are all fields.
-_PLAIN_VALUE = r"(?=[^\[\]()\n:]*[^\[\]()\n:\s])[^\[\]()\n:]*+::(?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n]++)*+"
-_PLAIN_FIELD = rf"\[{_PLAIN_VALUE}\]|\({_PLAIN_VALUE}\)"
+#: A field without brackets but its links', with its key and its value, trimmed; where no other bracket is left, these are all fields.
+_PLAIN_PAIR = r" *+(?=\s*+[^\[\]()\n:\s])((?:[^\[\]()\n: ]++| ++(?!:))*+) *+:: *+((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n ]++| ++(?![\])]))*+) *+"
+_PLAIN_FIELD = rf"(?=[\[(])(?:\[{_PLAIN_PAIR}\]|\({_PLAIN_PAIR}\))"
 #: A link with colons or brackets of its own, which aren't a field's, so that marks need counting.
 _FULL_LINK = r"\[\[[^\]\n]*(?:::|[()])"
-#: A plain field with its key and its value, trimmed.
-FLAT_FIELD = r"[\[(](?=[^\[\]()\n:]*[^\[\]()\n:\s]) *+([^\[\]()\n:]*?) *+:: *+((?:\[\[[^\[\]\n]*\]\]|[^\[\]()\n ]++| ++(?![\])]))*+) *+[\])]"
 #: What makes a note, after a line end, need the fold over its lines: marks of code, HTML and escapes, tabs, and lines that are neither blank, nor headings, text or items right at their beginning.
 HARD = r"[`<\\\t\r\x00\x01\x02\x03\n](?<!\n(?=\n|\z|#{1,6} [^\n]|(?:[-*+] )?" + blocks.PLAIN[1:] + "))"
 PLAIN_BOX = r"^[-*+] \[[ xX]\]\s+"
@@ -451,12 +449,12 @@ def task_records() -> Column:
 
 
 def task_items(notes: DataFrame) -> DataFrame:
-    """(path, line, checked, source, tags, spans, free) of items with a box and a tag #task.
+    """(path, line, checked, source, tags, spans, free, keys, values) of items with a box and a tag #task.
 
-    free is source without its fields, which FLAT_FIELD finds then; where brackets aren't that plain it is null, and spans has the places of the fields.
+    free is source without its fields, whose keys and values are arrays; where brackets aren't that plain these are null, and spans has the places of the fields.
     Notes of plain lines alone need no fold: each of their items stands for itself.  Others are parsed.  Both read notes, which must give the same rows each time.
     """
-    parsed_ = lambda d: _family(d, "tasks").withColumn("free", F.lit(None).cast("string"))
+    parsed_ = lambda d: _family(d, "tasks").selectExpr("*", "CAST(NULL AS string) AS free", *[f"CAST(NULL AS array<string>) AS {c}" for c in ("keys", "values")])
     if FAMILIES["tasks"][0] in notes.columns:
         return parsed_(notes)
     marked = _notes_with(notes, "#task")
@@ -468,13 +466,17 @@ def _plain_tasks(notes: DataFrame) -> DataFrame:
     d = notes.select("path", F.posexplode(F.split("contents", "\n")).alias("i", "text_")).where(F.contains("text_", F.lit("#task")) & F.col("text_").rlike(PLAIN_BOX))
     source = F.regexp_replace("text_", PLAIN_BOX, "")
     d = d.select("path", (F.col("i") + 1).alias("line"), (F.substring("text_", 4, 1) != " ").alias("checked"), source.alias("source"))
-    d = kept(d, open_=F.regexp_replace("source", _PLAIN_FIELD, "\x00"))
+    # One look finds the fields and writes them between marks that no plain note holds; what follows looks for these.
+    d = kept(d, marked_=F.regexp_replace("source", _PLAIN_FIELD, "\x00$1$3\x01$2$4\x00"))
+    d = d.withColumn("open_", F.regexp_replace("marked_", r"\x00[^\x00]*+\x00", "\x00"))
     bracketed = F.col("open_").rlike(r"[\[\]()]") & F.regexp_replace("open_", r"\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]")
     d = d.withColumn("spans", F.when(bracketed | F.col("source").rlike(_FULL_LINK), field_spans(F.col("source"))))
-    tags_ = F.array_remove(F.regexp_extract_all("open_", F.lit(f"{LINK}|({TAG})"), F.lit(1)), "")
+    tags_ = F.array_remove(F.regexp_extract_all("open_", F.lit(f"(?=[!\\[#])(?:{LINK}|({TAG}))"), F.lit(1)), "")
     bent = F.transform(line_tags(F.col("source"), F.col("spans")), lambda m: m["value"])
     d = kept(d, tags=F.when(F.col("spans").isNull(), tags_).otherwise(bent)).where(F.array_contains("tags", "#task"))
-    return d.select("path", "line", "checked", "source", "tags", "spans", F.when(F.col("spans").isNull(), F.translate("open_", "\x00", "")).alias("free"))
+    flat = lambda c: F.when(F.col("spans").isNull(), c)
+    pairs = {name: flat(F.regexp_extract_all("marked_", F.lit(rx), F.lit(1))) for name, rx in (("keys", r"\x00([^\x00\x01]*+)\x01"), ("values", r"\x01([^\x00]*+)\x00"))}
+    return d.select("path", "line", "checked", "source", "tags", "spans", flat(F.replace("open_", F.lit("\x00"), F.lit(""))).alias("free"), *[c.alias(name) for name, c in pairs.items()])
 
 
 def list_items(notes: DataFrame, holding: str = "") -> DataFrame:

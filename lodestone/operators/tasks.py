@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import kept
 from ..functions.text import day_of, iso_date, let, once, without
-from .markdown import ANCHOR, FLAT_FIELD, KEPT_CODE, LINK, TAG, shown_text, task_items
+from .markdown import ANCHOR, KEPT_CODE, LINK, TAG, shown_text, task_items
 
 #: Fields that a task gives a meaning to, and those that no check calls unknown.
 KNOWN_FIELDS = ("scheduled", "due", "completed", "depends", "repeat", "repeatFrom", "area", "project")
@@ -34,7 +34,7 @@ UNTIL = ("yyyy-MM-dd", "MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy")
 
 @once
 def _fields() -> Column:
-    """The fields of a task's line: keys_ and values_ where they are plain, else by their places."""
+    """The fields of a task's line: keys and values where they are plain, else by their places."""
 
     def pair(s, i):
         cut = lambda a, b: F.trim(F.substring("text", s[a] + 1, s[b] - s[a]))
@@ -44,9 +44,9 @@ def _fields() -> Column:
         kept_ = F.filter(pairs, lambda p: (p["k"] != "") & ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
         return F.map_from_entries(F.transform(kept_, lambda p: F.struct(p["k"], p["v"])))
 
-    pairs = F.transform(F.arrays_zip(F.col("keys_").alias("k"), F.col("values_").alias("v")), lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
-    apart = F.size(F.array_distinct("keys_")) == F.size("keys_")
-    return F.when(F.col("keys_").isNull(), let(F.transform("spans", pair), last_of_each)).when(apart, F.map_from_arrays("keys_", "values_")).otherwise(let(pairs, last_of_each))
+    pairs = F.transform(F.arrays_zip(F.col("keys").alias("k"), F.col("values").alias("v")), lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
+    apart = F.size(F.array_distinct("keys")) == F.size("keys")
+    return F.when(F.col("keys").isNull(), let(F.transform("spans", pair), last_of_each)).when(apart, F.map_from_arrays("keys", "values")).otherwise(let(pairs, last_of_each))
 
 
 def tasks(notes: DataFrame) -> DataFrame:
@@ -55,13 +55,10 @@ def tasks(notes: DataFrame) -> DataFrame:
     (path, line, done, text, tags, fields, unknown_fields, scheduled, due, completed, depends, repeat, repeatFrom, area,
     project).  Dates are promoted only if they are valid; of repeated fields the last counts.
     """
-    flat = F.col("free").isNotNull()
-    found = {f"{name}_": F.when(flat, F.regexp_extract_all("text", F.lit(FLAT_FIELD), F.lit(k))) for k, name in ((1, "keys"), (2, "values"))}
-    d = task_items(notes).withColumnRenamed("source", "text").withColumns(found)
-    d = kept(d, fields=_fields()).drop("keys_", "values_")
+    d = kept(task_items(notes).withColumnRenamed("source", "text"), fields=_fields()).drop("keys", "values")
     # No fields are left in the bare text, so it shows what its own marks say.  Each step is a column, which goes where no text is asked for.
     d = d.withColumn("bare_", F.coalesce("free", without(F.col("text"), F.col("spans"), lambda s: F.lit(""))))
-    marks = rf"({LINK})|{ANCHOR}|{TAG}"
+    marks = rf"(?=[!\[^#])(?:({LINK})|{ANCHOR}|{TAG})"
     clean = F.when(F.contains("bare_", F.lit("`")), F.regexp_replace("bare_", rf"{KEPT_CODE}|{marks}", "$1$3")).when(F.col("bare_").rlike(r"[#^\[]"), F.regexp_replace("bare_", marks, "$1"))
     d = d.withColumn("clean_", clean.otherwise(F.col("bare_")))
     shown = F.when(F.col("clean_").rlike(r"[`*_~\[]"), shown_text(F.col("clean_"), F.lit(""))).otherwise(F.col("clean_"))

@@ -9,6 +9,7 @@ from lodestone.functions.text import iso_date
 from lodestone.operators import checks
 from lodestone.operators import markdown as M
 from lodestone.operators import tasks as T
+from lodestone.plans import views
 
 NOTES = [
     "# Plan\n\n- [ ] one #task [due:: 2026-01-02] (k:: a) ^id\ntext\n* [x]  two #task#x [a:: [[L|x]]] [a:: 2] **b** _c_\n+ [X] three #tasks\n- [ ] #task",
@@ -91,3 +92,30 @@ def test_plain_fields_are_trimmed_by_their_pattern(spark):
     # A value as long as this doesn't fill the stack of the pattern's matcher.
     found = T.tasks(notes.where("path = 'b.md'")).first()["fields"]
     assert found == {"z": long.strip(), "y": "1"}
+
+
+def test_fields_are_found_at_one_look(spark):
+    body = "[ due ::  2026-01-02  ] (a b:: [[L x]]  ) [k::] [l::   ] (m::n o  [[P]]) [ :: v] [ q  r ::s]"
+    notes = spark.createDataFrame([("a.md", f"- [ ] x #task {body.replace(' [ :: v]', '')} #last"), ("b.md", f"- [ ] y #task {body}")], "path string, contents string")
+    got = {r.path: r for r in M.task_items(notes).collect()}
+    assert got["a.md"]["keys"] == ["due", "a b", "k", "l", "m", "q  r"] and got["a.md"]["values"] == ["2026-01-02", "[[L x]]", "", "", "n o  [[P]]", "s"]
+    assert got["a.md"].free.split() == ["x", "#task", "#last"] and got["a.md"].tags == ["#task", "#last"]
+    # A bracket that is no field's is left, so places count.
+    assert got["b.md"]["keys"] is None and got["b.md"].free is None and len(got["b.md"].spans) == 6
+
+
+def test_checks_explode_rows_that_a_projection_made(spark):
+    notes = spark.createDataFrame([("a.md", "- [x] x #task [due:: 2026-02-30] [size:: 3] [bulk:: 1]"), ("b.md", "- [ ] y #task [due:: 2026-03-01] [area:: [[A]]] [project:: [[P]]]")], "path string, contents string")
+    found = checks.check_tasks(T.tasks(notes))
+    assert "Generate explode(found_" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.message for r in found.collect()) == ["Done task without a completed date", "Invalid due date: 2026-02-30", "Unknown field: bulk", "Unknown field: size"]
+
+
+def test_only_open_tasks_are_expanded(spark):
+    rows = [("a", True, "2026-01-05", None, "every day"), ("b", False, "2026-01-01", None, "every week"), ("c", False, "2026-01-09", None, None), ("d", False, None, "2026-01-02", "every 5 days"), ("e", True, "2026-01-06", None, None)]
+    d = spark.createDataFrame(rows, "path string, done boolean, due string, scheduled string, repeat string").withColumns({"completed": F.lit(None).cast("string"), "fields": F.create_map(F.lit("k"), F.lit("v"))})
+    week, due = views.in_week(d, "2026-01-05"), views.due_by(d, "2026-01-08")
+    assert sorted(r.path for r in week.collect()) == ["b", "c", "d"] and sorted((r.path, r.due) for r in due.collect()) == [("b", "2026-01-08")]
+    for found in (week, due, views.on_day(d, "2026-01-08")):
+        below = found._jdf.queryExecution().optimizedPlan().toString().rsplit("Generate", 1)[1]
+        assert "NOT done" in below
