@@ -13,18 +13,19 @@ from ..operators.tasks import expand_in_window, latest_on_or_before
 
 
 def open_tasks(tasks: DataFrame) -> DataFrame:
+    """Tasks that aren't done; taken before recurring ones are expanded, since occurrences are made of open tasks only, and are open."""
     return tasks.where(~F.col("done"))
 
 
 def on_day(tasks: DataFrame, day: str) -> DataFrame:
     """Open tasks scheduled or due on a day, later occurrences included."""
-    return open_tasks(expand_in_window(tasks, day, day)).where((F.col("scheduled") == day) | (F.col("due") == day))
+    return expand_in_window(open_tasks(tasks), day, day).where((F.col("scheduled") == day) | (F.col("due") == day))
 
 
 def in_week(tasks: DataFrame, start: str) -> DataFrame:
     """Open tasks scheduled or due in the seven days from start."""
     end = (date.fromisoformat(start) + timedelta(days=6)).isoformat()
-    return open_tasks(expand_in_window(tasks, start, end)).where(F.col("scheduled").between(start, end) | F.col("due").between(start, end))
+    return expand_in_window(open_tasks(tasks), start, end).where(F.col("scheduled").between(start, end) | F.col("due").between(start, end))
 
 
 def due_by(tasks: DataFrame, day: str) -> DataFrame:
