@@ -30,8 +30,8 @@ def in_week(tasks: DataFrame, start: str) -> DataFrame:
 
 def due_by(tasks: DataFrame, day: str) -> DataFrame:
     """Open tasks due up to a day, recurring ones by their latest occurrence; by the comparison order, no due date isn't due."""
-    d = latest_on_or_before(tasks, day)
-    return open_tasks(d).where(le(field(d, "due"), literal(day)))
+    d = latest_on_or_before(open_tasks(tasks), day)
+    return d.where(le(field(d, "due"), literal(day)))
 
 
 overdue = due_by
