@@ -467,7 +467,7 @@ def _plain_tasks(notes: DataFrame) -> DataFrame:
     source = F.regexp_replace("text_", PLAIN_BOX, "")
     d = d.select("path", (F.col("i") + 1).alias("line"), (F.substring("text_", 4, 1) != " ").alias("checked"), source.alias("source"))
     # One look finds the fields and writes them between marks that no plain note holds; what follows looks for these.
-    d = kept(d, marked_=F.regexp_replace("source", _PLAIN_FIELD, "\x00$1$3\x01$2$4\x00"))
+    d = d.withColumn("marked_", F.regexp_replace("source", _PLAIN_FIELD, "\x00$1$3\x01$2$4\x00"))
     d = d.withColumn("open_", F.regexp_replace("marked_", r"\x00[^\x00]*+\x00", "\x00"))
     bracketed = F.col("open_").rlike(r"[\[\]()]") & F.regexp_replace("open_", r"\[\[[^\[\]\n]*\]\]", "").rlike(r"[\[\]()]")
     d = d.withColumn("spans", F.when(bracketed | F.col("source").rlike(_FULL_LINK), field_spans(F.col("source"))))

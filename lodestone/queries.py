@@ -375,13 +375,13 @@ _TASKS = """(SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS done, strftime(o_orde
 
 
 def _task_notes(spark, sf_dir):
-    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    k, date = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     part = lambda cond, *bits: F.when(cond, F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits])).otherwise("")
     return spread(table(spark, sf_dir, "orders")).select(
-        F.format_string("orders/%d.md", "o_orderkey").alias("path"),
+        F.concat(F.lit("orders/"), k, F.lit(".md")).alias("path"),
         F.concat(
-            F.lit("# Plan\n\n- [ ] no task\n- ["), F.when(k % 3 == 0, "x").otherwise(" "), F.lit("] Ship  order "), k, F.lit(" #task #ship"), part(k % 5 < 3, " [due:: ", day, "]"),
-            part((k % 5).isin(1, 2, 3), " [scheduled:: ", F.date_format(F.date_add("o_orderdate", 3), "yyyy-MM-dd"), "]"),
+            F.lit("# Plan\n\n- [ ] no task\n- ["), F.when(k % 3 == 0, "x").otherwise(" "), F.lit("] Ship  order "), k, F.lit(" #task #ship"), part(k % 5 < 3, " [due:: ", date.cast("string"), "]"),
+            part((k % 5).isin(1, 2, 3), " [scheduled:: ", F.date_add(date, 3).cast("string"), "]"),
             part(k % 4 == 0, " [repeat:: every week]"), part(k % 4 == 1, " [repeat:: every 3 days]"), part(k % 4 == 2, " [repeat:: weekly]"),
             F.lit(" (effort:: "), k % 7, F.lit(") [area:: [[Sales]]] ^o"), k, F.lit("\n"),
         ).alias("contents"),

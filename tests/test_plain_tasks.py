@@ -119,3 +119,12 @@ def test_only_open_tasks_are_expanded(spark):
     for found in (week, due, views.on_day(d, "2026-01-08")):
         below = found._jdf.queryExecution().optimizedPlan().toString().rsplit("Generate", 1)[1]
         assert "NOT done" in below
+
+
+def test_marks_of_fields_are_made_once_without_a_generator(spark):
+    notes = spark.createDataFrame([("a.md", "- [ ] x #task [due:: 2026-03-01] (k:: v) [k:: w]")], "path string, contents string")
+    tasks = T.tasks(notes)
+    for d in (tasks, tasks.select("path", "unknown_fields"), tasks.select("path", "due", "text").where(~F.col("done") & F.col("due").isNotNull())):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("\x00$1$3\x01$2$4\x00") == 1 and "struct(marked_" not in plan
+    assert tasks.first()["unknown_fields"] == {"k": "w"}
