@@ -505,7 +505,7 @@ def recur_named_days(spark, sf_dir):
 
 def _linked_notes(spark, sf_dir):
     """Supplier notes (some under one name in two folders, some archived, some with a title of their own) and part notes that link to them."""
-    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    sup = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("k"))
     first = sup.select(F.format_string("a/sup-%d.md", "k").alias("path"), F.format_string("# %s %d\n\ntext", F.when(F.col("k") % 4 == 0, "Shared").otherwise("Sup"), F.when(F.col("k") % 4 == 0, F.col("k") % 16).otherwise(F.col("k"))).alias("contents"))
     twin = sup.where("k % 10 = 0").select(F.format_string("b/sup-%d.md", "k").alias("path"), F.format_string("---\ntitle: Twin\n---\n# Twin %d", "k").alias("contents"))
     old = sup.where("k % 8 = 4").select(F.format_string("Archive/old-%d.md", "k").alias("path"), F.format_string("# Shared %d", F.col("k") % 16).alias("contents"))
@@ -524,7 +524,7 @@ SELECT 'error' AS severity, 'a/parts/' || p || '.md' AS path, 2 AS line, 'Broken
 UNION ALL SELECT 'error', 'a/parts/' || p || '.md', 3, 'Broken link: [[../sup-' || r || ']]', '' FROM l WHERE r NOT IN (SELECT s FROM s)
 UNION ALL SELECT 'warning', 'a/parts/' || p || '.md', 2, 'Ambiguous link: [[sup-' || t || ']]', 'a/sup-' || t || '.md,b/sup-' || t || '.md' FROM l WHERE t IN (SELECT s FROM s) AND t % 10 = 0""")
 def check_links(spark, sf_dir):
-    notes = _linked_notes(spark, sf_dir)
+    notes = checks.parsed_once(_linked_notes(spark, sf_dir), "headings", "links")
     return checks.with_related_paths(checks.check_links(notes), checks.link_paths(notes)).select("severity", "path", "line", "message", F.array_join("related_paths", ",").alias("related"))
 
 
@@ -539,7 +539,7 @@ def check_duplicate_h1(spark, sf_dir):
 ag AS (SELECT g, string_agg(path, ',' ORDER BY path) AS r FROM a GROUP BY g), og AS (SELECT g, string_agg(path, ',' ORDER BY path) AS r FROM o GROUP BY g)
 SELECT path, 'Heading also in archive: Shared ' || g AS message, r AS related FROM a JOIN og USING (g) UNION ALL SELECT path, 'Heading also in archive: Shared ' || g, r FROM o JOIN ag USING (g)""")
 def check_archive_collision(spark, sf_dir):
-    notes = _linked_notes(spark, sf_dir)
+    notes = checks.parsed_once(_linked_notes(spark, sf_dir), "headings")
     return checks.with_related_paths(checks.check_archive_headings(notes), checks.archive_heading_paths(notes)).select("path", "message", F.array_join("related_paths", ",").alias("related"))
 
 
